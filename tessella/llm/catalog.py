@@ -42,3 +42,44 @@ def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.ogg import media_digests
 
     return media_digests(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm import scratch
+    from tessella.llm.mixing import code_point_weights, mix, word_count
+
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text"), word_count(F.col("text").cast("string")).alias("size"))
+    out = mix(scratch.table(rows, "documents"), F.col("size"), code_point_weights)
+    return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+
+
+@query
+def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.leaks import contaminated, contamination
+
+    out = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    hit, n = F.col("n_hit"), F.col("n_words")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(hit, n).alias("contaminated"))
+
+
+ORACLES["op10_leaks"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i + 1:i + 13], ' ') AS s
+  FROM (SELECT item, w, unnest(range(0, greatest(len(w) - 13, 0) + 1)) AS i FROM b WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1:i + n], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, p.n, item FROM places AS p JOIN win ON p.n = win.n AND p.s = win.s),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
