@@ -91,3 +91,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.pii import add_pseudonyms
+
+    return add_pseudonyms(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.toxicity import fit, held_out, score_toxicity
+
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
+    model = fit(docs, labels, lambda i: ~held_out(i))
+    out = score_toxicity(docs, model)
+    score = F.col("toxic_score")
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
