@@ -1,8 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Weights: every word and its beginnings (3 to 7 characters) count once per labelled document; the log-odds of the rates
-in toxic and other documents have an informative Dirichlet prior (prior_docs pseudo-documents at the pooled rate), and a
-feature counts if it is significant. A token scores its longest significant feature, else a small loss, so that random
+in toxic and other documents have an informative Dirichlet prior (pseudo-documents at the pooled rate, a share of the
+toxic ones), and a feature counts if its odds are clear and significant, next to those of the most significant one. A token scores its longest significant feature, else a small loss, so that random
 text drifts down. All maximal scoring segments of a text come from one linear scan. By extreme-value theory the best
 segment of n harmless tokens exceeds s with probability 1 - exp(-k n exp(-rate s)); log-likelihood ratios have rate 1 and k
 is fitted on labelled harmless documents. What significant segments have beyond the text's expected maximum is added up,
@@ -29,7 +29,7 @@ from tessella.llm.arrow import map_rows
 
 _TOKEN = re.compile(r"[^\W_]+")
 BEGINNINGS = range(7, 2, -1)
-FIT_ROWS = 40_000
+FIT_ROWS = 20_000
 
 
 class Model(NamedTuple):
@@ -126,7 +126,7 @@ def _rows(docs: DataFrame, labels: DataFrame, train, fit_rows: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(told), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, prior_docs: float = 500.0, z: float = 2.5, most: int = 100_000, loss: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, prior_share: float = 0.25, odds_from: float = 3.5, z_from: float = 2.0, z_share: float = 0.3, most: int = 100_000, loss: float = 0.05) -> Model:
     """Learns from labelled rows for which train (a function of the id column) holds.
 
     fit_rows bounds the labelled rows that are used, most the number of weights; both are sizes of the model, and the
@@ -148,12 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, pri
     if not docs1 or not docs0:
         share = docs1 / (docs1 + docs0) if docs1 + docs0 else 0.0
         return Model({}, loss, 1.0, 0.0, math.log(share / (1 - share)) if 0 < share < 1 else math.copysign(40.0, share - 0.5))
+    prior_docs = prior_share * docs1
     prior = prior_docs * (F.col("n1") + F.col("n0")) / (docs1 + docs0)
     a, b = F.col("n1") + prior, F.col("n0") + prior
     odds = F.log(a / (docs1 + prior_docs)) - F.log(b / (docs0 + prior_docs))
     score = odds / F.sqrt(1 / a + 1 / b)
-    best = sums.where("feature <> '' and n1 > 0").select("feature", odds.alias("odds"), score.alias("z")).where((F.col("z") >= z) & (F.col("odds") >= 1)).orderBy(F.desc("z"), "feature").limit(most)
-    weights = {r.feature: r.odds for r in best.collect()}
+    best = sums.where("feature <> '' and n1 > 0").select("feature", odds.alias("odds"), score.alias("z")).where((F.col("z") >= z_from) & (F.col("odds") >= odds_from)).orderBy(F.desc("z"), "feature").limit(most).collect()
+    weights = {r.feature: r.odds for r in best if r.z >= z_share * best[0].z}
     model = Model(weights, loss, 1.0, 0.0, 0.0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
