@@ -109,3 +109,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_toxicity(docs, model)
     score = F.col("toxic_score")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.substrings import repeat_digests
+
+    return repeat_digests(read(spark, sf_dir, "documents"))
