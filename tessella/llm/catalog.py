@@ -116,3 +116,10 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.substrings import repeat_digests
 
     return repeat_digests(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.hmm import language_model
+
+    return language_model(read(spark, sf_dir, "documents"))
