@@ -1,5 +1,6 @@
 """All registered map-data queries: importing this module fills the registry."""
 
+import tessella.plans.queries  # noqa: F401
 from tessella.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
