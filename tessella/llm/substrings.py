@@ -1,7 +1,7 @@
 """Repeated passages across documents, byte for byte, by run-length indexes.
 
-Every 50-byte string has a marker: the least hash of its 16-byte pieces. Neighbouring strings with one marker travel
-together as one stretch of text, so all occurrences of a string meet in one bucket and a text is sent about 3.5 times
+Every 50-byte string has a marker: the least hash of its 10-byte pieces. Neighbouring strings with one marker travel
+together as one stretch of text, so all occurrences of a string meet in one bucket and a text is sent about 3.2 times
 over, compressed, instead of 50 times. A bucket drops stretches whose marker stands in one document only, and builds
 over the distinct others a Burrows-Wheeler transform in the order of the strings' 50 bytes, ties by document; the
 transform is kept by runs (equal preceding byte, same string), each with its sampled end. As an interval's first sample
@@ -26,12 +26,11 @@ from pyspark.sql import functions as F
 from tessella.llm import scratch
 from tessella.llm.arrow import map_rows, texts
 
-LENGTH, PIECE = 50, 16
+LENGTH, PIECE = 50, 10
 LAST_ID = (1 << 63) - 1
-_BLOCK, _PENDING = 2 << 20, 64 << 20
+_BLOCK, _PENDING = 8 << 20, 48 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_HEAD = np.dtype([("dpos", "<u4"), ("run", "<u4"), ("mark", "<u4"), ("doc", "<u4")])
-_DOC = np.dtype([("id", "<i8"), ("tid", "<i4"), ("at", "<u4")])
+_LEVEL = 6
 
 
 def _eight(text: np.ndarray, order: str) -> np.ndarray:
@@ -49,7 +48,8 @@ def _markers(text: np.ndarray, length: int) -> np.ndarray:
     """The least piece hash of the string from each position on."""
     width = length - PIECE + 1
     a = _eight(text, "<")
-    h = (a[:-8] * _MIX[0]) ^ ((a[8:] ^ _MIX[2]) * _MIX[1])
+    more = PIECE - 8
+    h = (a[:-more] * _MIX[0]) ^ ((a[more:] ^ _MIX[2]) * _MIX[1])
     h ^= h >> np.uint64(29)
     h *= _MIX[2]
     h ^= h >> np.uint64(32)
@@ -81,19 +81,43 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - sizes), sizes)
 
 
-def _pack(head: np.ndarray, docs: np.ndarray, body: bytes) -> bytes:
-    planes = b"".join(head[n].tobytes() for n in head.dtype.names)
-    sizes = np.array([len(head), len(docs)], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(sizes + docs.tobytes() + planes + body)
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of equal weight together, which compresses small numbers well."""
+    return x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+def _from_planes(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).ravel()
+
+
+_DOC = [("id", "<i8"), ("tid", "<i4"), ("at", "<i4")]  # of each document: id, hash and place in the block
+_HEAD = [("start", "<i4"), ("run", "<i4"), ("mark", "<u2"), ("doc", "<i4")]  # of each stretch
+_STEPS = {"id", "at", "start", "doc"}  # kept as differences
+
+
+def _pack(docs: dict[str, np.ndarray], head: dict[str, np.ndarray], body: bytes) -> bytes:
+    parts = [np.array([len(docs["id"]), len(head["start"])], "<u8").tobytes()]
+    for kinds, values in ((_DOC, docs), (_HEAD, head)):
+        for name, kind in kinds:
+            v = np.asarray(values[name]).astype(kind)
+            parts.append(_planes(np.diff(v, prepend=v.dtype.type(0)) if name in _STEPS else v))
+    return zstandard.ZstdCompressor(level=_LEVEL).compress(b"".join((*parts, body)))
+
+
+def _unpack(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Per stretch: id, tid, pos in its document, run and mark; and the text of all."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, d = (int(x) for x in np.frombuffer(raw, "<u8", 2))
-    docs = np.frombuffer(raw, _DOC, d, 16)
-    at = 16 + d * _DOC.itemsize
-    head = {name: np.frombuffer(raw, "<u4", n, at + 4 * n * i).astype(np.int64) for i, name in enumerate(_HEAD.names)}
-    return head, docs, np.frombuffer(raw, np.uint8, offset=at + 16 * n)
+    d, n = (int(x) for x in np.frombuffer(raw, "<u8", 2))
+    at, out = 16, {}
+    for kinds, size in ((_DOC, d), (_HEAD, n)):
+        for name, kind in kinds:
+            v = _from_planes(raw, kind, size, at)
+            out[name] = (np.cumsum(v, dtype=v.dtype) if name in _STEPS else v).astype(np.int64)
+            at += v.nbytes
+    doc = out["doc"]
+    head = {"id": out["id"][doc], "tid": out["tid"][doc], "pos": out["start"] - out["at"][doc], "run": out["run"], "mark": out["mark"]}
+    return head, np.frombuffer(raw, np.uint8, offset=at)
 
 
 class RunIndex:
@@ -143,9 +167,9 @@ def _cut(docs: DataFrame, buckets: int, length: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             rows, size = [], 0
             for bucket in sorted(pending):
-                for head, docs_, body in pending[bucket]:
-                    rows.append((bucket, _pack(head, docs_, body)))
-                    size += len(rows[-1][1])
+                for packed in pending[bucket]:
+                    rows.append((bucket, packed))
+                    size += len(packed)
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
                     rows, size = [], 0
@@ -165,13 +189,11 @@ def _cut(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True) if len(by) else ():
                 own = by[a:b]
                 used, inner = np.unique(doc[own], return_inverse=True)
-                head = np.zeros(len(own), _HEAD)
-                head["dpos"], head["run"], head["mark"], head["doc"] = start[own] - base[doc[own]], count[own], mark[own] >> np.uint64(32), inner
-                told = np.zeros(len(used), _DOC)
-                told["id"], told["tid"] = [ids[i] for i in used], [tids[i] for i in used]
+                told = {"id": np.array(ids, np.int64)[used], "tid": np.array(tids)[used], "at": base[used]}
+                head = {"start": start[own], "run": count[own], "mark": mark[own] >> np.uint64(48), "doc": inner}
                 body = text[_spread(start[own], count[own] + length - 1)].tobytes()
-                pending.setdefault(int(bucket[own[0]]), []).append((head, told, body))
-                size += len(body) + 16 * len(own)
+                pending.setdefault(int(bucket[own[0]]), []).append(_pack(told, head, body))
+                size += len(pending[int(bucket[own[0]])][-1])
             return size
 
         ids, tids, parts, size = [], [], [], 0
@@ -197,8 +219,8 @@ def _cut(docs: DataFrame, buckets: int, length: int) -> DataFrame:
 def _match(rows: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """id, tid, start and end of what a bucket's documents have of earlier ones."""
     got = [_unpack(x) for x in rows]
-    doc = np.concatenate([d["id"][h["doc"]] for h, d, _ in got])
-    mark = np.concatenate([h["mark"] for h, _, _ in got])
+    doc = np.concatenate([h["id"] for h, _ in got])
+    mark = np.concatenate([h["mark"] for h, _ in got])
     by = np.argsort(mark, kind="stable")
     cut = np.flatnonzero(np.concatenate(([True], mark[by][1:] != mark[by][:-1])))
     several = np.minimum.reduceat(doc[by], cut) != np.maximum.reduceat(doc[by], cut)
@@ -207,15 +229,13 @@ def _match(rows: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     if not use.any():
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    tid = np.concatenate([d["tid"][h["doc"]] for h, d, _ in got])[use]
-    start = np.concatenate([h["dpos"] for h, _, _ in got])[use]
-    count = np.concatenate([h["run"] for h, _, _ in got])[use]
+    tid, start, count = (np.concatenate([h[k] for h, _ in got])[use] for k in ("tid", "pos", "run"))
     doc = doc[use]
     # distinct stretches, each with its smallest document
     met: dict[bytes, int] = {}
     which = np.empty(len(doc), np.int64)
     i = done = 0
-    for h, _, body in got:
+    for h, body in got:
         raw = body.tobytes()
         ends = np.cumsum(h["run"] + length - 1)
         mine = np.flatnonzero(use[done : done + len(ends)])
@@ -262,32 +282,34 @@ def _match(rows: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
-    """id, tid, span (start << 32 | end, in bytes): what documents have of documents with smaller ids. docs: id, tid, text."""
+    """id, tid, spans (pairs of 4-byte start and end): what documents have of documents with smaller ids. docs: id, tid, text."""
     if length < PIECE + 8:
         raise ValueError(f"length is {PIECE + 8} at least")
-    buckets = buckets or 4 * scratch.partitions(docs.sparkSession)
-    kind = pa.schema([("id", pa.int64()), ("tid", pa.int32()), ("span", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            doc, tid, a, b = _match(rows, length)
-            for i in range(0, len(doc), 50_000):
-                s = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[s], pa.int64()), pa.array(tid[s].astype(np.int32)), pa.array(a[s] << 32 | b[s], pa.int64())], schema=kind)
+    buckets = buckets or 2 * scratch.partitions(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, rows, found = None, [], []
         for b in batches:
             for i, bucket in enumerate(b.column("bucket").to_pylist()):
                 if bucket != now and rows:
-                    yield from done()
+                    found.append(_match(rows, length))
                     rows = []
                 now = bucket
                 rows.append(b.column("data")[i].as_py())
         if rows:
-            yield from done()
+            found.append(_match(rows, length))
+        if not found:
+            return
+        doc, tid, a, e = (np.concatenate(c) for c in zip(*found, strict=True))
+        by = np.lexsort((a, tid, doc))
+        doc, tid, span = doc[by], tid[by], (a << 32 | e)[by]
+        first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1])))[: len(doc)])
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True) if len(first) else ():
+            own = merge(span[i:j].tolist(), 0xFFFFFFFF)
+            yield int(doc[i]), int(tid[i]), b"".join(x.to_bytes(4, "little") for s in own for x in s)
 
-    return _cut(docs, buckets, length).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, tid int, span long")
+    dealt = _cut(docs, buckets, length).repartition("bucket").sortWithinPartitions("bucket")
+    return map_rows(dealt, run, "id long, tid int, spans binary")
 
 
 def merge(spans: list[int], n: int) -> list[tuple[int, int]]:
@@ -302,22 +324,37 @@ def merge(spans: list[int], n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _squeeze(docs: DataFrame) -> DataFrame:
+    """The texts compressed one by one, for the shuffle that brings them to their spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for b in batches:
+            for i, key, tid, t in zip(b.column("doc_id").to_pylist(), b.column("id").to_pylist(), b.column("tid").to_pylist(), texts(b), strict=True):
+                yield i, key, tid, press.compress(t)
+
+    return map_rows(docs.select("doc_id", "id", "tid", "text"), run, "doc_id long, id long, tid int, small binary", lambda r: len(r[3]))
+
+
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, removed (array of start, end in bytes) and kept (the remaining bytes) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.hash(F.col("text").cast("string")).alias("tid"), F.col("text").cast("string").alias("text"))
-    spans = repeats(rows.select("id", "tid", "text"), length).groupBy("id", "tid").agg(F.collect_list("span").alias("spans"))
+    spans = repeats(rows.select("id", "tid", "text"), length).groupBy("id", "tid").agg(F.collect_list("spans").alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        open_ = zstandard.ZstdDecompressor()
         for b in batches:
-            for i, t, s in zip(b.column("doc_id").to_pylist(), texts(b), b.column("spans"), strict=True):
-                gone = merge(s.as_py() or [], len(t))
+            for i, small, s in zip(b.column("doc_id").to_pylist(), b.column("small"), b.column("spans"), strict=True):
+                t = open_.decompress(small.as_py())
+                told = np.frombuffer(b"".join(s.as_py() or []), "<u4").astype(np.int64).reshape(-1, 2)
+                gone = merge((told[:, 0] << 32 | told[:, 1]).tolist(), len(t))
                 kept, at = [], 0
                 for a, e in gone:
                     kept.append(t[at:a])
                     at = e
                 yield i, len(t), [{"start": a, "end": e} for a, e in gone], b"".join((*kept, t[at:]))
 
-    return map_rows(rows.join(spans, ["id", "tid"], "left").select("doc_id", "text", "spans"), run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary", lambda r: len(r[3]) + 64)
+    return map_rows(_squeeze(rows).join(spans, ["id", "tid"], "left").select("doc_id", "small", "spans"), run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary", lambda r: len(r[3]) + 64)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
