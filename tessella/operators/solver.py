@@ -165,6 +165,7 @@ class Search:
                 return [t]
         if t in self.bad or self.budget <= 0:
             return None
+        self.budget -= 1
         if n >= 2 * self.least or depth == 0:
             for axis, at in self._positions(t, n):
                 halves = sorted(cut(t, axis, at), key=m.count)
@@ -174,7 +175,6 @@ class Search:
                 second = self._solve(halves[1], depth + 1)
                 if second is not None:
                     return first + second
-        self.budget -= 1
         self.bad.add(t)
         return None
 
@@ -225,7 +225,10 @@ def without_gaps(m: DensityMap, t: Tile, degrees: float = 30.0) -> list[Tile]:
 
 
 def improve(m: DensityMap, t: Tile, most: int, budget: int, trim: bool, by_count: bool = False) -> Solution | None:
-    """Raises the least number of nodes and relaxes the aspect while the budget lasts; keeps the best."""
+    """Raises the least number of nodes and relaxes the aspect while the budget lasts; keeps the best.
+
+    A search may spend a quarter of what is left.
+    """
     start = max(min(most // 20, int(m.grid[t.x : t.x + t.w, t.y : t.y + t.h].max(initial=0))), 1)
     best: Solution | None = None
     for positions in (8, None):
@@ -233,7 +236,12 @@ def improve(m: DensityMap, t: Tile, most: int, budget: int, trim: bool, by_count
             low, high = start, most
             while low <= high:
                 least = (low + high) // 2 if best else low
-                tiles = Search(m, most, least, aspect, budget, trim, positions, by_count).run(t)
+                if best and budget <= 0:
+                    return best
+                search = Search(m, most, least, aspect, max(budget // 4, 50), trim, positions, by_count)
+                given = search.budget
+                tiles = search.run(t)
+                budget -= given - search.budget
                 if tiles is None:
                     high = least - 1
                     if not best:

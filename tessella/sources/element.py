@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
 
 from tessella.functions.tags import without_author
 from tessella.functions.units import to_map_unit
-from tessella.schema import TAGS
+from tessella.schema import ELEMENT
 
-ELEMENT: StructType = _parse_datatype_string(f"kind string, id long, version int, lat double, lon double, refs array<long>, members array<struct<type:string,ref:long,role:string>>, tags {TAGS}, box array<double>")
+__all__ = ["ELEMENT", "bounds", "nodes", "relations", "row", "ways"]
 
 
 def row(kind: str, id_: int | None = None, version: int = 0, lat=None, lon=None, refs=None, members=None, tags=None, box=None) -> tuple:

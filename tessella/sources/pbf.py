@@ -130,7 +130,7 @@ def _nano(degrees: float) -> int:
 
 
 def _deltas(values: list[int]) -> list[int]:
-    return [zigzag(v - b) for v, b in zip(values, [0, *values[:-1]], strict=True)]
+    return [zigzag(v - b) for v, b in zip(values, [0, *values], strict=False)]
 
 
 class _Block:

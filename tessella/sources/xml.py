@@ -7,18 +7,17 @@ from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import _parse_datatype_string
 
 from tessella.functions.units import valid_node
-from tessella.sources.element import ELEMENT
+from tessella.schema import ELEMENT, table
 
 _TAG = "tag array<struct<_k:string,_v:string>>"
 _HEAD = "_id long, _version int, _action string"
-_NODE = _parse_datatype_string(f"{_HEAD}, _lat double, _lon double, {_TAG}")
-_WAY = _parse_datatype_string(f"{_HEAD}, nd array<struct<_ref:long>>, {_TAG}")
-_RELATION = _parse_datatype_string(f"{_HEAD}, member array<struct<_type:string,_ref:long,_role:string>>, {_TAG}")
-_BOUNDS = _parse_datatype_string("_minlat double, _minlon double, _maxlat double, _maxlon double")
-_BOUND = _parse_datatype_string("_box string")
+_NODE = table(f"{_HEAD}, _lat double, _lon double, {_TAG}")
+_WAY = table(f"{_HEAD}, nd array<struct<_ref:long>>, {_TAG}")
+_RELATION = table(f"{_HEAD}, member array<struct<_type:string,_ref:long,_role:string>>, {_TAG}")
+_BOUNDS = table("_minlat double, _minlon double, _maxlat double, _maxlon double")
+_BOUND = table("_box string")
 
 
 def scan(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("node", "way", "relation", "bounds")) -> DataFrame:
