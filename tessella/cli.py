@@ -102,7 +102,8 @@ def parse(argv: list[str]) -> tuple[SplitOptions, list[str]]:
     for f in fields(SplitOptions):
         name = "--" + f.name.replace("_", "-")
         if isinstance(f.default, bool):
-            p.add_argument(name, nargs="?", const=True, default=f.default, type=_flag)
+            p.add_argument(name, default=f.default, type=_flag)
+            argv = [f"{name}=true" if a == name else a for a in argv]  # a bare flag takes no further word
         else:
             p.add_argument(name, default=f.default, type=int if "int" in str(f.type) else str)
     p.add_argument("files", nargs="*")
