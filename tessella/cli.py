@@ -14,6 +14,7 @@ from tessella.operators import assign as A
 from tessella.operators import complete as C
 from tessella.operators import density as D
 from tessella.operators import problems as P
+from tessella.operators import regions as R
 from tessella.operators import solver as S
 from tessella.operators.bounded import cut
 from tessella.operators.rangejoin import best_city
@@ -143,6 +144,9 @@ def plan_areas(spark: SparkSession, o: SplitOptions, elements: DataFrame) -> Dat
             exact = D.bbox(nodes).first()
         cells = None
     rings = texts.read_poly(_text(spark, o.polygon_file))[1] if o.polygon_file else None
+    regions = _regions(spark, o)
+    if regions:
+        rings = [ring for _, _, own in regions for ring in own]
     a, b, c, d = exact if exact is not None and exact[0] is not None else D.WORLD
     if rings:
         lats, lons = [U.map_unit(p[1]) for _, r in rings for p in r], [U.map_unit(p[0]) for _, r in rings for p in r]
@@ -150,7 +154,16 @@ def plan_areas(spark: SparkSession, o: SplitOptions, elements: DataFrame) -> Dat
     w = D.world(shift)
     bounds = (max(w[0], U.down(a, shift)), max(w[1], U.down(b, shift)), min(w[2], U.up(c, shift)), min(w[3], U.up(d, shift)))
     if cells is None:
-        m = S.density_map(D.density(nodes, shift, bounds), bounds, shift, S.raster(rings, bounds, shift) if rings else None)
+        found = D.density(nodes, shift, bounds)
+        if o.precomp_sea:
+            sea = R.sea_density(spark, o.precomp_sea, _text(spark, f"{o.precomp_sea.rstrip('/')}/index.txt"), bounds, shift)
+            found = D.merge_sea(found, sea) if sea is not None else found
+        if regions:
+            named = {name: own for name, _, own in regions}
+            parts = S.split_polygons([(r.x, r.y, r.n) for r in found.collect()], bounds, shift, named, o.max_nodes, o.search_limit)
+            rects = [r for part in parts.values() for r in part]
+            return spark.createDataFrame([(i, o.mapid + i, None, *r, False, True) for i, r in enumerate(rects)], AREAS)
+        m = S.density_map(found, bounds, shift, S.raster(rings, bounds, shift) if rings else None)
     else:
         x0, y0 = bounds[1] - w[1] >> shift, bounds[0] - w[0] >> shift
         width, height = bounds[3] - bounds[1] >> shift, bounds[2] - bounds[0] >> shift
@@ -163,6 +176,10 @@ def plan_areas(spark: SparkSession, o: SplitOptions, elements: DataFrame) -> Dat
     return out.withColumn("name", F.lit(o.description)) if o.description else out
 
 
+def _regions(spark: SparkSession, o: SplitOptions) -> list:
+    return R.described_polygons(maps.read_elements(spark, [o.polygon_desc_file]), 24 - o.resolution) if o.polygon_desc_file else []
+
+
 def run(spark: SparkSession, o: SplitOptions, files: list[str]) -> Result:
     """All phases up to stop_after; frames stay lazy beyond what a phase has to know."""
     elements = maps.read_elements(spark, files)
@@ -174,6 +191,8 @@ def run(spark: SparkSession, o: SplitOptions, files: list[str]) -> Result:
         save("areas.list", texts.write_area_list((m, r) for m, r, _ in listed))
     save("areas.poly", texts.write_poly("area", [r for _, r, _ in listed]))
     save("template.args", texts.write_template([(m, n) for m, _, n in listed], maps.EXTENSIONS.get(o.output) or "osm.pbf"))
+    for name, text in R.region_files(_regions(spark, o), listed, maps.EXTENSIONS.get(o.output) or "osm.pbf").items():
+        save(name, text)
     if o.write_kml:
         save(o.write_kml, texts.write_kml((m, r) for m, r, _ in listed))
     if o.stop_after == "split":

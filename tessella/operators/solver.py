@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.functions import units as U
-from tessella.sources.texts import in_rings
 
 Rect = tuple[int, int, int, int]
 LARGEST_DEGREES = (85, 90)  # a tile may be so high and so wide unless the limit is huge
@@ -391,11 +390,19 @@ def trim_outer(m: DensityMap, tiles: list[Tile]) -> list[Tile]:
 
 
 def raster(rings, bounds: Rect, shift: int) -> np.ndarray:
-    """Cells whose middle lies within a polygon (rings in degrees)."""
-    w, h = bounds[3] - bounds[1] >> shift, bounds[2] - bounds[0] >> shift
-    degree = 360 / U.UNITS
-    mid = 1 << shift >> 1
-    return np.array([[in_rings(rings, (bounds[1] + (x << shift) + mid) * degree, (bounds[0] + (y << shift) + mid) * degree) for y in range(h)] for x in range(w)], bool)
+    """Cells whose middle lies within a polygon (rings in degrees): even-odd over whole rows and columns at once."""
+    degree, mid = 360 / U.UNITS, 1 << shift >> 1
+    lon = (bounds[1] + (np.arange(bounds[3] - bounds[1] >> shift) << shift) + mid) * degree
+    lat = (bounds[0] + (np.arange(bounds[2] - bounds[0] >> shift) << shift) + mid) * degree
+    held = np.zeros((len(lon), len(lat)), bool)
+    for added, ring in rings:
+        inside = np.zeros_like(held)
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+            if y1 != y2:
+                at = (x2 - x1) * (lat - y1) / (y2 - y1) + x1
+                inside ^= ((y1 > lat) != (y2 > lat))[None, :] & (lon[:, None] < at[None, :])
+        held[inside] = added
+    return held
 
 
 def corners(rings) -> int:
@@ -403,7 +410,10 @@ def corners(rings) -> int:
 
 
 def split_polygons(cells, bounds: Rect, shift: int, polygons: dict[str, list], most: int, budget: int = 200_000) -> dict[frozenset[str], list[Rect]]:
-    """Tiles for named polygons that may overlap: each part shared by the same polygons is split by itself."""
+    """Tiles for named polygons that may overlap: each part shared by the same polygons is split by itself.
+
+    A part need not be a rectangle, so its tiles may reach into another part's; problem lists work on disjoint pieces.
+    """
     masks = {name: raster(rings, bounds, shift) for name, rings in polygons.items()}
     names = list(masks)
     code = sum((masks[n].astype(np.int64) << i for i, n in enumerate(names)), np.zeros((bounds[3] - bounds[1] >> shift, bounds[2] - bounds[0] >> shift), np.int64))

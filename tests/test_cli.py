@@ -83,6 +83,25 @@ def test_split_file_and_phases(spark, small_map, tmp_path):
     assert r.areas.count() == 2 and r.problems.count() > 0 and r.tiles is None
 
 
+def test_regions_and_sea(spark, small_map, tmp_path):
+    corner = {1: (50.1, 8.1), 2: (50.1, 9.3), 3: (51.5, 9.3), 4: (51.5, 8.1), 5: (50.5, 8.9), 6: (50.5, 9.9), 7: (51.2, 9.9), 8: (51.2, 8.9)}
+    shapes = [row("node", i, 1, *p) for i, p in corner.items()] + [row("way", 1, 1, refs=[1, 2, 3, 4, 1], tags=[("name", "west"), ("mapid", "70000001")]), row("way", 2, 1, refs=[5, 6, 7, 8, 5], tags=[("name", "east"), ("mapid", "71000001")]), row("way", 3, 1, refs=[1, 2], tags=[("name", "none")])]
+    (tmp_path / "regions.osm.pbf").write_bytes(pbf.encode(shapes))
+    lat, lon = (cli.U.down(cli.U.map_unit(v), 15) for v in (50.9, 8.9))
+    (tmp_path / "index.txt").write_text(f"{lat}_{lon};mixed.osm.pbf\n0_0;sea\n")
+    (tmp_path / "mixed.osm.pbf").write_bytes(pbf.encode([row("node", 1, 1, 50.91, 8.91)]))
+    o = cli.SplitOptions(output_dir=str(tmp_path / "o"), polygon_desc_file=str(tmp_path / "regions.osm.pbf"), precomp_sea=str(tmp_path), stop_after="split", search_limit=1000)
+    o.max_nodes = 200
+    rects = [(r.min_lat, r.min_lon, r.max_lat, r.max_lon) for r in cli.run(spark, o, [small_map[0]]).areas.collect()]
+    assert len(rects) > 4
+    edge = 0.05
+    for _, _, _, y, x, *_ in (e for e in small_map[1] if e[0] == "node"):
+        if 50.1 + edge < y < 51.5 - edge and 8.1 + edge < x < 9.3 - edge or 50.5 + edge < y < 51.2 - edge and 8.9 + edge < x < 9.9 - edge:
+            assert any(a <= cli.U.map_unit(y) <= c and b <= cli.U.map_unit(x) <= d for a, b, c, d in rects)
+    assert {"west-areas.poly", "east-areas.poly", "west-template.args"} <= set(os.listdir(tmp_path / "o"))
+    assert "mapname: 71000001" in open(tmp_path / "o" / "east-template.args").read()
+
+
 def test_convert(spark, small_map, tmp_path):
     cli.convert(spark, [small_map[0]], str(tmp_path / "c.o5m"), "o5m")
     assert maps.read_elements(spark, [str(tmp_path / "c.o5m")]).where("kind <> 'bounds'").count() == len(small_map[1])
