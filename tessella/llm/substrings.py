@@ -28,7 +28,7 @@ from tessella.llm.arrow import map_rows, texts
 
 LENGTH, PIECE = 50, 10
 LAST_ID = (1 << 63) - 1
-_BLOCK, _PENDING = 8 << 20, 48 << 20
+_BLOCK, _PENDING = 2 << 20, 40 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _LEVEL = 6
 
@@ -162,14 +162,22 @@ def _cut(docs: DataFrame, buckets: int, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: dict[int, list] = {}
-        held = 0
+        held = passed = 0
+
+        def together(parts: list) -> bytes:
+            """Stretches of several blocks as one: places count on from block to block."""
+            docs_, heads, bodies = zip(*parts, strict=True)
+            before = np.cumsum([0, *(len(d["id"]) for d in docs_[:-1])])
+            told = {k: np.concatenate([d[k] for d in docs_]) for k in docs_[0]}
+            head = {k: np.concatenate([h[k] for h in heads]) for k in ("start", "run", "mark")}
+            head["doc"] = np.concatenate([h["doc"] + n for h, n in zip(heads, before, strict=True)])
+            return _pack(told, head, b"".join(bodies))
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows, size = [], 0
             for bucket in sorted(pending):
-                for packed in pending[bucket]:
-                    rows.append((bucket, packed))
-                    size += len(packed)
+                rows.append((bucket, together(pending.pop(bucket))))
+                size += len(rows[-1][1])
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
                     rows, size = [], 0
@@ -189,11 +197,11 @@ def _cut(docs: DataFrame, buckets: int, length: int) -> DataFrame:
             for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True) if len(by) else ():
                 own = by[a:b]
                 used, inner = np.unique(doc[own], return_inverse=True)
-                told = {"id": np.array(ids, np.int64)[used], "tid": np.array(tids)[used], "at": base[used]}
-                head = {"start": start[own], "run": count[own], "mark": mark[own] >> np.uint64(48), "doc": inner}
+                told = {"id": np.array(ids, np.int64)[used], "tid": np.array(tids, np.int32)[used], "at": (base[used] + passed).astype(np.int32)}
+                head = {"start": (start[own] + passed).astype(np.int32), "run": count[own].astype(np.int32), "mark": (mark[own] >> np.uint64(48)).astype(np.uint16), "doc": inner.astype(np.int32)}
                 body = text[_spread(start[own], count[own] + length - 1)].tobytes()
-                pending.setdefault(int(bucket[own[0]]), []).append(_pack(told, head, body))
-                size += len(pending[int(bucket[own[0]])][-1])
+                pending.setdefault(int(bucket[own[0]]), []).append((told, head, body))
+                size += len(body) + 16 * len(own)
             return size
 
         ids, tids, parts, size = [], [], [], 0
@@ -205,10 +213,11 @@ def _cut(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 size += len(t)
                 if size >= _BLOCK:
                     held += block(ids, tids, parts)
+                    passed += size
                     ids, tids, parts, size = [], [], [], 0
                     if held >= _PENDING:
                         yield from flush()
-                        held = 0
+                        held = passed = 0
         if parts:
             block(ids, tids, parts)
         yield from flush()
