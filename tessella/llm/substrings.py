@@ -92,7 +92,7 @@ def _from_planes(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
 
 
 _DOC = [("id", "<i8"), ("tid", "<i4"), ("at", "<i4")]  # of each document: id, hash and place in the block
-_HEAD = [("start", "<i4"), ("run", "<i4"), ("mark", "<u2"), ("doc", "<i4")]  # of each stretch
+_HEAD = [("start", "<i4"), ("run", "<i4"), ("mark", "<u4"), ("doc", "<i4")]  # of each stretch
 _STEPS = {"id", "at", "start", "doc"}  # kept as differences
 
 
@@ -198,7 +198,8 @@ def _cut(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 own = by[a:b]
                 used, inner = np.unique(doc[own], return_inverse=True)
                 told = {"id": np.array(ids, np.int64)[used], "tid": np.array(tids, np.int32)[used], "at": (base[used] + passed).astype(np.int32)}
-                head = {"start": (start[own] + passed).astype(np.int32), "run": count[own].astype(np.int32), "mark": (mark[own] >> np.uint64(48)).astype(np.uint16), "doc": inner.astype(np.int32)}
+                # least hashes crowd near zero, so their bits are mixed anew before 24 of them are kept
+                head = {"start": (start[own] + passed).astype(np.int32), "run": count[own].astype(np.int32), "mark": ((mark[own] * _MIX[0]) >> np.uint64(40)).astype(np.uint32), "doc": inner.astype(np.int32)}
                 body = text[_spread(start[own], count[own] + length - 1)].tobytes()
                 pending.setdefault(int(bucket[own[0]]), []).append((told, head, body))
                 size += len(body) + 16 * len(own)
