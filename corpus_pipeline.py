@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from tessella.llm import scratch
 from tessella.llm.leaks import contaminated, contamination
+from tessella.llm.minhash import near_copies
 from tessella.llm.mixing import code_point_weights, mix, word_count
 from tessella.llm.pii import add_pseudonyms
-from tessella.llm.simhash import near_duplicates
 from tessella.llm.toxicity import fit, held_out, score_toxicity
 
-NEAR_WORDS, NEAR_BITS = 5, 7
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that SimHash on five words links, the one with the smallest id stays.
-
-    Texts of a similarity of 0.8 differ in some 10 of 64 bits, of 0.9 in some 7; 7 is the most that four parts cover.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_BITS)
+    """Of the documents that links of a similarity of 0.8 or more on five-word shingles join, the one with the smallest id stays."""
+    rows = scratch.table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_copies(rows, NEAR_WORDS, NEAR_SIMILARITY)
     gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
