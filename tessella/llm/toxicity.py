@@ -1,9 +1,10 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Weights: every word and its beginnings (3 to 7 characters) count once per labelled document; the log-odds of the rates
-in toxic and other documents have an informative Dirichlet prior (pseudo-documents at the pooled rate, a share of the
-toxic ones), and a feature counts if its odds are clear and significant, next to those of the most significant one. A token scores its longest significant feature, else a small loss, so that random
-text drifts down. All maximal scoring segments of a text come from one linear scan. By extreme-value theory the best
+in toxic and other documents have an informative Dirichlet prior (pseudo-documents at the mean of the two rates, a share
+of each kind's own, so that the share of toxic labels does not move them), and a feature counts if its odds are clear and
+its likelihood ratio is significant among all features tried, next to those of the most significant one. A token scores its longest significant
+feature, else a small loss, so that random text drifts down. All maximal scoring segments of a text come from one linear scan. By extreme-value theory the best
 segment of n harmless tokens exceeds s with probability 1 - exp(-k n exp(-rate s)); log-likelihood ratios have rate 1 and k
 is fitted on labelled harmless documents. What significant segments have beyond the text's expected maximum is added up,
 and a logistic curve fitted on labelled documents turns that into a probability.
@@ -19,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from statistics import NormalDist
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -126,7 +128,7 @@ def _rows(docs: DataFrame, labels: DataFrame, train, fit_rows: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(told), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, prior_share: float = 0.25, odds_from: float = 3.5, z_from: float = 2.0, z_share: float = 0.3, most: int = 100_000, loss: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, prior_weight: float = 0.01, odds_from: float = 3.5, chance: float = 0.05, z_share: float = 0.3, most: int = 100_000, loss: float = 0.05) -> Model:
     """Learns from labelled rows for which train (a function of the id column) holds.
 
     fit_rows bounds the labelled rows that are used, most the number of weights; both are sizes of the model, and the
@@ -144,15 +146,20 @@ def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, pri
                 yield f, seen[1][f], seen[0][f]
 
     sums = map_rows(rows, count, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    docs1, docs0 = next(((r.n1, r.n0) for r in sums.where("feature = ''").collect()), (0, 0))
+    whole = F.col("feature") == ""
+    docs1, docs0, tried = (n or 0 for n in sums.agg(F.max(F.when(whole, F.col("n1"))), F.max(F.when(whole, F.col("n0"))), F.count("*")).first())
     if not docs1 or not docs0:
         share = docs1 / (docs1 + docs0) if docs1 + docs0 else 0.0
         return Model({}, loss, 1.0, 0.0, math.log(share / (1 - share)) if 0 < share < 1 else math.copysign(40.0, share - 0.5))
-    prior_docs = prior_share * docs1
-    prior = prior_docs * (F.col("n1") + F.col("n0")) / (docs1 + docs0)
-    a, b = F.col("n1") + prior, F.col("n0") + prior
-    odds = F.log(a / (docs1 + prior_docs)) - F.log(b / (docs0 + prior_docs))
-    score = odds / F.sqrt(1 / a + 1 / b)
+    # both kinds weigh the same in the prior and each takes its own share of it, so odds do not depend on the share of toxic labels
+    rate1, rate0 = F.col("n1") / docs1, F.col("n0") / docs0
+    prior = prior_weight * (rate1 + rate0) / 2
+    odds = F.log(rate1 + prior) - F.log(rate0 + prior)
+    # significance by the likelihood ratio, which holds for rare features and any share of toxic labels
+    part1, part0 = (F.when(n > 0, n * F.log(r / ((F.col("n1") + F.col("n0")) / (docs1 + docs0)))).otherwise(0.0) for n, r in ((F.col("n1"), rate1), (F.col("n0"), rate0)))
+    absent1, absent0 = (F.when(d - n > 0, (d - n) * F.log((1 - r) / (1 - (F.col("n1") + F.col("n0")) / (docs1 + docs0)))).otherwise(0.0) for n, r, d in ((F.col("n1"), rate1, docs1), (F.col("n0"), rate0, docs0)))
+    score = F.sqrt(F.greatest(F.lit(0.0), 2 * (part1 + part0 + absent1 + absent0)))
+    z_from = NormalDist().inv_cdf(1 - chance / (2 * tried))  # by chance alone, some feature passes in `chance` of fits
     best = sums.where("feature <> '' and n1 > 0").select("feature", odds.alias("odds"), score.alias("z")).where((F.col("z") >= z_from) & (F.col("odds") >= odds_from)).orderBy(F.desc("z"), "feature").limit(most).collect()
     weights = {r.feature: r.odds for r in best if r.z >= z_share * best[0].z}
     model = Model(weights, loss, 1.0, 0.0, 0.0)
