@@ -3,7 +3,7 @@
 Weights: every word and its beginnings (3 to 7 characters) count once per labelled document; the log-odds of the rates
 in toxic and other documents have an informative Dirichlet prior (pseudo-documents at the mean of the two rates, a share
 of each kind's own, so that the share of toxic labels does not move them), and a feature counts if its odds are clear and
-its likelihood ratio is significant among all features tried, next to those of the most significant one. A token scores its longest significant
+its likelihood ratio is significant among all features tried. A token scores its longest significant
 feature, else a small loss, so that random text drifts down. All maximal scoring segments of a text come from one linear scan. By extreme-value theory the best
 segment of n harmless tokens exceeds s with probability 1 - exp(-k n exp(-rate s)); log-likelihood ratios have rate 1 and k
 is fitted on labelled harmless documents. What significant segments have beyond the text's expected maximum is added up,
@@ -128,7 +128,7 @@ def _rows(docs: DataFrame, labels: DataFrame, train, fit_rows: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(told), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, prior_weight: float = 0.01, odds_from: float = 3.5, chance: float = 0.05, z_share: float = 0.3, most: int = 100_000, loss: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, prior_weight: float = 0.01, odds_from: float = 3.5, chance: float = 0.05, most: int = 100_000, loss: float = 0.05) -> Model:
     """Learns from labelled rows for which train (a function of the id column) holds.
 
     fit_rows bounds the labelled rows that are used, most the number of weights; both are sizes of the model, and the
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, pri
     score = F.sqrt(F.greatest(F.lit(0.0), 2 * (part1 + part0 + absent1 + absent0)))
     z_from = NormalDist().inv_cdf(1 - chance / (2 * tried))  # by chance alone, some feature passes in `chance` of fits
     best = sums.where("feature <> '' and n1 > 0").select("feature", odds.alias("odds"), score.alias("z")).where((F.col("z") >= z_from) & (F.col("odds") >= odds_from)).orderBy(F.desc("z"), "feature").limit(most).collect()
-    weights = {r.feature: r.odds for r in best if r.z >= z_share * best[0].z}
+    weights = {r.feature: r.odds for r in best}
     model = Model(weights, loss, 1.0, 0.0, 0.0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

@@ -34,3 +34,11 @@ def test_recall_at_shares_of_toxic_labels(spark, share):
     got = T.score_toxicity(rows, model).where(T.held_out(F.col("doc_id"))).select("toxic", "toxic_score").collect()
     told = {k: [x.toxic_score >= 0.5 for x in got if x.toxic == k] for k in (0, 1)}
     assert sum(told[1]) >= 0.95 * len(told[1]) and sum(told[0]) <= 0.05 * len(told[0])
+
+
+def test_small_vocabulary_beside_a_hot_one(spark):
+    hot = table(spark, 3000, 0.1, ["hotword", "hotwort", "hotmot", "hotpala"])
+    rare = table(spark, 300, 0.1, BAD[:6], seed=4).withColumn("doc_id", F.col("doc_id") + 10_000)
+    model = T.fit(hot.union(rare), hot.union(rare), lambda i: ~T.held_out(i))
+    got = T.score_toxicity(rare, model).where(T.held_out(F.col("doc_id")) & (F.col("toxic") == 1)).select("toxic_score").collect()
+    assert got and all(x.toxic_score >= 0.5 for x in got)
