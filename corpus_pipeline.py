@@ -1,7 +1,7 @@
 """From raw documents to a training mix, in five stages.
 
 Every stage takes and (but for the last) returns the columns of documents. Rows that repeat both doc_id and text are one
-document: they stay or go together. Null texts stand for empty ones throughout; empty tables pass as they are; further
+document: they stay or go together, but for the near-duplicate stage, which keeps one row of each group of copies. Null texts stand for empty ones throughout; empty tables pass as they are; further
 columns are carried along.
 """
 
@@ -28,11 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of a similarity of 0.8 or more on five-word shingles join, the one with the smallest id stays."""
-    rows = scratch.table(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = near_copies(rows, NEAR_WORDS, NEAR_SIMILARITY)
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """Of the rows that links of a similarity of 0.8 or more on five-word shingles join, one with the smallest id stays."""
+    rows = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_copies(rows.select(F.col("_row").alias("row"), "doc_id", "text"), NEAR_WORDS, NEAR_SIMILARITY)
+    gone = found.where("row <> kept").select(F.col("row").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*_names(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,7 +76,8 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, least: float) -> DataFr
 
 
 def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
-    """row, doc_id and component_id (the smallest doc_id reachable over links) of every row; docs: row (distinct), doc_id, text."""
+    """row, doc_id, component_id (the smallest doc_id reachable over links) and kept (the row that stands for the component:
+    one of that id, or of null ids alone any) of every row; docs: row (distinct), doc_id, text."""
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -86,7 +87,7 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
                 yield row, i, xxhash.xxh3_128_digest(found.tobytes()), bands(found)
 
     prints = scratch.table(map_rows(rows, run, "row long, doc_id long, same binary, bands array<long>"), "prints")
-    own = prints.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+    own = prints.groupBy("same").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("bands").alias("bands"))
     own = scratch.table(own, "distinct")
     sent = own.select("node", F.posexplode("bands").alias("at", "band"))
     hubs = sent.groupBy("at", "band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -102,6 +103,6 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     rest = one.join(two, ["at", "band"]).where("a < b and root_a <> root_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     star = scratch.table(components(links.union(confirmed(rest, rows, k, least))), "star")
     rooted = own.join(star, "node", "left").select("same", "first", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = scratch.table(rooted.join(named, "root").select("same", "component_id"), "labels")
-    return prints.join(label, "same").select("row", "doc_id", "component_id")
+    named = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    label = scratch.table(rooted.drop("first").join(named, "root").select("same", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept")), "labels")
+    return prints.join(label, "same").select("row", "doc_id", "component_id", "kept")

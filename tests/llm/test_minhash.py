@@ -47,3 +47,14 @@ def test_recall_against_brute_force(spark, sf):
     assert len(kept ^ {top(i) for i in range(n)}) <= 1
     assert M.near_copies(df.limit(0)).count() == 0
     assert M.near_copies(df.where(F.col("row") < 4)).where("component_id = 0").count() == 3
+
+
+def test_rows_are_decided_one_by_one(spark, sf):
+    r = random.Random(9)
+    one, two, three, four = ([f"w{r.randrange(5000)}" for _ in range(100)] for _ in range(4))
+    copy = lambda w: " ".join(near(r, w, 100, 1))
+    rows = [(7, " ".join(one)), (None, copy(one)), (None, " ".join(two)), (None, copy(two)), (None, " ".join(three)), (8, copy(one)), (8, " ".join(four)), (9, "a b c"), (9, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(x.doc_id, x.text) for x in P.drop_near_duplicates(spark, docs, sf).collect()]
+    assert len(kept) == 5 and {rows[0], rows[4], rows[6], rows[7]} <= set(kept)
+    assert sum(k in (rows[2], rows[3]) for k in kept) == 1
