@@ -200,27 +200,73 @@ _HINT = re.compile(r"[0-9@=:]")
 _LINE = re.compile(r"[^\n]*[0-9@=:][^\n]*")
 
 
+_PLAIN_CARD = re.compile(r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])")
+IBAN_LENGTHS = {
+    k: int(n)
+    for k, n in (
+        x.split(":")
+        for x in "AD:24 AE:23 AT:20 BA:20 BE:16 BG:22 BH:22 BR:29 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 HR:21 HU:28 IE:22 IL:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LI:21 LT:20 LU:20 LV:21 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 SA:24 SE:24 SI:19 SK:24 SM:27 TN:24 TR:26 UA:29 VG:24 XK:20".split()
+    )
+}
+
+
+def _spans(kind: str, line: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Where the value of a match may stand: in its usual form first, which does not depend on what follows it."""
+    ends = [i for i in range(end - 1, start, -1) if line[i] == " "]
+    if kind == "card":
+        for a in (start, *(i + 1 for i in reversed(ends))):
+            if (m := _PLAIN_CARD.match(line, a)) and m.end() <= end:
+                yield a, m.end()
+    if kind == "iban":
+        told = IBAN_LENGTHS.get(line[start : start + 2])
+        yield from ((start, i) for i in ends if i - start - line.count(" ", start, i) == told)
+    yield start, end
+    if kind == "card":  # groups of one or two digits are rather a list of numbers, of which one in ten passes by chance
+        yield from ((start, i) for i in ends if not re.search(r"\b\d{1,2}\b", line[start:i]))
+
+
 def pseudonymize(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with every finding replaced, and how many of each kind; back undoes it for the same key."""
     counts: dict[str, int] = {}
 
-    def put(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = KINDS[kind][1](m[0], key, back)
-        if new is None and kind in ("card", "date", "iban", "national"):
+    def put(kind: str, found: str, whole: bool) -> str | None:
+        new = KINDS[kind][1](found, key, back)
+        if new is None and whole and kind in ("card", "date", "iban", "national"):
             # not valid as such, yet it may hold another kind (an address, a telephone number)
             for other in ("ip", "phone"):
-                if re.fullmatch(KINDS[other][0], m[0]) and (new := KINDS[other][1](m[0], key, back)) is not None:
+                if re.fullmatch(KINDS[other][0], found) and (new := KINDS[other][1](found, key, back)) is not None:
                     kind = other
                     break
-        if new is None:
-            return m[0]
-        counts[kind] = counts.get(kind, 0) + 1
+        if new is not None:
+            counts[kind] = counts.get(kind, 0) + 1
         return new
 
+    def scan(found: re.Match) -> str:
+        line, out, done, at, failed = found[0], [], 0, 0, 0
+        while m := _ANY.search(line, at):
+            kind, start, end = m.lastgroup, *m.span()
+            at = end
+            if kind in ("card", "iban"):
+                spans = _spans(kind, line, start, end)
+            elif start < failed:  # of a number that is no card or IBAN, no part is anything else
+                spans, at = (), start + 1
+            else:
+                spans = ((start, end),)
+            for a, b in spans:
+                if (new := put(kind, line[a:b], (a, b) == (start, end) and start >= failed)) is not None:
+                    out += line[done:a], new
+                    done = at = b
+                    break
+            else:
+                if kind in ("card", "iban"):
+                    failed = max(failed, end)
+                    at = line.find(" ", start, end) + 1 or end
+        out.append(line[done:])
+        return "".join(out)
+
     if not _HINT.search(text):
         return text, counts
-    return _LINE.sub(lambda line: _ANY.sub(put, line[0]), text), counts
+    return _LINE.sub(scan, text), counts
 
 
 def add_pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
