@@ -1,8 +1,8 @@
 """From raw documents to a training mix, in five stages.
 
 Every stage takes and (but for the last) returns the columns of documents. Rows that repeat both doc_id and text are one
-document: they stay or go together, but for the near-duplicate stage, which keeps one row of each group of copies. Null texts stand for empty ones throughout; empty tables pass as they are; further
-columns are carried along.
+document: they stay or go together, but for the near-duplicate stage, which keeps one row of each group of copies. Null
+texts stand for empty ones throughout; empty tables pass as they are; further columns are carried along.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import scratch
-from tessella.llm.leaks import contaminated, contamination
+from tessella.llm.leaks import contamination
 from tessella.llm.minhash import near_copies
 from tessella.llm.mixing import code_point_weights, mix, word_count
 from tessella.llm.pii import add_pseudonyms
@@ -36,10 +36,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth of the words or more stands in benchmark windows go."""
+    """Documents that hold any benchmark window go: what stays has none, however long it is."""
     key = F.struct("doc_id", F.xxhash64("text").alias("text"))
     found = contamination(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.text").alias("gone_text")).distinct()
+    gone = found.where("n_hit > 0").select(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.text").alias("gone_text")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_text")), "left_anti")
 
 
