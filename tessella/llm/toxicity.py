@@ -5,9 +5,10 @@ in toxic and other documents have an informative Dirichlet prior (pseudo-documen
 of each kind's own, so that the share of toxic labels does not move them), and a feature counts if its odds are clear and
 its likelihood ratio is significant among all features tried. A token scores its longest significant
 feature, else a small loss, so that random text drifts down. All maximal scoring segments of a text come from one linear scan. By extreme-value theory the best
-segment of n harmless tokens exceeds s with probability 1 - exp(-k n exp(-rate s)); log-likelihood ratios have rate 1 and k
-is fitted on labelled harmless documents. What significant segments have beyond the text's expected maximum is added up,
-and a logistic curve fitted on labelled documents turns that into a probability.
+segment of n harmless tokens exceeds s with probability 1 - exp(-k n exp(-rate s)). The rate solves sum(p(s) exp(rate s)) = 1
+over the scores of all tokens of labelled harmless documents, and k is then their maximum-likelihood value. What significant
+segments have beyond the text's expected maximum is added up, and a logistic curve fitted on labelled documents turns that
+into a probability.
 
 Defined results: null and empty texts have no tokens and score as the curve says for nothing found; without labels of
 both kinds the score is the share of toxic labels (0 without labels); repeated labels of a document count as its largest;
@@ -38,6 +39,7 @@ class Model(NamedTuple):
     weights: dict[str, float]
     loss: float
     k: float
+    rate: float
     slope: float
     offset: float
 
@@ -70,27 +72,27 @@ def weigh(token: str, weights: dict[str, float]) -> float | None:
 def segments(scored: list[tuple[int, float]], n: int, loss: float) -> list[Segment]:
     """All maximal scoring segments of n tokens that score -loss but for those listed; linear in the list.
 
-    Each candidate keeps the running totals before it and at its end; a new positive token joins the candidates that
-    begin lower and end lower, as often as that holds.
+    Each candidate keeps the running totals before it and at its end, and the place of the last candidate that begins
+    lower. A new positive token follows those places only, and joins the candidate found where that one ends lower.
     """
-    stack: list[tuple[int, int, float, float]] = []  # start, end, total before, total at the end
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total at the end, last that begins lower
     total, at = 0.0, 0
     for pos, score in scored:
         total -= loss * (pos - at)
         before, total, at = total, total + score, pos + 1
         if score <= 0:
             continue
-        new = (pos, pos + 1, before, total)
-        while stack:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
+        start, low, j = pos, before, len(stack) - 1
+        while True:
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= total:
                 break
-            new = (stack[j][0], new[1], stack[j][2], new[3])
+            start, _, low, _, lower = stack[j]
             del stack[j:]
-        stack.append(new)
-    return [Segment(a, b, y - x) for a, b, x, y in stack]
+            j = lower
+        stack.append((start, pos + 1, low, total, j))
+    return [Segment(a, b, y - x) for a, b, x, y, _ in stack]
 
 
 class Scanner:
@@ -100,6 +102,11 @@ class Scanner:
         self.weights, self.loss, self.held, self.met = weights, loss, held, {}
 
     def scan(self, text: str) -> tuple[list[Segment], int]:
+        scored, n = self.scores(text)
+        return segments(scored, n, self.loss), n
+
+    def scores(self, text: str) -> tuple[list[tuple[int, float]], int]:
+        """Place and score of the tokens that have a weight, and the number of all."""
         words = tokens(text)
         met = self.met
         if new := set(words).difference(met):
@@ -107,14 +114,39 @@ class Scanner:
                 met.clear()
                 new = set(words)
             met.update((w, weigh(w, self.weights)) for w in new)
-        scored = [(i, s) for i, s in enumerate(map(met.__getitem__, words)) if s is not None]
-        return segments(scored, len(words), self.loss), len(words)
+        return [(i, s) for i, s in enumerate(map(met.__getitem__, words)) if s is not None], len(words)
+
+
+def level(n: int, k: float, rate: float) -> float:
+    """The score that the best segment of n harmless tokens is expected to reach."""
+    return math.log(max(k * n, 1.0)) / rate if n else 0.0
+
+
+def excess(found: list[Segment], n: int, k: float, rate: float) -> float:
+    """What the segments score beyond that level, in units of the law's decay."""
+    at = level(n, k, rate)
+    return rate * sum(max(0.0, s.score - at) for s in found)
+
+
+def decay(scores: dict[float, int], tokens_: int, loss: float) -> float:
+    """The positive root of the mean of exp(rate * score) = 1, where the mean score is below 0; else 1.
+
+    scores: how many tokens have which score; all others score -loss.
+    """
+    rest = tokens_ - sum(scores.values())
+    if not any(s > 0 for s in scores) or sum(s * c for s, c in scores.items()) - loss * rest >= 0:
+        return 1.0
 
+    def over(rate: float) -> bool:
+        return sum(c * math.exp(min(rate * s, 700.0)) for s, c in scores.items()) + rest * math.exp(-rate * loss) > tokens_
 
-def excess(found: list[Segment], n: int, k: float) -> float:
-    """What the segments score beyond the level that the best of n harmless tokens is expected to reach."""
-    level = math.log(max(k * n, 1.0)) if n else 0.0
-    return sum(max(0.0, s.score - level) for s in found)
+    low, high = 0.0, 1.0
+    while not over(high):
+        low, high = high, 2 * high
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if over(mid) else (mid, high)
+    return high
 
 
 def toxicity(x: float, slope: float, offset: float) -> float:
@@ -150,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, pri
     docs1, docs0, tried = (n or 0 for n in sums.agg(F.max(F.when(whole, F.col("n1"))), F.max(F.when(whole, F.col("n0"))), F.count("*")).first())
     if not docs1 or not docs0:
         share = docs1 / (docs1 + docs0) if docs1 + docs0 else 0.0
-        return Model({}, loss, 1.0, 0.0, math.log(share / (1 - share)) if 0 < share < 1 else math.copysign(40.0, share - 0.5))
+        return Model({}, loss, 1.0, 1.0, 0.0, math.log(share / (1 - share)) if 0 < share < 1 else math.copysign(40.0, share - 0.5))
     # both kinds weigh the same in the prior and each takes its own share of it, so odds do not depend on the share of toxic labels
     rate1, rate0 = F.col("n1") / docs1, F.col("n0") / docs0
     prior = prior_weight * (rate1 + rate0) / 2
@@ -162,22 +194,26 @@ def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, pri
     z_from = NormalDist().inv_cdf(1 - chance / (2 * tried))  # by chance alone, some feature passes in `chance` of fits
     best = sums.where("feature <> '' and n1 > 0").select("feature", odds.alias("odds"), score.alias("z")).where((F.col("z") >= z_from) & (F.col("odds") >= odds_from)).orderBy(F.desc("z"), "feature").limit(most).collect()
     weights = {r.feature: r.odds for r in best}
-    model = Model(weights, loss, 1.0, 0.0, 0.0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         scanner = Scanner(weights, loss)
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                found, n = scanner.scan(text or "")
-                yield int(toxic > 0), n, [s.score for s in found]
+                scored, n = scanner.scores(text or "")
+                drawn = Counter(s for _, s in scored) if not toxic else {}
+                yield int(toxic > 0), n, [s.score for s in segments(scored, n, loss)], list(drawn), list(drawn.values())
 
-    met = map_rows(rows, scan, "toxic int, n int, scores array<double>").collect()  # fit_rows at most
-    # with rate 1, exp(best) of harmless documents has mean k n in the tail: the maximum-likelihood k of the Gumbel law
+    met = map_rows(rows, scan, "toxic int, n int, scores array<double>, drawn array<double>, times array<int>").collect()  # fit_rows at most
     clean = [r for r in met if not r.toxic and r.n]
-    k = len(clean) / sum(r.n * math.exp(-max(r.scores, default=0.0)) for r in clean) if clean else 1.0
-    points = [(excess([Segment(0, 0, s) for s in r.scores], r.n, k), r.toxic) for r in met]
+    drawn: Counter = Counter()
+    for r in clean:
+        drawn.update(dict(zip(r.drawn, r.times, strict=True)))
+    rate = decay(drawn, sum(r.n for r in clean), loss)
+    # exp(rate * best) of harmless documents has mean k n in the tail: the maximum-likelihood k of the Gumbel law
+    k = len(clean) / sum(r.n * math.exp(-rate * max(r.scores, default=0.0)) for r in clean) if clean else 1.0
+    points = [(excess([Segment(0, 0, s) for s in r.scores], r.n, k, rate), r.toxic) for r in met]
     slope, offset = logistic(points)
-    return model._replace(k=k, slope=slope, offset=offset)
+    return Model(weights, loss, k, rate, slope, offset)
 
 
 def logistic(points: list[tuple[float, int]], ridge: float = 1e-2) -> tuple[float, float]:
@@ -213,9 +249,9 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             scores, passages = [], []
             for x in b.column(at):
                 found, n = scanner.scan(x.as_py() or "")
-                level = math.log(max(model.k * n, 1.0)) if n else 0.0
-                scores.append(toxicity(excess(found, n, model.k), model.slope, model.offset))
-                passages.append([(s.start, s.end, s.score) for s in found if s.score > level])
+                from_ = level(n, model.k, model.rate)
+                scores.append(toxicity(excess(found, n, model.k, model.rate), model.slope, model.offset))
+                passages.append([(s.start, s.end, s.score) for s in found if s.score > from_])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(passages, passage)], names=[*b.schema.names, "toxic_score", "toxic_passages"])
 
     from pyspark.sql.types import DoubleType, StructType, _parse_datatype_string

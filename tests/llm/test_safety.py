@@ -1,6 +1,8 @@
 """Pseudonyms and toxic passages against plain versions."""
 
+import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -58,6 +60,23 @@ def test_segments_are_all_maximal():
             assert abs(s.score - sum(x[s.start : s.end])) < 1e-9
 
 
+def test_segments_are_linear():
+    def took(n):
+        began = time.perf_counter()
+        assert len(T.segments([(100 * i, 1.0) for i in range(n)], 100 * n, 0.5)) == n  # each candidate begins lower than all before
+        assert len(T.segments([(2 * i, 1.0) for i in range(n)], 2 * n, 1.5)) == n
+        assert len(T.segments([(2 * i, 1.0) for i in range(n)], 2 * n, 0.5)) == 1
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(100_000) < 5
+
+
+def test_decay_solves_its_equation():
+    assert abs(T.decay({1.0: 1}, 4, 1.0) - math.log(3)) < 1e-9  # a quarter of the tokens win 1, the others lose 1
+    assert T.decay({}, 10, 0.5) == 1.0 and T.decay({1.0: 9}, 10, 0.5) == 1.0
+
+
 def test_toxicity_on_held_out_rows(spark, sf):
     sf = sf.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -65,7 +84,8 @@ def test_toxicity_on_held_out_rows(spark, sf):
     odd = spark.createDataFrame([(None, None), (-1, ""), (-2, "a " * 50_000)], "doc_id long, text string")
     out = T.score_toxicity(docs.select("doc_id", "text").unionByName(odd).withColumn("toxic_score", F.lit("x")), model)
     got = out.join(labels, "doc_id").where(T.held_out(F.col("doc_id"))).select("toxic", "toxic_score").collect()
-    right = sum((x.toxic_score >= 0.5) == bool(x.toxic) for x in got)
-    assert right / len(got) > 0.85
+    told = [(bool(x.toxic), x.toxic_score >= 0.5) for x in got]
+    caught, missed, false = told.count((True, True)), told.count((True, False)), told.count((False, True))
+    assert caught / (caught + missed) >= 0.6 and caught / (caught + false) >= 0.9
     assert all(0 <= x.toxic_score < 0.5 for x in out.where("doc_id is null or doc_id < 0").collect())
     assert T.score_toxicity(docs.limit(0), T.fit(docs, labels.limit(0), lambda i: ~T.held_out(i))).count() == 0
