@@ -14,16 +14,21 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import warnings
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.arrow import map_rows
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-KEY = b"tessella"
 ROUNDS = 8
+#: Domains up to this size are permuted by one keyed cycle through all valid values, larger ones by the Feistel network.
+TABLE = 1024
+#: The setting that holds the secret key; without it a public one is used, which hides nothing from readers of this file.
+KEY_SETTING, PUBLIC_KEY = "spark.tessella.pii.key", b"public"
 
 
 def feistel(x: int, bits: int, key: bytes, tweak: bytes, back: bool = False) -> int:
@@ -37,8 +42,33 @@ def feistel(x: int, bits: int, key: bytes, tweak: bytes, back: bool = False) ->
     return left << bits | right
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's configuration holds."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if not found:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with a public key and can be undone by anyone", stacklevel=2)
+        return PUBLIC_KEY
+    return hashlib.blake2b(found.encode()).digest()
+
+
+@lru_cache(maxsize=4096)
+def _cycle(values: tuple[int, ...], key: bytes, tweak: bytes) -> tuple[dict[int, int], dict[int, int]]:
+    """One cycle through all values in an order of the key, so that none stays as it is; there and back."""
+    size = max(1, (max(values).bit_length() + 1) // 2)
+    order = sorted(values, key=lambda v: feistel(v, size, key, b"cycle:" + tweak))
+    there = dict(zip(order, order[1:] + order[:1], strict=True))
+    return there, {b: a for a, b in there.items()}
+
+
 def permute(x: int, n: int, key: bytes, tweak: bytes, valid: Callable[[int], bool] = lambda _: True, back: bool = False) -> int:
-    """Permutes the valid numbers below n."""
+    """Permutes the valid numbers below n.
+
+    Up to TABLE of them none stays as it is, unless it is the only valid one; beyond that a value keeps its place with
+    a chance of about one in the number of valid values.
+    """
+    if n <= TABLE:
+        values = tuple(v for v in range(n) if valid(v))
+        return _cycle(values, key, tweak)[back].get(x, x)
     bits = max(1, ((n - 1).bit_length() + 1) // 2)
     while True:
         x = feistel(x, bits, key, tweak, back)
@@ -184,7 +214,7 @@ def _secret(m: str, key: bytes, back: bool = False) -> str | None:
 
 _SECRET_HEAD = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 KINDS: dict[str, tuple[str, Callable[..., str | None]]] = {
-    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", _email),
+    "email": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", _email),
     "secret": (rf"\b(?i:{_SECRET_HEAD})[A-Za-z0-9+/_.~-]{{8,}}", _secret),
     "cloud": (r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", _cloud),
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
@@ -195,9 +225,8 @@ KINDS: dict[str, tuple[str, Callable[..., str | None]]] = {
     "phone": (r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])|(?<!\w)\+\d{8,15}(?!\w)", _phone),
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()))
+# a line without any of these has no finding
 _HINT = re.compile(r"[0-9@=:]")
-# all but emails and secrets have a digit run; what none of these can begin in is skipped quickly
-_LINE = re.compile(r"[^\n]*[0-9@=:][^\n]*")
 
 
 _PLAIN_CARD = re.compile(r"(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])")
@@ -225,7 +254,7 @@ def _spans(kind: str, line: str, start: int, end: int) -> Iterator[tuple[int, in
         yield from ((start, i) for i in ends if not re.search(r"\b\d{1,2}\b", line[start:i]))
 
 
-def pseudonymize(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
+def pseudonymize(text: str, key: bytes = PUBLIC_KEY, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with every finding replaced, and how many of each kind; back undoes it for the same key."""
     counts: dict[str, int] = {}
 
@@ -241,8 +270,8 @@ def pseudonymize(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
             counts[kind] = counts.get(kind, 0) + 1
         return new
 
-    def scan(found: re.Match) -> str:
-        line, out, done, at, failed = found[0], [], 0, 0, 0
+    def scan(line: str) -> str:
+        out, done, at, failed = [], 0, 0, 0
         while m := _ANY.search(line, at):
             kind, start, end = m.lastgroup, *m.span()
             at = end
@@ -261,16 +290,22 @@ def pseudonymize(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
                 if kind in ("card", "iban"):
                     failed = max(failed, end)
                     at = line.find(" ", start, end) + 1 or end
+        if not out:
+            return line
         out.append(line[done:])
         return "".join(out)
 
     if not _HINT.search(text):
         return text, counts
-    return _LINE.sub(scan, text), counts
+    return "\n".join([scan(x) if _HINT.search(x) else x for x in text.split("\n")]), counts
+
 
+def add_pseudonyms(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """docs with text replaced and pii_count (long) and pii_kinds (kind:count, by name, comma-joined) added; one narrow pass.
 
-def add_pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs with text replaced and pii_count (long) and pii_kinds (kind:count, by name, comma-joined) added; one narrow pass."""
+    key: the secret key; None: the one of the session's setting KEY_SETTING.
+    """
+    key = session_key(docs.sparkSession) if key is None else key
     names = [c for c in docs.columns if c not in ("pii_count", "pii_kinds")]
     at = names.index("text")
 
