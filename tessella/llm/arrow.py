@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -44,3 +46,20 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     for x in batch.column(name).cast(pa.large_binary() if pa.types.is_large_string(batch.column(name).type) else pa.binary()):
         v = x.as_buffer()
         yield b"" if v is None else v.to_pybytes()
+
+
+def pack(level: int = 1, **arrays: np.ndarray) -> bytes:
+    """Named arrays of numbers as one compressed value."""
+    head = " ".join(f"{k}:{a.dtype.str}:{len(a)}" for k, a in arrays.items()).encode() + b"\n"
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(a.tobytes() for a in arrays.values()))
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    at = raw.index(b"\n") + 1
+    out = {}
+    for part in raw[: at - 1].decode().split(" "):
+        k, kind, n = part.split(":")
+        out[k] = np.frombuffer(raw, kind, int(n), at)
+        at += out[k].nbytes
+    return out

@@ -1,12 +1,24 @@
 """Repeated passages across documents, byte for byte, by run-length indexes.
 
-Every 50-byte string has a marker: the least hash of its 10-byte pieces. Neighbouring strings with one marker travel
-together as one stretch of text, so all occurrences of a string meet in one bucket and a text is sent about 3.2 times
-over, compressed, instead of 50 times. A bucket drops stretches whose marker stands in one document only, and builds
-over the distinct others a Burrows-Wheeler transform in the order of the strings' 50 bytes, ties by document; the
-transform is kept by runs (equal preceding byte, same string), each with its sampled end. As an interval's first sample
-is the smallest document that holds the string, the matching statistics of a document's stretch - the positions where
-at least 50 bytes match an earlier document - are read off the samples while it streams past.
+Every 50-byte string has a marker: the least hash of its 16-byte pieces. Neighbouring strings with one marker form a
+stretch, so all occurrences of a string carry one marker. The corpus is kept in blocks of whole documents, and work goes
+back and forth between blocks and buckets of markers:
+
+1. Blocks send their distinct markers (48 bits each), buckets tell which of them stand in several documents. Stretches
+   with any other marker hold no repeated string and go no further.
+2. Blocks send their distinct remaining stretches, each with the smallest document of the block that holds it. A bucket
+   builds one index over the distinct stretches of all blocks, streams every stretch through it, and tells the blocks
+   for each string the smallest document of all that holds it.
+3. Blocks cut from each document what a smaller document has.
+
+The index is a Burrows-Wheeler transform in the order of the strings' 50 bytes, ties by document, kept by runs (same
+string, same byte before it) with the smallest document sampled at each run's head. Reading goes backwards: a stretch's
+last string is found by binary search over the sampled text, and from there each byte to the left is one step over the
+runs (rank of the pair of string and byte among all with that byte). Every string reached matches 50 bytes at least; the
+sample at its first run is the smallest document of the match.
+
+A marker that stands in more than `hot` blocks is split: a string whose piece lies in its first half also holds the 17
+bytes behind the piece, else the 17 bytes before it, so marker and those bytes make a finer key of the same kind.
 
 Defined results: null text is empty; texts under the length lose nothing; a null doc_id comes after all others; rows
 that share id and text are cut alike and never against each other; of rows that share an id but not the text, none is
@@ -19,352 +31,508 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import scratch
-from tessella.llm.arrow import map_rows, texts
+from tessella.llm.arrow import map_rows, pack, texts, unpack
 
-LENGTH, PIECE = 50, 10
+LENGTH, PIECE = 50, 16
 LAST_ID = (1 << 63) - 1
-_BLOCK, _PENDING = 2 << 20, 40 << 20
+BLOCK, CHUNK = 4 << 20, 1 << 16
+#: Bytes of text whose markers, and of stretches that, meet in one bucket.
+MARKS, STRETCHES = 32 << 20, 2 << 20
+_AVERAGE, _LONGEST = 68, 1024
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_LEVEL = 6
 
 
-def _eight(text: np.ndarray, order: str) -> np.ndarray:
-    """The eight bytes from every position on as a number; the text must have 7 bytes to spare."""
-    n = len(text) - 7
-    out = np.empty(n, np.uint64)
-    raw = text.tobytes()
-    for i in range(min(8, n)):
-        part = np.frombuffer(raw, order + "u8", (n - i + 7) // 8, i)
-        out[i::8] = part
-    return out
+def _words(raw: bytes, n: int, order: str = "<") -> np.ndarray:
+    """The eight bytes from each of n positions on as a number."""
+    return np.ndarray((n,), order + "u8", raw, 0, (1,)).astype(np.uint64)
 
 
-def _markers(text: np.ndarray, length: int) -> np.ndarray:
-    """The least piece hash of the string from each position on."""
+def _markers(raw: bytes, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least piece hash of the string from each of n positions on, and the place of the first such piece; by chunks that fit a cache.
+
+    The lowest bits of a hash make way for the piece's place in the chunk, so that one minimum gives both.
+    """
     width = length - PIECE + 1
-    a = _eight(text, "<")
-    more = PIECE - 8
-    h = (a[:-more] * _MIX[0]) ^ ((a[more:] ^ _MIX[2]) * _MIX[1])
-    h ^= h >> np.uint64(29)
-    h *= _MIX[2]
-    h ^= h >> np.uint64(32)
-    size = 1
-    while 2 * size <= width:
-        h = np.minimum(h[:-size], h[size:])
-        size *= 2
-    return h if size == width else np.minimum(h[: len(h) - (width - size)], h[width - size :])
-
-
-def stretches(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """start, number of strings, marker and document of each stretch of documents that stand one after another."""
-    ends = np.cumsum(sizes)
-    counts = np.maximum(sizes - length + 1, 0)
-    if not counts.sum():
+    out, places = np.empty(n, np.uint64), np.empty(n, np.int32)
+    raw += bytes(length + 16)
+    bits = np.uint64((CHUNK + length).bit_length())
+    index = np.arange(CHUNK + width, dtype=np.uint64)
+    for at in range(0, n, CHUNK):
+        m = min(CHUNK, n - at)
+        a = _words(raw[at : at + m + width + 24], m + width + 7)
+        h = (a[:-8] * _MIX[0]) ^ ((a[8:] ^ _MIX[2]) * _MIX[1])
+        h ^= h >> np.uint64(29)
+        h *= _MIX[2]
+        h ^= h >> np.uint64(32)
+        h >>= bits
+        h <<= bits
+        h |= index[: len(h)]
+        size = 1
+        while 2 * size <= width:
+            h = np.minimum(h[:-size], h[size:])
+            size *= 2
+        h = (h if size == width else np.minimum(h[: len(h) - (width - size)], h[width - size :]))[:m]
+        out[at : at + m] = h >> bits
+        places[at : at + m] = (h & np.uint64((1 << int(bits)) - 1)).astype(np.int32) + at
+    return out, places
+
+
+def stretches(raw: bytes, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """start, number of strings, marker and document of each stretch of documents that stand one after another; and the place of every string's piece."""
+    base = np.cumsum(sizes) - sizes
+    long = np.flatnonzero(sizes >= length)
+    n = len(raw)
+    if not len(long):
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none
-    m = _markers(np.concatenate([text, np.zeros(64, np.uint8)]), length)[: len(text)]
-    doc = np.repeat(np.arange(len(sizes)), counts)
-    pos = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(ends - sizes, counts)
-    m = m[pos]
-    first = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]))))
-    return pos[first], np.diff(np.append(first, len(m))), m[first], doc[first]
-
-
-def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return none, none, none.astype(np.uint64), none, none
+    mark, place = _markers(raw, n, length)
+    start = np.union1d(np.flatnonzero(mark[1:] != mark[:-1]) + 1, base[long])
+    doc = long[np.searchsorted(base[long], start, "right") - 1]
+    last = base[doc] + sizes[doc] - length
+    ok = (start >= base[doc]) & (start <= last)
+    start, doc, last = start[ok], doc[ok], last[ok]
+    end = np.minimum(np.append(start[1:], n), last + 1)
+    return start, end - start, mark[start], doc, place
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The positions of all ranges, one after another."""
     total = np.cumsum(sizes)
     return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - sizes), sizes)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of equal weight together, which compresses small numbers well."""
-    return x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
-
-
-def _from_planes(raw: bytes, kind: str, n: int, at: int) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).ravel()
-
-
-_DOC = [("id", "<i8"), ("tid", "<i4"), ("at", "<i4")]  # of each document: id, hash and place in the block
-_HEAD = [("start", "<i4"), ("run", "<i4"), ("mark", "<u4"), ("doc", "<i4")]  # of each stretch
-_STEPS = {"id", "at", "start", "doc"}  # kept as differences
-
-
-def _pack(docs: dict[str, np.ndarray], head: dict[str, np.ndarray], body: bytes) -> bytes:
-    parts = [np.array([len(docs["id"]), len(head["start"])], "<u8").tobytes()]
-    for kinds, values in ((_DOC, docs), (_HEAD, head)):
-        for name, kind in kinds:
-            v = np.asarray(values[name]).astype(kind)
-            parts.append(_planes(np.diff(v, prepend=v.dtype.type(0)) if name in _STEPS else v))
-    return zstandard.ZstdCompressor(level=_LEVEL).compress(b"".join((*parts, body)))
-
-
-def _unpack(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Per stretch: id, tid, pos in its document, run and mark; and the text of all."""
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    d, n = (int(x) for x in np.frombuffer(raw, "<u8", 2))
-    at, out = 16, {}
-    for kinds, size in ((_DOC, d), (_HEAD, n)):
-        for name, kind in kinds:
-            v = _from_planes(raw, kind, size, at)
-            out[name] = (np.cumsum(v, dtype=v.dtype) if name in _STEPS else v).astype(np.int64)
-            at += v.nbytes
-    doc = out["doc"]
-    head = {"id": out["id"][doc], "tid": out["tid"][doc], "pos": out["start"] - out["at"][doc], "run": out["run"], "mark": out["mark"]}
-    return head, np.frombuffer(raw, np.uint8, offset=at)
+def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The ranks of numbers; and their order, ties by place, where it comes with them."""
+    n = len(key)
+    bits = max(1, (n - 1).bit_length())
+    if int(key.max(initial=0)).bit_length() + bits > 64:
+        return np.unique(key, return_inverse=True)[1], None
+    both = np.sort(key << np.uint64(bits) | np.arange(n, dtype=np.uint64))
+    order = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    both >>= np.uint64(bits)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.concatenate(([False], both[1:] != both[:-1])))
+    return rank, order
 
 
 class RunIndex:
-    """Run-length Burrows-Wheeler transform, to the depth of one string, of stretches that go by document."""
-
-    def __init__(self, text: np.ndarray, starts: np.ndarray, counts: np.ndarray, docs: np.ndarray, length: int):
-        self.at = _spread(starts, counts)
-        self.doc = np.repeat(docs, counts)
-        rank = self._ranks(text, length)[self.at]
-        order = np.argsort(rank, kind="stable")  # ties stay by document
-        before = np.where(np.isin(self.at, starts), 0, text[self.at - 1].astype(np.int16) + 1)[order]
+    """Run-length Burrows-Wheeler transform, to the depth of one string, of stretches that stand one after another by document.
+
+    docs: the document of each stretch, ascending. Nothing of the text's length is kept but the text itself.
+    """
+
+    def __init__(self, raw: bytes, starts: np.ndarray, counts: np.ndarray, docs: np.ndarray, length: int):
+        self.raw, self.length = raw + bytes(16), length
+        text = np.frombuffer(raw, np.uint8)
+        at = spread(starts, counts)
+        rank, before_rank, order = self._ranks(text, length)
+        use = np.zeros(len(text), bool)
+        use[at] = True
+        order = order[use[order]]
         ranked = rank[order]
-        head = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(order) else np.zeros(0, bool)
+        head = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(order)]
+        node = np.cumsum(head) - 1
+        first = np.zeros(len(text), bool)
+        first[starts[counts > 0]] = True
+        before = np.where(first[order], 0, text[order - 1].astype(np.int64) + 1)
         turn = head | np.concatenate(([True], before[1:] != before[:-1]))[: len(order)]
-        self.runs = np.flatnonzero(turn)  # where runs begin, in the order of the transform
-        self.bytes = before[self.runs]
-        self.samples = order[self.runs]  # the sampled end of each run: a string's place among all
-        self.heads = np.flatnonzero(head[self.runs])  # runs that begin an interval
-        self.interval = np.empty(len(order), np.int64)
-        self.interval[order] = np.cumsum(head) - 1
+        run = np.flatnonzero(turn)
+        self.run_node, self.run_byte = node[run], before[run]
+        stretch = np.searchsorted(starts, order[run], "right") - 1
+        self.run_doc = docs[stretch]  # the sample at each run's head
+        self.node_run = np.flatnonzero(head[run])  # the first run of each string
+        self.node_at = order[run[self.node_run]]  # a sampled place of each string
+        # steps: the pairs of string and byte before it, by byte, are in the order of the strings that they lead to
+        edge = np.unique(self.run_node[self.run_byte > 0] * 257 + self.run_byte[self.run_byte > 0])
+        by = np.argsort(edge % 257, kind="stable")
+        part, byte = before_rank[self.node_at[edge[by] // 257]], edge[by] % 257
+        fresh = np.concatenate(([True], (part[1:] != part[:-1]) | (byte[1:] != byte[:-1])))[: len(by)]
+        reached = np.zeros(len(self.node_at), bool)
+        last = np.zeros(len(text), bool)
+        last[(starts + counts - 1)[counts > 0]] = True
+        reached[node[~last[order]]] = True
+        self.edge, self.target = edge, np.empty(len(edge), np.int64)
+        self.target[by] = np.flatnonzero(reached)[np.cumsum(fresh) - 1]
 
     @staticmethod
-    def _ranks(text: np.ndarray, length: int) -> np.ndarray:
-        """The place of the string from each position on among all, by doubling."""
-        rank = np.unique(_eight(text, ">"), return_inverse=True)[1]
-        size = 8
+    def _ranks(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ranks of the strings of `length` and of one byte less from each position on (by doubling), and the order of the former."""
+        n = len(text)
+        used = np.flatnonzero(np.bincount(text, minlength=256))
+        code = np.zeros(256, np.uint64)
+        code[used] = np.arange(1, len(used) + 1)
+        bits = len(used).bit_length()
+        size = max(1, min(length - 1, (64 - max(1, (n - 1).bit_length())) // bits))
+        wide = np.concatenate([code[text], np.zeros(length, np.uint64)])
+        key = np.zeros(n, np.uint64)
+        for i in range(size):
+            key = key << np.uint64(bits) | wide[i : i + n]
+        rank, order = _dense(key)
+        part = rank
         while size < length:
-            step = min(size, length - size)
-            key = rank[:-step].astype(np.uint64) << np.uint64(32) | rank[step:].astype(np.uint64)
-            rank = np.unique(key, return_inverse=True)[1]
+            step = min(size, length - 1 - size) or 1
+            if size == length - 1:
+                part = rank
+            after = np.zeros(n, np.int64)
+            after[: n - step] = rank[step:] + 1
+            shift = max(1, int(after.max(initial=0)).bit_length())
+            rank, order = _dense(rank.astype(np.uint64) << np.uint64(shift) | after.astype(np.uint64))
             size += step
-        return rank
-
-    def earliest(self) -> np.ndarray:
-        """For each string of the stretches, in their order, the smallest document that holds it."""
-        return self.doc[self.samples[self.heads]][self.interval]
-
-
-def _cut(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """bucket, data: the stretches of the corpus, packed by bucket."""
-    kind = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: dict[int, list] = {}
-        held = passed = 0
-
-        def together(parts: list) -> bytes:
-            """Stretches of several blocks as one: places count on from block to block."""
-            docs_, heads, bodies = zip(*parts, strict=True)
-            before = np.cumsum([0, *(len(d["id"]) for d in docs_[:-1])])
-            told = {k: np.concatenate([d[k] for d in docs_]) for k in docs_[0]}
-            head = {k: np.concatenate([h[k] for h in heads]) for k in ("start", "run", "mark")}
-            head["doc"] = np.concatenate([h["doc"] + n for h, n in zip(heads, before, strict=True)])
-            return _pack(told, head, b"".join(bodies))
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows, size = [], 0
-            for bucket in sorted(pending):
-                rows.append((bucket, together(pending.pop(bucket))))
-                size += len(rows[-1][1])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
-            pending.clear()
-
-        def block(ids: list[int], tids: list[int], parts: list[bytes]) -> int:
-            text = np.frombuffer(b"".join(parts), np.uint8)
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            start, count, mark, doc = stretches(text, sizes, length)
-            bucket = (mark % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[by][1:] != bucket[by][:-1]))) if len(by) else []
-            base = np.cumsum(sizes) - sizes
-            size = 0
-            for a, b in zip(cuts, [*cuts[1:], len(by)], strict=True) if len(by) else ():
-                own = by[a:b]
-                used, inner = np.unique(doc[own], return_inverse=True)
-                told = {"id": np.array(ids, np.int64)[used], "tid": np.array(tids, np.int32)[used], "at": (base[used] + passed).astype(np.int32)}
-                # least hashes crowd near zero, so their bits are mixed anew before 24 of them are kept
-                head = {"start": (start[own] + passed).astype(np.int32), "run": count[own].astype(np.int32), "mark": ((mark[own] * _MIX[0]) >> np.uint64(40)).astype(np.uint32), "doc": inner.astype(np.int32)}
-                body = text[_spread(start[own], count[own] + length - 1)].tobytes()
-                pending.setdefault(int(bucket[own[0]]), []).append((told, head, body))
-                size += len(body) + 16 * len(own)
-            return size
-
-        ids, tids, parts, size = [], [], [], 0
+        return rank, part, np.argsort(rank, kind="stable") if order is None else order
+
+    def find(self, raw: bytes, at: np.ndarray) -> np.ndarray:
+        """The string of the index that each string of raw at the places given equals; -1 where none does."""
+        raw += bytes(16)
+        n = len(raw) - 8
+        own, other = (np.ndarray((len(x) - 8,), ">u8", x, 0, (1,)) for x in (self.raw, raw))
+        offsets = [*range(0, self.length - 7, 8), *([self.length - 8] if self.length % 8 else [])]
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(self.node_at))
+        assert n > 0
+
+        def compare(node: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+            """-1, 0 or 1: the indexed string against the one sought."""
+            out = np.zeros(len(lanes), np.int8)
+            left = np.arange(len(lanes))
+            for o in offsets:
+                a, b = own[self.node_at[node[left]] + o], other[at[lanes[left]] + o]
+                out[left[a < b]], out[left[a > b]] = -1, 1
+                left = left[a == b]
+                if not len(left):
+                    break
+            return out
+
+        lanes = np.flatnonzero(low < high)
+        while len(lanes):
+            mid = (low[lanes] + high[lanes]) // 2
+            less = compare(mid, lanes) < 0
+            low[lanes[less]] = mid[less] + 1
+            high[lanes[~less]] = mid[~less]
+            lanes = lanes[low[lanes] < high[lanes]]
+        found = np.where(low < len(self.node_at), low, 0)
+        same = compare(found, np.arange(len(at))) == 0 if len(self.node_at) else np.zeros(len(at), bool)
+        return np.where(same, found, -1)
+
+    def stream(self, raw: bytes, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For each string of the stretches given, in their order, the smallest document that holds it; LAST_ID: none.
+
+        All stretches are read side by side from their ends; a string that no step leads to is sought anew.
+        """
+        text = np.frombuffer(raw, np.uint8)
+        base = np.cumsum(counts) - counts
+        out = np.full(int(counts.sum()), LAST_ID)
+        lanes = np.argsort(-counts, kind="stable")
+        on = np.searchsorted(-counts[lanes], -np.arange(int(counts.max(initial=0))), "left")
+        node = self.find(raw, (starts + counts - 1)[lanes[: on[0]]]) if len(on) else None
+        for t, n in enumerate(on):
+            own = lanes[:n]
+            place = starts[own] + counts[own] - 1 - t
+            if t:
+                node = node[:n]
+                key = node * 257 + text[place] + 1
+                at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1) if len(self.edge) else np.zeros(n, np.int64)
+                met = (node >= 0) & (self.edge[at] == key) if len(self.edge) else np.zeros(n, bool)
+                node = np.where(met, self.target[at], -1) if len(self.edge) else np.full(n, -1)
+                if not met.all():
+                    node[~met] = self.find(raw, place[~met])
+            hit = node >= 0
+            out[base[own[hit]] + counts[own[hit]] - 1 - t] = self.run_doc[self.node_run[node[hit]]]
+        return out
+
+
+def to_blocks(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """block, size (bytes of text), data: whole documents, in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        ids, parts, size = [], [], 0
+
+        def done() -> tuple:
+            none = np.array([i is None for i in ids], np.uint8)
+            return size, pack(3, id=np.array([LAST_ID if i is None else i for i in ids], np.int64), none=none, size=np.fromiter(map(len, parts), np.int64, len(parts)), text=np.frombuffer(b"".join(parts), np.uint8))
+
         for b in batches:
-            for i, tid, t in zip(b.column("id").to_pylist(), b.column("tid").to_pylist(), texts(b), strict=True):
+            for i, t in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 ids.append(i)
-                tids.append(tid)
                 parts.append(t)
                 size += len(t)
-                if size >= _BLOCK:
-                    held += block(ids, tids, parts)
-                    passed += size
-                    ids, tids, parts, size = [], [], [], 0
-                    if held >= _PENDING:
-                        yield from flush()
-                        held = passed = 0
-        if parts:
-            block(ids, tids, parts)
-        yield from flush()
-
-    return docs.mapInArrow(run, "bucket int, data binary")
-
-
-def _match(rows: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """id, tid, start and end of what a bucket's documents have of earlier ones."""
-    got = [_unpack(x) for x in rows]
-    doc = np.concatenate([h["id"] for h, _ in got])
-    mark = np.concatenate([h["mark"] for h, _ in got])
-    by = np.argsort(mark, kind="stable")
-    cut = np.flatnonzero(np.concatenate(([True], mark[by][1:] != mark[by][:-1])))
-    several = np.minimum.reduceat(doc[by], cut) != np.maximum.reduceat(doc[by], cut)
-    use = np.zeros(len(doc), bool)
-    use[by] = np.repeat(several, np.diff(np.append(cut, len(by))))
-    if not use.any():
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    tid, start, count = (np.concatenate([h[k] for h, _ in got])[use] for k in ("tid", "pos", "run"))
-    doc = doc[use]
-    # distinct stretches, each with its smallest document
+                if size >= block or len(ids) >= 1 << 16:
+                    yield done()
+                    ids, parts, size = [], [], 0
+        if ids:
+            yield done()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = map_rows(rows, run, "size long, data binary", lambda r: len(r[1]))
+    return scratch.table(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+class Marks:
+    """The stretches of a block with their markers, dealt to buckets."""
+
+    def __init__(self, data: bytes, buckets: int, length: int):
+        x = unpack(data)
+        self.id, self.none, self.size, self.raw = x["id"], x["none"], x["size"], x["text"].tobytes()
+        self.start, self.count, mark, self.doc, self.place = stretches(self.raw, self.size, length)
+        self.mark = (mark * _MIX[0]) >> np.uint64(16)  # least hashes crowd near zero, so their bits are mixed anew
+        self.by = np.argsort(self.mark, kind="stable")
+        ranked = self.mark[self.by]
+        fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(ranked)]
+        self.distinct, self.first = ranked[fresh], np.flatnonzero(fresh)
+        self.inverse = np.empty(len(ranked), np.int64)
+        self.inverse[self.by] = np.cumsum(fresh) - 1
+        bucket = self.distinct % np.uint64(buckets)
+        self.order = np.argsort(bucket, kind="stable")
+        self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1, dtype=np.uint64))
+
+    def several(self) -> np.ndarray:
+        """Which markers stand in more than one document of the block."""
+        doc = self.doc[self.by]
+        return doc[self.first] != doc[np.append(self.first[1:], len(doc)) - 1] if len(doc) else np.zeros(0, bool)
+
+    def bucket(self, i: int) -> np.ndarray:
+        """The places of a bucket's markers among the distinct ones, ascending."""
+        return self.order[self.edges[i] : self.edges[i + 1]]
+
+
+def shared_markers(blocks: DataFrame, buckets: int, length: int, hot: int) -> DataFrame:
+    """block, bucket, n, data: for each block's markers of a bucket 0, or 1 where several documents have it, or 2 where more than `hot` blocks have it."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for block, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
+                m = Marks(data.as_py(), buckets, length)
+                several = m.several()
+                for i in range(buckets):
+                    own = m.bucket(i)
+                    if len(own):
+                        step = np.diff(m.distinct[own], prepend=np.uint64(0))
+                        yield block, i, pack(1, step=step.view(np.uint8).reshape(-1, 8).T.ravel(), several=np.packbits(several[own]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        def done() -> Iterator[tuple]:
+            parts = [unpack(d) for _, d in held]
+            marks = [np.cumsum(np.ascontiguousarray(p["step"].reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64) for p in parts]
+            found, inverse, times = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+            flag = (times > 1).astype(np.uint8)
+            flag[inverse[np.concatenate([np.unpackbits(p["several"], count=len(m)) for p, m in zip(parts, marks, strict=True)]) > 0]] = 1
+            flag[times > hot] = 2
+            at = 0
+            for (block, _), m in zip(held, marks, strict=True):
+                own = flag[inverse[at : at + len(m)]]
+                at += len(m)
+                yield block, now, int((own > 0).sum()), pack(3, flag=own)
+
+        now, held = None, []
+        for b in batches:
+            for block, bucket, data in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), b.column("data"), strict=True):
+                if bucket != now and held:
+                    yield from done()
+                    held = []
+                now = bucket
+                held.append((block, data.as_py()))
+        if held:
+            yield from done()
+
+    weigh = lambda r: len(r[-1])
+    sent = map_rows(blocks.select("block", "data"), send, "block long, bucket int, data binary", weigh)
+    met = sent.repartition("bucket").sortWithinPartitions("bucket")
+    return scratch.table(map_rows(met, meet, "block long, bucket int, n long, data binary", weigh), "flags")
+
+
+class Plan:
+    """A block's stretches that may repeat, by their distinct texts; the same whenever it is made anew."""
+
+    def __init__(self, data: bytes, flags: list[tuple[int, bytes]], mark_buckets: int, buckets: int, length: int):
+        m = self.marks = Marks(data, mark_buckets, length)
+        flag = np.zeros(len(m.distinct), np.uint8)
+        for i, f in flags:
+            flag[m.bucket(i)] = unpack(f)["flag"]
+        flag = flag[m.inverse]
+        use = np.flatnonzero(flag > 0)
+        start, count, key, doc = m.start[use], m.count[use], m.mark[use], m.doc[use]
+        if (flag == 2).any():
+            start, count, key, doc = self._split(m, start, count, key, doc, flag[use] == 2, length)
+        if (count > _LONGEST).any():
+            pieces = -(-count // _LONGEST)
+            nth = spread(np.zeros(len(count), np.int64), pieces)
+            start, key, doc, rest = np.repeat(start, pieces) + nth * _LONGEST, np.repeat(key, pieces), np.repeat(doc, pieces), np.repeat(count, pieces) - nth * _LONGEST
+            count = np.minimum(rest, _LONGEST)
+        self.start, self.count, self.doc = start, count, doc
+        raw, met = m.raw, {}
+        self.which = np.fromiter((met.setdefault(raw[a:b], len(met)) for a, b in zip(start.tolist(), (start + count + length - 1).tolist(), strict=True)), np.int64, len(start))
+        self.distinct = list(met)
+        by = np.argsort(self.which, kind="stable")
+        first = np.flatnonzero(np.diff(self.which[by], prepend=-1))
+        self.least = np.minimum.reduceat(m.id[doc][by], first) if len(first) else np.zeros(0, np.int64)
+        self.strings = count[by][first]
+        bucket = ((key[by][first] * _MIX[1]) >> np.uint64(20)) % np.uint64(buckets)
+        self.order = np.argsort(bucket, kind="stable")
+        self.buckets, edges = np.unique(bucket[self.order], return_index=True)
+        self.edges = np.append(edges, len(bucket))
+
+    @staticmethod
+    def _split(m: Marks, start: np.ndarray, count: np.ndarray, key: np.ndarray, doc: np.ndarray, hot: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+        """Hot stretches in two: strings that begin close to the piece, whose key takes in what follows it, and those that do not."""
+        side = (length - PIECE) // 2
+        text = np.concatenate([np.frombuffer(m.raw, np.uint8), np.zeros(length, np.uint8)])
+        at = spread(start[hot], count[hot])
+        owner = np.repeat(np.flatnonzero(hot), count[hot])
+        place = m.place[at].astype(np.int64)
+        far = place - at > side
+        more = key[owner].copy()
+        for i in range(side):
+            more = (more ^ text[np.where(far, place - side, place + PIECE) + i]) * _MIX[1]
+            more ^= more >> np.uint64(29)
+        first = np.flatnonzero(np.concatenate(([True], (more[1:] != more[:-1]) | (far[1:] != far[:-1]) | (owner[1:] != owner[:-1])))[: len(at)])
+        parts = ((start, at[first]), (count, np.diff(np.append(first, len(at)))), (key, more[first]), (doc, doc[owner[first]]))
+        return tuple(np.concatenate([a[~hot], b]) for a, b in parts)
+
+    def packets(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each bucket with the places of its stretches among the distinct ones."""
+        for i, bucket in enumerate(self.buckets.tolist()):
+            yield bucket, self.order[self.edges[i] : self.edges[i + 1]]
+
+
+def _answer(parts: list[dict[str, np.ndarray]], length: int) -> Iterator[bytes]:
+    """For each block's stretches of a bucket, what is the smallest document of each string: by segments of one document, none where it is the one told."""
     met: dict[bytes, int] = {}
-    which = np.empty(len(doc), np.int64)
-    i = done = 0
-    for h, body in got:
-        raw = body.tobytes()
-        ends = np.cumsum(h["run"] + length - 1)
-        mine = np.flatnonzero(use[done : done + len(ends)])
-        done += len(ends)
-        for a, b in zip((ends - h["run"] - length + 1)[mine].tolist(), ends[mine].tolist(), strict=True):
-            which[i] = met.setdefault(raw[a:b], len(met))
-            i += 1
-    del got
-    least = np.full(len(met), LAST_ID)
-    np.minimum.at(least, which, doc)
-    order = np.argsort(least, kind="stable")
+    which, least = [], np.concatenate([p["least"] for p in parts])
+    for p in parts:
+        raw = p["text"].tobytes()
+        ends = np.cumsum(p["count"] + length - 1)
+        which += [met.setdefault(raw[a:b], len(met)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    which = np.array(which)
+    low = np.full(len(met), LAST_ID)
+    np.minimum.at(low, which, least)
+    order = np.argsort(low, kind="stable")
     distinct = list(met)
-    chosen = [distinct[j] for j in order]
+    chosen = [distinct[i] for i in order]
     del met, distinct
     sizes = np.fromiter(map(len, chosen), np.int64, len(chosen))
-    text = np.frombuffer(b"".join([*chosen, bytes(length + 16)]), np.uint8)
-    del chosen
-    counts = sizes - length + 1
-    index = RunIndex(text, np.cumsum(sizes) - sizes, counts, least[order], length)
-    early = index.earliest()
+    raw = b"".join(chosen)
+    starts, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+    early = RunIndex(raw, starts, counts, low[order], length).stream(raw, starts, counts)
+    first = np.cumsum(counts) - counts
+    fresh = np.concatenate(([True], early[1:] != early[:-1]))
+    fresh[first] = True
+    at = np.flatnonzero(fresh)
+    owner = np.searchsorted(first, at, "right") - 1
+    segments = np.bincount(owner, minlength=len(order))
+    begin = np.cumsum(segments) - segments
+    offset, doc = (at - first[owner]).astype(np.int32), early[at]
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    which = place[which]
-    first = np.cumsum(counts) - counts
-    low, high = np.minimum.reduceat(early, first), np.maximum.reduceat(early, first)
-    whole = doc > high[which]
-    part = np.flatnonzero(~whole & (doc > low[which]))
-    out = [(doc[whole], tid[whole], start[whole], start[whole] + count[whole] + length - 1)]
-    for at in range(0, len(part), 100_000):
-        own = part[at : at + 100_000]
-        many = count[own]
-        held = early[_spread(first[which[own]], many)] < np.repeat(doc[own], many)
-        edge = np.cumsum(many)
-        before = np.concatenate(([False], held[:-1]))
-        before[edge[:-1]] = False
-        after = np.concatenate((held[1:], [False]))
-        after[edge - 1] = False
-        a, b = np.flatnonzero(held & ~before), np.flatnonzero(held & ~after)
-        owner = np.searchsorted(edge, a, "right")
-        base = (edge - many)[owner]
-        row = own[owner]
-        out.append((doc[row], tid[row], start[row] + a - base, start[row] + b - base + length))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
-    """id, tid, spans (pairs of 4-byte start and end): what documents have of documents with smaller ids. docs: id, tid, text."""
+    done = 0
+    for p in parts:
+        own = place[which[done : done + len(p["count"])]]
+        done += len(p["count"])
+        n = np.where((segments[own] == 1) & (doc[begin[own]] == p["least"]), 0, segments[own])
+        take = spread(begin[own], n)
+        yield pack(1, n=n.astype(np.int32), offset=offset[take], doc=doc[take])
+
+
+def _removed(plan: Plan, answers: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """document (its place in the block), start and end of the maximal runs of bytes to be cut."""
+    if not len(plan.which):
+        return plan.which, plan.which, plan.which
+    told = {bucket: unpack(data) for bucket, data in answers}
+    n = np.ones(len(plan.distinct), np.int64)
+    parts = []
+    for bucket, own in plan.packets():
+        x = told[bucket]
+        n[own] = np.maximum(x["n"], 1)
+        parts.append((own, x))
+    begin = np.cumsum(n) - n
+    offset, doc = np.zeros(int(n.sum()), np.int64), np.repeat(plan.least, n)
+    for own, x in parts:
+        at = spread(begin[own], x["n"])
+        offset[at], doc[at] = x["offset"], x["doc"]
+    size = np.append(offset[1:], 0)
+    size[begin + n - 1] = plan.strings
+    size -= offset
+    mine = np.repeat(np.arange(len(plan.which)), n[plan.which])
+    seg = spread(begin[plan.which], n[plan.which])
+    hit = doc[seg] < plan.marks.id[plan.doc[mine]]
+    mine, seg = mine[hit], seg[hit]
+    owner = plan.doc[mine]
+    # documents are set one byte apart, so that runs of neighbours do not join
+    a = plan.start[mine] + offset[seg] + owner
+    e = a + size[seg] + length - 1
+    by = np.argsort(a, kind="stable")
+    a, e, owner = a[by], np.maximum.accumulate(e[by]), owner[by]
+    fresh = np.concatenate(([True], a[1:] > e[:-1]))[: len(a)]
+    first = np.flatnonzero(fresh)
+    owner = owner[first]
+    base = (np.cumsum(plan.marks.size) - plan.marks.size)[owner] + owner
+    return owner, a[first] - base, e[np.append(first[1:], len(a))[: len(first)] - 1] - base
+
+
+def cut_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot: int = 4096) -> DataFrame:
+    """doc_id, n_bytes, removed (array of start, end in bytes) and kept (the remaining bytes) of every row."""
     if length < PIECE + 8:
         raise ValueError(f"length is {PIECE + 8} at least")
-    buckets = buckets or 4 * scratch.partitions(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        now, rows, found = None, [], []
+    blocks = to_blocks(docs, block)
+    least = scratch.partitions(docs.sparkSession)
+    total = blocks.agg(F.sum("size")).first()[0] or 0
+    mark_buckets = max(least, -(-total // MARKS))
+    flags = shared_markers(blocks, mark_buckets, length, hot)
+    buckets = max(least, -(-(flags.agg(F.sum("n")).first()[0] or 0) * _AVERAGE // STRETCHES))
+    told = flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("flags"))
+
+    def plan(data, flags_) -> Plan:
+        return Plan(data.as_py(), [(f["bucket"], f["data"]) for f in flags_.as_py() or []], mark_buckets, buckets, length)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for i, bucket in enumerate(b.column("bucket").to_pylist()):
-                if bucket != now and rows:
-                    found.append(_match(rows, length))
-                    rows = []
-                now = bucket
-                rows.append(b.column("data")[i].as_py())
-        if rows:
-            found.append(_match(rows, length))
-        if not found:
-            return
-        doc, tid, a, e = (np.concatenate(c) for c in zip(*found, strict=True))
-        by = np.lexsort((a, tid, doc))
-        doc, tid, span = doc[by], tid[by], (a << 32 | e)[by]
-        first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1])))[: len(doc)])
-        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True) if len(first) else ():
-            own = merge(span[i:j].tolist(), 0xFFFFFFFF)
-            yield int(doc[i]), int(tid[i]), b"".join(x.to_bytes(4, "little") for s in own for x in s)
-
-    dealt = _cut(docs, buckets, length).repartition("bucket").sortWithinPartitions("bucket")
-    return map_rows(dealt, run, "id long, tid int, spans binary")
-
-
-def merge(spans: list[int], n: int) -> list[tuple[int, int]]:
-    """Maximal runs of the union of packed spans."""
-    out: list[list[int]] = []
-    for s in sorted(spans):
-        a, b = s >> 32, min(s & 0xFFFFFFFF, n)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        elif a < b:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def _squeeze(docs: DataFrame) -> DataFrame:
-    """The texts compressed one by one, for the shuffle that brings them to their spans."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+            for block_, data, f in zip(b.column("block").to_pylist(), b.column("data"), b.column("flags"), strict=True):
+                p = plan(data, f)
+                for bucket, own in p.packets():
+                    body = b"".join([p.distinct[i] for i in own])
+                    yield block_, bucket, pack(6, least=p.least[own], count=p.strings[own].astype(np.int32), text=np.frombuffer(body, np.uint8))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        def done() -> Iterator[tuple]:
+            for (block_, _), made in zip(held, _answer([unpack(d) for _, d in held], length), strict=True):
+                yield block_, now, made
+
+        now, held = None, []
         for b in batches:
-            for i, key, tid, t in zip(b.column("doc_id").to_pylist(), b.column("id").to_pylist(), b.column("tid").to_pylist(), texts(b), strict=True):
-                yield i, key, tid, press.compress(t)
-
-    return map_rows(docs.select("doc_id", "id", "tid", "text"), run, "doc_id long, id long, tid int, small binary", lambda r: len(r[3]))
-
-
-def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, removed (array of start, end in bytes) and kept (the remaining bytes) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.hash(F.col("text").cast("string")).alias("tid"), F.col("text").cast("string").alias("text"))
-    spans = repeats(rows.select("id", "tid", "text"), length).groupBy("id", "tid").agg(F.collect_list("spans").alias("spans"))
+            for block_, bucket, data in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), b.column("data"), strict=True):
+                if bucket != now and held:
+                    yield from done()
+                    held = []
+                now = bucket
+                held.append((block_, data.as_py()))
+        if held:
+            yield from done()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        open_ = zstandard.ZstdDecompressor()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for i, small, s in zip(b.column("doc_id").to_pylist(), b.column("small"), b.column("spans"), strict=True):
-                t = open_.decompress(small.as_py())
-                told = np.frombuffer(b"".join(s.as_py() or []), "<u4").astype(np.int64).reshape(-1, 2)
-                gone = merge((told[:, 0] << 32 | told[:, 1]).tolist(), len(t))
-                kept, at = [], 0
-                for a, e in gone:
-                    kept.append(t[at:a])
-                    at = e
-                yield i, len(t), [{"start": a, "end": e} for a, e in gone], b"".join((*kept, t[at:]))
-
-    return map_rows(_squeeze(rows).join(spans, ["id", "tid"], "left").select("doc_id", "small", "spans"), run, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary", lambda r: len(r[3]) + 64)
+            for data, f, found in zip(b.column("data"), b.column("flags"), b.column("answers"), strict=True):
+                p = plan(data, f)
+                owner, start, end = _removed(p, [(x["bucket"], x["data"]) for x in found.as_py() or []], length)
+                base = np.cumsum(p.marks.size) - p.marks.size
+                edges = np.searchsorted(owner, np.arange(len(p.marks.size) + 1))
+                for i, (doc_id, none, size) in enumerate(zip(p.marks.id.tolist(), p.marks.none.tolist(), p.marks.size.tolist(), strict=True)):
+                    own = slice(edges[i], edges[i + 1])
+                    spans = list(zip(start[own].tolist(), end[own].tolist(), strict=True))
+                    text = p.marks.raw[base[i] : base[i] + size]
+                    kept, at = [], 0
+                    for a, e in spans:
+                        kept.append(text[at:a])
+                        at = e
+                    kept.append(text[at:])
+                    yield None if none else doc_id, size, [{"start": a, "end": e} for a, e in spans], b"".join(kept)
+
+    weigh = lambda r: len(r[-1]) + 64
+    whole = blocks.select("block", "data").join(told, "block", "left")
+    sent = map_rows(whole, send, "block long, bucket long, data binary", weigh).repartition("bucket").sortWithinPartitions("bucket")
+    answers = scratch.table(map_rows(sent, meet, "block long, bucket long, data binary", weigh), "answers")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))
+    return map_rows(whole.join(answers, "block", "left").select("data", "flags", "answers"), cut, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary", weigh)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
