@@ -1,77 +1,102 @@
 """Joins of points, boxes and segments with rectangles.
 
-Catalyst has no range join, so rectangles are dealt to the cells of a fixed grid and the join becomes an equi-join by
-cell with the exact predicate behind it. The cell table is broadcast after a check of its size; beyond that the join
-shuffles by cell, where adaptive execution splits hot cells.
+Catalyst has no range join, so rectangles are dealt to grid cells and the join becomes an equi-join by cell with the
+exact predicate behind it. Cells come in levels, each twice as wide as the one below; the lowest fits the mean side of
+the areas. A box takes the one level at which its longer side fits a cell, so it has four cells at most, whatever its
+size; areas stand on every level from the lowest on, where they have four cells at most once they fit one. The cell table
+is broadcast after a check of its size; beyond that the join shuffles by cell, where adaptive execution splits hot cells.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import units as U
 from tessella.operators.bounded import hinted
 
-SHIFT = 16
+TOP = 25  # one cell of this level holds the globe
+
+
+def base_level(areas: DataFrame) -> int:
+    """The level whose cells are as wide as the areas' mean side; one aggregate."""
+    side = (F.col("max_lat") - F.col("min_lat") + F.col("max_lon") - F.col("min_lon")) / 2
+    mean = areas.agg(F.avg(side)).first()[0]
+    return min(TOP, max(0, math.ceil(math.log2((mean or 0) + 1))))
 
 
-def _cells(low: Column, high: Column, shift: int) -> Column:
-    return F.sequence(F.shiftright(low, shift), F.shiftright(high, shift))
+def _at(v: Column, level: Column) -> Column:
+    """The cell of a coordinate; the level may differ from row to row."""
+    return F.call_function("shiftright", v, level)
 
 
-def area_cells(areas: DataFrame, shift: int = SHIFT, grow: int = 0) -> DataFrame:
-    """area_idx, edges grown, cell_y, cell_x for each grid cell that a rectangle touches."""
-    g = U.grown(U.rect(), grow)
-    wide = areas.select("area_idx", *[v.alias(k) for k, v in g.items()])
-    wide = wide.withColumn("cell_y", F.explode(_cells(F.col("min_lat"), F.col("max_lat"), shift)))
-    return wide.withColumn("cell_x", F.explode(_cells(F.col("min_lon"), F.col("max_lon"), shift)))
+def _cells(df: DataFrame, r: dict[str, Column], level: Column) -> DataFrame:
+    """df with cell_y and cell_x of each cell of its level that the rectangle touches."""
+    wide = df.withColumn("cell_y", F.explode(F.sequence(_at(r["min_lat"], level), _at(r["max_lat"], level))))
+    return wide.withColumn("cell_x", F.explode(F.sequence(_at(r["min_lon"], level), _at(r["max_lon"], level))))
 
 
-def point_in_rect(points: DataFrame, areas: DataFrame, grow: int = 0, shift: int = SHIFT) -> DataFrame:
+def area_cells(areas: DataFrame, low: int, high: int, grow: int = 0) -> DataFrame:
+    """area_idx, edges grown, cell_level, cell_y, cell_x for each cell of the levels from low to high that a rectangle touches."""
+    wide = areas.select("area_idx", *[v.alias(k) for k, v in U.grown(U.rect(), grow).items()])
+    wide = wide.withColumn("cell_level", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    return _cells(wide, U.rect(), F.col("cell_level"))
+
+
+def point_in_rect(points: DataFrame, areas: DataFrame, grow: int = 0) -> DataFrame:
     """points (with map_lat, map_lon) and area_idx of every rectangle, grown by `grow`, that holds them; borders count."""
-    cells = area_cells(areas, shift, grow)
-    keyed = points.withColumn("cell_y", F.shiftright("map_lat", shift)).withColumn("cell_x", F.shiftright("map_lon", shift))
+    level = max(0, base_level(areas) - 2)  # cells of a quarter of a side, so that few of them lie in several areas
+    cells = area_cells(areas, level, level, grow).drop("cell_level")
+    keyed = points.withColumn("cell_y", F.shiftright("map_lat", level)).withColumn("cell_x", F.shiftright("map_lon", level))
     both = keyed.join(hinted(cells), ["cell_y", "cell_x"])
     hit = both.where(U.contains_point(U.rect(), F.col("map_lat"), F.col("map_lon")))
     return hit.select(*points.columns, "area_idx")
 
 
-def rect_near_rect(boxes: DataFrame, areas: DataFrame, shift: int = SHIFT) -> DataFrame:
-    """boxes (with box_ edges) and area_idx of every area that they reach into once it has grown by one unit."""
-    cells = area_cells(areas.select("area_idx", *U.rect()), shift, 1)
-    keyed = boxes.withColumn("cell_y", F.explode(_cells(F.col("box_min_lat"), F.col("box_max_lat"), shift))).withColumn("cell_x", F.explode(_cells(F.col("box_min_lon"), F.col("box_max_lon"), shift)))
-    both = keyed.join(hinted(cells), ["cell_y", "cell_x"])
+def meeting(boxes: DataFrame, areas: DataFrame, grow: int = 0) -> DataFrame:
+    """Every pair, once, of a box (box_ edges) and an area, grown by `grow`, that touch: the box's columns, area_idx and the edges grown."""
+    low = base_level(areas)
+    box = U.rect("box_")
+    side = F.greatest(box["max_lat"] - box["min_lat"], box["max_lon"] - box["min_lon"])
+    level = F.least(F.lit(TOP), F.greatest(F.lit(low), F.ceil(F.log2(side + 1)).cast("int")))
+    keyed = _cells(boxes.withColumn("cell_level", level), box, F.col("cell_level"))
+    both = keyed.join(hinted(area_cells(areas, low, TOP, grow)), ["cell_level", "cell_y", "cell_x"])
     # each pair is reported by the first cell that both cover, so nothing has to be made distinct
-    y = F.greatest(F.shiftright("box_min_lat", shift), F.shiftright("min_lat", shift))
-    x = F.greatest(F.shiftright("box_min_lon", shift), F.shiftright("min_lon", shift))
-    hit = both.where(U.overlaps(U.rect(), U.rect("box_")) & (F.col("cell_y") == y) & (F.col("cell_x") == x))
+    at = F.col("cell_level")
+    y, x = (F.greatest(_at(F.col("box_min_" + k), at), _at(F.col("min_" + k), at)) for k in ("lat", "lon"))
+    return both.where((F.col("cell_y") == y) & (F.col("cell_x") == x) & U.touches(U.rect(), box)).drop("cell_level", "cell_y", "cell_x")
+
+
+def rect_near_rect(boxes: DataFrame, areas: DataFrame) -> DataFrame:
+    """boxes (with box_ edges) and area_idx of every area that they reach into once it has grown by one unit."""
+    hit = meeting(boxes, areas, 1).where(U.overlaps(U.rect(), U.rect("box_")))
     return hit.select(*boxes.columns, "area_idx")
 
 
-def segments_near_rect(segments: DataFrame, areas: DataFrame, shift: int = SHIFT) -> DataFrame:
+def segments_near_rect(segments: DataFrame, areas: DataFrame) -> DataFrame:
     """segments (way_id, lat1, lon1, lat2, lon2) and area_idx of every area that they hit once it has grown by one unit."""
     ends = {"min_lat": F.least("lat1", "lat2"), "min_lon": F.least("lon1", "lon2"), "max_lat": F.greatest("lat1", "lat2"), "max_lon": F.greatest("lon1", "lon2")}
-    # a segment of no extent still meets what its point meets: boxes grow by one against the open predicate
-    boxed = segments.select("*", *[(v + (1 if k[:3] == "max" else -1)).alias("box_" + k) for k, v in ends.items()])
-    near = rect_near_rect(boxed, areas, shift)
-    exact = near.join(hinted(areas.select("area_idx", *U.rect())), "area_idx")
-    return exact.where(U.segment_hits(U.rect(), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))).select(*segments.columns, "area_idx")
+    near = meeting(segments.select("*", *[v.alias("box_" + k) for k, v in ends.items()]), areas, 1)
+    plain = U.grown(U.rect(), -1)
+    return near.where(U.segment_hits(plain, F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))).select(*segments.columns, "area_idx")
+
+
+def _boxes(areas: DataFrame, key: str) -> DataFrame:
+    return areas.select(F.col("area_idx").alias(key), *[v.alias("box_" + k) for k, v in U.rect().items()])
 
 
 def overlapping_areas(areas: DataFrame) -> DataFrame:
     """a, b: pairs of areas, a < b, whose common part has an extent."""
-    a = areas.select(F.col("area_idx").alias("a"), *[v.alias("a_" + k) for k, v in U.rect().items()])
-    b = areas.select(F.col("area_idx").alias("b"), *[v.alias("b_" + k) for k, v in U.rect().items()])
-    return hinted(a).join(b, (F.col("a") < F.col("b")) & U.overlaps(U.rect("a_"), U.rect("b_"))).select("a", "b")
+    both = meeting(_boxes(areas, "a"), areas).where((F.col("a") < F.col("area_idx")) & U.overlaps(U.rect("box_"), U.rect()))
+    return both.select("a", F.col("area_idx").alias("b"))
 
 
 def contained_in(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """area_idx of inner and the set of the outer areas that hold it whole."""
-    i = inner.select("area_idx", *[v.alias("i_" + k) for k, v in U.rect().items()])
-    o = outer.select(F.col("area_idx").alias("real"), *U.rect())
-    hit = i.join(hinted(o), U.contains_rect(U.rect(), U.rect("i_")))
-    return hit.groupBy("area_idx").agg(F.array_sort(F.collect_set("real")).alias("areas"))
+    hit = meeting(_boxes(inner, "inner"), outer).where(U.contains_rect(U.rect(), U.rect("box_")))
+    return hit.groupBy(F.col("inner").alias("area_idx")).agg(F.array_sort(F.collect_set(hit["area_idx"])).alias("areas"))
 
 
 def cities_in_areas(cities: DataFrame, areas: DataFrame) -> DataFrame:
