@@ -2,9 +2,10 @@
 
 Rows of equal shingle sets are one first. Each distinct set then has BANDS fingerprints, each of WIDTH minimum hashes; a
 pair of similarity s shares one of them with probability 1 - (1 - s ** WIDTH) ** BANDS, 0.9996 at 0.8. Every link that
-is used is confirmed on the two sets themselves: first those of each shared fingerprint to its smallest row, then all
-pairs of it that are not in one component by then. So a large group of copies costs a pass, not all of its pairs, while
-many unlike texts that share fingerprints do cost their pairs.
+is used is confirmed on the two sets themselves: first one for each row, to the smallest of the rows that lead its
+fingerprints; then, in a few turns, to some rows of its fingerprints in other components, drawn by hash; at last all pairs of
+a fingerprint that are not in one component by then. So a large group of copies costs a few passes, not all of its pairs,
+while many unlike texts that share fingerprints do cost their pairs.
 
 Defined results: null and empty texts, and texts of white space alone, are alike; a text of fewer words than a shingle is
 one shingle; a null doc_id never names a component (one of null ids alone has a null name).
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm import scratch
@@ -44,22 +46,37 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """The set's fingerprints; none for an empty set."""
-    if not len(found):
-        return []
-    least = np.empty(len(_MIX), np.uint64)
-    for i, (x, y) in enumerate(zip(_MIX, _ODD, strict=True)):
-        h = (found ^ x) * y
-        least[i] = (h ^ (h >> np.uint64(32))).min()
-    digest = xxhash.xxh3_64_intdigest
-    return [digest(least[WIDTH * i : WIDTH * (i + 1)].tobytes(), i) - (1 << 63) for i in range(BANDS)]
-
-
-def confirmed(pairs: DataFrame, rows: DataFrame, k: int, least: float) -> DataFrame:
-    """Those pairs a, b of rows whose sets have a similarity of at least `least`."""
-    ends = pairs.select("a", F.col("b").alias("row")).union(pairs.select("a", F.col("a").alias("row")).distinct())
-    sent = ends.join(rows.select("row", "text"), "row").select("a", "row", "text", (F.col("a") == F.col("row")).alias("own"))
+def bands(sets: list[np.ndarray]) -> list[list[int]]:
+    """The fingerprints of many sets; none for an empty one."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    full = np.flatnonzero(sizes)
+    out: list[list[int]] = [[] for _ in sets]
+    if len(full):
+        flat = np.concatenate([sets[i] for i in full])
+        begin = np.cumsum(sizes[full]) - sizes[full]
+        least = np.empty((len(full), len(_MIX)), np.uint64)
+        for i, (x, y) in enumerate(zip(_MIX, _ODD, strict=True)):
+            h = (flat ^ x) * y
+            h ^= h >> np.uint64(32)
+            least[:, i] = np.minimum.reduceat(h, begin)
+        digest, step = xxhash.xxh3_64_intdigest, 8 * WIDTH
+        for row, i in enumerate(full.tolist()):
+            raw = least[row].tobytes()
+            out[i] = [digest(raw[step * j : step * (j + 1)], j) - (1 << 63) for j in range(BANDS)]
+    return out
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, k: int, least: float, share: int = 200) -> DataFrame:
+    """Those pairs a, b of rows whose sets have a similarity of at least `least`.
+
+    The text of a goes to its partners, which are cut into shares of some `share` rows, so that no task gets all of a
+    large group.
+    """
+    pairs = scratch.table(pairs, "pairs")
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / share)).cast("int").alias("salt")
+    cut = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", salt)
+    ends = cut.select("a", "salt", F.col("b").alias("row")).union(cut.select("a", "salt", F.col("a").alias("row")).distinct())
+    sent = ends.join(rows.select("row", "text"), "row").select("a", "salt", "row", "text", (F.col("a") == F.col("row")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, held = None, None
@@ -71,20 +88,47 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, least: float) -> DataFr
                 elif a == now and similarity(held, found) >= least:
                     yield a, row
 
-    order = sent.repartition("a").sortWithinPartitions("a", F.desc("own"))
+    order = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("own"))
     return map_rows(order, run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+def _told(near: DataFrame, star: DataFrame) -> DataFrame:
+    """at, band, node, root of the fingerprints whose rows are not all in one component."""
+    told = near.select("at", "band", "node").join(star, "node", "left").select("at", "band", "node", F.coalesce("root", "node").alias("root"))
+    mixed = told.groupBy("at", "band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("at", "band")
+    return scratch.table(told.join(mixed, ["at", "band"]), "mixed")
+
+
+def _drawn(told: DataFrame, turn: int, tries: int) -> DataFrame:
+    """For each row of told some `tries` others of its fingerprints in other components, drawn by hash: of each fingerprint
+    one row and one of another component than that one stand for all."""
+    by = F.xxhash64(F.lit(turn), "at", "node")
+    who = F.struct("node", "root")
+    one = told.groupBy("at", "band").agg(F.min_by(who, by).alias("one"))
+    both = told.join(one, ["at", "band"])
+    two = both.where("root <> one.root").groupBy("at", "band").agg(F.min_by("node", by).alias("two"))
+    other = F.when(F.col("root") == F.col("one.root"), F.col("two")).otherwise(F.col("one.node"))
+    pairs = both.join(two, ["at", "band"]).select("node", other.alias("other")).distinct()
+    nth = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64(F.lit(turn), "node", "other")))
+    return pairs.withColumn("nth", nth).where(F.col("nth") <= tries).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, turns: int = 2, tries: int = 4) -> DataFrame:
     """row, doc_id, component_id (the smallest doc_id reachable over links) and kept (the row that stands for the component:
     one of that id, or of null ids alone any) of every row; docs: row (distinct), doc_id, text."""
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        ids, sets, size = [], [], 0
         for b in batches:
             for row, i, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), texts(b), strict=True):
-                found = shingles(t, k)
-                yield row, i, xxhash.xxh3_128_digest(found.tobytes()), bands(found)
+                ids.append((row, i))
+                sets.append(shingles(t, k))
+                size += len(sets[-1])
+                if size > 100_000 or len(ids) > 5000:
+                    yield from ((*x, xxhash.xxh3_128_digest(f.tobytes()), g) for x, f, g in zip(ids, sets, bands(sets), strict=True))
+                    ids, sets, size = [], [], 0
+        yield from ((*x, xxhash.xxh3_128_digest(f.tobytes()), g) for x, f, g in zip(ids, sets, bands(sets), strict=True))
 
     prints = scratch.table(map_rows(rows, run, "row long, doc_id long, same binary, bands array<long>"), "prints")
     own = prints.groupBy("same").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("bands").alias("bands"))
@@ -92,16 +136,22 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     sent = own.select("node", F.posexplode("bands").alias("at", "band"))
     hubs = sent.groupBy("at", "band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = scratch.table(sent.join(hubs, ["at", "band"]), "near")
-    tried = near.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = scratch.table(confirmed(tried, rows, k, least), "links")
+    first = near.where("hub <> node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+    links = scratch.table(confirmed(first, rows, k, least), "links")
     star = scratch.table(components(links), "star")
-    told = near.join(star, "node", "left").select("at", "band", "hub", "node", F.coalesce("root", "node").alias("root"))
-    mixed = told.groupBy("at", "band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("at", "band")
-    told = scratch.table(told.join(mixed, ["at", "band"]), "mixed")
-    one = told.where("node <> hub").select("at", "band", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    two = told.where("node <> hub").select("at", "band", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    rest = one.join(two, ["at", "band"]).where("a < b and root_a <> root_b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    star = scratch.table(components(links.union(confirmed(rest, rows, k, least))), "star")
+    told = _told(near, star)
+    for turn in range(turns + 1):
+        if scratch.small(told, 0):
+            break
+        if turn < turns:
+            pairs = _drawn(told, turn, tries)
+        else:
+            one, two = (told.select("at", "band", F.col("node").alias(x), F.col("root").alias("root_" + x)) for x in "ab")
+            pairs = one.join(two, ["at", "band"]).where("a < b and root_a <> root_b").select("a", "b").distinct()
+        links = scratch.table(links.union(confirmed(pairs, rows, k, least)).distinct(), "links")
+        star = scratch.table(components(links), "star")
+        if turn < turns:
+            told = _told(near, star)
     rooted = own.join(star, "node", "left").select("same", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("first"))
     label = scratch.table(rooted.drop("first").join(named, "root").select("same", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept")), "labels")
