@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import os
+import warnings
+from collections.abc import Iterable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +19,22 @@ from tessella.operators import problems as P
 from tessella.operators import regions as R
 from tessella.operators import solver as S
 from tessella.operators.bounded import cut
-from tessella.operators.rangejoin import best_city
+from tessella.operators.rangejoin import area_names
 from tessella.sources import element, maps, texts
 
 __version__ = "0.1"
 DEFAULT_OVERLAP = 2000
 
 
+UNUSED = {
+    "max_areas": "all areas are written in one pass",
+    "max_threads": "the cluster's executors decide",
+    "status_freq": "progress shows in Spark's UI",
+    "cache": "the input is read again where needed",
+    "mixed": "elements may come in any order",
+}
+
+
 class OptionError(ValueError):
     pass
 
@@ -110,6 +121,9 @@ def parse(argv: list[str]) -> tuple[SplitOptions, list[str]]:
     p.add_argument("files", nargs="*")
     got = vars(p.parse_args(argv))
     files = got.pop("files")
+    for name in UNUSED:
+        if got[name] != SplitOptions.__dataclass_fields__[name].default:
+            warnings.warn(f"--{name.replace('_', '-')} has no effect here: {UNUSED[name]}", stacklevel=2)
     return SplitOptions(**got).validate(), files
 
 
@@ -125,7 +139,23 @@ def _text(spark: SparkSession, path: str) -> str:
     return maps.unpack(path, bytes(raw[0])).decode()
 
 
-def plan_areas(spark: SparkSession, o: SplitOptions, elements: DataFrame) -> DataFrame:
+def _bounds(spark: SparkSession, o: SplitOptions, elements: DataFrame, files: list[str]) -> tuple[tuple | None, tuple | None]:
+    """The box of the nodes, and the bounds that the input tells: file by file, where bounds that come after a file without
+    any are added to the box of the nodes up to there."""
+    whole = lambda r: None if r is None or r[0] is None else tuple(r)
+    joined = lambda a, b: a and b and (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])) or a or b
+    if o.ignore_osm_bounds:
+        return whole(D.bbox(element.nodes(elements)).first()), None
+    detail = told = None
+    for i, rows in enumerate([maps.read_elements(spark, [f]) for f in files] if len(files) > 1 else [elements]):
+        if i and told is None:
+            told = detail
+        told = joined(told, whole(D.union_bounds(element.bounds(rows)).first()))
+        detail = joined(detail, whole(D.bbox(element.nodes(rows)).first()))
+    return detail, told
+
+
+def plan_areas(spark: SparkSession, o: SplitOptions, elements: DataFrame, files: list[str] = ()) -> DataFrame:
     """The area table: read, or computed from the density of the nodes."""
     from tessella.schema import AREAS
 
@@ -134,20 +164,22 @@ def plan_areas(spark: SparkSession, o: SplitOptions, elements: DataFrame) -> Dat
         return spark.createDataFrame([(i, m, None, *r, False, True) for i, (m, r) in enumerate(rows)], AREAS)
     shift = 24 - o.resolution
     nodes = element.nodes(elements).select("id", "map_lat", "map_lon")
-    exact = None
+    told = None
     if o.densities_file:
-        cells, exact = texts.read_density(_text(spark, o.densities_file))
+        cells, detail, told = texts.read_density(_text(spark, o.densities_file))
+        if o.precomp_sea:
+            warnings.warn("precomp-sea is not used with densities-file, whose counts hold it already", stacklevel=2)
     else:
-        if not o.ignore_osm_bounds:
-            exact = D.union_bounds(element.bounds(elements)).first()
-        if exact is None or exact[0] is None:
-            exact = D.bbox(nodes).first()
-        cells = None
+        cells, (detail, told) = None, _bounds(spark, o, elements, files)
+    exact = told or detail
     rings = texts.read_poly(_text(spark, o.polygon_file))[1] if o.polygon_file else None
     regions = _regions(spark, o)
     if regions:
         rings = [ring for _, _, own in regions for ring in own]
-    a, b, c, d = exact if exact is not None and exact[0] is not None else D.WORLD
+    if rings and S.too_complex(rings, shift):
+        warnings.warn("the bounding polygon is too complex for this resolution: its box is used", stacklevel=2)
+        rings = [(True, _box(rings))]
+    a, b, c, d = exact or D.WORLD
     if rings:
         lats, lons = [U.map_unit(p[1]) for _, r in rings for p in r], [U.map_unit(p[0]) for _, r in rings for p in r]
         a, b, c, d = max(a, min(lats)), max(b, min(lons)), min(c, max(lats)), min(d, max(lons))
@@ -156,26 +188,39 @@ def plan_areas(spark: SparkSession, o: SplitOptions, elements: DataFrame) -> Dat
     if cells is None:
         found = D.density(nodes, shift, bounds)
         if o.precomp_sea:
-            sea = R.sea_density(spark, o.precomp_sea, _text(spark, f"{o.precomp_sea.rstrip('/')}/index.txt"), bounds, shift)
+            sea = R.sea_density(spark, o.precomp_sea, bounds, shift)
             found = D.merge_sea(found, sea) if sea is not None else found
         if regions:
             named = {name: own for name, _, own in regions}
-            parts = S.split_polygons([(r.x, r.y, r.n) for r in found.collect()], bounds, shift, named, o.max_nodes, o.search_limit)
+            parts = S.split_polygons(S.collected(found), bounds, shift, named, o.max_nodes, o.search_limit)
             rects = [r for part in parts.values() for r in part]
             return spark.createDataFrame([(i, o.mapid + i, None, *r, False, True) for i, r in enumerate(rects)], AREAS)
-        m = S.density_map(found, bounds, shift, S.raster(rings, bounds, shift) if rings else None)
+        cells = S.collected(found)
+        x0, y0 = bounds[1] - w[1] >> shift, bounds[0] - w[0] >> shift
+        if detail:
+            _save(o.output_dir, "densities-out.txt", texts.write_density(zip((cells[0] + x0).tolist(), (cells[1] + y0).tolist(), cells[2].tolist(), strict=True), detail, told))
     else:
         x0, y0 = bounds[1] - w[1] >> shift, bounds[0] - w[0] >> shift
         width, height = bounds[3] - bounds[1] >> shift, bounds[2] - bounds[0] >> shift
-        m = S.DensityMap([(x - x0, y - y0, n) for x, y, n in cells if 0 <= x - x0 < width and 0 <= y - y0 < height], bounds, shift)
-    tiles = S.split_by_number(m, o.num_tiles, o.search_limit, not o.no_trim) if o.num_tiles else S.split(m, o.max_nodes, o.search_limit, not o.no_trim)
-    out = S.areas(spark, m, tiles, o.mapid)
+        cells = [(x - x0, y - y0, n) for x, y, n in cells if 0 <= x - x0 < width and 0 <= y - y0 < height]
+    if rings and not o.num_tiles:
+        rects = S.split_parts(cells, bounds, shift, rings, o.max_nodes, o.search_limit, not o.no_trim)
+    else:
+        m = S.DensityMap(cells, bounds, shift, S.raster(rings, bounds, shift) if rings else None)
+        tiles = S.split_by_number(m, o.num_tiles, o.search_limit, not o.no_trim) if o.num_tiles else S.split_parallel(spark, m, o.max_nodes, o.search_limit, not o.no_trim)
+        rects = [m.rect(S.clipped(m, t)) for t in tiles]
+    out = S.area_table(spark, rects, o.mapid)
     if o.geonames_file:
-        named = {r.area_idx: f"{r.country}-{r.name}" for r in best_city(texts.read_cities(spark, o.geonames_file), out).collect()}
-        return S.areas(spark, m, tiles, o.mapid, named)
+        named = {r.area_idx: r.name for r in area_names(out, texts.read_cities(spark, o.geonames_file)).collect()}  # a row for each area
+        return S.area_table(spark, rects, o.mapid, named)
     return out.withColumn("name", F.lit(o.description)) if o.description else out
 
 
+def _box(rings) -> list[tuple[float, float]]:
+    xs, ys = [p[0] for _, r in rings for p in r], [p[1] for _, r in rings for p in r]
+    return [(min(xs), min(ys)), (min(xs), max(ys)), (max(xs), max(ys)), (max(xs), min(ys)), (min(xs), min(ys))]
+
+
 def _regions(spark: SparkSession, o: SplitOptions) -> list:
     return R.described_polygons(maps.read_elements(spark, [o.polygon_desc_file]), 24 - o.resolution) if o.polygon_desc_file else []
 
@@ -183,7 +228,7 @@ def _regions(spark: SparkSession, o: SplitOptions) -> list:
 def run(spark: SparkSession, o: SplitOptions, files: list[str]) -> Result:
     """All phases up to stop_after; frames stay lazy beyond what a phase has to know."""
     elements = maps.read_elements(spark, files)
-    areas = cut(plan_areas(spark, o, elements))
+    areas = cut(plan_areas(spark, o, elements, files))
     result = Result(areas)
     listed = [(r.map_id, (r.min_lat, r.min_lon, r.max_lat, r.max_lon), r.name) for r in areas.orderBy("map_id").collect()]
     save = lambda name, text: _save(o.output_dir, name, text)
@@ -217,7 +262,7 @@ def run(spark: SparkSession, o: SplitOptions, files: list[str]) -> Result:
         told = spark.createDataFrame(texts.read_problems(_text(spark, o.problem_file)) if o.problem_file else [], "kind string, id long")
         result.problems = cut(P.all_problems(found, told))
         if o.problem_report:
-            save(o.problem_report, texts.write_problems((r.kind, r.id) for r in result.problems.toLocalIterator()))
+            _save(o.output_dir, o.problem_report, (r.value + "\n" for r in texts.problem_lines(result.problems).toLocalIterator()))
         if o.stop_after == "gen-problem-list":
             return result
         node_sets, way_sets, rel_sets = _complete(spark, nodes, ways, relations, areas, listed, result.problems, node_sets, way_sets, rel_sets, P.one_tile_relations(relations, own_rels, distinct.where("not is_pseudo"), areas, **wants))
@@ -247,10 +292,11 @@ def _complete(spark, nodes, ways, relations, areas, listed, problems, node_sets,
     return A.merged(node_sets, over_nodes, "node_id"), A.preferred(way_sets, passed, "way_id"), A.preferred(rel_sets, trees, "rel_id", one_tile)
 
 
-def _save(folder: str, name: str, text: str) -> None:
+def _save(folder: str, name: str, text: str | Iterable[str]) -> None:
+    """A small file, or lines one after another, on the driver's side."""
     os.makedirs(folder, exist_ok=True)
     with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-        f.write(text)
+        f.writelines([text] if isinstance(text, str) else text)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -127,6 +127,11 @@ def segment_hits(area: dict[str, Column], lat1: Column, lon1: Column, lat2: Colu
     return boxes & ~((F.least(*sides) > 0) | (F.greatest(*sides) < 0))
 
 
+def crosses_antimeridian(r: dict[str, Column]) -> Column:
+    """Whether a box lies on both sides of the zero meridian and is half the globe wide: it rather crosses the 180th."""
+    return (r["min_lon"] < 0) & (r["max_lon"] > 0) & (r["max_lon"] - r["min_lon"] >= MAX_LON)
+
+
 def aspect_ratio(min_lat: Column, max_lat: Column, min_lon: Column, max_lon: Column) -> Column:
     """Width over height with the width shrunk by the latitude nearer to the equator; raw if the equator lies within."""
     low, high = F.cos(F.radians(to_degrees(min_lat))), F.cos(F.radians(to_degrees(max_lat)))

@@ -1,6 +1,8 @@
-"""Size checks before a side of a join is broadcast."""
+"""Size checks before a side of a join is broadcast, and the folder that the cluster shares."""
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIMIT = 200_000
@@ -15,11 +17,27 @@ def hinted(df: DataFrame, limit: int = LIMIT) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+def _root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where a local session names none, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        import tempfile
+
+        found = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path in the shared one."""
+    return f"{_root(spark)}/tessella/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint; the folder comes from spark.checkpoint.dir, a temporary one only if unset."""
+    """Cuts lineage by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
+        spark.sparkContext.setCheckpointDir(_root(spark))
     return df.checkpoint()

@@ -108,3 +108,11 @@ def best_city(cities: DataFrame, areas: DataFrame) -> DataFrame:
     """The city of most people in each area; the lower id decides between equals."""
     pick = F.max_by(F.struct("id", "country", "name", "population"), F.struct("population", -F.col("id"))).alias("c")
     return cities_in_areas(cities, areas).groupBy("area_idx").agg(pick).select("area_idx", "c.id", "c.country", "c.name", "c.population")
+
+
+def area_names(areas: DataFrame, cities: DataFrame | None) -> DataFrame:
+    """area_idx and name (country and best city) of every area; null without cities, or where none lies in it."""
+    if cities is None:
+        return areas.select("area_idx", F.lit(None).cast("string").alias("name"))
+    best = best_city(cities, areas).select("area_idx", F.concat_ws("-", "country", "name").alias("name"))
+    return areas.select("area_idx").join(best, "area_idx", "left")

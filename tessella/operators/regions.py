@@ -63,10 +63,32 @@ def region_files(regions: list[tuple[str, int, list]], areas: list[tuple[int, Re
     return out
 
 
-def sea_density(spark: SparkSession, folder: str, index: str, bounds: Rect, shift: int) -> DataFrame | None:
-    """The density of the mixed sea tiles that meet the bounds; only those files are read."""
-    files = texts.read_sea_index(index, bounds)["files"]
+def sea_index(spark: SparkSession, path: str) -> str:
+    """The index of precompiled sea: index.txt.gz or index.txt of a folder, or of an archive (there in sea/ or at the top)."""
+    if path.endswith(".zip"):
+        import gzip
+        import io
+        import zipfile
+
+        raw = spark.read.format("binaryFile").load(path).select("content").first()
+        with zipfile.ZipFile(io.BytesIO(bytes(raw[0]))) as z:
+            for name in ("sea/index.txt.gz", "sea/index.txt", "index.txt.gz", "index.txt"):
+                if name in z.namelist():
+                    data = z.read(name)
+                    return (gzip.decompress(data) if name.endswith(".gz") else data).decode()
+        raise texts.TextError(f"no index in {path}")
+    found = {r.path.rpartition("/")[2]: r for r in spark.read.format("binaryFile").option("pathGlobFilter", "index.txt*").load(path).select("path", "content").collect()}  # two files at most
+    for name in ("index.txt.gz", "index.txt"):
+        if name in found:
+            return maps.unpack(name, bytes(found[name].content)).decode()
+    raise texts.TextError(f"no index.txt or index.txt.gz in {path}")
+
+
+def sea_density(spark: SparkSession, path: str, bounds: Rect, shift: int) -> DataFrame | None:
+    """The density of the mixed sea tiles that meet the bounds; only those files are decoded."""
+    files = texts.read_sea_index(sea_index(spark, path), bounds)["files"]
     if not files:
         return None
-    nodes = element.nodes(maps.read_elements(spark, [f"{folder.rstrip('/')}/{f}" for f in files], ("node",)))
+    rows = maps.zipped(spark, path, files) if path.endswith(".zip") else maps.read_elements(spark, [f"{path.rstrip('/')}/{f}" for f in files], ("node",))
+    nodes = element.nodes(rows)
     return D.density(nodes.select("id", "map_lat", "map_lon"), shift, bounds)

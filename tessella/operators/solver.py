@@ -31,15 +31,19 @@ class Tile(NamedTuple):
 
 
 class DensityMap:
-    """Counts of cells of 2^shift units over bounds, with prefix sums in both directions; mask: cells within a polygon."""
+    """Counts of cells of 2^shift units over bounds, with prefix sums in both directions.
+
+    cells: x, y and n, an array each in a tuple, or a list of the three; mask: cells within a polygon.
+    """
 
     def __init__(self, cells, bounds: Rect, shift: int, mask: np.ndarray | None = None):
         self.bounds, self.shift = bounds, shift
         self.width, self.height = max(1, bounds[3] - bounds[1] >> shift), max(1, bounds[2] - bounds[0] >> shift)
+        if 24 * self.width * self.height > GRID_BYTES:
+            raise MemoryError(f"a grid of {self.width} by {self.height} cells is too large for the driver: choose a lower resolution")
         grid = np.zeros((self.width, self.height), np.int64)
-        if len(cells):
-            x, y, n = (np.asarray(v, np.int64) for v in zip(*cells, strict=True))
-            np.add.at(grid, (x, y), n)
+        x, y, n = (np.asarray(v, np.int64) for v in (cells if isinstance(cells, tuple) else np.array(cells, np.int64).reshape(-1, 3).T))
+        np.add.at(grid, (x, y), n)
         self.mask = mask
         if mask is not None:
             grid[~mask] = 0
@@ -287,7 +291,7 @@ def split_parallel(spark: SparkSession, m: DensityMap, most: int, budget: int =
             for pdf in batches:
                 for r in pdf.itertuples():
                     own = (bounds[0] + (r.y << shift), bounds[1] + (r.x << shift), bounds[0] + (r.y + r.h << shift), bounds[1] + (r.x + r.w << shift))
-                    part = DensityMap(list(zip(r.xs, r.ys, r.ns, strict=True)), own, shift)
+                    part = DensityMap((r.xs, r.ys, r.ns), own, shift)
                     s = improve(part, part.whole, most, budget, trim)
                     for t in s.tiles if s else bisect_tiles(part, most, part.whole):
                         yield pd.DataFrame([(r.i, r.x + t.x, r.y + t.y, t.w, t.h)], columns=["i", "x", "y", "w", "h"])
@@ -373,20 +377,20 @@ def mean_bisect(spark: SparkSession, nodes: DataFrame, most: int, shift: int = 1
 
 def trim_outer(m: DensityMap, tiles: list[Tile]) -> list[Tile]:
     """Cuts empty lines from tiles where they face no other tile, so that no gap opens between neighbours."""
-    out = list(tiles)
-    for i, t in enumerate(out):
+    out = np.array(tiles, np.int64).reshape(-1, 4)
+    for i in range(len(out)):
+        t = Tile(*out[i].tolist())
         small = m.trimmed(t)
         if small is None or small == t:
             continue
-        others = [o for j, o in enumerate(out) if j != i]
-        side_x = lambda o: o.y < t.y + t.h and o.y + o.h > t.y  # noqa: B023, E731
-        side_y = lambda o: o.x < t.x + t.w and o.x + o.w > t.x  # noqa: B023, E731
-        x0 = t.x if any(side_x(o) and o.x + o.w <= t.x for o in others) else small.x
-        x1 = t.x + t.w if any(side_x(o) and o.x >= t.x + t.w for o in others) else small.x + small.w
-        y0 = t.y if any(side_y(o) and o.y + o.h <= t.y for o in others) else small.y
-        y1 = t.y + t.h if any(side_y(o) and o.y >= t.y + t.h for o in others) else small.y + small.h
-        out[i] = Tile(x0, y0, x1 - x0, y1 - y0)
-    return out
+        x, y, w, h = out.T  # the tile itself faces none of its sides
+        beside, above = (y < t.y + t.h) & (y + h > t.y), (x < t.x + t.w) & (x + w > t.x)
+        x0 = t.x if (beside & (x + w <= t.x)).any() else small.x
+        x1 = t.x + t.w if (beside & (x >= t.x + t.w)).any() else small.x + small.w
+        y0 = t.y if (above & (y + h <= t.y)).any() else small.y
+        y1 = t.y + t.h if (above & (y >= t.y + t.h)).any() else small.y + small.h
+        out[i] = x0, y0, x1 - x0, y1 - y0
+    return [Tile(*t) for t in out.tolist()]
 
 
 def raster(rings, bounds: Rect, shift: int) -> np.ndarray:
@@ -405,8 +409,71 @@ def raster(rings, bounds: Rect, shift: int) -> np.ndarray:
     return held
 
 
-def corners(rings) -> int:
-    return sum(len(r) - 1 for _, r in rings)
+#: A rectilinear shape with more corners is taken as its box; a ring that would have more on the grid is too complex.
+MOST_CORNERS = 40
+
+
+def too_complex(rings, shift: int) -> bool:
+    """Whether a ring (degrees) has slanted edges that take more than MOST_CORNERS corners on the grid."""
+    for _, ring in rings:
+        corners = 0
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+            w, h = (abs(U.map_unit(a) - U.map_unit(b)) for a, b in ((x1, x2), (y1, y2)))
+            corners += 2 * (min(w, h) >> shift)
+            if corners > MOST_CORNERS:
+                return True
+    return False
+
+
+def shapes(mask: np.ndarray) -> list[np.ndarray]:
+    """The parts of a mask that hang together by edges, a mask each; a part that needs more than MOST_CORNERS corners becomes its box."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    while True:
+        new = label.copy()
+        for a, b in (((slice(1, None), slice(None)), (slice(None, -1), slice(None))), ((slice(None), slice(1, None)), (slice(None), slice(None, -1)))):
+            low = np.where(mask[a] & mask[b], np.maximum(new[a], new[b]), 0)
+            new[a], new[b] = np.maximum(new[a], low), np.maximum(new[b], low)
+        flat = new.ravel()
+        new = np.where(mask, np.append(0, flat)[new], 0)  # a label is a cell: follow it once more
+        if (new == label).all():
+            break
+        label = new
+    out = []
+    for v in np.unique(label[mask]):
+        part = label == v
+        x, y = part.nonzero()
+        if _corners(part[x.min() : x.max() + 1, y.min() : y.max() + 1]) > MOST_CORNERS:
+            part[x.min() : x.max() + 1, y.min() : y.max() + 1] = True
+        out.append(part)
+    return out
+
+
+def _corners(part: np.ndarray) -> int:
+    """Corners of a mask's outline: places where one or three of four cells belong to it, or two that touch at the corner only."""
+    p = np.pad(part, 1).astype(np.int8)
+    four = p[1:, 1:] + p[1:, :-1] + p[:-1, 1:] + p[:-1, :-1]
+    cross = (four == 2) & (p[1:, 1:] == p[:-1, :-1])
+    return int(((four == 1) | (four == 3)).sum() + 2 * cross.sum())
+
+
+def split_parts(cells, bounds: Rect, shift: int, rings, most: int, budget: int = 200_000, trim: bool = True) -> list[Rect]:
+    """Tiles of a polygon: each of its parts by itself; what is taken away by a ring (a hole, a notch) belongs to none."""
+    out = []
+    for part in shapes(raster(rings, bounds, shift)):
+        m = DensityMap(cells, bounds, shift, part)
+        out += [m.rect(clipped(m, t)) for t in split(m, most, budget, trim)]
+    return out
+
+
+def clipped(m: DensityMap, t: Tile) -> Tile:
+    """The tile cut back to the cells of the polygon, where those make up a rectangle."""
+    if m.mask is None:
+        return t
+    x, y = m.mask[t.x : t.x + t.w, t.y : t.y + t.h].nonzero()
+    if not len(x):
+        return t
+    inner = Tile(t.x + int(x.min()), t.y + int(y.min()), int(x.max() - x.min()) + 1, int(y.max() - y.min()) + 1)
+    return inner if len(x) == inner.w * inner.h else t
 
 
 def split_polygons(cells, bounds: Rect, shift: int, polygons: dict[str, list], most: int, budget: int = 200_000) -> dict[frozenset[str], list[Rect]]:
@@ -426,14 +493,26 @@ def split_polygons(cells, bounds: Rect, shift: int, polygons: dict[str, list], m
 
 def areas(spark: SparkSession, m: DensityMap, tiles: list[Tile], first_id: int = 63240001, names: dict[int, str] | None = None) -> DataFrame:
     """The area table of tiles that hold nodes."""
+    return area_table(spark, [m.rect(t) for t in tiles], first_id, names)
+
+
+def area_table(spark: SparkSession, rects: list[Rect], first_id: int = 63240001, names: dict[int, str] | None = None) -> DataFrame:
     from tessella.schema import AREAS
 
-    if first_id + len(tiles) - 1 > 99_999_999:
+    if first_id + len(rects) - 1 > 99_999_999:
         raise ValueError("map ids have eight digits at most")
-    rows = [(i, first_id + i, (names or {}).get(i), *m.rect(t), False, True) for i, t in enumerate(tiles)]
-    return spark.createDataFrame(rows, AREAS)
+    return spark.createDataFrame([(i, first_id + i, (names or {}).get(i), *r, False, True) for i, r in enumerate(rects)], AREAS)
 
 
 def density_map(cells: DataFrame, bounds: Rect, shift: int, mask: np.ndarray | None = None) -> DensityMap:
     """Collects the histogram: a row for each cell with nodes, of a grid whose size the resolution bounds."""
-    return DensityMap([(r.x, r.y, r.n) for r in cells.collect()], bounds, shift, mask)
+    return DensityMap(collected(cells), bounds, shift, mask)
+
+
+GRID_BYTES = 4 << 30
+
+
+def collected(cells: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y and n of all cells as arrays, batch by batch, without a Python object for each."""
+    got = cells.select("x", "y", "n").toArrow()
+    return tuple(got.column(k).to_numpy() for k in ("x", "y", "n"))

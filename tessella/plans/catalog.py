@@ -1,6 +1,7 @@
 """All registered map-data queries: importing this module fills the registry."""
 
 import tessella.plans.files  # noqa: F401
+import tessella.plans.formats  # noqa: F401
 import tessella.plans.queries  # noqa: F401
 from tessella.plans.registry import ORACLES, QUERIES
 

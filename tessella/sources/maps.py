@@ -66,6 +66,21 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ELEMENT)
 
 
+def zipped(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Element rows of the pbf files of those names in an archive; read where the archive's bytes are."""
+    wanted = set(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for data in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                    for name in z.namelist():
+                        if name.rpartition("/")[2] in wanted:
+                            yield pd.DataFrame(list(pbf.decode(z.read(name))), columns=ELEMENT.names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ELEMENT)
+
+
 def _plain_xml(data: bytes) -> Iterator[tuple]:
     import xml.etree.ElementTree as ET
 

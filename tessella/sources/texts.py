@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import units as U
@@ -224,8 +224,17 @@ def read_problems(text: str) -> list[tuple[str, int]]:
     return out
 
 
-def write_problems(problems: Iterable[tuple[str, int]]) -> str:
-    return "".join(f"{k}: {i} #\n" for k, i in sorted(problems, key=lambda p: (p[0] != "way", p[1])))
+def problem_lines(problems: DataFrame) -> DataFrame:
+    """value: the report's lines, ways first, by id; sorted by Spark, as their number grows with the map."""
+    return problems.orderBy(F.col("kind") != "way", "id").select(F.concat("kind", F.lit(": "), F.col("id").cast("string"), F.lit(" #")).alias("value"))
+
+
+def problem_parts(line: Column) -> Column:
+    """kind and id of a line of a problem list; null where there is none but a comment, an error where it is broken."""
+    body = F.trim(F.regexp_replace(line, "#.*", ""))
+    kind, number = (F.regexp_extract(body, r"^(way|rel)\s*:\s*(-?\d+)$", i) for i in (1, 2))
+    broken = F.raise_error(F.concat(F.lit("no problem element: "), line)).cast("struct<kind:string,id:bigint>")
+    return F.when(body == "", F.lit(None)).when(kind == "", broken).otherwise(F.struct(kind.alias("kind"), number.cast("long").alias("id")))
 
 
 def read_cities(spark: SparkSession, path: str) -> DataFrame:
@@ -236,15 +245,30 @@ def read_cities(spark: SparkSession, path: str) -> DataFrame:
     return out.where("id is not null and lat is not null and lon is not null and population is not null")
 
 
-def write_density(cells: Iterable[tuple[int, int, int]], bounds: Rect | None = None) -> str:
-    head = ",".join(map(str, bounds)) if bounds else "no_bounds_in_input"
-    return "\n".join([head, *(f"{x},{y},{n}" for x, y, n in sorted(cells) if n), ""])
+NO_BOUNDS = "no_bounds_in_input"  # fixed value of the format
+
 
+def write_density(cells: Iterable[tuple[int, int, int]], detail: Rect, told: Rect | None = None) -> str:
+    """Two lines of bounds, of the nodes and as the input told them, then x, y and number of each cell with nodes."""
+    head = [",".join(map(str, detail)), ",".join(map(str, told)) if told else NO_BOUNDS]
+    return "\n".join([*head, *(f"{x},{y},{n}" for x, y, n in sorted(cells) if n), ""])
 
-def read_density(text: str) -> tuple[list[tuple[int, int, int]], Rect | None]:
+
+def read_density(text: str) -> tuple[list[tuple[int, int, int]], Rect, Rect | None]:
+    """Cells, bounds of the nodes, and those that the input told, if any."""
     lines = text.splitlines()
-    bounds = None if lines[0] == "no_bounds_in_input" else tuple(map(int, lines[0].split(",")))
-    return [tuple(map(int, s.split(","))) for s in lines[1:] if s], bounds
+
+    def numbers(at: int, many: int) -> tuple[int, ...]:
+        try:
+            out = tuple(map(int, lines[at].split(",")))
+        except (IndexError, ValueError):
+            out = ()
+        if len(out) != many:
+            raise TextError(f"density file, line {at + 1}: {many} numbers are needed")
+        return out
+
+    told = None if len(lines) > 1 and lines[1].strip() == NO_BOUNDS else numbers(1, 4)
+    return [numbers(i, 3) for i in range(2, len(lines)) if lines[i].strip()], numbers(0, 4), told
 
 
 SEA_STEP = 1 << 15

@@ -70,7 +70,7 @@ def test_xml_odd_input(spark, tmp_path):
     assert [r.box for r in df.where("kind = 'bounds'").collect()] == [[1.0, 2.0, 3.0, 4.0]]
 
 
-def test_texts():
+def test_texts(spark):
     areas = [(63240001, (2207744, 79872, 2334720, 188416)), (63240002, (-10, -20, 30, 40))]
     assert texts.read_area_list(texts.write_area_list(areas)) == areas
     assert texts.read_area_list("63240001: 0x10,-0x20 to 0x30,0x40") == [(63240001, (16, -32, 48, 64))]
@@ -79,11 +79,13 @@ def test_texts():
         with pytest.raises(texts.TextError):
             texts.read_area_list(bad)
     problems = [("way", 5), ("rel", 2), ("way", -3)]
-    assert sorted(texts.read_problems(texts.write_problems(problems) + "\n# note\nway:7 # x\n")) == sorted([*problems, ("way", 7)])
+    lines = [r.value for r in texts.problem_lines(spark.createDataFrame(problems, "kind string, id long")).collect()]
+    assert sorted(texts.read_problems("\n".join([*lines, "# note", "way:7 # x"]))) == sorted([*problems, ("way", 7)])
     with pytest.raises(texts.TextError):
         texts.read_problems("node: 5")
     cells = [(1, 2, 3), (0, 5, 1)]
-    assert texts.read_density(texts.write_density(cells, (1, 2, 3, 4))) == (sorted(cells), (1, 2, 3, 4))
+    assert texts.read_density(texts.write_density(cells, (1, 2, 3, 4))) == (sorted(cells), (1, 2, 3, 4), None)
+    assert texts.read_density(texts.write_density(cells, (1, 2, 3, 4), (5, 6, 7, 8)))[1:] == ((1, 2, 3, 4), (5, 6, 7, 8))
     name, rings = texts.read_poly("p\n1\n 0 0\n 10 0\n 10 10\n 0 10\nEND\n!2\n 4 4\n 6 4\n 6 6\n 4 6\nEND\nEND\n")
     assert name == "p" and texts.in_rings(rings, 2, 2) and not texts.in_rings(rings, 5, 5) and not texts.in_rings(rings, 11, 5)
     with pytest.raises(texts.TextError):
