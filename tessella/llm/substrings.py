@@ -4,7 +4,7 @@ Every 50-byte string has a marker: the least hash of its 16-byte pieces. Neighbo
 stretch, so all occurrences of a string carry one marker. The corpus is kept in blocks of whole documents, and work goes
 back and forth between blocks and buckets of markers:
 
-1. Blocks send their distinct markers (48 bits each), buckets tell which of them stand in several documents. Stretches
+1. Blocks send their distinct markers (46 bits each), buckets tell which of them stand in several documents. Stretches
    with any other marker hold no repeated string and go no further.
 2. Blocks send their distinct remaining stretches, each with the smallest document of the block that holds it. A bucket
    builds one index over the distinct stretches of all blocks, streams every stretch through it, and tells the blocks
@@ -90,12 +90,18 @@ def stretches(raw: bytes, sizes: np.ndarray, length: int) -> tuple[np.ndarray, .
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none, none
     mark, place = _markers(raw, n, length)
-    start = np.union1d(np.flatnonzero(mark[1:] != mark[:-1]) + 1, base[long])
-    doc = long[np.searchsorted(base[long], start, "right") - 1]
-    last = base[doc] + sizes[doc] - length
-    ok = (start >= base[doc]) & (start <= last)
-    start, doc, last = start[ok], doc[ok], last[ok]
-    end = np.minimum(np.append(start[1:], n), last + 1)
+    fresh = np.empty(n, bool)
+    fresh[0] = False
+    np.not_equal(mark[1:], mark[:-1], out=fresh[1:])
+    fresh[base[long]] = True
+    whole = np.zeros(n + 1, np.int8)  # where strings may start
+    whole[base[long]] += 1
+    whole[base[long] + sizes[long] - length + 1] -= 1
+    fresh &= np.cumsum(whole[:n], dtype=np.int8).view(bool)
+    start = np.flatnonzero(fresh)
+    many = np.diff(np.append(np.searchsorted(start, base[long]), len(start)))
+    doc = np.repeat(long, many)
+    end = np.minimum(np.append(start[1:], n), np.repeat(base[long] + sizes[long] - length + 1, many))
     return start, end - start, mark[start], doc, place
 
 
@@ -105,84 +111,107 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - sizes), sizes)
 
 
-def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-    """The ranks of numbers; and their order, ties by place, where it comes with them."""
+def _sorted(key: np.ndarray, least_bits: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers in order, where a new one begins, and their places, which decide ties."""
     n = len(key)
-    bits = max(1, (n - 1).bit_length())
-    if int(key.max(initial=0)).bit_length() + bits > 64:
-        return np.unique(key, return_inverse=True)[1], None
-    both = np.sort(key << np.uint64(bits) | np.arange(n, dtype=np.uint64))
-    order = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
-    both >>= np.uint64(bits)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate(([False], both[1:] != both[:-1])))
-    return rank, order
+    bits = max(1, (n - 1).bit_length(), least_bits)
+    if int(key.max(initial=0)).bit_length() + bits <= 64:
+        both = np.sort(key << np.uint64(bits) | np.arange(n, dtype=np.uint64))
+        order = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+        both >>= np.uint64(bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        both = key[order]
+    fresh = np.empty(n, bool)
+    fresh[:1] = True
+    np.not_equal(both[1:], both[:-1], out=fresh[1:])
+    return both, fresh, order
+
+
+def _ranked(fresh: np.ndarray, order: np.ndarray) -> np.ndarray:
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return rank
 
 
 class RunIndex:
     """Run-length Burrows-Wheeler transform, to the depth of one string, of stretches that stand one after another by document.
 
-    docs: the document of each stretch, ascending. Nothing of the text's length is kept but the text itself.
+    docs: the document of each stretch, ascending. What is kept beside the text is by runs, strings and their steps.
     """
 
     def __init__(self, raw: bytes, starts: np.ndarray, counts: np.ndarray, docs: np.ndarray, length: int):
         self.raw, self.length = raw + bytes(16), length
         text = np.frombuffer(raw, np.uint8)
         at = spread(starts, counts)
-        rank, before_rank, order = self._ranks(text, length)
         use = np.zeros(len(text), bool)
         use[at] = True
-        order = order[use[order]]
-        ranked = rank[order]
-        head = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(order)]
-        node = np.cumsum(head) - 1
-        first = np.zeros(len(text), bool)
-        first[starts[counts > 0]] = True
-        before = np.where(first[order], 0, text[order - 1].astype(np.int64) + 1)
-        turn = head | np.concatenate(([True], before[1:] != before[:-1]))[: len(order)]
+        part, fresh, order = self._order(text, length)
+        string = np.cumsum(fresh, dtype=np.int32)
+        kept = use[order]
+        order, string = order[kept], string[kept]
+        head = np.empty(len(order), bool)
+        head[:1] = True
+        np.not_equal(string[1:], string[:-1], out=head[1:])
+        node = np.cumsum(head, dtype=np.int64) - 1
+        edge = np.zeros(len(text), bool)
+        edge[starts[counts > 0]] = True
+        before = np.where(edge[order], 0, text[order - 1].astype(np.int64) + 1)
+        turn = head.copy()
+        turn[1:] |= before[1:] != before[:-1]
         run = np.flatnonzero(turn)
-        self.run_node, self.run_byte = node[run], before[run]
-        stretch = np.searchsorted(starts, order[run], "right") - 1
-        self.run_doc = docs[stretch]  # the sample at each run's head
+        run_node, run_byte = node[run], before[run]  # the transform by runs
+        stretch = np.empty(len(text), np.int32)
+        stretch[at] = np.repeat(np.arange(len(starts), dtype=np.int32), counts)
+        self.runs, self.run_doc = len(run), docs[stretch[order[run]]]  # the sample at each run's head
         self.node_run = np.flatnonzero(head[run])  # the first run of each string
         self.node_at = order[run[self.node_run]]  # a sampled place of each string
         # steps: the pairs of string and byte before it, by byte, are in the order of the strings that they lead to
-        edge = np.unique(self.run_node[self.run_byte > 0] * 257 + self.run_byte[self.run_byte > 0])
-        by = np.argsort(edge % 257, kind="stable")
-        part, byte = before_rank[self.node_at[edge[by] // 257]], edge[by] % 257
-        fresh = np.concatenate(([True], (part[1:] != part[:-1]) | (byte[1:] != byte[:-1])))[: len(by)]
+        pairs, first, _ = _sorted((run_node * 257 + run_byte)[run_byte > 0].astype(np.uint64))
+        pairs = pairs[first].astype(np.int64)
+        self.step_byte = pairs % 257
+        self.node_step = np.searchsorted(pairs // 257, np.arange(len(self.node_at) + 1))  # where each string's steps begin
+        self.pairs = pairs
+        by = np.argsort(self.step_byte.astype(np.uint16), kind="stable")
+        place = self.node_at[pairs[by] // 257]
+        # two pairs lead to one string if they agree in all but the last byte of theirs
+        agree, close, byte = part[place], text[place + length - 2], self.step_byte[by]
+        fresh = np.empty(len(by), bool)
+        fresh[:1] = True
+        fresh[1:] = (agree[1:] != agree[:-1]) | (close[1:] != close[:-1]) | (byte[1:] != byte[:-1])
         reached = np.zeros(len(self.node_at), bool)
-        last = np.zeros(len(text), bool)
-        last[(starts + counts - 1)[counts > 0]] = True
-        reached[node[~last[order]]] = True
-        self.edge, self.target = edge, np.empty(len(edge), np.int64)
+        edge[:] = False
+        edge[(starts + counts - 1)[counts > 0]] = True
+        reached[node[~edge[order]]] = True
+        self.target = np.empty(len(by), np.int64)
         self.target[by] = np.flatnonzero(reached)[np.cumsum(fresh) - 1]
 
     @staticmethod
-    def _ranks(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ranks of the strings of `length` and of one byte less from each position on (by doubling), and the order of the former."""
+    def _order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ranks of the strings of two bytes less than `length` from each position on, by doubling; and the order of those of
+        `length`, with where a new string begins in it."""
         n = len(text)
         used = np.flatnonzero(np.bincount(text, minlength=256))
         code = np.zeros(256, np.uint64)
         code[used] = np.arange(1, len(used) + 1)
         bits = len(used).bit_length()
-        size = max(1, min(length - 1, (64 - max(1, (n - 1).bit_length())) // bits))
+        size = max(1, min(length - 2, (64 - max(1, (n - 1).bit_length())) // bits))
         wide = np.concatenate([code[text], np.zeros(length, np.uint64)])
-        key = np.zeros(n, np.uint64)
-        for i in range(size):
-            key = key << np.uint64(bits) | wide[i : i + n]
-        rank, order = _dense(key)
-        part = rank
-        while size < length:
-            step = min(size, length - 1 - size) or 1
-            if size == length - 1:
-                part = rank
-            after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1
-            shift = max(1, int(after.max(initial=0)).bit_length())
-            rank, order = _dense(rank.astype(np.uint64) << np.uint64(shift) | after.astype(np.uint64))
+        key = wide[:n].copy()
+        for i in range(1, size):
+            key <<= np.uint64(bits)
+            key |= wide[i : i + n]
+        del wide
+        while True:
+            _, fresh, order = _sorted(key)
+            if size == length:
+                return rank, fresh, order  # noqa: F821 (set in the round before)
+            rank = _ranked(fresh, order)
+            step = min(size, length - 2 - size) or 2
+            key = rank.astype(np.uint64)
+            key <<= np.uint64(max(1, n.bit_length()))
+            key[: n - step] |= (rank[step:] + 1).astype(np.uint64)
             size += step
-        return rank, part, np.argsort(rank, kind="stable") if order is None else order
 
     def find(self, raw: bytes, at: np.ndarray) -> np.ndarray:
         """The string of the index that each string of raw at the places given equals; -1 where none does."""
@@ -231,11 +260,19 @@ class RunIndex:
             own = lanes[:n]
             place = starts[own] + counts[own] - 1 - t
             if t:
-                node = node[:n]
-                key = node * 257 + text[place] + 1
-                at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1) if len(self.edge) else np.zeros(n, np.int64)
-                met = (node >= 0) & (self.edge[at] == key) if len(self.edge) else np.zeros(n, bool)
-                node = np.where(met, self.target[at], -1) if len(self.edge) else np.full(n, -1)
+                node, byte = node[:n], text[place].astype(np.int64) + 1
+                # most strings have one step
+                at = self.node_step[node]
+                met = (node >= 0) & (at < self.node_step[node + 1])
+                at[~met] = 0
+                met &= self.step_byte[at] == byte if len(self.pairs) else False
+                rest = np.flatnonzero(~met & (node >= 0))
+                if len(rest):
+                    key = node[rest] * 257 + byte[rest]
+                    other = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
+                    good = self.pairs[other] == key if len(self.pairs) else np.zeros(len(rest), bool)
+                    at[rest[good]], met[rest[good]] = other[good], True
+                node = np.where(met, self.target[at], -1) if len(self.pairs) else np.full(n, -1)
                 if not met.all():
                     node[~met] = self.find(raw, place[~met])
             hit = node >= 0
@@ -276,16 +313,12 @@ class Marks:
         x = unpack(data)
         self.id, self.none, self.size, self.raw = x["id"], x["none"], x["size"], x["text"].tobytes()
         self.start, self.count, mark, self.doc, self.place = stretches(self.raw, self.size, length)
-        self.mark = (mark * _MIX[0]) >> np.uint64(16)  # least hashes crowd near zero, so their bits are mixed anew
-        self.by = np.argsort(self.mark, kind="stable")
-        ranked = self.mark[self.by]
-        fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(ranked)]
-        self.distinct, self.first = ranked[fresh], np.flatnonzero(fresh)
-        self.inverse = np.empty(len(ranked), np.int64)
-        self.inverse[self.by] = np.cumsum(fresh) - 1
-        bucket = self.distinct % np.uint64(buckets)
+        self.mark = (mark * _MIX[0]) >> np.uint64(18)  # least hashes crowd near zero, so their bits are mixed anew
+        ranked, fresh, self.by = _sorted(self.mark)
+        self.distinct, self.first, self.inverse = ranked[fresh], np.flatnonzero(fresh), _ranked(fresh, self.by)
+        bucket = (self.distinct % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
         self.order = np.argsort(bucket, kind="stable")
-        self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1, dtype=np.uint64))
+        self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
 
     def several(self) -> np.ndarray:
         """Which markers stand in more than one document of the block."""
@@ -368,7 +401,8 @@ class Plan:
         first = np.flatnonzero(np.diff(self.which[by], prepend=-1))
         self.least = np.minimum.reduceat(m.id[doc][by], first) if len(first) else np.zeros(0, np.int64)
         self.strings = count[by][first]
-        bucket = ((key[by][first] * _MIX[1]) >> np.uint64(20)) % np.uint64(buckets)
+        mixed = (key[by][first] * _MIX[1]) >> np.uint64(20)
+        bucket, self.key = mixed % np.uint64(buckets), (mixed >> np.uint64(12)).astype(np.uint32)
         self.order = np.argsort(bucket, kind="stable")
         self.buckets, edges = np.unique(bucket[self.order], return_index=True)
         self.edges = np.append(edges, len(bucket))
@@ -390,83 +424,98 @@ class Plan:
         parts = ((start, at[first]), (count, np.diff(np.append(first, len(at)))), (key, more[first]), (doc, doc[owner[first]]))
         return tuple(np.concatenate([a[~hot], b]) for a, b in parts)
 
-    def packets(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Each bucket with the places of its stretches among the distinct ones."""
+    def packets(self, length: int) -> Iterator[tuple[int, bytes]]:
+        """Each bucket with its stretches, and last, under -1, what the block needs to know again when the answers come."""
         for i, bucket in enumerate(self.buckets.tolist()):
-            yield bucket, self.order[self.edges[i] : self.edges[i + 1]]
+            own = self.order[self.edges[i] : self.edges[i + 1]]
+            body = np.frombuffer(b"".join([self.distinct[j] for j in own]), np.uint8)
+            yield bucket, pack(3, key=self.key[own], least=self.least[own], count=self.strings[own].astype(np.int32), text=body)
+        small = lambda x: np.diff(x, prepend=0).astype(np.int32)
+        yield -1, pack(3, start=small(self.start), doc=small(self.doc), which=self.which.astype(np.int32), order=self.order.astype(np.int32), buckets=self.buckets.astype(np.int64), edges=small(self.edges), least=self.least, strings=self.strings.astype(np.int32))
 
 
 def _answer(parts: list[dict[str, np.ndarray]], length: int) -> Iterator[bytes]:
     """For each block's stretches of a bucket, what is the smallest document of each string: by segments of one document, none where it is the one told."""
     met: dict[bytes, int] = {}
-    which, least = [], np.concatenate([p["least"] for p in parts])
+    which, least, key = [], np.concatenate([p["least"] for p in parts]), np.concatenate([p["key"] for p in parts])
     for p in parts:
         raw = p["text"].tobytes()
-        ends = np.cumsum(p["count"] + length - 1)
-        which += [met.setdefault(raw[a:b], len(met)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        ends = np.cumsum(p["count"] + length - 1).tolist()
+        which += [met.setdefault(raw[a:b], len(met)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
     which = np.array(which)
     low = np.full(len(met), LAST_ID)
     np.minimum.at(low, which, least)
-    order = np.argsort(low, kind="stable")
-    distinct = list(met)
-    chosen = [distinct[i] for i in order]
-    del met, distinct
-    sizes = np.fromiter(map(len, chosen), np.int64, len(chosen))
-    raw = b"".join(chosen)
-    starts, counts = np.cumsum(sizes) - sizes, sizes - length + 1
-    early = RunIndex(raw, starts, counts, low[order], length).stream(raw, starts, counts)
-    first = np.cumsum(counts) - counts
-    fresh = np.concatenate(([True], early[1:] != early[:-1]))
-    fresh[first] = True
-    at = np.flatnonzero(fresh)
-    owner = np.searchsorted(first, at, "right") - 1
-    segments = np.bincount(owner, minlength=len(order))
-    begin = np.cumsum(segments) - segments
-    offset, doc = (at - first[owner]).astype(np.int32), early[at]
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    keys = np.empty(len(met), np.uint32)
+    keys[which] = key
+    # equal strings have equal keys, so the only text of a key shares its strings with no other
+    _, group, size = np.unique(keys, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(size[group] > 1)
+    order = several[np.argsort(low[several], kind="stable")]
+    segments, offset, doc = np.ones(len(met), np.int64), np.zeros(len(met), np.int32), low
+    begin = np.arange(len(met))
+    if len(order):
+        distinct = list(met)
+        chosen = [distinct[i] for i in order]
+        del distinct
+        sizes = np.fromiter(map(len, chosen), np.int64, len(chosen))
+        raw = b"".join(chosen)
+        starts, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+        early = RunIndex(raw, starts, counts, low[order], length).stream(raw, starts, counts)
+        first = np.cumsum(counts) - counts
+        fresh = np.concatenate(([True], early[1:] != early[:-1]))
+        fresh[first] = True
+        at = np.flatnonzero(fresh)
+        many = np.diff(np.append(np.searchsorted(at, first), len(at)))
+        segments[order] = many
+        begin[order] = len(met) + np.cumsum(many) - many
+        offset = np.concatenate([offset, (at - np.repeat(first, many)).astype(np.int32)])
+        doc = np.concatenate([doc, early[at]])
+    del met
     done = 0
     for p in parts:
-        own = place[which[done : done + len(p["count"])]]
+        own = which[done : done + len(p["count"])]
         done += len(p["count"])
         n = np.where((segments[own] == 1) & (doc[begin[own]] == p["least"]), 0, segments[own])
         take = spread(begin[own], n)
         yield pack(1, n=n.astype(np.int32), offset=offset[take], doc=doc[take])
 
 
-def _removed(plan: Plan, answers: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _removed(id_: np.ndarray, sizes: np.ndarray, answers: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """document (its place in the block), start and end of the maximal runs of bytes to be cut."""
-    if not len(plan.which):
-        return plan.which, plan.which, plan.which
     told = {bucket: unpack(data) for bucket, data in answers}
-    n = np.ones(len(plan.distinct), np.int64)
+    none = np.zeros(0, np.int64)
+    if -1 not in told:
+        return none, none, none
+    plan = told[-1]
+    start, doc_of, which, strings, edges = np.cumsum(plan["start"], dtype=np.int64), np.cumsum(plan["doc"], dtype=np.int64), plan["which"].astype(np.int64), plan["strings"].astype(np.int64), np.cumsum(plan["edges"], dtype=np.int64)
+    n = np.ones(len(strings), np.int64)
     parts = []
-    for bucket, own in plan.packets():
-        x = told[bucket]
+    for i, bucket in enumerate(plan["buckets"].tolist()):
+        x, own = told[bucket], plan["order"][edges[i] : edges[i + 1]].astype(np.int64)
         n[own] = np.maximum(x["n"], 1)
         parts.append((own, x))
     begin = np.cumsum(n) - n
-    offset, doc = np.zeros(int(n.sum()), np.int64), np.repeat(plan.least, n)
+    offset, doc = np.zeros(int(n.sum()), np.int64), np.repeat(plan["least"], n)
     for own, x in parts:
         at = spread(begin[own], x["n"])
         offset[at], doc[at] = x["offset"], x["doc"]
     size = np.append(offset[1:], 0)
-    size[begin + n - 1] = plan.strings
+    size[begin + n - 1] = strings
     size -= offset
-    mine = np.repeat(np.arange(len(plan.which)), n[plan.which])
-    seg = spread(begin[plan.which], n[plan.which])
-    hit = doc[seg] < plan.marks.id[plan.doc[mine]]
+    mine = np.repeat(np.arange(len(which)), n[which])
+    seg = spread(begin[which], n[which])
+    hit = doc[seg] < id_[doc_of[mine]]
     mine, seg = mine[hit], seg[hit]
-    owner = plan.doc[mine]
+    owner = doc_of[mine]
     # documents are set one byte apart, so that runs of neighbours do not join
-    a = plan.start[mine] + offset[seg] + owner
+    a = start[mine] + offset[seg] + owner
     e = a + size[seg] + length - 1
     by = np.argsort(a, kind="stable")
     a, e, owner = a[by], np.maximum.accumulate(e[by]), owner[by]
     fresh = np.concatenate(([True], a[1:] > e[:-1]))[: len(a)]
     first = np.flatnonzero(fresh)
     owner = owner[first]
-    base = (np.cumsum(plan.marks.size) - plan.marks.size)[owner] + owner
+    base = (np.cumsum(sizes) - sizes)[owner] + owner
     return owner, a[first] - base, e[np.append(first[1:], len(a))[: len(first)] - 1] - base
 
 
@@ -482,16 +531,12 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot:
     buckets = max(least, -(-(flags.agg(F.sum("n")).first()[0] or 0) * _AVERAGE // STRETCHES))
     told = flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("flags"))
 
-    def plan(data, flags_) -> Plan:
-        return Plan(data.as_py(), [(f["bucket"], f["data"]) for f in flags_.as_py() or []], mark_buckets, buckets, length)
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for block_, data, f in zip(b.column("block").to_pylist(), b.column("data"), b.column("flags"), strict=True):
-                p = plan(data, f)
-                for bucket, own in p.packets():
-                    body = b"".join([p.distinct[i] for i in own])
-                    yield block_, bucket, pack(6, least=p.least[own], count=p.strings[own].astype(np.int32), text=np.frombuffer(body, np.uint8))
+                plan = Plan(data.as_py(), [(x["bucket"], x["data"]) for x in f.as_py() or []], mark_buckets, buckets, length)
+                if len(plan.which):
+                    yield from ((block_, bucket, made) for bucket, made in plan.packets(length))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         def done() -> Iterator[tuple]:
@@ -501,6 +546,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot:
         now, held = None, []
         for b in batches:
             for block_, bucket, data in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), b.column("data"), strict=True):
+                if bucket < 0:
+                    yield block_, bucket, data.as_py()
+                    continue
                 if bucket != now and held:
                     yield from done()
                     held = []
@@ -511,15 +559,16 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            for data, f, found in zip(b.column("data"), b.column("flags"), b.column("answers"), strict=True):
-                p = plan(data, f)
-                owner, start, end = _removed(p, [(x["bucket"], x["data"]) for x in found.as_py() or []], length)
-                base = np.cumsum(p.marks.size) - p.marks.size
-                edges = np.searchsorted(owner, np.arange(len(p.marks.size) + 1))
-                for i, (doc_id, none, size) in enumerate(zip(p.marks.id.tolist(), p.marks.none.tolist(), p.marks.size.tolist(), strict=True)):
+            for data, found in zip(b.column("data"), b.column("answers"), strict=True):
+                x = unpack(data.as_py())
+                sizes, raw = x["size"], x["text"].tobytes()
+                owner, start, end = _removed(x["id"], sizes, [(y["bucket"], y["data"]) for y in found.as_py() or []], length)
+                base = np.cumsum(sizes) - sizes
+                edges = np.searchsorted(owner, np.arange(len(sizes) + 1))
+                for i, (doc_id, none, size) in enumerate(zip(x["id"].tolist(), x["none"].tolist(), sizes.tolist(), strict=True)):
                     own = slice(edges[i], edges[i + 1])
                     spans = list(zip(start[own].tolist(), end[own].tolist(), strict=True))
-                    text = p.marks.raw[base[i] : base[i] + size]
+                    text = raw[base[i] : base[i] + size]
                     kept, at = [], 0
                     for a, e in spans:
                         kept.append(text[at:a])
@@ -528,11 +577,13 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, hot:
                     yield None if none else doc_id, size, [{"start": a, "end": e} for a, e in spans], b"".join(kept)
 
     weigh = lambda r: len(r[-1]) + 64
-    whole = blocks.select("block", "data").join(told, "block", "left")
-    sent = map_rows(whole, send, "block long, bucket long, data binary", weigh).repartition("bucket").sortWithinPartitions("bucket")
+    whole = blocks.select("block", "data")
+    salted = F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.lit(0))  # what only passes through is spread by block
+    sent = map_rows(whole.join(told, "block", "left"), send, "block long, bucket long, data binary", weigh)
+    sent = sent.withColumn("salt", salted).repartition("bucket", "salt").sortWithinPartitions("bucket").drop("salt")
     answers = scratch.table(map_rows(sent, meet, "block long, bucket long, data binary", weigh), "answers")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("answers"))
-    return map_rows(whole.join(answers, "block", "left").select("data", "flags", "answers"), cut, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary", weigh)
+    return map_rows(whole.join(answers, "block", "left").select("data", "answers"), cut, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary", weigh)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
