@@ -6,6 +6,8 @@ floor(target / size of its source) times whole; for the rest, documents in seede
 rest is filled. The order is cut into buckets of about rows_per_bucket documents; bucket totals find the bucket in which
 a source's rest ends, and only that bucket is gone through document by document (the largest part ever gathered).
 
+No document is taken more often than max_epochs, rounded up.
+
 Defined results: a null source is a source of its own; null and empty texts have size 0 and may be taken or not at no
 cost; rows that repeat an id and a text are taken or left together; sources of size 0 have target 0; empty in, empty
 out. Sources are one row each in a table of their own, which is broadcast only if it has at most `few` rows.
@@ -13,6 +15,8 @@ out. Sources are one row each in a table of their own, which is broadcast only i
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -90,12 +94,12 @@ def mix(docs: DataFrame, size: Column, weigh, share: float = 1.5, max_epochs: fl
     full = plan.alias("p").join(ends.alias("e"), _same(F.col("p.source"), F.col("e.source")), "left").join(chosen.alias("c"), _same(F.col("p.source"), F.col("c.source")), "left")
     full = scratch.table(full.select(F.col("p.source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "whole", "buckets", F.coalesce("bucket", "buckets").alias("end"), "keys"), "plan")
 
-    bucket = F.pmod(F.col("mix_key"), F.col("buckets"))
-    more = F.when(bucket < F.col("end"), 1).when((bucket == F.col("end")) & F.coalesce(F.array_contains("keys", F.col("mix_key")), F.lit(False)), 1).otherwise(0)
-    old = docs.columns
-    out = docs.withColumn("mix_size", size).withColumn("mix_key", key).join(by_source(full), _same(F.col("source").cast("string"), F.col("mix_source")))
-    out = out.withColumn("mix_repeats", (F.col("whole") + more).cast("int")).withColumn("mix_taken", F.col("mix_repeats") * F.col("mix_size"))
-    return out.select(*[F.col(f"`{c}`") for c in old], *new)
+    # a document travels as one column, so that its columns meet none of these
+    told = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source").cast("string").alias("source"), size.alias("mix_size"), key.alias("key"))
+    bucket = F.pmod(F.col("key"), F.col("buckets"))
+    more = F.when(bucket < F.col("end"), 1).when((bucket == F.col("end")) & F.coalesce(F.array_contains("keys", F.col("key")), F.lit(False)), 1).otherwise(0)
+    out = told.join(by_source(full), _same(F.col("source"), F.col("mix_source"))).withColumn("mix_repeats", F.least(F.col("whole") + more, F.lit(math.ceil(max_epochs))).cast("int")).withColumn("mix_taken", F.col("mix_repeats") * F.col("mix_size"))
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns], *new)
 
 
 def code_point_weights(sources: DataFrame) -> DataFrame:

@@ -180,8 +180,10 @@ class Machine:
             self.clear()
         step, state, n = self.step, 0, 0
         for c in word[:-1]:
-            found = step[state].get(c)
-            state, added = found if found is not None else self.compile(state, c)
+            try:
+                state, added = step[state][c]
+            except KeyError:
+                state, added = self.compile(state, c)
             n += added
         added = self.last[state].get(word[-1])
         return n + (self.compile_last(state, word[-1]) if added is None else added)
