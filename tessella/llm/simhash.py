@@ -1,7 +1,10 @@
 """SimHash near-duplicates, linked by anchor points of a covering code.
 
 The 64 bits are cut into threshold // 2 + 1 parts, so that two fingerprints within the threshold differ in at most one
-bit of some part. In each part the anchors are the words of a perfect Hamming code on up to 15 bits, with the part's
+bit of some part. Where there are many fingerprints, parts are wider: of threshold + m - 1 blocks, every m together are a
+part, and again two fingerprints within the threshold differ in at most one bit of some part (at least m - 1 blocks are
+equal, and one more has a single difference at most). m follows the number of fingerprints, so that an anchor's share of them
+stays small: m = 1 has 2^17 anchors a part and sends 42 rows, 2 has 2^21 and 189, 3 has 2^27 and some 500. In each part the anchors are the words of a perfect Hamming code on up to 15 bits, with the part's
 other bits as they are: covering radius 1. A fingerprint is at home at its nearest anchor and is sent to every anchor
 within covering radius plus one; whatever is near it in that part is at home at one of those. Each anchor compares the
 fingerprints at home there with all that were sent to it, whole distance, and passes on a spanning forest of the links
@@ -16,7 +19,7 @@ text of fewer words than a shingle is one shingle; repeated rows share a compone
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -82,15 +85,23 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
 
 
 class Anchors:
-    """Anchors of the covering code for a threshold; built from the Hamming code's rule."""
+    """Anchors of the covering code for a threshold, over parts of `together` blocks; built from the Hamming code's rule."""
 
-    def __init__(self, threshold: int):
+    def __init__(self, threshold: int, together: int = 1):
         self.threshold = threshold
-        parts = threshold // 2 + 1
-        cuts = [64 * i // parts for i in range(parts + 1)]
-        self.parts = [(a, b - a, max((w for w in (15, 7, 3) if w <= b - a), default=0)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        blocks = min(64, threshold // 2 + 1 if together == 1 else threshold + together - 1)
+        cuts = [64 * i // blocks for i in range(blocks + 1)]
+        self.parts = []
+        for chosen in combinations(zip(cuts, cuts[1:], strict=False), min(together, blocks)):
+            width = sum(b - a for a, b in chosen)
+            self.parts.append((chosen, width, max((w for w in (15, 7, 3) if w <= width), default=0)))
         self.tables = {w: self._table(w) for _, _, w in self.parts if w}
 
+    @classmethod
+    def for_many(cls, threshold: int, n: int) -> Anchors:
+        """Anchors for n fingerprints."""
+        return cls(threshold, 1 if n <= 1 << 22 else 2 if n <= 1 << 27 else 3)
+
     @staticmethod
     def _table(w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each word of w bits: its anchor; the anchors within distance 2, the doubles among them masked."""
@@ -107,8 +118,11 @@ class Anchors:
     def deal(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """anchor key, fingerprint and whether it is at home there, for every anchor that it goes to."""
         keys, rows, homes = [], [], []
-        for p, (at, width, w) in enumerate(self.parts):
-            part = ((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        for p, (chosen, width, w) in enumerate(self.parts):
+            part, done = np.zeros(len(fps), np.int64), 0
+            for a, b in chosen:
+                part |= ((fps >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64) << done
+                done += b - a
             low, high = part & ((1 << w) - 1), part >> w
             home, near, fresh = self.tables[w] if w else (np.zeros(1, np.int64), np.zeros((1, 1), np.int64), np.ones((1, 1), bool))
             tag = np.int64(p) << np.int64(56)
@@ -168,9 +182,9 @@ def compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int, p
     return left, right
 
 
-def links(fps: DataFrame, threshold: int = 4, block: int = 1 << 15) -> DataFrame:
+def links(fps: DataFrame, threshold: int = 4, block: int = 1 << 15, anchors: Anchors | None = None) -> DataFrame:
     """a, b: links that join the same fingerprints as all links within the threshold do. fps: distinct fp."""
-    anchors = Anchors(threshold)
+    anchors = anchors or Anchors.for_many(threshold, fps.count())
     dealt_kind = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,6 +70,23 @@ def test_links_are_whole_for_many_thresholds(spark):
         assert roots(len(fps), got) == roots(len(fps), want)
 
 
+def test_wider_parts_find_the_same_links(spark):
+    r = random.Random(8)
+    seeds = [r.getrandbits(64) for _ in range(60)]
+    fps = sorted({s ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for s in seeds for _ in range(12)})
+    df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")
+    at = {x: i for i, x in enumerate(fps)}
+    sent = []
+    for t, together in ((4, 2), (4, 3), (3, 2), (2, 3), (1, 2)):
+        anchors = S.Anchors(t, together)
+        got = [(at[a % (1 << 64)], at[b % (1 << 64)]) for a, b in S.links(df, t, anchors=anchors).collect()]
+        want = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= t]
+        assert roots(len(fps), got) == roots(len(fps), want)
+        sent.append(len(anchors.deal(np.array(fps[:1], np.uint64))[0]))
+    assert sent[0] < 200 and sent[1] < 600
+    assert [len(S.Anchors.for_many(4, n).parts) for n in (10, 1 << 25, 1 << 40)] == [3, 10, 20]
+
+
 def test_components(spark):
     r = random.Random(7)
     pairs = [(i, i + 1) for i in range(40)] + [(r.randint(100, 300), r.randint(100, 300)) for _ in range(120)] + [(400, i) for i in range(401, 450)]
