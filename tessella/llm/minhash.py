@@ -1,6 +1,8 @@
-"""Near copies by exact similarity of word-shingle sets, with banded MinHash for the candidates.
+"""Near copies by exact similarity of word-shingle sets: SimHash anchors give candidates, and banded MinHash those that they miss.
 
-Rows of equal shingle sets are one first. Each distinct set then has BANDS fingerprints, each of WIDTH minimum hashes; a
+Rows of equal shingle sets are one first. SimHash fingerprints of the shingles are linked by anchors of a covering code (see
+simhash). That finds copies that differ little, yet few of those at a similarity close to 0.8, whose fingerprints differ in
+some 10 of 64 bits; an anchor's reach up to there would take in a large part of all pairs. So each distinct set also then has BANDS fingerprints, each of WIDTH minimum hashes; a
 pair of similarity s shares one of them with probability 1 - (1 - s ** WIDTH) ** BANDS, 0.9996 at 0.8. Every link that
 is used is confirmed on the two sets themselves: first one for each row, to the smallest of the rows that lead its
 fingerprints; then, in a few turns, to some rows of its fingerprints in other components, drawn by hash; at last all pairs of
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from tessella.llm import scratch
 from tessella.llm.arrow import map_rows, texts
 from tessella.llm.components import components
-from tessella.llm.simhash import shingle_hashes
+from tessella.llm.simhash import links as simhash_links
+from tessella.llm.simhash import shingle_hashes, simhash
 
 BANDS, WIDTH = 20, 5
 _RNG = np.random.default_rng(42)
@@ -35,7 +38,11 @@ _ODD = _RNG.integers(0, 1 << 64, BANDS * WIDTH, np.uint64) | np.uint64(1)
 
 def shingles(text: bytes, k: int) -> np.ndarray:
     """The set of a text's shingle hashes, in order."""
-    return np.unique(np.array(shingle_hashes(text, k), np.uint64))
+    return _set(shingle_hashes(text, k))
+
+
+def _set(hashes: list[int]) -> np.ndarray:
+    return np.unique(np.array(hashes, np.uint64))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -113,31 +120,45 @@ def _drawn(told: DataFrame, turn: int, tries: int) -> DataFrame:
     return pairs.withColumn("nth", nth).where(F.col("nth") <= tries).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, turns: int = 2, tries: int = 4) -> DataFrame:
+def _linked(own: DataFrame, threshold: int) -> DataFrame:
+    """a, b: rows of one SimHash fingerprint with the first of them, and the first ones of fingerprints within the threshold."""
+    leads = scratch.table(own.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    same = own.join(leads, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    lead = lambda x: leads.select(F.col("fp").alias(x), F.col("lead").alias("lead_" + x))
+    close = simhash_links(leads.select("fp"), threshold).join(lead("a"), "a").join(lead("b"), "b")
+    return same.union(close.select(F.least("lead_a", "lead_b"), F.greatest("lead_a", "lead_b")))
+
+
+def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, turns: int = 2, tries: int = 4, threshold: int = 4) -> DataFrame:
     """row, doc_id, component_id (the smallest doc_id reachable over links) and kept (the row that stands for the component:
     one of that id, or of null ids alone any) of every row; docs: row (distinct), doc_id, text."""
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        ids, sets, size = [], [], 0
+        ids, hashes, size = [], [], 0
+
+        def done() -> Iterator[tuple]:
+            sets = [_set(h) for h in hashes]
+            yield from ((*x, xxhash.xxh3_128_digest(f.tobytes()), g, p) for x, f, g, p in zip(ids, sets, bands(sets), simhash(hashes).view(np.int64).tolist(), strict=True))
+
         for b in batches:
             for row, i, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), texts(b), strict=True):
                 ids.append((row, i))
-                sets.append(shingles(t, k))
-                size += len(sets[-1])
+                hashes.append(shingle_hashes(t, k))
+                size += len(hashes[-1])
                 if size > 100_000 or len(ids) > 5000:
-                    yield from ((*x, xxhash.xxh3_128_digest(f.tobytes()), g) for x, f, g in zip(ids, sets, bands(sets), strict=True))
-                    ids, sets, size = [], [], 0
-        yield from ((*x, xxhash.xxh3_128_digest(f.tobytes()), g) for x, f, g in zip(ids, sets, bands(sets), strict=True))
+                    yield from done()
+                    ids, hashes, size = [], [], 0
+        yield from done()
 
-    prints = scratch.table(map_rows(rows, run, "row long, doc_id long, same binary, bands array<long>"), "prints")
-    own = prints.groupBy("same").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("bands").alias("bands"))
+    prints = scratch.table(map_rows(rows, run, "row long, doc_id long, same binary, bands array<long>, fp long"), "prints")
+    own = prints.groupBy("same").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
     own = scratch.table(own, "distinct")
     sent = own.select("node", F.posexplode("bands").alias("at", "band"))
     hubs = sent.groupBy("at", "band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = scratch.table(sent.join(hubs, ["at", "band"]), "near")
     first = near.where("hub <> node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    links = scratch.table(confirmed(first, rows, k, least), "links")
+    links = scratch.table(confirmed(first.union(_linked(own, threshold)).distinct(), rows, k, least), "links")
     star = scratch.table(components(links), "star")
     told = _told(near, star)
     for turn in range(turns + 1):
