@@ -24,15 +24,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxic passages make label 1 the likelier one go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels, lambda i: ~held_out(i))
-    return score_toxicity(docs, model).where("toxic_score < 0.5").select(*_names(docs))
+    return _apart(docs, {"toxic_score", "toxic_passages"}, lambda d: score_toxicity(d, model).where("toxic_score < 0.5"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of the rows that links of a similarity of 0.8 or more on five-word shingles join, one with the smallest id stays."""
-    rows = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_copies(rows.select(F.col("_row").alias("row"), "doc_id", "text"), NEAR_WORDS, NEAR_SIMILARITY)
-    gone = found.where("row <> kept").select(F.col("row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*_names(docs))
+
+    def run(docs: DataFrame) -> DataFrame:
+        rows = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        found = near_copies(rows.select(F.col("_row").alias("row"), "doc_id", "text"), NEAR_WORDS, NEAR_SIMILARITY)
+        gone = found.where("row <> kept").select(F.col("row").alias("_row"))
+        return rows.join(gone, "_row", "left_anti")
+
+    return _apart(docs, {"_row"}, run)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +44,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.struct("doc_id", F.xxhash64("text").alias("text"))
     found = contamination(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = found.where("n_hit > 0").select(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.text").alias("gone_text")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_text")), "left_anti")
+    d, g = docs.alias("d"), gone.alias("g")
+    return d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.gone_id")) & (F.xxhash64("d.text") == F.col("g.gone_text")), "left_anti")
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets become pseudonyms of the same format."""
-    out = add_pseudonyms(docs).select(*_names(docs))
+    out = _apart(docs, {"pii_count", "pii_kinds"}, add_pseudonyms)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -65,8 +70,11 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _names(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+def _apart(docs: DataFrame, taken: set[str], run) -> DataFrame:
+    """What run makes of docs, with the columns of docs alone; those that have a name that run adds are set aside meanwhile."""
+    aside = {c: f"_aside_{c}" for c in docs.columns if c.lower() in taken}
+    out = run(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
