@@ -20,7 +20,7 @@ from tessella.operators import regions as R
 from tessella.operators import solver as S
 from tessella.operators.bounded import cut
 from tessella.operators.rangejoin import area_names
-from tessella.sources import element, maps, texts
+from tessella.sources import element, maps, storage, texts
 
 __version__ = "0.1"
 DEFAULT_OVERLAP = 2000
@@ -293,10 +293,8 @@ def _complete(spark, nodes, ways, relations, areas, listed, problems, node_sets,
 
 
 def _save(folder: str, name: str, text: str | Iterable[str]) -> None:
-    """A small file, or lines one after another, on the driver's side."""
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-        f.writelines([text] if isinstance(text, str) else text)
+    """A small file, or lines one after another, written by the driver to a folder or store."""
+    storage.save(f"{folder.rstrip('/')}/{name}", (x.encode() for x in ([text] if isinstance(text, str) else text)))
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.tags import element_version
-from tessella.sources import o5m, pbf, xml
+from tessella.sources import o5m, pbf, storage, xml
 from tessella.sources.element import ELEMENT
 
 EXTENSIONS = {"pbf": "osm.pbf", "o5m": "o5m", "xml": "osm.gz", "simulate": None}
@@ -49,8 +49,8 @@ def read_elements(spark: SparkSession, paths: list[str], kinds: tuple[str, ...]
 
 
 def _binary(spark: SparkSession, path: str) -> DataFrame:
-    """Files that Spark opens as bytes; pbf files go by blobs where they are plain files."""
-    if path.endswith(".pbf") and (path.startswith("file:") or "://" not in path):
+    """Files that Spark opens as bytes; pbf files go by blobs where executors can open them themselves."""
+    if path.endswith(".pbf") and storage.known(path):
         spark.dataSource.register(pbf.PbfSource)
         return spark.read.format("map_pbf").load(path)
 
@@ -133,15 +133,10 @@ def tile_files(elements: DataFrame, tiles: DataFrame, areas: DataFrame, form: st
 
 
 def write_tiles(files: DataFrame, folder: str) -> None:
-    """Saves each file under its own name in a folder that the executors share; a retried task replaces its files whole."""
+    """Saves each file under its own name in a shared folder or store; a retried task replaces its files whole."""
 
     def save(rows) -> None:
-        import os
-
         for r in rows:
-            os.makedirs(folder, exist_ok=True)
-            with open(f"{folder}/.{r.file}.tmp", "wb") as f:
-                f.write(r.data)
-            os.replace(f"{folder}/.{r.file}.tmp", f"{folder}/{r.file}")
+            storage.save(f"{folder}/{r.file}", [bytes(r.data)])
 
     files.select("file", "data").foreachPartition(save)

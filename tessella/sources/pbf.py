@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessella.sources.element import ELEMENT, row
+from tessella.sources.storage import open_input
 from tessella.sources.wire import field, fields, packed, signed, unpacked, unzigzag, zigzag
 
 KINDS = ["node", "way", "relation"]
@@ -192,9 +193,9 @@ class _Blobs(InputPartition):
 
 
 class PbfSource(DataSource):
-    """spark.read.format("map_pbf").load(path): path must be readable as a file by the driver and the executors.
+    """spark.read.format("map_pbf").load(path): a local path or an address of a store that sources.storage opens.
 
-    For paths that only Spark opens, read_elements goes by binaryFile instead.
+    For addresses that only Spark opens, read_elements goes by binaryFile instead.
     """
 
     @classmethod
@@ -212,12 +213,12 @@ class _Reader(DataSourceReader):
     SIZE = 32 << 20
 
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def partitions(self):
         """Runs of blobs of about SIZE bytes; only their headers are read."""
         parts, held, size = [], [], 0
-        with open(self.path, "rb") as f:
+        with open_input(self.path) as f:
             while head := f.read(4):
                 info = dict(fields(f.read(struct.unpack(">I", head)[0])))
                 held.append((f.tell(), info[3], info[1].decode()))
@@ -229,7 +230,7 @@ class _Reader(DataSourceReader):
         return [*parts, _Blobs(self.path, held)] if held or not parts else parts
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
+        with open_input(partition.path) as f:
             for start, size, kind in partition.spots:
                 f.seek(start)
                 block = inflate(f.read(size))
