@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass, fields
@@ -306,12 +305,8 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def convert(spark: SparkSession, paths: list[str], target: str, form: str = "pbf") -> None:
-    """Any format to any other, versions removed; one file, written by one task."""
-    rows = maps.read_elements(spark, paths).where("kind <> 'bounds'").orderBy("id")
-    named = rows.withColumn("area_idx", F.lit(0))
-    tiles = named.select("kind", "id", F.array("area_idx").alias("areas"))
-    world = spark.createDataFrame([(0, 0, *D.WORLD)], "area_idx int, map_id int, min_lat int, min_lon int, max_lat int, max_lon int")
-    maps.write_tiles(maps.tile_files(rows, tiles, world, form).withColumn("file", F.lit(os.path.basename(target))), os.path.dirname(target) or ".")
+    """Any format to any other, versions removed, as one file."""
+    maps.whole_file(maps.read_elements(spark, paths), target, form)
 
 
 if __name__ == "__main__":

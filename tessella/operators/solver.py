@@ -352,27 +352,47 @@ def bisect_tiles(m: DensityMap, most: int, t: Tile | None = None) -> list[Tile]:
     return sorted(out)
 
 
-def mean_bisect(spark: SparkSession, nodes: DataFrame, most: int, shift: int = 11) -> list[Rect]:
-    """Bisection of the nodes themselves at their mean position, one aggregate for each rectangle."""
+def mean_bisect(spark: SparkSession, nodes: DataFrame, most: int, shift: int = 11, clamped: bool = False) -> list[Rect]:
+    """Bisection of the nodes themselves at their mean position on the grid, all rectangles of a level by one aggregate.
+
+    clamped: cuts keep to the middle three fifths, and widths are compared at the latitude where they are largest, as the
+    oldest versions did. The driver holds a row for each rectangle, the nodes stay where they are.
+    """
     from pyspark.sql import functions as F
 
-    out: list[Rect] = []
-    todo: list[Rect] = [(-U.MAX_LAT, -U.MAX_LON, U.MAX_LAT, U.MAX_LON)]
-    while todo:
-        a, b, c, d = todo.pop()
-        own = nodes.where(F.col("map_lat").between(a, c - 1) & F.col("map_lon").between(b, d - 1))
-        n, lat, lon = own.agg(F.count("*"), F.avg("map_lat"), F.avg("map_lon")).first()
-        if n <= most:
-            out += [(a, b, c, d)] if n else []
-            continue
-        wide = d - b >= c - a
-        at = U.near(int(lon if wide else lat), shift)
-        low, high = (b, d) if wide else (a, c)
-        if not low < at < high:
-            out.append((a, b, c, d))
-        else:
-            todo += [(a, b, c, at), (a, at, c, d)] if wide else [(a, b, at, d), (at, b, c, d)]
-    return sorted(out)
+    from tessella.operators.bounded import cut as keep
+
+    rects: dict[int, Rect] = {1: (-U.MAX_LAT, -U.MAX_LON, U.MAX_LAT, U.MAX_LON)}
+    done: set[int] = set()
+    now, level = nodes.select("map_lat", "map_lon", F.lit(1).cast("long").alias("part")), 0
+    while True:
+        found = now.groupBy("part").agg(F.count("*").alias("n"), F.avg("map_lat").alias("lat"), F.avg("map_lon").alias("lon")).collect()
+        cuts = []
+        for r in found:
+            if r.n <= most or r.part in done:
+                continue
+            a, b, c, d = rects[r.part]
+            shrink = max(math.cos(math.radians(v * 360 / U.UNITS)) for v in (a, c)) if clamped else 1.0
+            wide = (d - b) * shrink >= c - a
+            low, high = (b, d) if wide else (a, c)
+            mean = int(r.lon if wide else r.lat)
+            if clamped:
+                fifth = (high - low) // 5
+                mean = min(max(mean, low + fifth), high - fifth)
+            at = U.near(mean, shift)
+            if not low < at < high:
+                done.add(r.part)
+                continue
+            rects[2 * r.part], rects[2 * r.part + 1] = ((a, b, c, at), (a, at, c, d)) if wide else ((a, b, at, d), (at, b, c, d))
+            cuts.append((r.part, wide, at))
+        if not cuts:
+            return sorted(rects[r.part] for r in found)
+        table = spark.createDataFrame(cuts, "part long, wide boolean, at int")  # a row for each rectangle that is cut
+        upper = (F.when(F.col("wide"), F.col("map_lon")).otherwise(F.col("map_lat")) >= F.col("at")).cast("long")
+        now = now.join(F.broadcast(table), "part", "left").select("map_lat", "map_lon", F.when(F.col("at").isNull(), F.col("part")).otherwise(2 * F.col("part") + upper).alias("part"))
+        level += 1
+        if level % 4 == 0:
+            now = keep(now)
 
 
 def trim_outer(m: DensityMap, tiles: list[Tile]) -> list[Tile]:

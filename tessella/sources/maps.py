@@ -7,8 +7,11 @@ import gzip
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,35 +104,90 @@ def _plain_xml(data: bytes) -> Iterator[tuple]:
             yield row("relation", int(e.get("id")), int(e.get("version", 0)), members=known, tags=tags)
 
 
-def encode(form: str, rows: list[tuple], box: tuple[float, float, float, float] | None) -> bytes:
+PIECE_ROWS = 50_000  # rows that are Python objects at a time
+
+
+def opening(form: str, box: tuple[float, float, float, float] | None = None, versions: bool = False) -> bytes:
+    """The head of a file; box: bottom, left, top, right in degrees."""
+    if form == "xml":
+        return gzip.compress(xml.opening(box, versions), mtime=0)
+    return pbf.encode([], box) if form == "pbf" else o5m.encode([], box)[:-1]
+
+
+def piece(form: str, rows: list[tuple]) -> bytes:
+    """Rows of nodes, ways or relations, in this order, as a part of a file: parts stand one after another."""
     if form == "xml":
-        return gzip.compress(xml.encode(rows, box), mtime=0)
-    return {"pbf": pbf.encode, "o5m": o5m.encode}[form](rows, box)
+        return gzip.compress(xml.elements(rows), mtime=0)
+    return pbf.encode(rows)[len(pbf.encode([])) :] if form == "pbf" else o5m.encode(rows)[len(o5m.encode([])) - 1 : -1]
+
+
+def closing(form: str) -> bytes:
+    return {"pbf": b"", "o5m": bytes([o5m.END]), "xml": gzip.compress(xml.CLOSING, mtime=0)}[form]
+
+
+def _in_order(elements: DataFrame) -> DataFrame:
+    return elements.withColumn("nth", F.when(F.col("kind") == "node", 0).when(F.col("kind") == "way", 1).otherwise(2))
+
+
+def _rows(batch: pa.RecordBatch) -> list[tuple]:
+    told = batch.select(["kind", "id", "version", "lat", "lon", "refs", "members", "tags"]).to_pylist()
+    return [(r["kind"], r["id"], r["version"], r["lat"], r["lon"], r["refs"], None if r["members"] is None else [(m["type"], m["ref"], m["role"]) for m in r["members"]], [(t["k"], t["v"]) for t in r["tags"] or ()], None) for r in told]
 
 
 def tile_files(elements: DataFrame, tiles: DataFrame, areas: DataFrame, form: str = "pbf", versions: str = "remove") -> DataFrame:
     """map_id, file, data: the encoded file of every area.
 
     elements: element rows; tiles: kind, id, areas (sets of area_idx); areas: area_idx, map_id and edges. One shuffle by
-    area. A tile is one task, and the node limit bounds a tile.
+    area, sorted by the engine; a task holds the encoded file of a tile, which the node limit bounds, and PIECE_ROWS rows.
     """
     if form not in EXTENSIONS or form == "simulate":
         raise MapError(f"no files of form {form}")
     own = elements.withColumn("version", element_version(F.col("version"), versions))
     dealt = own.join(tiles.select("kind", "id", F.explode("areas").alias("area_idx")), ["kind", "id"])
     whole = dealt.join(areas.select("area_idx", "map_id", "min_lat", "min_lon", "max_lat", "max_lon"), "area_idx")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        box = tuple(float(first[k]) * 360 / (1 << 24) for k in ("min_lat", "min_lon", "max_lat", "max_lon"))
-        pdf = pdf.sort_values("id", kind="stable")
-        value = lambda v: None if v is None or (isinstance(v, float) and v != v) else v
-        part = lambda v, keys: [tuple(x[k] for k in keys) for x in v] if v is not None else None
-        rows = [(r.kind, int(r.id), int(r.version), value(r.lat), value(r.lon), None if r.refs is None else [int(x) for x in r.refs], part(r.members, ("type", "ref", "role")), part(r.tags, ("k", "v")) or [], None) for r in pdf.itertuples()]
-        name = f"{int(first['map_id']):08d}.{EXTENSIONS[form]}"
-        return pd.DataFrame([(int(first["map_id"]), name, encode(form, rows, box))], columns=["map_id", "file", "data"])
-
-    return whole.groupBy("map_id").applyInPandas(one, "map_id int, file string, data binary")
+    edges = ["min_lat", "min_lon", "max_lat", "max_lon"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, held = None, [], []
+
+        def done() -> pa.RecordBatch:
+            data = b"".join([*parts, piece(form, held) if held else b"", closing(form)])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([f"{now:08d}.{EXTENSIONS[form]}"]), pa.array([data], pa.binary())], names=["map_id", "file", "data"])
+
+        for batch in batches:
+            ids = batch.column("map_id").to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if ids[i] != now:
+                    if now is not None:
+                        yield done()
+                    now, held = int(ids[i]), []
+                    box = tuple(batch.column(k)[i].as_py() * 360 / (1 << 24) for k in edges)
+                    parts = [opening(form, box, versions != "remove")]
+                held += _rows(batch.slice(i, j - i))
+                if len(held) >= PIECE_ROWS:
+                    parts.append(piece(form, held))
+                    held = []
+        if now is not None:
+            yield done()
+
+    order = _in_order(whole).repartition("map_id").sortWithinPartitions("map_id", "nth", "id")
+    return order.select("map_id", *edges, *ELEMENT.names[:-1]).mapInArrow(run, "map_id int, file string, data binary")
+
+
+def whole_file(elements: DataFrame, path: str, form: str = "pbf") -> None:
+    """All elements as one file: ranges of them are encoded side by side, and the driver strings the parts together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([piece(form, _rows(batch))], pa.binary())], names=["data"])
+
+    parts = _in_order(elements.where("kind <> 'bounds'").withColumn("version", F.lit(0))).orderBy("nth", "id")
+    data = parts.select(*ELEMENT.names[:-1]).mapInArrow(run, "data binary")
+    storage.save(path, chain([opening(form)], (bytes(r.data) for r in data.toLocalIterator()), [closing(form)]))
 
 
 def write_tiles(files: DataFrame, folder: str) -> None:

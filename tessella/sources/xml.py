@@ -61,17 +61,31 @@ def _quoted(s: str) -> str:
     return quoteattr(s, {"\n": "&#10;", "\r": "&#13;", "\t": "&#9;", "'": "&apos;"}).replace("&quot;", '"') if '"' not in s else '"' + s.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;").replace("'", "&apos;").replace("\n", "&#10;").replace("\r", "&#13;").replace("\t", "&#9;") + '"'
 
 
-def encode(rows: Iterable[tuple], box: tuple[float, float, float, float] | None = None) -> bytes:
-    """The text of a file: version 0.5 if no element has one; coordinates with 7 digits."""
-    order = {"node": 0, "way": 1, "relation": 2}
-    rows = sorted((r for r in rows if r[0] in order), key=lambda r: order[r[0]])
-    out = ["<?xml version='1.0' encoding='UTF-8'?>", f"<osm version='{'0.6' if any(r[2] for r in rows) else '0.5'}'>"]
+CLOSING = b"</osm>\n"
+
+
+def opening(box: tuple[float, float, float, float] | None, versions: bool) -> bytes:
+    """The head of a file: version 0.5 if no element has one."""
+    out = ["<?xml version='1.0' encoding='UTF-8'?>", f"<osm version='{'0.6' if versions else '0.5'}'>"]
     if box:
         out.append(f"<bounds minlat='{box[0]:.7f}' minlon='{box[1]:.7f}' maxlat='{box[2]:.7f}' maxlon='{box[3]:.7f}'/>")
-    for kind, id_, version, lat, lon, refs, members, tags, _ in rows:
+    return "\n".join([*out, ""]).encode()
+
+
+def elements(rows: Iterable[tuple]) -> bytes:
+    """Nodes, ways and relations, in this order; coordinates with 7 digits."""
+    order = {"node": 0, "way": 1, "relation": 2}
+    out = []
+    for kind, id_, version, lat, lon, refs, members, tags, _ in sorted((r for r in rows if r[0] in order), key=lambda r: order[r[0]]):
         head = f"<{kind} id='{id_}'" + (f" version='{version}'" if version else "") + (f" lat='{lat:.7f}' lon='{lon:.7f}'" if kind == "node" else "")
         inner = [f"<nd ref='{r}'/>" for r in refs or ()]
         inner += [f"<member type='{m[0]}' ref='{m[1]}' role={_quoted(m[2] or '')}/>" for m in members or () if m[0] and m[1]]
         inner += [f"<tag k={_quoted(k)} v={_quoted(v)}/>" for k, v in tags or ()]
         out.append(head + (">" + "".join(inner) + f"</{kind}>" if inner else "/>"))
-    return "\n".join([*out, "</osm>", ""]).encode()
+    return "\n".join([*out, ""]).encode()
+
+
+def encode(rows: Iterable[tuple], box: tuple[float, float, float, float] | None = None) -> bytes:
+    """The text of a whole file."""
+    rows = list(rows)
+    return opening(box, any(r[2] for r in rows)) + elements(rows) + CLOSING
