@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import mixing as M
+from tests_llm_plain import plain_targets
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -15,20 +16,6 @@ def size(text):
     return len(WORD.findall((text or "").encode()))
 
 
-def plain_targets(sizes, weights, budget, most):
-    """Fills all sources by weight, clamps those that are above their limit, and shares the rest anew until none is."""
-    out, free = {}, set(sizes)
-    while free:
-        rest = budget - sum(out.values())
-        total = sum(weights[s] for s in free)
-        over = {s for s in free if rest * weights[s] / total >= most * sizes[s]}
-        if not over:
-            return out | {s: rest * weights[s] / total for s in free}
-        out |= {s: most * sizes[s] for s in over}
-        free -= over
-    return out
-
-
 def rows(spark, seed=5):
     r = random.Random(seed)
     told = []

@@ -28,3 +28,35 @@ def windows_hit(text, bench, width=13):
             if tuple(d[i : i + n]) in wins:
                 hit |= set(range(i, i + n))
     return len(d), len(hit)
+
+
+def plain_targets(sizes, weights, budget, most):
+    """Fills all sources by weight, clamps those that are above their limit, and shares the rest anew until none is."""
+    out, free = {}, set(sizes)
+    while free:
+        rest = budget - sum(out.values())
+        total = sum(weights[s] for s in free)
+        over = {s for s in free if rest * weights[s] / total >= most * sizes[s]}
+        if not over:
+            return out | {s: rest * weights[s] / total for s in free}
+        out |= {s: most * sizes[s] for s in over}
+        free -= over
+    return out
+
+
+def plain_segments(scores):
+    """Scores of all maximal scoring segments: positive tokens join those before them while both sides gain by it."""
+    found, total = [], 0.0
+    for v in scores:
+        before, total = total, total + v
+        if v <= 0:
+            continue
+        new = (before, total)
+        while True:
+            j = max((j for j, x in enumerate(found) if x[0] < new[0]), default=None)
+            if j is None or found[j][1] >= new[1]:
+                break
+            new = (found[j][0], new[1])
+            del found[j:]
+        found.append(new)
+    return [y - x for x, y in found]
