@@ -19,7 +19,7 @@ from tessella.operators import regions as R
 from tessella.operators import solver as S
 from tessella.operators.bounded import cut
 from tessella.operators.rangejoin import area_names
-from tessella.sources import element, maps, storage, texts
+from tessella.sources import element, maps, storage, texts, xml
 
 __version__ = "0.1"
 DEFAULT_OVERLAP = 2000
@@ -131,6 +131,7 @@ class Result:
     areas: DataFrame
     problems: DataFrame | None = None
     tiles: DataFrame | None = None
+    counters: DataFrame | None = None  # kind, n, last: counted when asked for
 
 
 def _text(spark: SparkSession, path: str) -> str:
@@ -226,9 +227,9 @@ def _regions(spark: SparkSession, o: SplitOptions) -> list:
 
 def run(spark: SparkSession, o: SplitOptions, files: list[str]) -> Result:
     """All phases up to stop_after; frames stay lazy beyond what a phase has to know."""
-    elements = maps.read_elements(spark, files)
+    elements = xml.strict_nodes(maps.read_elements(spark, files))
     areas = cut(plan_areas(spark, o, elements, files))
-    result = Result(areas)
+    result = Result(areas, counters=element.counters(elements))
     listed = [(r.map_id, (r.min_lat, r.min_lon, r.max_lat, r.max_lon), r.name) for r in areas.orderBy("map_id").collect()]
     save = lambda name, text: _save(o.output_dir, name, text)
     if not o.split_file:
@@ -280,6 +281,9 @@ def _complete(spark, nodes, ways, relations, areas, listed, problems, node_sets,
     needed = cut(C.needed_ways(problems.where("kind = 'way'").select(F.col("id").alias("way_id")), mem, rels))
     own_ways, own_mem = ways.join(needed.withColumnRenamed("way_id", "id"), "id", "left_semi"), cut(mem.join(rels, "rel_id", "left_semi"))
     points = cut(C.way_points(A.way_refs(own_ways), nodes))
+    odd = [r.way_id for r in C.way_boxes(points).where(U.crosses_antimeridian(U.rect("box_"))).select("way_id").limit(20).collect()]
+    if odd:
+        warnings.warn(f"ways that seem to cross the 180th meridian (20 of them at most): {odd}", stacklevel=2)
     simple = spark.createDataFrame([(s,) for s in C.simple_neighbours([r for _, r, _ in listed])], "areas array<int>")
     whole = cut(C.whole_way_areas(own_ways, points, areas, simple))
     from_members = C.relation_sets(own_mem, node_sets, whole)

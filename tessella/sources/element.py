@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.tags import without_author
-from tessella.functions.units import to_map_unit
+from tessella.functions.units import rect, to_map_unit, verify
 from tessella.schema import ELEMENT
 
-__all__ = ["ELEMENT", "bounds", "counted", "counters", "nodes", "relations", "row", "ways"]
+__all__ = ["ELEMENT", "bounds", "counters", "nodes", "relations", "row", "ways"]
 
 
 def row(kind: str, id_: int | None = None, version: int = 0, lat=None, lon=None, refs=None, members=None, tags=None, box=None) -> tuple:
@@ -34,13 +34,9 @@ def counters(elements: DataFrame) -> DataFrame:
     return elements.where("kind <> 'bounds'").groupBy("kind").agg(F.count("*").alias("n"), F.max("id").alias("last"))
 
 
-def counted(elements: DataFrame, name: str = "elements") -> tuple[DataFrame, Observation]:
-    """The elements, with counters that fill while any job reads them: no pass of their own."""
-    seen = Observation(name)
-    one = lambda kind: F.count(F.when(F.col("kind") == kind, 1)).alias(kind)
-    return elements.observe(seen, one("node"), one("way"), one("relation")), seen
-
-
 def bounds(elements: DataFrame) -> DataFrame:
+    """Edges of the bounds that files tell; raises at run time where edges are out of order or off the globe."""
     b = F.col("box")
-    return elements.where("kind = 'bounds'").select(*[to_map_unit(b[i]).alias(k) for i, k in enumerate(("min_lat", "min_lon", "max_lat", "max_lon"))])
+    edges = elements.where("kind = 'bounds'").select(*[to_map_unit(b[i]).alias(k) for i, k in enumerate(("min_lat", "min_lon", "max_lat", "max_lon"))])
+    wrong = F.raise_error(F.concat(F.lit("invalid bounds: "), F.concat_ws(",", *edges.columns))).cast("int")
+    return edges.withColumn("min_lat", F.when(verify(rect()), F.col("min_lat")).otherwise(wrong))
