@@ -5,7 +5,7 @@ simhash). That finds copies that differ little, yet few of those at a similarity
 some 10 of 64 bits; an anchor's reach up to there would take in a large part of all pairs. So each distinct set also then has BANDS fingerprints, each of WIDTH minimum hashes; a
 pair of similarity s shares one of them with probability 1 - (1 - s ** WIDTH) ** BANDS, 0.9996 at 0.8. Every link that
 is used is confirmed on the two sets themselves: first one for each row, to the smallest of the rows that lead its
-fingerprints; then, in a few turns, to some rows of its fingerprints in other components, drawn by hash; at last all pairs of
+fingerprints; then to some rows of its fingerprints in other components, drawn by hash; at last all pairs of
 a fingerprint that are not in one component by then. So a large group of copies costs a few passes, not all of its pairs,
 while many unlike texts that share fingerprints do cost their pairs.
 
@@ -129,7 +129,7 @@ def _linked(own: DataFrame, threshold: int) -> DataFrame:
     return same.union(close.select(F.least("lead_a", "lead_b"), F.greatest("lead_a", "lead_b")))
 
 
-def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, turns: int = 2, tries: int = 4, threshold: int = 4) -> DataFrame:
+def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, turns: int = 1, tries: int = 6, threshold: int = 4) -> DataFrame:
     """row, doc_id, component_id (the smallest doc_id reachable over links) and kept (the row that stands for the component:
     one of that id, or of null ids alone any) of every row; docs: row (distinct), doc_id, text."""
     rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
