@@ -89,7 +89,7 @@ def density_file(spark, sf):
     cells = [(r.x, r.y, r.n) for r in Q._cells(spark, sf).collect()]  # bounded by the grid
     back, detail, told = texts.read_density(texts.write_density(cells, (1, 2, 3, 4), None))
     assert detail == (1, 2, 3, 4) and told is None
-    return _frame(spark, back, "x long, y long, n long")
+    return _frame(spark, back, "x int, y int, n long")
 
 
 @query("city_file", Q._with(Q.CITIES, "SELECT id, country, name, lat, lon, population FROM c"))
