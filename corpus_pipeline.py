@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import scratch
 from tessella.llm.leaks import contamination
-from tessella.llm.minhash import near_copies
+from tessella.llm.minhash import few, near_copies
 from tessella.llm.mixing import code_point_weights, mix, word_count
 from tessella.llm.pii import add_pseudonyms
 from tessella.llm.toxicity import fit, held_out, score_toxicity
@@ -33,8 +33,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     def run(docs: DataFrame) -> DataFrame:
         rows = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
         found = near_copies(rows.select(F.col("_row").alias("row"), "doc_id", "text"), NEAR_WORDS, NEAR_SIMILARITY)
-        gone = found.where("row <> kept").select(F.col("row").alias("_row"))
-        return rows.join(gone, "_row", "left_anti")
+        gone = scratch.table(found.where("row <> kept").select(F.col("row").alias("_row")), "gone")
+        return rows.join(few(gone), "_row", "left_anti")
 
     return _apart(docs, {"_row"}, run)
 

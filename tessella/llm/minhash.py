@@ -6,8 +6,10 @@ some 10 of 64 bits; an anchor's reach up to there would take in a large part of
 pair of similarity s shares one of them with probability 1 - (1 - s ** WIDTH) ** BANDS, 0.9996 at 0.8. Every link that
 is used is confirmed on the two sets themselves: first one for each row, to the smallest of the rows that lead its
 fingerprints; then to some rows of its fingerprints in other components, drawn by hash; at last all pairs of
-a fingerprint that are not in one component by then. So a large group of copies costs a few passes, not all of its pairs,
-while many unlike texts that share fingerprints do cost their pairs.
+a fingerprint that are not in one component by then. Those are compared within tasks, never as rows: the rows of a fingerprint
+are cut into shares, and two shares meet in a cell, which counts the common shingles of all its pairs at once. Shares of the
+fingerprint's largest component meet those of the others only. So what travels is the rows of a fingerprint, some times over
+where they are more than two shares. Texts travel once, for those rows alone that have a candidate.
 
 Defined results: null and empty texts, and texts of white space alone, are alike; a text of fewer words than a shingle is
 one shingle; a null doc_id never names a component (one of null ids alone has a null name).
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from tessella.llm import scratch
 from tessella.llm.arrow import map_rows, texts
 from tessella.llm.components import components
+from tessella.llm.simhash import forest, shingle_hashes, simhash
 from tessella.llm.simhash import links as simhash_links
-from tessella.llm.simhash import shingle_hashes, simhash
 
 BANDS, WIDTH = 20, 5
 _RNG = np.random.default_rng(42)
@@ -74,12 +76,11 @@ def bands(sets: list[np.ndarray]) -> list[list[int]]:
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, k: int, least: float, share: int = 200) -> DataFrame:
-    """Those pairs a, b of rows whose sets have a similarity of at least `least`.
+    """Those pairs a, b of rows whose sets have a similarity of at least `least`; pairs: a table, as it is read twice.
 
     The text of a goes to its partners, which are cut into shares of some `share` rows, so that no task gets all of a
     large group.
     """
-    pairs = scratch.table(pairs, "pairs")
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / share)).cast("int").alias("salt")
     cut = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", salt)
     ends = cut.select("a", "salt", F.col("b").alias("row")).union(cut.select("a", "salt", F.col("a").alias("row")).distinct())
@@ -99,6 +100,96 @@ def confirmed(pairs: DataFrame, rows: DataFrame, k: int, least: float, share: in
     return map_rows(order, run, "a long, b long")
 
 
+def shared(sets: list[np.ndarray], often: int = 32, width: int = 4096, most: int = 1 << 12) -> np.ndarray:
+    """How many shingles each two of the sets share; shingles of more than `often` sets by rows of bits, some `width` shingles
+    at a time, the others by their pairs, from some `most` shingles at a time."""
+    n, sizes = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    out = np.zeros((n, n), np.int32)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    who = np.repeat(np.arange(n), sizes)
+    many = count[token] > often
+    if many.any():
+        number = np.cumsum(count > often) - 1
+        column, row = number[token[many]], who[many]
+        by = np.argsort(column, kind="stable")
+        column, row = column[by], row[by]
+        total = int(column[-1]) + 1
+        for a in range(0, total, width):
+            i, j = np.searchsorted(column, (a, a + width))
+            x = np.zeros((n, -(-min(width, total - a) // 64) * 64), bool)
+            x[row[i:j], column[i:j] - a] = True
+            bits = np.packbits(x, axis=1).view(np.uint64)
+            for r in range(n):
+                out[r] += np.bitwise_count(bits & bits[r]).sum(axis=1, dtype=np.int32)
+    rest = ~many & (count[token] > 1)
+    token, who = token[rest], who[rest]
+    by = np.argsort(token, kind="stable")
+    begin = np.searchsorted(token[by], token)
+    size, listed = count[token], who[by]
+    flat = out.reshape(-1)
+    for i in range(0, len(token), most):
+        w = size[i : i + most]
+        place = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(begin[i : i + most], w)
+        at, times = np.unique(np.repeat(who[i : i + most], w) * n + listed[place], return_counts=True)
+        flat[at] += times.astype(np.int32)
+    np.fill_diagonal(out, sizes)  # shingles of one set only are left out above
+    return out
+
+
+def alike(sets: list[np.ndarray], roots: np.ndarray, least: float, strip: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of different roots with a similarity of at least `least`; the sets have shingles."""
+    sizes, both = np.fromiter(map(len, sets), np.int64, len(sets)), shared(sets)
+    left, right = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for i in range(0, len(sets), strip):
+        x = both[i : i + strip].astype(np.float64)
+        a, b = np.nonzero((x / (sizes[i : i + strip, None] + sizes - x) >= least) & (roots[i : i + strip, None] != roots))
+        left, right = forest(np.concatenate([left, a + i]), np.concatenate([right, b]))
+    return left, right
+
+
+def met(told: DataFrame, sizes: DataFrame, rows: DataFrame, k: int, least: float, share: int = 1024, volume: int = 1 << 19) -> DataFrame:
+    """a, b: links that join the same rows as all pairs of a fingerprint in different components with a similarity of at least
+    `least` do. told: see _told; sizes: node, size (shingles). A share has some `share` rows and `volume` shingles at most."""
+    told = scratch.table(told.join(sizes, "node"), "sized")
+    roots = told.groupBy("at", "band", "root").agg(F.count("*").alias("n"), F.sum("size").alias("v"))
+    roots = roots.withColumn("parts", F.ceil(F.greatest(F.col("n") / share, F.col("v") / volume)).cast("long"))
+    of = roots.groupBy("at", "band").agg(F.max_by(F.struct("root", "parts"), F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.sum("v").alias("v"), F.max(F.struct("n", "v")).alias("own"))
+    of = of.withColumns({"n": F.col("n") - F.col("own.n"), "v": F.col("v") - F.col("own.v"), "p": F.col("top.parts")})
+    of = of.withColumn("q", F.ceil(F.greatest(F.col("n") / share, F.col("v") / volume)).cast("long")).select("at", "band", F.col("top.root").alias("top"), "p", "q")
+    deal = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts))
+    dealt = told.join(of, ["at", "band"]).withColumn("own", F.when(F.col("root") == F.col("top"), deal("p")).otherwise(F.col("p") + deal("q")))
+    one = F.lit(1).cast("long")
+    others = F.when(F.col("own") < F.col("p"), F.sequence("p", F.col("p") + F.col("q") - one)).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("p") + F.col("q") - one), lambda x: x != F.col("own")))
+    cells = F.transform(others, lambda x: F.least("own", x) * (F.col("p") + F.col("q")) + F.greatest("own", x))
+    sent = dealt.select("at", "band", F.col("node").alias("row"), "root", F.explode(cells).alias("cell")).join(rows.select("row", "text"), "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, nodes, roots, sets = None, [], [], []
+
+        def done() -> Iterator[tuple]:
+            if len(set(roots)) > 1:
+                a, b = alike(sets, np.array(roots), least)
+                yield from ((nodes[i], nodes[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True))
+
+        for batch in batches:
+            for *cell, row, root, text in zip(*(batch.column(c).to_pylist() for c in ("at", "band", "cell", "row", "root")), texts(batch), strict=True):
+                if cell != now:
+                    yield from done()
+                    now, nodes, roots, sets = cell, [], [], []
+                nodes.append(row)
+                roots.append(root)
+                sets.append(shingles(text, k))
+        yield from done()
+
+    order = sent.repartition("at", "band", "cell").sortWithinPartitions("at", "band", "cell")
+    return map_rows(order, run, "a long, b long")
+
+
+def few(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """Broadcast after a count of its rows, which hold one number; beyond `most` the planner shuffles."""
+    return F.broadcast(df) if scratch.small(df, most) else df
+
+
 def _told(near: DataFrame, star: DataFrame) -> DataFrame:
     """at, band, node, root of the fingerprints whose rows are not all in one component."""
     told = near.select("at", "band", "node").join(star, "node", "left").select("at", "band", "node", F.coalesce("root", "node").alias("root"))
@@ -139,7 +230,7 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, turns: int = 1,
 
         def done() -> Iterator[tuple]:
             sets = [_set(h) for h in hashes]
-            yield from ((*x, xxhash.xxh3_128_digest(f.tobytes()), g, p) for x, f, g, p in zip(ids, sets, bands(sets), simhash(hashes).view(np.int64).tolist(), strict=True))
+            yield from ((*x, xxhash.xxh3_128_digest(f.tobytes()), g, p, len(f)) for x, f, g, p in zip(ids, sets, bands(sets), simhash(hashes).view(np.int64).tolist(), strict=True))
 
         for b in batches:
             for row, i, t in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), texts(b), strict=True):
@@ -151,25 +242,27 @@ def near_copies(docs: DataFrame, k: int = 5, least: float = 0.8, turns: int = 1,
                     ids, hashes, size = [], [], 0
         yield from done()
 
-    prints = scratch.table(map_rows(rows, run, "row long, doc_id long, same binary, bands array<long>, fp long"), "prints")
-    own = prints.groupBy("same").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    prints = scratch.table(map_rows(rows, run, "row long, doc_id long, same binary, bands array<long>, fp long, size int"), "prints")
+    own = prints.groupBy("same").agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.first("size").alias("size"))
     own = scratch.table(own, "distinct")
     sent = own.select("node", F.posexplode("bands").alias("at", "band"))
     hubs = sent.groupBy("at", "band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = scratch.table(sent.join(hubs, ["at", "band"]), "near")
     first = near.where("hub <> node").groupBy(F.col("node").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    links = scratch.table(confirmed(first.union(_linked(own, threshold)).distinct(), rows, k, least), "links")
+    pairs = scratch.table(first.union(_linked(own, threshold)).distinct(), "pairs")
+    asked = scratch.table(near.select(F.col("node").alias("row")).union(pairs.select("a")).union(pairs.select("b")).distinct(), "asked")
+    rows = scratch.table(rows.select("row", "text").join(few(asked), "row", "left_semi"), "texts")
+    links = scratch.table(confirmed(pairs, rows, k, least), "links")
     star = scratch.table(components(links), "star")
     told = _told(near, star)
     for turn in range(turns + 1):
         if scratch.small(told, 0):
             break
         if turn < turns:
-            pairs = _drawn(told, turn, tries)
+            more = confirmed(scratch.table(_drawn(told, turn, tries), "pairs"), rows, k, least)
         else:
-            one, two = (told.select("at", "band", F.col("node").alias(x), F.col("root").alias("root_" + x)) for x in "ab")
-            pairs = one.join(two, ["at", "band"]).where("a < b and root_a <> root_b").select("a", "b").distinct()
-        links = scratch.table(links.union(confirmed(pairs, rows, k, least)).distinct(), "links")
+            more = met(told, own.select("node", "size"), rows, k, least)
+        links = scratch.table(links.union(more).distinct(), "links")
         star = scratch.table(components(links), "star")
         if turn < turns:
             told = _told(near, star)

@@ -60,3 +60,18 @@ def plain_segments(scores):
             del found[j:]
         found.append(new)
     return [y - x for x, y in found]
+
+
+def joined(n, links):
+    """For each of n nodes the smallest that links join it to."""
+    up = list(range(n))
+    for a, b in links:
+        a, b = (next(x for x in _above(up, i) if up[x] == x) for i in (a, b))
+        up[max(a, b)] = min(a, b)
+    return [next(x for x in _above(up, i) if up[x] == x) for i in range(n)]
+
+
+def _above(up, i):
+    while True:
+        yield i
+        i = up[i]
