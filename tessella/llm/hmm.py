@@ -9,8 +9,8 @@ forward recursion over whole documents. The probabilities of all texts sum to on
 
 E-steps are exact over whole documents, too. Long ones are taken in segments side by side: the product of a segment's steps,
 a matrix of states, carries the forward and the backward messages over its edges, and transitions over an edge count like all
-others. Training starts from a model fitted on a sample that is spread over all blocks (the choice of a starting point, like
-a seed); every later pass, and every count, takes in all training documents.
+others. Training starts from clusters of the classes by what stands near them. That count, every pass and every other count
+take in all training documents.
 
 Defined results: null and empty texts are one end token; a null doc_id counts as training; repeated rows count as often
 as they stand; without training documents all words are unseen.
@@ -300,25 +300,27 @@ def _training(x: dict[str, np.ndarray], segment: int) -> tuple[np.ndarray, np.nd
     return kinds, cut, opens
 
 
-def _sampled(blocks: DataFrame, share: float, segment: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Segments of training documents from all blocks, each taken with probability `share` by a hash of its place."""
+def contexts(blocks: DataFrame, classes: int, width: int = 64, reach: int = 8) -> np.ndarray | None:
+    """For each class how often classes of each of `width` groups stand within `reach` tokens of it, in all training documents."""
+    group = np.random.default_rng(5).permutation(classes) % width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        # a segment of the sample stands alone
+        total = np.zeros(classes * width, np.int64)
         for b in batches:
-            for block, data in zip(b.column("block").to_pylist(), b.column("data"), strict=True):
-                rng = np.random.default_rng(xxhash.xxh64_intdigest(str(block)))
-                if (got := _training(unpack(data.as_py()), segment)) is not None:
-                    kinds, sizes, _ = got
-                    took = rng.random(len(sizes)) < share
-                    if took.any():
-                        yield block, pack(kinds=kinds[np.repeat(took, sizes)].astype(np.uint16), sizes=sizes[took].astype(np.int64))
-
-    got = [unpack(r.data) for r in sorted(map_rows(blocks.select("block", "data"), run, "block long, data binary").collect())]
-    if not got:
-        return None
-    sizes = np.concatenate([x["sizes"] for x in got])
-    return np.concatenate([x["kinds"] for x in got]), sizes, np.ones(len(sizes), bool)
+            for data in b.column("data"):
+                if (part := _training(unpack(data.as_py()), 1 << 30)) is not None:
+                    kinds, sizes, _ = part
+                    kinds, doc = kinds.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+                    for lag in range(1, reach + 1):
+                        same = doc[lag:] == doc[:-lag]
+                        x, y = kinds[:-lag][same], kinds[lag:][same]
+                        total += np.bincount(x * width + group[y], minlength=len(total))
+                        total += np.bincount(y * width + group[x], minlength=len(total))
+        if total.any():
+            yield from _sliced(total)
+
+    flat = _summed(map_rows(blocks.select("data"), run, "slice int, data binary"))
+    return None if flat is None else flat.reshape(classes, width)
 
 
 def apart(model: Model) -> float:
@@ -326,29 +328,40 @@ def apart(model: Model) -> float:
     return float(np.abs(model.emit - model.emit.mean(axis=1, keepdims=True)).sum(axis=0).mean() / 2)
 
 
-def begin(part: tuple[np.ndarray, np.ndarray, np.ndarray] | None, prior: np.ndarray, states: int, rounds: int = 25, least: float = 0.05) -> Model:
-    """A starting point: a few rounds on a sample, from seeded noise; the prior's pull is eased until the states stay apart."""
+def begin(near: np.ndarray | None, prior: np.ndarray, states: int, rounds: int = 50, pull: float = 50.0, other: float = 0.02) -> Model:
+    """A starting point from the contexts of all classes: k-means of their shares (square roots, weighted by counts), a state for
+    each cluster, which emits the classes of the others at `other` times their share."""
     rng = np.random.default_rng(7)
-    emit = prior[:, None] * rng.gamma(4.0, 0.25, (len(prior), states))
-    noise = Model(np.full(states, 1 / states), np.full((states, states), 0.02 / (states - 1)) + np.eye(states) * (0.98 - 0.02 / (states - 1)), emit / emit.sum(axis=0))
-    if part is None:
-        return noise
-    for weight in (200.0, 50.0, 10.0, 1.0):
-        model = noise
+    like = rng.gamma(4.0, 0.25, (len(prior), states))
+    if near is not None:
+        size = near.sum(axis=1)
+        x = np.sqrt((near + pull * near.sum(axis=0) / size.sum()) / (size + pull)[:, None])
+        # drawn far apart; the mean stands in front of the first
+        far, at = np.full(len(x), np.inf), np.repeat(np.average(x, axis=0, weights=size)[None], states + 1, axis=0)
+        for i in range(states):
+            far = np.minimum(far, ((x - at[i]) ** 2).sum(axis=1))
+            if (p := size * far).any():
+                at[i + 1] = x[rng.choice(len(x), p=p / p.sum())]
+        at = at[1:]
         for _ in range(rounds):
-            model = maximize(expect(model, *part), prior, weight)
-        if apart(model) >= least:
-            return model
-    return noise  # too little text to part the states by
-
-
-def train(blocks: DataFrame, counts: Counts, states: int = STATES, passes: int = PASSES, segment: int = SEGMENT, most: int = 1 << 17) -> Model:
-    """Baum-Welch over all training documents, from a start on some `most` words of all blocks."""
+            own = ((x[:, None] - at) ** 2).sum(axis=2).argmin(axis=1)
+            for i in range(states):
+                if size[own == i].any():
+                    at[i] = np.average(x[own == i], axis=0, weights=size[own == i])
+        like = np.where(own[:, None] == np.arange(states), 1.0, other) * (0.9 + 0.1 * like)
+    emit = prior[:, None] * like
+    stay = 0.98
+    move = np.full((states, states), (1 - stay) / (states - 1)) + np.eye(states) * (stay - (1 - stay) / (states - 1))
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
+
+
+def train(blocks: DataFrame, counts: Counts, states: int = STATES, passes: int = PASSES, segment: int = SEGMENT) -> Model:
+    """Baum-Welch over all training documents, from a start that all of them make."""
     classes = len(counts.by_class)
     prior = (counts.by_class + 0.5) / (counts.tokens + 0.5 * classes)
     if not counts.tokens:
         return Model(np.full(states, 1 / states), np.full((states, states), 1 / states), np.repeat(prior[:, None], states, axis=1))
-    model = begin(_sampled(blocks, min(1.0, most / counts.tokens)), prior, states)
+    model = begin(contexts(blocks, classes), prior, states)
     for _ in range(passes):
 
         def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[tuple]:
