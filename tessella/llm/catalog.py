@@ -123,3 +123,51 @@ def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.hmm import language_model
 
     return language_model(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.merkle import manifest_digests
+
+    return manifest_digests(read(spark, sf_dir, "documents"))
+
+
+_CRC = "list_reduce(list_prepend(4294967295, list_transform(flatten(list_transform(range(1, len({0}) + 1), lambda i: list_prepend(CAST(ascii({0}[i]) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1]))), lambda v: CAST(v AS BIGINT))), lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)"
+_LEAF = "sha256({0} || {1} || {2} || {3} || {4})"
+
+
+def _field(v: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({v} AS VARCHAR))) AS VARCHAR) || ':' || CAST({v} AS VARCHAR), '-')"
+
+
+ORACLES["op11_merkle"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_LEAF.format(*map(_field, ("doc_id", "source", "lang", "n_chars", "text")))} AS leaf,
+    {_LEAF.format(*map(_field, ("doc_id", "source", "lang", "(n_chars + 1)", "text")))} AS touched,
+    coalesce(xor({_CRC.format("CAST(doc_id AS VARCHAR)")}, 4294967295) % 7 = 0 AND n_chars IS NOT NULL, false) AS hit
+  FROM documents),
+l AS (
+  SELECT *, coalesce('+' || lang, '') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+nodes AS (
+  SELECT g, 0 AS level, i, n, leaf AS h FROM l
+  UNION ALL
+  SELECT g, level + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY g, level, i // 2),
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, i, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2),
+height AS (SELECT g, max(level) AS top FROM nodes GROUP BY g),
+runs AS (
+  SELECT g, level, i // 2 AS up, list(h ORDER BY i) AS hs FROM nodes WHERE n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT s.g, top + t.level, t.i // 2, list(t.h ORDER BY t.i) FROM tops t, subroots s, height WHERE t.n > 1 AND s.g = height.g AND t.i // 2 = (s.i >> t.level) // 2 GROUP BY ALL),
+fold AS (
+  SELECT g, i AS id, 0 AS level, i, CASE WHEN hit THEN touched ELSE leaf END AS h, '' AS sib FROM l
+  UNION ALL
+  SELECT f.g, f.id, f.level + 1, f.i // 2, sha256(array_to_string(CASE WHEN len(hs) = 1 THEN [f.h] WHEN f.i % 2 = 0 THEN [f.h, hs[2]] ELSE [hs[1], f.h] END, '')), sib || CASE WHEN len(hs) = 1 THEN '' WHEN f.i % 2 = 0 THEN hs[2] ELSE hs[1] END
+  FROM (SELECT fold.g, id, fold.level, fold.h, sib, CASE WHEN fold.level = top THEN s.i ELSE fold.i END AS i FROM fold JOIN height USING (g) JOIN subroots s USING (g)) f JOIN runs r ON r.g = f.g AND r.level = f.level AND r.up = f.i // 2),
+done AS (SELECT g, id, arg_max(h, level) AS folded_root, arg_max(sib, level) AS sib FROM fold GROUP BY ALL)
+SELECT l.doc_id, leaf, s.h AS subroot, r.h AS root, sha256(sib) AS proof_sha256, folded_root, folded_root = r.h AS verified
+FROM l JOIN done ON l.g = done.g AND l.i = done.id JOIN subroots s ON s.g = l.g, (SELECT h FROM tops WHERE n = 1) r
+"""
