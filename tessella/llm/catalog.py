@@ -171,3 +171,32 @@ done AS (SELECT g, id, arg_max(h, level) AS folded_root, arg_max(sib, level) AS
 SELECT l.doc_id, leaf, s.h AS subroot, r.h AS root, sha256(sib) AS proof_sha256, folded_root, folded_root = r.h AS verified
 FROM l JOIN done ON l.g = done.g AND l.i = done.id JOIN subroots s ON s.g = l.g, (SELECT h FROM tops WHERE n = 1) r
 """
+
+
+@query
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.clusters import cluster_digests
+
+    return cluster_digests(read(spark, sf_dir, "embeddings"))
+
+
+def _round(j: int) -> str:
+    """Assignment to the centroids of turn j, and those of the next turn."""
+    return f"""
+a{j} AS MATERIALIZED (
+  SELECT id, vec_id, x.v, k, CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+  FROM x, c{j} c QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, k) = 1),
+s{j} AS (SELECT k, p, sum(v[p]) AS s, count(*) AS n FROM a{j}, range(1, 65) t(p) GROUP BY ALL),
+m{j} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS v FROM s{j} GROUP BY k),
+c{j + 1} AS MATERIALIZED (SELECT k, coalesce(m{j}.v, c{j}.v) AS v FROM c{j} LEFT JOIN m{j} USING (k))"""
+
+
+ORACLES["op13_clusters"] = f"""
+WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k, v FROM x QUALIFY k < 16),{",".join(map(_round, range(4)))}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (k)
+"""
