@@ -200,3 +200,53 @@ c0 AS MATERIALIZED (
 SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
 FROM a3 JOIN c3 USING (k)
 """
+
+
+@query
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.quality import judge
+
+    out = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_BIN = "CAST(greatest(0, least(200, {0})) AS INTEGER)"
+_RULES = {
+    "dup_lines": "1000 * n_dup_lines // greatest(1, n_lines) // 5",
+    "long_words": "10 * word_chars // greatest(1, n_words)",
+    "repeats": "1000 * n_repeat_words // greatest(1, n_words) // 5",
+    "short_words": "200 - 10 * word_chars // greatest(1, n_words)",
+    "symbols": "1000 * n_symbols // greatest(1, word_chars) // 5",
+}
+ORACLES["op12_quality"] = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, doc_id, coalesce('+' || lang, '') AS g, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+win AS (SELECT id, i, array_to_string(w[i + 1:i + 8], ' ') AS s FROM (SELECT id, w, unnest(range(0, len(w) - 7)) AS i FROM d WHERE len(w) > 8)),
+twice AS (SELECT id, i FROM win QUALIFY count(*) OVER (PARTITION BY id, s) > 1),
+rep AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY id),
+s AS MATERIALIZED (
+  SELECT d.id, doc_id, g, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (id)),
+f AS MATERIALIZED (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {", ".join(f"{_BIN.format(v)} AS {k}" for k, v in _RULES.items())} FROM s),
+told AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+known AS MATERIALIZED (
+  SELECT f.*, good, xor({_CRC.format("CAST(doc_id AS VARCHAR)")}, 4294967295) % 5 >= 2 AS held FROM f JOIN told USING (doc_id) WHERE NOT base_failed),
+cells AS ({" UNION ALL ".join(f"SELECT id, g, held, good, '{k}' AS rule, {k} AS bin FROM known" for k in _RULES)}),
+counts AS (SELECT g, rule, bin, count(*) AS n, count(*) FILTER (NOT good) AS bad FROM cells WHERE NOT held AND bin > 0 GROUP BY ALL),
+shares AS (SELECT g, rule, bin, (sum(bad) OVER w + 1.0::DOUBLE) / (sum(n) OVER w + 2.0::DOUBLE) AS share FROM counts WINDOW w AS (PARTITION BY g, rule ORDER BY bin DESC)),
+best AS (SELECT g, rule, bin, max(share) OVER (PARTITION BY g, rule ORDER BY bin) AS share FROM shares),
+steps AS MATERIALIZED (SELECT g, rule, bin, row_number() OVER (PARTITION BY g ORDER BY share DESC, rule, bin DESC) AS step FROM best WHERE share >= 0.5),
+caught AS (SELECT c.g, c.id, min(step) AS step FROM cells c JOIN steps p ON c.g = p.g AND c.rule = p.rule AND p.bin <= c.bin WHERE held AND good GROUP BY ALL),
+size AS (SELECT g, count(*) AS n, count(*) OVER () AS strata FROM known WHERE held AND good GROUP BY g),
+terms AS (SELECT g, n, strata, r, sum(exp(lgamma(n + 1) - lgamma(r + 1) - lgamma(n - r + 1) + r * ln(0.05) + (n - r) * ln(0.95))) OVER (PARTITION BY g ORDER BY r) AS tail FROM (SELECT *, unnest(range(0, n)) AS r FROM size)),
+most AS (SELECT g, max(r) AS most FROM terms WHERE tail <= 0.05 / strata GROUP BY g),
+allowed AS (SELECT s.g, s.step, (SELECT count(*) FROM caught c WHERE c.g = s.g AND c.step <= s.step) AS false_ FROM steps s),
+last AS (SELECT a.g, max(step) AS last FROM allowed a JOIN most USING (g) WHERE false_ <= most GROUP BY a.g),
+cuts AS (SELECT s.g, {", ".join(f"min(bin) FILTER (rule = '{k}') AS cut_{k}" for k in _RULES)} FROM steps s JOIN last USING (g) WHERE step <= last GROUP BY s.g)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(f"coalesce({k} >= cut_{k}, false)" for k in _RULES)}) AS kept
+FROM f LEFT JOIN cuts USING (g)
+"""
