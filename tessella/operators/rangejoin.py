@@ -1,16 +1,17 @@
-"""Joins of points, boxes and segments with rectangles.
+"""Joins of points, boxes and segments with rectangles of any mix of sizes.
 
 Catalyst has no range join, so rectangles are dealt to grid cells and the join becomes an equi-join by cell with the
-exact predicate behind it. Cells come in levels, each twice as wide as the one below; the lowest fits the mean side of
-the areas. A box takes the one level at which its longer side fits a cell, so it has four cells at most, whatever its
-size; areas stand on every level from the lowest on, where they have four cells at most once they fit one. The cell table
-is broadcast after a check of its size; beyond that the join shuffles by cell, where adaptive execution splits hot cells.
+exact predicate behind it. A rectangle's cells are of its own size: the level of an axis is the power of two that its side
+fits, for height and width apart, so that a strip around the globe meets cells that are as long and as flat. It then has
+four cells at most, and of disjoint rectangles a cell meets 16 at most. The pairs of levels that occur are counted first; a
+point looks up one cell for each of them. Where they are more than MOST, neighbouring levels become one (every second,
+third, ... level is used). A box meets the cells of the larger of its own level and the rectangle's, where both have four
+cells at most. The cell table is broadcast after a check of its size; beyond that the join shuffles by cell, where
+adaptive execution splits hot cells.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +19,29 @@ from tessella.functions import units as U
 from tessella.operators.bounded import hinted
 
 TOP = 25  # one cell of this level holds the globe
+MOST = 32  # pairs of levels that a point looks up
+STEPS = (1, 2, 3, 4, 6, TOP)
+
+
+def side_level(low: Column, high: Column) -> Column:
+    """The least level whose cells are as long as a side, so that the side meets two of them at most; exact."""
+    side = high.cast("long") - low
+    return F.when(side <= 1, 0).otherwise(F.length(F.bin(side - 1)))
+
+
+def _stepped(level: Column, step: int) -> Column:
+    return F.least(F.lit(TOP), F.ceil(level / step).cast("int") * step)
 
 
-def base_level(areas: DataFrame) -> int:
-    """The level whose cells are as wide as the areas' mean side; one aggregate."""
-    side = (F.col("max_lat") - F.col("min_lat") + F.col("max_lon") - F.col("min_lon")) / 2
-    mean = areas.agg(F.avg(side)).first()[0]
-    return min(TOP, max(0, math.ceil(math.log2((mean or 0) + 1))))
+def size_levels(areas: DataFrame, grow: int = 0) -> tuple[list[tuple[int, int]], int]:
+    """The pairs of levels (height, width) that occur among the areas, and the step by which levels were joined; one aggregate."""
+    r = U.grown(U.rect(), grow)
+    found = {tuple(x) for x in areas.select(side_level(r["min_lat"], r["max_lat"]), side_level(r["min_lon"], r["max_lon"])).distinct().collect()}  # 26 * 26 at most
+    for step in STEPS:
+        pairs = {(min(TOP, -(-y // step) * step), min(TOP, -(-x // step) * step)) for y, x in found}
+        if len(pairs) <= MOST:
+            break
+    return sorted(pairs), step
 
 
 def _at(v: Column, level: Column) -> Column:
@@ -32,41 +49,56 @@ def _at(v: Column, level: Column) -> Column:
     return F.call_function("shiftright", v, level)
 
 
-def _cells(df: DataFrame, r: dict[str, Column], level: Column) -> DataFrame:
-    """df with cell_y and cell_x of each cell of its level that the rectangle touches."""
-    wide = df.withColumn("cell_y", F.explode(F.sequence(_at(r["min_lat"], level), _at(r["max_lat"], level))))
-    return wide.withColumn("cell_x", F.explode(F.sequence(_at(r["min_lon"], level), _at(r["max_lon"], level))))
+def _cells(df: DataFrame, r: dict[str, Column], level_y: Column, level_x: Column) -> DataFrame:
+    """df with cell_y and cell_x of each cell of these levels that the rectangle touches."""
+    wide = df.withColumn("cell_y", F.explode(F.sequence(_at(r["min_lat"], level_y), _at(r["max_lat"], level_y))))
+    return wide.withColumn("cell_x", F.explode(F.sequence(_at(r["min_lon"], level_x), _at(r["max_lon"], level_x))))
 
 
-def area_cells(areas: DataFrame, low: int, high: int, grow: int = 0) -> DataFrame:
-    """area_idx, edges grown, cell_level, cell_y, cell_x for each cell of the levels from low to high that a rectangle touches."""
+def _sized(areas: DataFrame, step: int, grow: int) -> DataFrame:
+    """area_idx, edges grown, size_y, size_x: the levels of its sides."""
     wide = areas.select("area_idx", *[v.alias(k) for k, v in U.grown(U.rect(), grow).items()])
-    wide = wide.withColumn("cell_level", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    return _cells(wide, U.rect(), F.col("cell_level"))
+    return wide.withColumns({"size_y": _stepped(side_level(F.col("min_lat"), F.col("max_lat")), step), "size_x": _stepped(side_level(F.col("min_lon"), F.col("max_lon")), step)})
+
+
+def area_cells(areas: DataFrame, step: int = 1, grow: int = 0) -> DataFrame:
+    """area_idx, edges grown, size_y, size_x, cell_y, cell_x for each cell of its own size, four at most, that a rectangle touches."""
+    return _cells(_sized(areas, step, grow), U.rect(), F.col("size_y"), F.col("size_x"))
+
+
+def _looked_up(df: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """df with size_y and size_x: a row for each pair of levels."""
+    if len(pairs) == 1:
+        return df.withColumns({"size_y": F.lit(pairs[0][0]), "size_x": F.lit(pairs[0][1])})
+    return df.select("*", F.inline(F.array(*[F.struct(F.lit(y).alias("size_y"), F.lit(x).alias("size_x")) for y, x in pairs])))
 
 
 def point_in_rect(points: DataFrame, areas: DataFrame, grow: int = 0) -> DataFrame:
     """points (with map_lat, map_lon) and area_idx of every rectangle, grown by `grow`, that holds them; borders count."""
-    level = max(0, base_level(areas) - 2)  # cells of a quarter of a side, so that few of them lie in several areas
-    cells = area_cells(areas, level, level, grow).drop("cell_level")
-    keyed = points.withColumn("cell_y", F.shiftright("map_lat", level)).withColumn("cell_x", F.shiftright("map_lon", level))
-    both = keyed.join(hinted(cells), ["cell_y", "cell_x"])
+    pairs, step = size_levels(areas, grow)
+    keyed = _looked_up(points, pairs or [(0, 0)])
+    keyed = keyed.withColumns({"cell_y": _at(F.col("map_lat"), F.col("size_y")), "cell_x": _at(F.col("map_lon"), F.col("size_x"))})
+    both = keyed.join(hinted(area_cells(areas, step, grow)), ["size_y", "size_x", "cell_y", "cell_x"])
     hit = both.where(U.contains_point(U.rect(), F.col("map_lat"), F.col("map_lon")))
     return hit.select(*points.columns, "area_idx")
 
 
 def meeting(boxes: DataFrame, areas: DataFrame, grow: int = 0) -> DataFrame:
-    """Every pair, once, of a box (box_ edges) and an area, grown by `grow`, that touch: the box's columns, area_idx and the edges grown."""
-    low = base_level(areas)
-    box = U.rect("box_")
-    side = F.greatest(box["max_lat"] - box["min_lat"], box["max_lon"] - box["min_lon"])
-    level = F.least(F.lit(TOP), F.greatest(F.lit(low), F.ceil(F.log2(side + 1)).cast("int")))
-    keyed = _cells(boxes.withColumn("cell_level", level), box, F.col("cell_level"))
-    both = keyed.join(hinted(area_cells(areas, low, TOP, grow)), ["cell_level", "cell_y", "cell_x"])
+    """Every pair, once, of a box (box_ edges) and an area, grown by `grow`, that touch: the box's columns, area_idx and the edges grown.
+
+    A box has one level, that of its longer side. Areas stand on their own levels and, for larger boxes, on all above.
+    """
+    pairs, step = size_levels(areas, grow)
+    box, least = U.rect("box_"), F.least("size_y", "size_x")
+    level_y, level_x = F.greatest("box_level", "size_y"), F.greatest("box_level", "size_x")
+    own = F.greatest(side_level(box["min_lat"], box["max_lat"]), side_level(box["min_lon"], box["max_lon"]))
+    keyed = _looked_up(boxes.withColumn("box_own", F.least(F.lit(TOP), own)), pairs or [(0, 0)]).withColumn("box_level", F.greatest("box_own", least)).drop("box_own")
+    stand = _sized(areas, step, grow).withColumn("box_level", F.explode(F.sequence(least, F.lit(TOP))))
+    both = _cells(keyed, box, level_y, level_x).join(hinted(_cells(stand, U.rect(), level_y, level_x)), ["size_y", "size_x", "box_level", "cell_y", "cell_x"])
     # each pair is reported by the first cell that both cover, so nothing has to be made distinct
-    at = F.col("cell_level")
-    y, x = (F.greatest(_at(F.col("box_min_" + k), at), _at(F.col("min_" + k), at)) for k in ("lat", "lon"))
-    return both.where((F.col("cell_y") == y) & (F.col("cell_x") == x) & U.touches(U.rect(), box)).drop("cell_level", "cell_y", "cell_x")
+    first = lambda k, level: F.greatest(_at(F.col("box_min_" + k), level), _at(F.col("min_" + k), level))
+    hit = both.where((F.col("cell_y") == first("lat", level_y)) & (F.col("cell_x") == first("lon", level_x)) & U.touches(U.rect(), box))
+    return hit.drop("size_y", "size_x", "box_level", "cell_y", "cell_x")
 
 
 def rect_near_rect(boxes: DataFrame, areas: DataFrame) -> DataFrame:
