@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm import scratch
 from tessella.llm.arrow import map_rows
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -160,11 +161,11 @@ def _rows(docs: DataFrame, labels: DataFrame, train, fit_rows: int) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(told), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, prior_weight: float = 0.01, odds_from: float = 3.5, chance: float = 0.05, most: int = 100_000, loss: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, prior_weight: float = 0.01, odds_from: float = 3.5, chance: float = 0.05, loss: float = 0.05) -> Model:
     """Learns from labelled rows for which train (a function of the id column) holds.
 
-    fit_rows bounds the labelled rows that are used, most the number of weights; both are sizes of the model, and the
-    rows used grow no further with the corpus.
+    fit_rows bounds the labelled rows that are used; they grow no further with the corpus. Every feature that is significant
+    and strong enough gets its weight: there is no bound on weights but that of the features of fit_rows texts.
     """
     rows = _rows(docs, labels, train, fit_rows)
 
@@ -177,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, pri
             for f in seen[0].keys() | seen[1].keys():
                 yield f, seen[1][f], seen[0][f]
 
-    sums = map_rows(rows, count, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    sums = scratch.table(map_rows(rows, count, "feature string, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "features")
     whole = F.col("feature") == ""
     docs1, docs0, tried = (n or 0 for n in sums.agg(F.max(F.when(whole, F.col("n1"))), F.max(F.when(whole, F.col("n0"))), F.count("*")).first())
     if not docs1 or not docs0:
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, train, fit_rows: int = FIT_ROWS, pri
     absent1, absent0 = (F.when(d - n > 0, (d - n) * F.log((1 - r) / (1 - (F.col("n1") + F.col("n0")) / (docs1 + docs0)))).otherwise(0.0) for n, r, d in ((F.col("n1"), rate1, docs1), (F.col("n0"), rate0, docs0)))
     score = F.sqrt(F.greatest(F.lit(0.0), 2 * (part1 + part0 + absent1 + absent0)))
     z_from = NormalDist().inv_cdf(1 - chance / (2 * tried))  # by chance alone, some feature passes in `chance` of fits
-    best = sums.where("feature <> '' and n1 > 0").select("feature", odds.alias("odds"), score.alias("z")).where((F.col("z") >= z_from) & (F.col("odds") >= odds_from)).orderBy(F.desc("z"), "feature").limit(most).collect()
+    best = sums.where("feature <> '' and n1 > 0").select("feature", odds.alias("odds"), score.alias("z")).where((F.col("z") >= z_from) & (F.col("odds") >= odds_from)).select("feature", "odds").collect()  # those of fit_rows texts at most
     weights = {r.feature: r.odds for r in best}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
