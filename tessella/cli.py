@@ -14,12 +14,14 @@ from tessella.functions import units as U
 from tessella.operators import assign as A
 from tessella.operators import complete as C
 from tessella.operators import density as D
+from tessella.operators import idsets as I
 from tessella.operators import problems as P
 from tessella.operators import regions as R
 from tessella.operators import solver as S
+from tessella.operators.areasets import AreaSets
 from tessella.operators.bounded import cut
 from tessella.operators.rangejoin import area_names
-from tessella.sources import element, maps, storage, texts, xml
+from tessella.sources import element, maps, storage, texts, tilewriter, xml
 
 __version__ = "0.1"
 DEFAULT_OVERLAP = 2000
@@ -131,7 +133,7 @@ class Result:
     areas: DataFrame
     problems: DataFrame | None = None
     tiles: DataFrame | None = None
-    counters: DataFrame | None = None  # kind, n, last: counted when asked for
+    counters: DataFrame | None = None  # kind, n, last: observed while tiles are written, else counted when asked for
 
 
 def _text(spark: SparkSession, path: str) -> str:
@@ -244,9 +246,10 @@ def run(spark: SparkSession, o: SplitOptions, files: list[str]) -> Result:
         return result
     nodes, ways, relations = element.nodes(elements), element.ways(elements), element.relations(elements)
     mem, refs = A.members(relations), A.way_refs(ways)
-    pairs = cut(A.node_areas(nodes, areas, o.overlap_units()))
-    way_pairs = cut(A.way_pairs(refs, pairs))
-    node_sets, way_sets, rel_sets = A.sets(pairs, "node_id"), A.sets(way_pairs, "way_id"), A.sets(A.relation_pairs(mem, pairs, way_pairs), "rel_id")
+    known = AreaSets(spark)
+    node_sets = cut(known.united(A.node_areas(nodes, areas, o.overlap_units()), "node_id"))
+    way_sets = cut(A.way_sets(known, refs, node_sets))
+    rel_sets = A.relation_sets(known, mem, node_sets, way_sets)
     if o.keep_complete or o.problem_file:
         wants = {"lowest_admin_level": o.wanted_admin_level, "boundaries": None if o.boundary_tags == "use-exclude-list" else o.boundary_tags.split(","), "routes": o.route_rel_values.split(",") if o.route_rel_values else None}
         # pseudo areas fill the rest of the world, so that elements that leave all tiles count as lying in several
@@ -255,44 +258,50 @@ def run(spark: SparkSession, o: SplitOptions, files: list[str]) -> Result:
         from tessella.schema import AREAS
 
         distinct = spark.createDataFrame([(i, 0, None, *r, i >= len(rects), True) for i, r in enumerate([*rects, *rest])], AREAS)
-        own = cut(A.node_areas(nodes, distinct))
-        own_ways = cut(A.way_pairs(refs, own))
-        own_rels = cut(A.sets(A.relation_pairs(mem, own, own_ways), "rel_id"))
-        found = P.problem_ways(A.sets(own_ways, "way_id")).union(P.problem_relations(relations, own_rels, **wants)) if o.keep_complete else spark.createDataFrame([], "kind string, id long")
+        apart = AreaSets(spark)
+        own = cut(apart.united(A.node_areas(nodes, distinct), "node_id"))
+        own_ways = cut(A.way_sets(apart, refs, own))
+        own_rels = cut(A.relation_sets(apart, mem, own, own_ways))
+        found = P.problem_ways(apart, own_ways).union(P.problem_relations(apart, relations, own_rels, **wants)) if o.keep_complete else spark.createDataFrame([], "kind string, id long")
         told = spark.createDataFrame(texts.read_problems(_text(spark, o.problem_file)) if o.problem_file else [], "kind string, id long")
         result.problems = cut(P.all_problems(found, told))
         if o.problem_report:
             _save(o.output_dir, o.problem_report, (r.value + "\n" for r in texts.problem_lines(result.problems).toLocalIterator()))
         if o.stop_after == "gen-problem-list":
             return result
-        node_sets, way_sets, rel_sets = _complete(spark, nodes, ways, relations, areas, listed, result.problems, node_sets, way_sets, rel_sets, P.one_tile_relations(relations, own_rels, distinct.where("not is_pseudo"), areas, **wants))
-    one = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "areas")
+        one_tile = known.numbered(P.one_tile_relations(apart, relations, own_rels, distinct.where("not is_pseudo"), areas, **wants), "rel_id")
+        node_sets, way_sets, rel_sets = _complete(spark, known, nodes, ways, relations, areas, listed, result.problems, node_sets, way_sets, rel_sets, one_tile)
+    one = lambda df, kind, key: known.arrays(df, key).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "areas")
     result.tiles = cut(one(node_sets, "node", "node_id").union(one(way_sets, "way", "way_id")).union(one(rel_sets, "relation", "rel_id")))
     if o.stop_after == "dist" and o.output != "simulate":
-        plain = elements.where("kind <> 'bounds'").withColumn("tags", F.filter("tags", lambda t: t["k"] != "created_by"))
-        maps.write_tiles(maps.tile_files(plain, result.tiles, areas, o.output, o.handle_element_version), o.output_dir)
+        empty = result.tiles.isEmpty()  # nothing would be read then, nor observed
+        read, seen = element.observed(elements)
+        plain = read.where("kind <> 'bounds'").withColumn("tags", F.filter("tags", lambda t: t["k"] != "created_by"))
+        tilewriter.save_tiles(plain, result.tiles, areas, o.output_dir, o.output, o.handle_element_version)
+        result.counters = result.counters if empty else element.told(spark, seen)
     return result
 
 
-def _complete(spark, nodes, ways, relations, areas, listed, problems, node_sets, way_sets, rel_sets, one_tile):
+def _complete(spark, known, nodes, ways, relations, areas, listed, problems, node_sets, way_sets, rel_sets, one_tile):
     """Sets with complete problem elements: rings replace member sets, children count for parents, parents for members."""
     mem, refs = cut(A.members(relations)), A.way_refs(ways)
     rels = C.closure(mem, problems.where("kind = 'rel'").select(F.col("id").alias("rel_id")))
     needed = cut(C.needed_ways(problems.where("kind = 'way'").select(F.col("id").alias("way_id")), mem, rels))
-    own_ways, own_mem = ways.join(needed.withColumnRenamed("way_id", "id"), "id", "left_semi"), cut(mem.join(rels, "rel_id", "left_semi"))
-    points = cut(C.way_points(A.way_refs(own_ways), nodes))
+    own_ways, own_mem = I.within(ways, "id", needed), cut(mem.join(rels, "rel_id", "left_semi"))
+    wanted = cut(C.needed_nodes(refs, needed, mem, rels))
+    points = cut(C.way_points(A.way_refs(own_ways), I.within(nodes, "id", wanted)))
     odd = [r.way_id for r in C.way_boxes(points).where(U.crosses_antimeridian(U.rect("box_"))).select("way_id").limit(20).collect()]
     if odd:
         warnings.warn(f"ways that seem to cross the 180th meridian (20 of them at most): {odd}", stacklevel=2)
     simple = spark.createDataFrame([(s,) for s in C.simple_neighbours([r for _, r, _ in listed])], "areas array<int>")
-    whole = cut(C.whole_way_areas(own_ways, points, areas, simple))
-    from_members = C.relation_sets(own_mem, node_sets, whole)
+    whole = cut(C.whole_way_sets(known, own_ways, points, areas, simple))
+    from_members = A.relation_sets(known, own_mem, node_sets, whole)
     ends = own_ways.where(F.size("refs") > 1).select(F.col("id").alias("way_id"), F.element_at("refs", 1).alias("first"), F.element_at("refs", -1).alias("last"))
     rings = C.rings(relations.join(rels.withColumnRenamed("rel_id", "id"), "id", "left_semi"), own_mem, ends, C.way_boxes(points))
-    trees = cut(C.with_children(C.replaced(from_members, C.ring_sets(rings, areas)), own_mem))
-    passed = cut(C.passed_to_members(trees, own_mem, "way", whole, "way_id"))
-    over_nodes = C.passed_to_nodes(passed, A.way_refs(own_ways), C.passed_to_members(trees, own_mem, "node", node_sets.limit(0), "node_id"))
-    return A.merged(node_sets, over_nodes, "node_id"), A.preferred(way_sets, passed, "way_id"), A.preferred(rel_sets, trees, "rel_id", one_tile)
+    trees = cut(C.with_children(known, A.preferred(from_members, C.ring_sets(known, rings, areas), "rel_id"), own_mem))
+    passed = cut(C.passed_to_members(known, trees, own_mem, "way", whole, "way_id"))
+    over_nodes = C.passed_to_nodes(known, passed, A.way_refs(own_ways), C.passed_to_members(known, trees, own_mem, "node", node_sets.limit(0), "node_id"))
+    return A.merged(known, node_sets, over_nodes, "node_id"), A.preferred(way_sets, passed, "way_id"), A.preferred(rel_sets, trees, "rel_id", one_tile)
 
 
 def _save(folder: str, name: str, text: str | Iterable[str]) -> None:

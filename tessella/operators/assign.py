@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import units as U
+from tessella.operators.areasets import AreaSets
 from tessella.operators.rangejoin import point_in_rect
 
 
@@ -15,46 +15,40 @@ def node_areas(nodes: DataFrame, areas: DataFrame, overlap: int = 0) -> DataFram
     return point_in_rect(points, areas, overlap).select("node_id", "area_idx")
 
 
-def sets(pairs: DataFrame, key: str) -> DataFrame:
-    """key, areas (canonical set); areas are partially aggregated before the shuffle."""
-    return pairs.groupBy(key).agg(F.array_sort(F.collect_set("area_idx")).alias("areas"))
-
-
 def way_refs(ways: DataFrame) -> DataFrame:
     return ways.select(F.col("id").alias("way_id"), F.posexplode("refs").alias("pos", "node_id"))
 
 
-def way_pairs(refs: DataFrame, node_pairs: DataFrame) -> DataFrame:
-    """way_id, area_idx: areas of the nodes of a way; nodes that are missing count for nothing."""
-    return refs.select("way_id", "node_id").join(node_pairs, "node_id").select("way_id", "area_idx").distinct()
-
-
 def members(relations: DataFrame) -> DataFrame:
     return relations.select(F.col("id").alias("rel_id"), F.posexplode("members").alias("pos", "m")).select("rel_id", "pos", "m.type", "m.ref", "m.role")
 
 
-def relation_pairs(mem: DataFrame, node_pairs: DataFrame, way_pairs_: DataFrame) -> DataFrame:
-    """rel_id, area_idx: areas of the node and way members; member relations are not followed."""
-    of = lambda kind, pairs, key: mem.where(F.col("type") == kind).select("rel_id", F.col("ref").alias(key)).join(pairs, key).select("rel_id", "area_idx")
-    return of("node", node_pairs, "node_id").unionByName(of("way", way_pairs_, "way_id")).distinct()
+def way_sets(known: AreaSets, refs: DataFrame, node_sets: DataFrame) -> DataFrame:
+    """way_id, set_no from the sets of the nodes of a way; nodes that are missing count for nothing."""
+    return known.united(refs.select("way_id", "node_id").join(node_sets, "node_id").select("way_id", "set_no"), "way_id")
+
+
+def relation_sets(known: AreaSets, mem: DataFrame, node_sets: DataFrame, way_sets_: DataFrame) -> DataFrame:
+    """rel_id, set_no from the sets of the node and way members; member relations are not followed."""
+    of = lambda kind, sets_, key: mem.where(F.col("type") == kind).select("rel_id", F.col("ref").alias(key)).join(sets_, key).select("rel_id", "set_no")
+    return known.united(of("node", node_sets, "node_id").unionByName(of("way", way_sets_, "way_id")), "rel_id")
 
 
-def several(found: DataFrame) -> DataFrame:
+def several(known: AreaSets, found: DataFrame) -> DataFrame:
     """Elements that lie in more than one area."""
-    return found.where(F.size("areas") > 1)
+    return known.several(found)
 
 
-def merged(geometric: DataFrame, override: DataFrame, key: str) -> DataFrame:
+def merged(known: AreaSets, geometric: DataFrame, override: DataFrame, key: str) -> DataFrame:
     """Nodes: what geometry says and what a complete element needs, together."""
-    both = geometric.select(key, "areas").unionByName(override.select(key, "areas"))
-    return both.groupBy(key).agg(U.area_set(F.flatten(F.collect_list("areas"))).alias("areas"))
+    return known.united(geometric.select(key, "set_no").unionByName(override.select(key, "set_no")), key)
 
 
 def preferred(plain: DataFrame, override: DataFrame, key: str, first: DataFrame | None = None) -> DataFrame:
-    """Ways and relations: `first` if there, else the override, else the plain set; empty sets drop out."""
-    out = plain.select(key, F.col("areas").alias("plain")).join(override.select(key, F.col("areas").alias("over")), key, "full")
-    chain: list[Column | str] = ["over", "plain"]
+    """Ways and relations: `first` if there, else the override, else the plain set."""
+    out = plain.select(key, F.col("set_no").alias("plain")).join(override.select(key, F.col("set_no").alias("over")), key, "full")
+    chain = ["over", "plain"]
     if first is not None:
-        out = out.join(first.select(key, F.col("areas").alias("one")), key, "full")
+        out = out.join(first.select(key, F.col("set_no").alias("one")), key, "full")
         chain = ["one", *chain]
-    return out.select(key, F.coalesce(*chain).alias("areas")).where(F.size("areas") > 0)
+    return out.select(key, F.coalesce(*chain).alias("set_no"))

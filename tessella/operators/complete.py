@@ -2,68 +2,66 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import units as U
 from tessella.functions.tags import closed_way, get_tag
-from tessella.operators import assign as A
+from tessella.operators import graph as G
+from tessella.operators import idsets as I
+from tessella.operators.areasets import AreaSets
 from tessella.operators.bounded import cut, hinted
 from tessella.operators.rangejoin import point_in_rect, rect_near_rect, segments_near_rect
 
-MAX_DEPTH = 16
+def _below(mem: DataFrame) -> DataFrame:
+    return mem.where("type = 'relation'").select("rel_id", F.col("ref").alias("below")).distinct()
 
 
-def closure(mem: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """rel_id, depth: the start relations and all relations below them, each at its least depth.
+def closure(mem: DataFrame, start: DataFrame) -> DataFrame:
+    """rel_id, depth: the start relations and all relations below them, each at its least depth, however deep.
 
     A frontier goes down level by level; what was met before is left out, so loops end. mem: rel_id, type, ref.
     """
-    below = mem.where("type = 'relation'").select("rel_id", F.col("ref").alias("child")).distinct()
-    met = cut(start.select("rel_id").distinct().withColumn("depth", F.lit(0)))
-    front = met
-    for depth in range(1, max_depth + 1):
-        nxt = front.select("rel_id").join(below, "rel_id").select(F.col("child").alias("rel_id")).distinct()
+    below = cut(_below(mem))
+    front = met = cut(start.select("rel_id").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        nxt = front.select("rel_id").join(below, "rel_id").select(F.col("below").alias("rel_id")).distinct()
         front = cut(nxt.join(met, "rel_id", "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
-            break
         met = cut(met.unionByName(front))
     return met
 
 
-def descendants(mem: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """rel_id, below: every pair of a relation and one that it reaches, itself left out."""
-    edge = cut(mem.where("type = 'relation'").select("rel_id", F.col("ref").alias("below")).distinct())
-    met = front = edge
-    for _ in range(1, max_depth):
+def descendants(mem: DataFrame) -> DataFrame:
+    """rel_id, below: every pair of a relation and one that it reaches. All pairs: a report, not a step on the way to tiles."""
+    edge = met = front = cut(_below(mem))
+    while not front.isEmpty():
         nxt = front.join(edge.select(F.col("rel_id").alias("below"), F.col("below").alias("next")), "below").select("rel_id", F.col("next").alias("below")).distinct()
         front = cut(nxt.join(met, ["rel_id", "below"], "left_anti"))
-        if front.isEmpty():
-            break
         met = cut(met.unionByName(front))
     return met
 
 
-def loops(mem: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Relations that reach themselves, and those that name a member relation more than once."""
-    rings = descendants(mem, max_depth).where("rel_id = below").select("rel_id", F.lit("loop").alias("problem"))
+def loops(mem: DataFrame) -> DataFrame:
+    """Relations on a loop of member relations, and those that name a member relation more than once."""
+    rings = G.strong_components(_below(mem).select(F.col("rel_id").alias("a"), F.col("below").alias("b"))).select(F.col("v").alias("rel_id"), F.lit("loop").alias("problem"))
     twice = mem.where("type = 'relation'").groupBy("rel_id", "ref").count().where("count > 1").select("rel_id", F.lit("duplicate").alias("problem")).distinct()
     return rings.unionByName(twice)
 
 
 def needed_ways(problem_way_ids: DataFrame, mem: DataFrame, rels: DataFrame) -> DataFrame:
-    """Problem ways and the way members of the relations."""
-    own = mem.where("type = 'way'").join(rels, "rel_id", "left_semi").select(F.col("ref").alias("way_id"))
-    return problem_way_ids.select("way_id").union(own).distinct()
+    """Id set of the problem ways and the way members of the relations."""
+    own = mem.where("type = 'way'").join(hinted(rels), "rel_id", "left_semi").select(F.col("ref").alias("way_id"))
+    return I.id_set(problem_way_ids.select("way_id").union(own), "way_id")
 
 
 def needed_nodes(refs: DataFrame, ways: DataFrame, mem: DataFrame, rels: DataFrame) -> DataFrame:
-    """Nodes of the needed ways and node members of the relations."""
-    of_ways = refs.join(ways, "way_id", "left_semi").select("node_id")
-    own = mem.where("type = 'node'").join(rels, "rel_id", "left_semi").select(F.col("ref").alias("node_id"))
-    return of_ways.union(own).distinct()
+    """Id set of the nodes of the needed ways (an id set) and the node members of the relations."""
+    of_ways = I.within(refs, "way_id", ways).select("node_id")
+    own = mem.where("type = 'node'").join(hinted(rels), "rel_id", "left_semi").select(F.col("ref").alias("node_id"))
+    return I.id_set(of_ways.union(own), "node_id")
 
 
 def way_points(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -107,8 +105,8 @@ def simple_neighbours(areas: list[tuple[int, int, int, int]], most: int = 1000,
     return sorted(sorted(s) for s in known if len(s) > 1)
 
 
-def whole_way_areas(ways: DataFrame, points: DataFrame, areas: DataFrame, simple: DataFrame | None = None) -> DataFrame:
-    """way_id, areas: where whole ways lie.
+def whole_way_sets(known: AreaSets, ways: DataFrame, points: DataFrame, areas: DataFrame, simple: DataFrame | None = None) -> DataFrame:
+    """way_id, set_no: where whole ways lie.
 
     Closed ways: areas that their box reaches. Open ways: areas of their nodes and, where the way may leave them (a node
     in no area, or several areas that do not make up a rectangle), areas that a segment hits. simple: areas (canonical
@@ -119,9 +117,9 @@ def whole_way_areas(ways: DataFrame, points: DataFrame, areas: DataFrame, simple
     by_box = rect_near_rect(boxes.where("closed").drop("closed"), areas).select("way_id", "area_idx")
     open_points = points.join(shut.where(~F.col("closed")), "way_id", "left_semi")
     by_point = point_in_rect(open_points, areas).select("way_id", "pos", "area_idx")
-    known = open_points.groupBy("way_id").agg(F.count("*").alias("n"))
+    total = open_points.groupBy("way_id").agg(F.count("*").alias("n"))
     held = by_point.groupBy("way_id").agg(F.countDistinct("pos").alias("held"), F.array_sort(F.collect_set("area_idx")).alias("areas"))
-    both = known.join(held, "way_id", "left").withColumn("areas", F.coalesce("areas", F.array().cast("array<int>"))).withColumn("held", F.coalesce("held", F.lit(0)))
+    both = total.join(held, "way_id", "left").withColumn("areas", F.coalesce("areas", F.array().cast("array<int>"))).withColumn("held", F.coalesce("held", F.lit(0)))
     crossing = (F.col("held") < F.col("n")) | (F.size("areas") == 0)
     if simple is None:
         crossing = crossing | (F.size("areas") > 1)
@@ -130,83 +128,81 @@ def whole_way_areas(ways: DataFrame, points: DataFrame, areas: DataFrame, simple
         crossing = crossing | ((F.size("areas") > 1) & F.col("is_simple").isNull())
     may = both.where(crossing).select("way_id")
     by_segment = segments_near_rect(way_segments(open_points.join(may, "way_id", "left_semi")), areas).select("way_id", "area_idx")
-    return A.sets(by_box.union(by_point.select("way_id", "area_idx")).union(by_segment).distinct(), "way_id")
+    return known.united(by_box.union(by_point.select("way_id", "area_idx")).union(by_segment), "way_id")
 
 
-def relation_sets(mem: DataFrame, node_sets: DataFrame, way_sets: DataFrame) -> DataFrame:
-    """rel_id, areas from the sets of node and way members."""
-    flat = lambda df, key: df.select(F.col(key).alias("ref"), F.explode("areas").alias("area_idx"))
-    pairs = A.relation_pairs(mem, flat(node_sets, "node_id").withColumnRenamed("ref", "node_id"), flat(way_sets, "way_id").withColumnRenamed("ref", "way_id"))
-    return A.sets(pairs, "rel_id")
+def _partners(ends: DataFrame) -> DataFrame:
+    """ends (rel_id, pos, side, node) with npos, nside: the member that goes on where this end stops, and the end by which it is left again.
 
-
-RING = "rel_id long, ring int, box_min_lat int, box_min_lon int, box_max_lat int, box_max_lon int, complete boolean"
+    The ends that meet in a node are paired from the last member on: the last with the one before it, and so on.
+    """
+    at = W.partitionBy("rel_id", "node").orderBy(F.col("pos").desc(), F.col("side").desc())
+    other = lambda c: F.when(F.row_number().over(at) % 2 == 1, F.lead(c).over(at)).otherwise(F.lag(c).over(at))
+    return ends.select("rel_id", "pos", "side", other("pos").alias("npos"), (1 - other("side")).alias("nside"))
 
 
 def rings(relations: DataFrame, mem: DataFrame, way_ends: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Boxes of the rings of multipolygons, one row for each chain of way members that are not inner ones.
+    """rel_id, ring (the place of its last member), box_ edges, complete: the rings of multipolygons, of the way members that are not inner ones.
 
-    Members go from the last to the first; a chain grows at either end by the first way that fits until it closes or
-    none fits. The members of one relation meet in one task: their number is bounded by the file format's own limits on
-    members. way_ends: way_id, first, last; ways that are missing or have one node are left out, and the rings then
-    count as incomplete.
+    Ends that meet are paired, so that members form chains and circles; along them, pointers are doubled: in each round a
+    member learns the last place that the members up to its pointer have, and its pointer's pointer becomes its own. After
+    log2 of the largest relation's members all is known; no task holds a relation. way_ends: way_id, first, last; ways that
+    are missing or have one node are left out, and the rings of their relation then count as incomplete, as open chains do.
     """
     area = relations.where(get_tag(F.col("tags"), "type").isin("multipolygon", "boundary")).select(F.col("id").alias("rel_id"))
     own = mem.where("type = 'way' and role <> 'inner'").join(area, "rel_id", "left_semi").select("rel_id", "pos", F.col("ref").alias("way_id"))
-    rows = own.join(way_ends, "way_id", "left").join(boxes, "way_id", "left")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ascending=False)
-        usable = pdf[pdf["first"].notna() & pdf["box_min_lat"].notna()]
-        whole = len(usable) == len(pdf)
-        left = list(usable.itertuples(index=False))
-        out = []
-        while left:
-            seed = left.pop(0)
-            head, tail, used = seed.first, seed.last, [seed]
-            grown = True
-            while head != tail and grown:
-                grown = False
-                for i, w in enumerate(left):
-                    if tail in (w.first, w.last):
-                        tail = w.last if w.first == tail else w.first
-                    elif head in (w.first, w.last):
-                        head = w.last if w.first == head else w.first
-                    else:
-                        continue
-                    used.append(left.pop(i))
-                    grown = True
-                    break
-            out.append((int(pdf["rel_id"].iloc[0]), len(out), int(min(w.box_min_lat for w in used)), int(min(w.box_min_lon for w in used)), int(max(w.box_max_lat for w in used)), int(max(w.box_max_lon for w in used)), bool(whole and head == tail)))
-        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in RING.split(", ")])
-
-    renamed = rows.select("rel_id", "pos", "way_id", "first", "last", "box_min_lat", "box_min_lon", "box_max_lat", "box_max_lon")
-    return renamed.groupBy("rel_id").applyInPandas(chain, RING)
-
-
-def ring_sets(ring_boxes: DataFrame, areas: DataFrame) -> DataFrame:
-    return A.sets(rect_near_rect(ring_boxes.select("rel_id", "box_min_lat", "box_min_lon", "box_max_lat", "box_max_lon"), areas).select("rel_id", "area_idx").distinct(), "rel_id")
-
-
-def replaced(plain: DataFrame, better: DataFrame) -> DataFrame:
-    """rel_id, areas: the ring's set where there is one, else the members' set."""
-    return A.preferred(plain, better, "rel_id")
-
-
-def with_children(rel_sets: DataFrame, mem: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """rel_id, areas: each relation's own set with those of all relations below it."""
-    below = descendants(mem, max_depth).join(rel_sets.withColumnRenamed("rel_id", "below"), "below").select("rel_id", "areas")
-    both = rel_sets.select("rel_id", "areas").unionByName(below)
-    return both.select("rel_id", F.explode("areas").alias("area_idx")).groupBy("rel_id").agg(F.array_sort(F.collect_set("area_idx")).alias("areas"))
-
-
-def passed_to_members(rel_sets: DataFrame, mem: DataFrame, kind: str, own: DataFrame, key: str) -> DataFrame:
-    """key, areas: the elements' own sets with those of the relations that they are members of."""
-    got = mem.where(F.col("type") == kind).select("rel_id", F.col("ref").alias(key)).join(rel_sets, "rel_id").select(key, F.explode("areas").alias("area_idx"))
-    return A.sets(own.select(key, F.explode("areas").alias("area_idx")).union(got).distinct(), key)
-
-
-def passed_to_nodes(way_sets: DataFrame, refs: DataFrame, own: DataFrame) -> DataFrame:
-    """node_id, areas: nodes' own sets with those of the ways that they belong to."""
-    got = refs.select("way_id", "node_id").distinct().join(way_sets, "way_id").select("node_id", F.explode("areas").alias("area_idx"))
-    return A.sets(own.select("node_id", F.explode("areas").alias("area_idx")).union(got).distinct(), "node_id")
+    rows = cut(own.join(way_ends, "way_id", "left").join(boxes, "way_id", "left").withColumn("usable", F.col("first").isNotNull() & F.col("box_min_lat").isNotNull()))
+    ends = rows.where("usable and first <> last").select("rel_id", "pos", F.inline(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("node")) for k, c in enumerate(("first", "last"))])))
+    steps = cut(_partners(ends).withColumn("top", F.col("pos")).withColumn("open", F.col("npos").isNull()))
+    most = rows.groupBy("rel_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(max(0, most - 1).bit_length()):
+        a, b = steps.alias("a"), steps.alias("b")
+        on = (F.col("a.rel_id") == F.col("b.rel_id")) & (F.col("a.npos") == F.col("b.pos")) & (F.col("a.nside") == F.col("b.side"))
+        steps = cut(a.join(b, on, "left").select("a.rel_id", "a.pos", "a.side", F.col("b.npos").alias("npos"), F.col("b.nside").alias("nside"), F.greatest("a.top", "b.top").alias("top"), (F.col("a.open") | F.coalesce("b.open", F.lit(False))).alias("open")))
+    chains = steps.groupBy("rel_id", "pos").agg(F.max("top").alias("ring"), F.max("open").alias("open"))
+    known = rows.join(chains, ["rel_id", "pos"], "left").where("usable")
+    edges = [F.min("box_min_lat").alias("box_min_lat"), F.min("box_min_lon").alias("box_min_lon"), F.max("box_max_lat").alias("box_max_lat"), F.max("box_max_lon").alias("box_max_lon")]
+    found = known.groupBy("rel_id", F.coalesce("ring", "pos").alias("ring")).agg(*edges, F.max(F.coalesce("open", F.lit(False))).alias("open"))
+    whole = rows.groupBy("rel_id").agg(F.min("usable").alias("whole"))
+    return found.join(whole, "rel_id").select("rel_id", "ring", "box_min_lat", "box_min_lon", "box_max_lat", "box_max_lon", (F.col("whole") & ~F.col("open")).alias("complete"))
+
+
+def ring_sets(known: AreaSets, ring_boxes: DataFrame, areas: DataFrame) -> DataFrame:
+    """rel_id, set_no: the areas that a relation's rings reach into."""
+    boxes = ring_boxes.select("rel_id", "box_min_lat", "box_min_lon", "box_max_lat", "box_max_lon")
+    return known.united(rect_near_rect(boxes, areas).select("rel_id", "area_idx"), "rel_id")
+
+
+def with_children(known: AreaSets, rel_sets: DataFrame, mem: DataFrame) -> DataFrame:
+    """rel_id, set_no: each relation's own set with those of all relations below it, however deep.
+
+    Loops become one node each, as the relations on them share what they have. Numbers of sets then go up the graph level by
+    level: what is new to a relation is passed on to its holders. The union is made once, from the numbers that have met.
+    """
+    edges = cut(_below(mem).select(F.col("rel_id").alias("a"), F.col("below").alias("b")))
+    if edges.isEmpty():
+        return rel_sets.select("rel_id", "set_no")
+    rings = G.strong_components(edges)
+    graph = cut(G.condensed(edges, rings).select("a", F.col("b").alias("v")))
+    all_ = rel_sets.select("rel_id").union(edges.select("a")).union(edges.select("b")).distinct()
+    name = cut(all_.join(rings.withColumnRenamed("v", "rel_id"), "rel_id", "left").select("rel_id", F.coalesce("scc", "rel_id").alias("v")))
+    front = have = cut(rel_sets.join(name, "rel_id").select("v", "set_no").distinct())
+    steps = 0
+    while not front.isEmpty():
+        told = front.join(graph, "v").select(F.col("a").alias("v"), "set_no").distinct()
+        front = cut(told.join(have, ["v", "set_no"], "left_anti"))
+        steps += 1
+        have = have.union(front) if steps % 8 else cut(have.union(front))
+    return name.join(known.united(have, "v"), "v").select("rel_id", "set_no")
+
+
+def passed_to_members(known: AreaSets, rel_sets: DataFrame, mem: DataFrame, kind: str, own: DataFrame, key: str) -> DataFrame:
+    """key, set_no: the elements' own sets with those of the relations that they are members of."""
+    got = mem.where(F.col("type") == kind).select("rel_id", F.col("ref").alias(key)).join(rel_sets, "rel_id").select(key, "set_no")
+    return known.united(own.select(key, "set_no").union(got), key)
+
+
+def passed_to_nodes(known: AreaSets, way_sets: DataFrame, refs: DataFrame, own: DataFrame) -> DataFrame:
+    """node_id, set_no: nodes' own sets with those of the ways that they belong to."""
+    got = refs.select("way_id", "node_id").join(way_sets, "way_id").select("node_id", "set_no")
+    return known.united(own.select("node_id", "set_no").union(got), "node_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.tags import wanted_relation
 from tessella.operators import assign as A
+from tessella.operators.areasets import AreaSets
 from tessella.operators.bounded import hinted
 from tessella.operators.rangejoin import contained_in
 
@@ -75,20 +76,20 @@ def extent(areas: Iterable[Rect]) -> int:
     return sum((a[2] - a[0]) * (a[3] - a[1]) for a in areas)
 
 
-def problem_ways(way_sets: DataFrame) -> DataFrame:
-    return A.several(way_sets).select(F.lit("way").alias("kind"), F.col("way_id").alias("id"))
+def problem_ways(known: AreaSets, way_sets: DataFrame) -> DataFrame:
+    return A.several(known, way_sets).select(F.lit("way").alias("kind"), F.col("way_id").alias("id"))
 
 
-def problem_relations(relations: DataFrame, rel_sets: DataFrame, **filters) -> DataFrame:
+def problem_relations(known: AreaSets, relations: DataFrame, rel_sets: DataFrame, **filters) -> DataFrame:
     """Wanted relations with members in several areas."""
     wanted = relations.where(wanted_relation(F.col("tags"), **filters)).select(F.col("id").alias("rel_id"))
-    return A.several(rel_sets).join(wanted, "rel_id", "left_semi").select(F.lit("rel").alias("kind"), F.col("rel_id").alias("id"))
+    return A.several(known, rel_sets).join(wanted, "rel_id", "left_semi").select(F.lit("rel").alias("kind"), F.col("rel_id").alias("id"))
 
 
-def one_tile_relations(relations: DataFrame, rel_sets: DataFrame, distinct_areas: DataFrame, areas: DataFrame, **filters) -> DataFrame:
-    """Wanted relations within one distinct area, with the real areas that hold it; those in pseudo areas drop out."""
+def one_tile_relations(known: AreaSets, relations: DataFrame, rel_sets: DataFrame, distinct_areas: DataFrame, areas: DataFrame, **filters) -> DataFrame:
+    """rel_id and areas: wanted relations within one distinct area, with the real areas that hold it; those in pseudo areas drop out."""
     wanted = relations.where(wanted_relation(F.col("tags"), **filters)).select(F.col("id").alias("rel_id"))
-    one = rel_sets.where(F.size("areas") == 1).join(wanted, "rel_id", "left_semi").select("rel_id", F.element_at("areas", 1).alias("area_idx"))
+    one = known.single(rel_sets).join(wanted, "rel_id", "left_semi").select("rel_id", F.col("set_no").cast("int").alias("area_idx"))
     real = contained_in(distinct_areas, areas)
     return one.join(hinted(real), "area_idx").select("rel_id", "areas")
 
@@ -98,9 +99,10 @@ def all_problems(found: DataFrame, told: DataFrame) -> DataFrame:
     return found.select("kind", "id").union(told.select("kind", "id")).distinct()
 
 
-def coverage(sets: DataFrame) -> DataFrame:
-    """How many elements lie in how many areas."""
-    return sets.groupBy(F.size("areas").alias("n_areas")).agg(F.count("*").alias("n_elements"), F.countDistinct("areas").alias("n_sets"))
+def coverage(known: AreaSets, numbered: DataFrame) -> DataFrame:
+    """How many elements lie in how many areas; counted by set before the dictionary says what a set holds."""
+    counts = numbered.groupBy("set_no").agg(F.count("*").alias("n"))
+    return known.arrays(counts, "n").groupBy(F.size("areas").alias("n_areas")).agg(F.sum("n").alias("n_elements"), F.count("*").alias("n_sets"))
 
 
 __all__ = ["all_problems", "cover", "coverage", "disjoint", "extent", "one_tile_relations", "problem_relations", "problem_ways"]

@@ -3,6 +3,7 @@
 import tessella.plans.files  # noqa: F401
 import tessella.plans.formats  # noqa: F401
 import tessella.plans.queries  # noqa: F401
+import tessella.plans.polygons  # noqa: F401
 import tessella.plans.tiles  # noqa: F401
 from tessella.plans.registry import ORACLES, QUERIES
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import units as U
-from tessella.operators import assign as A
 from tessella.operators import complete as C
 from tessella.operators import density as D
 from tessella.operators import solver as S
+from tessella.operators.bounded import shared_folder
 from tessella.operators.rangejoin import point_in_rect
 from tessella.plans import lens as L
+from tessella.plans import queries as Q
 from tessella.plans.lens import sql
 from tessella.plans.registry import ORACLES, QUERIES, query
 from tessella.schema import MEMBERS, TAGS
-from tessella.sources import maps, o5m, pbf
+from tessella.sources import maps, o5m, pbf, tilewriter
 
 SHIFT, MOST = 11, 400
 
@@ -65,7 +69,22 @@ def solved_nodes(spark, sf):
     return point_in_rect(nodes, S.areas(spark, m, S.split(m, MOST, 5000))).select("id").distinct().agg(F.count("*").alias("n"))
 
 
-@query("ring_boxes")
+def _ring_sql(extra: str, own: str, ends: str) -> str:
+    """Rings of own (rel_id, pos, way_id) with ends (way_id, first, last): members joined by pairs of ends, reached step by step."""
+    return Q._with(f"""{extra}
+own AS MATERIALIZED ({own}), way_ends AS ({ends}),
+m AS MATERIALIZED (SELECT rel_id, pos, first, last, b.*, first IS NOT NULL AND b.way_id IS NOT NULL AS usable FROM own LEFT JOIN way_ends USING (way_id) LEFT JOIN boxes b USING (way_id)),
+e AS (SELECT rel_id, pos, side, CASE side WHEN 0 THEN first ELSE last END AS node FROM m, range(2) t(side) WHERE usable AND first <> last),
+p AS MATERIALIZED (
+  SELECT rel_id, pos, CASE WHEN row_number() OVER w % 2 = 1 THEN lead(pos) OVER w ELSE lag(pos) OVER w END AS npos FROM e WINDOW w AS (PARTITION BY rel_id, node ORDER BY pos DESC, side DESC)),
+c AS (SELECT * FROM (WITH RECURSIVE r AS (SELECT rel_id, pos, pos AS other FROM m WHERE usable UNION SELECT r.rel_id, r.pos, p.npos FROM r JOIN p ON p.rel_id = r.rel_id AND p.pos = r.other WHERE p.npos IS NOT NULL) SELECT rel_id, pos, max(other) AS ring FROM r GROUP BY ALL)),
+o AS (SELECT rel_id, pos, bool_or(npos IS NULL) AS open_ FROM p GROUP BY ALL),
+w AS (SELECT rel_id, bool_and(usable) AS whole FROM m GROUP BY rel_id)""", """
+SELECT rel_id, ring, min(box_min_lat) AS box_min_lat, min(box_min_lon) AS box_min_lon, max(box_max_lat) AS box_max_lat, max(box_max_lon) AS box_max_lon, any_value(whole) AND NOT bool_or(coalesce(open_, false)) AS complete
+FROM c JOIN m USING (rel_id, pos) JOIN w USING (rel_id) LEFT JOIN o USING (rel_id, pos) GROUP BY rel_id, ring""")
+
+
+@query("ring_boxes", _ring_sql("", "SELECT rel_id, CAST(ref AS INTEGER) AS pos, ref AS way_id FROM members JOIN kinds ON rel_id = id WHERE members.type = 'way' AND role <> 'inner' AND kinds.type IN ('multipolygon', 'boundary')", "SELECT id AS way_id, refs[1] AS first, refs[len(refs)] AS last FROM ways WHERE len(refs) > 1"))
 def ring_boxes(spark, sf):
     ways = L.ways(spark, sf)
     ends = ways.where(F.size("refs") > 1).select(F.col("id").alias("way_id"), F.element_at("refs", 1).alias("first"), F.element_at("refs", -1).alias("last"))
@@ -74,6 +93,24 @@ def ring_boxes(spark, sf):
     return C.rings(L.relations(spark, sf), mem, ends, boxes)
 
 
+# a relation for each nation; its members are orders' ways, whose ends meet in few nodes, so that chains, circles and junctions arise
+_OF_NATION = "SELECT c_nationkey + 2000000 AS rel_id, CAST(o_orderkey AS INTEGER) AS pos, o_orderkey + 1 AS way_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority <> '5-LOW'"
+_MEETING = "SELECT o_orderkey + 1 AS way_id, (o_orderkey * 7) % 211 AS first, (o_orderkey * 13 + o_custkey) % 211 AS last FROM orders WHERE o_orderkey % 400 <> 3"
+
+
+@query("ring_junctions", _ring_sql("", _OF_NATION, _MEETING))
+def ring_junctions(spark, sf):
+    """Rings where many ends meet in a node, some members are missing and others closed."""
+    key = F.col("o_orderkey")
+    orders = L.read(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
+    of = orders.join(L.read(spark, sf, "customer", "c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    role = F.when(F.col("o_orderpriority") == "5-LOW", "inner").otherwise("outer")
+    mem = of.select((F.col("c_nationkey") + F.lit(2_000_000).cast("long")).alias("rel_id"), key.cast("int").alias("pos"), F.lit("way").alias("type"), (key + 1).alias("ref"), role.alias("role"))
+    ends = orders.where("o_orderkey % 400 <> 3").select((key + 1).alias("way_id"), (key * 7 % 211).alias("first"), ((key * 13 + F.col("o_custkey")) % 211).alias("last"))
+    boxes = C.way_boxes(C.way_points(L.way_refs(spark, sf), L.nodes(spark, sf)))
+    return C.rings(L.relations(spark, sf), mem, ends, boxes)
+
+
 def _elements(spark, sf):
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     nodes = L.nodes(spark, sf).select(F.lit("node").alias("kind"), "id", F.lit(1).alias("version"), U.to_degrees(F.col("map_lat")).alias("lat"), U.to_degrees(F.col("map_lon")).alias("lon"), none("array<bigint>", "refs"), none(MEMBERS.replace("long", "bigint"), "members"), F.array(F.struct(F.lit("k").alias("k"), F.col("id").cast("string").alias("v"))).cast(TAGS).alias("tags"))
@@ -81,31 +118,46 @@ def _elements(spark, sf):
     return nodes.union(ways)
 
 
+def _with_relations(spark, sf):
+    """The elements with relations, their members and tags."""
+    own = L.members(spark, sf).groupBy(F.col("rel_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("type", "ref", "role"))).alias("members"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rels = L.relations(spark, sf).join(own, "id").select(F.lit("relation").alias("kind"), "id", F.lit(1).alias("version"), none("double", "lat"), none("double", "lon"), none("array<bigint>", "refs"), F.col("members").cast(MEMBERS.replace("long", "bigint")), F.col("tags").cast(TAGS))
+    return _elements(spark, sf).unionByName(rels)
+
+
 def _round_trip(form: str):
     def run(spark, sf):
-        pairs = A.node_areas(L.nodes(spark, sf), L.areas(spark))
-        ways = A.sets(A.way_pairs(L.way_refs(spark, sf), pairs), "way_id")
-        tiles = A.sets(pairs, "node_id").select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "areas").union(ways.select(F.lit("way").alias("kind"), F.col("way_id").alias("id"), "areas"))
-        files = maps.tile_files(_elements(spark, sf), tiles, L.areas(spark), form)
+        f, folder = Q.Flow(spark, sf), f"{shared_folder(spark)}/tiles"
+        one = lambda kind, sets, name: f.known.arrays(sets, name).select(F.lit(kind).alias("kind"), F.col(name).alias("id"), "areas")
+        sets = [("node", f.nodes, "node_id"), ("way", f.ways, "way_id"), ("relation", f.rels, "rel_id")]  # the last steps enter sets in the dictionary, too
+        tiles = reduce(DataFrame.union, [one(*x) for x in sets])
+        tilewriter.save_tiles(_with_relations(spark, sf), tiles, L.areas(spark), folder, form)
 
         def back(batches):
             for pdf in batches:
-                for map_id, data in zip(pdf["map_id"], pdf["data"], strict=True):
-                    raw = bytes(data)
+                for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                    raw, map_id = bytes(data), int(path.rpartition("/")[2][:8])
                     rows = list(pbf.decode(raw) if form == "pbf" else o5m.decode(raw) if form == "o5m" else maps._plain_xml(maps.unpack(".gz", raw)))
-                    for kind in ("node", "way"):
+                    for kind in ("node", "way", "relation"):
                         own = [r for r in rows if r[0] == kind]
-                        yield pd.DataFrame([(map_id, kind, len(own), sum(r[1] for r in own), sum(x for r in own for x in r[5] or ()))], columns=["map_id", "kind", "n", "id_sum", "ref_sum"])
+                        refs = sum(x for r in own for x in r[5] or ()) + sum(m[1] for r in own for m in r[6] or ())
+                        yield pd.DataFrame([(map_id, kind, len(own), sum(r[1] for r in own), refs, sum(len(r[7]) for r in own))], columns=["map_id", "kind", "n", "id_sum", "ref_sum", "n_tags"])
 
-        return files.mapInPandas(back, "map_id int, kind string, n long, id_sum long, ref_sum long")
+        return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(back, "map_id int, kind string, n long, id_sum long, ref_sum long, n_tags long").where("n > 0")
 
     return run
 
 
-_TOLD = sql("""
-SELECT CAST(63240001 + area_idx AS INTEGER) AS map_id, 'node' AS kind, count(*) AS n, CAST(sum(node_id) AS BIGINT) AS id_sum, CAST(0 AS BIGINT) AS ref_sum FROM node_pairs GROUP BY area_idx
+_TOLD = Q._with("""
+n_tags AS (
+  SELECT id, CASE seg WHEN 'BUILDING' THEN 2 WHEN 'HOUSEHOLD' THEN 3 WHEN 'AUTOMOBILE' THEN 3 ELSE 1 END AS t FROM kinds
+  UNION ALL SELECT n_nationkey + 2000000, 2 FROM nation UNION ALL SELECT r_regionkey + 3000000, 2 FROM region)""", """
+SELECT CAST(63240001 + area_idx AS INTEGER) AS map_id, 'node' AS kind, count(*) AS n, CAST(sum(node_id) AS BIGINT) AS id_sum, CAST(0 AS BIGINT) AS ref_sum, count(*) AS n_tags FROM node_pairs GROUP BY area_idx
+UNION ALL
+SELECT CAST(63240001 + area_idx AS INTEGER), 'way', count(*), CAST(sum(way_id) AS BIGINT), CAST(sum(r.s) AS BIGINT), CAST(0 AS BIGINT) FROM way_pairs JOIN (SELECT way_id, sum(node_id) AS s FROM refs GROUP BY way_id) r USING (way_id) GROUP BY area_idx
 UNION ALL
-SELECT CAST(63240001 + area_idx AS INTEGER), 'way', count(*), CAST(sum(way_id) AS BIGINT), CAST(sum(r.s) AS BIGINT) FROM way_pairs JOIN (SELECT way_id, sum(node_id) AS s FROM refs GROUP BY way_id) r USING (way_id) GROUP BY area_idx""")
+SELECT CAST(63240001 + area_idx AS INTEGER), 'relation', count(*), CAST(sum(rel_id) AS BIGINT), CAST(sum(r.s) AS BIGINT), CAST(sum(t) AS BIGINT) FROM rel_pairs JOIN (SELECT rel_id, sum(ref) AS s FROM members GROUP BY rel_id) r USING (rel_id) JOIN n_tags ON rel_id = id GROUP BY area_idx""")
 for _form in ("pbf", "o5m", "xml"):
     QUERIES[f"tile_files_{_form}"] = _round_trip(_form)
     ORACLES[f"tile_files_{_form}"] = _TOLD

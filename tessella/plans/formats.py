@@ -18,7 +18,7 @@ from tessella.plans import queries as Q
 from tessella.plans.files import SHIFT, _clustered, _elements
 from tessella.plans.lens import sql
 from tessella.plans.registry import QUERIES, query
-from tessella.sources import element, maps, o5m, pbf, texts, xml
+from tessella.sources import element, maps, o5m, pbf, texts, tilewriter, xml
 
 RECT = "min_lat int, min_lon int, max_lat int, max_lon int"
 AREA_SQL = "CAST(63240001 + area_idx AS INTEGER) AS map_id, min_lat, min_lon, max_lat, max_lon"
@@ -151,7 +151,10 @@ def crossing_ways(spark, sf):
 
 @query("element_counts", sql("SELECT 'node' AS kind, count(*) AS n, max(id) AS last FROM nodes UNION ALL SELECT 'way', count(*), max(id) FROM ways"))
 def element_counts(spark, sf):
-    return element.counters(_elements(spark, sf))
+    """Counted while the box of the nodes is computed: the scan is the only one."""
+    read, seen = element.observed(_elements(spark, sf))
+    read.agg(F.min("lat"), F.max("lat")).collect()
+    return element.told(spark, seen)
 
 
 # map files
@@ -194,7 +197,7 @@ def _binary(form):
         nodes = _elements(spark, sf).where("kind = 'node'")
         tiles = nodes.select("kind", "id", F.array(F.lit(0)).alias("areas"))
         world = spark.createDataFrame([(0, 7, *D.WORLD)], f"area_idx int, map_id int, {RECT}")
-        maps.write_tiles(maps.tile_files(nodes, tiles, world, form), folder)
+        tilewriter.save_tiles(nodes, tiles, world, folder, form)
         back = maps.read_elements(spark, [f"{folder}/00000007.{maps.EXTENSIONS[form]}"], ("node",))
         return element.nodes(back).select("id", "map_lat", "map_lon")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import tags as G
@@ -10,8 +13,10 @@ from tessella.functions import units as U
 from tessella.operators import assign as A
 from tessella.operators import complete as C
 from tessella.operators import density as D
+from tessella.operators import idsets as I
 from tessella.operators import problems as P
 from tessella.operators import rangejoin as R
+from tessella.operators.areasets import AreaSets
 from tessella.operators.bounded import cut
 from tessella.plans import lens as L
 from tessella.plans.lens import sql
@@ -195,38 +200,97 @@ def node_area_counts(spark, sf):
     return A.node_areas(L.nodes(spark, sf), L.areas(spark)).groupBy("area_idx").agg(F.count("*").alias("n"))
 
 
-def _node_pairs(spark, sf):
-    return A.node_areas(L.nodes(spark, sf), L.areas(spark))
+class Flow:
+    """From nodes to the sets of whole elements. A step is made when it is first asked for, cut where later steps read it again."""
+
+    def __init__(self, spark, sf, areas: DataFrame | None = None) -> None:
+        self.spark, self.sf, self.known = spark, sf, AreaSets(spark)
+        self.areas = L.areas(spark) if areas is None else areas
+
+    @cached_property
+    def refs(self) -> DataFrame:
+        return cut(L.way_refs(self.spark, self.sf))
+
+    @cached_property
+    def mem(self) -> DataFrame:
+        return cut(L.members(self.spark, self.sf))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return cut(self.known.united(A.node_areas(L.nodes(self.spark, self.sf), self.areas), "node_id"))
+
+    @cached_property
+    def ways(self) -> DataFrame:
+        return cut(A.way_sets(self.known, self.refs, self.nodes))
+
+    @cached_property
+    def rels(self) -> DataFrame:
+        return cut(A.relation_sets(self.known, self.mem, self.nodes, self.ways))
+
+    @cached_property
+    def problem_ways(self) -> DataFrame:
+        return P.problem_ways(self.known, self.ways)
 
+    @cached_property
+    def problem_rels(self) -> DataFrame:
+        return cut(P.problem_relations(self.known, L.relations(self.spark, self.sf), self.rels))
 
-def _way_pairs(spark, sf):
-    return A.way_pairs(L.way_refs(spark, sf), _node_pairs(spark, sf))
+    @cached_property
+    def needed_ways(self) -> DataFrame:
+        return cut(C.needed_ways(self.problem_ways.select(F.col("id").alias("way_id")), self.mem, self.problem_rels.select(F.col("id").alias("rel_id"))))
 
+    @cached_property
+    def whole_ways(self) -> DataFrame:
+        ways = self.refs.groupBy(F.col("way_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("refs"))
+        return cut(C.whole_way_sets(self.known, ways, cut(C.way_points(self.refs, L.nodes(self.spark, self.sf))), self.areas))
 
-def _rel_pairs(spark, sf):
-    return A.relation_pairs(L.members(spark, sf), _node_pairs(spark, sf), _way_pairs(spark, sf))
+    @cached_property
+    def whole_rels(self) -> DataFrame:
+        return cut(A.relation_sets(self.known, self.mem, self.nodes, self.whole_ways))
+
+    @cached_property
+    def trees(self) -> DataFrame:
+        return cut(C.with_children(self.known, self.whole_rels, self.mem))
+
+    @cached_property
+    def passed_ways(self) -> DataFrame:
+        return cut(C.passed_to_members(self.known, self.trees, self.mem, "way", self.whole_ways, "way_id"))
+
+    @cached_property
+    def passed_nodes(self) -> DataFrame:
+        return cut(C.passed_to_nodes(self.known, self.passed_ways, self.refs, C.passed_to_members(self.known, self.trees, self.mem, "node", self.nodes, "node_id")))
+
+    @cached_property
+    def final_ways(self) -> DataFrame:
+        over = self.passed_ways.join(self.problem_ways.select(F.col("id").alias("way_id")), "way_id", "left_semi")
+        return A.preferred(self.ways, over, "way_id")
+
+    def text(self, name: str, key: str) -> DataFrame:
+        return _text(self.known.arrays(getattr(self, name), key))
 
 
 @query("way_areas", _sets("way_id", "way_pairs"))
 def way_areas(spark, sf):
-    return _text(A.sets(_way_pairs(spark, sf), "way_id"))
+    return Flow(spark, sf).text("ways", "way_id")
 
 
 @query("relation_areas", _sets("rel_id", "rel_pairs"))
 def relation_areas(spark, sf):
-    return _text(A.sets(_rel_pairs(spark, sf), "rel_id"))
+    return Flow(spark, sf).text("rels", "rel_id")
 
 
 @query("set_sizes", sql("SELECT CAST(size AS INTEGER) AS n_areas, count(*) AS n_elements, count(DISTINCT areas) AS n_sets FROM (SELECT count(*) AS size, array_to_string(list_sort(list(area_idx)), ',') AS areas FROM way_pairs GROUP BY way_id) GROUP BY size"))
 def set_sizes(spark, sf):
-    return P.coverage(A.sets(_way_pairs(spark, sf), "way_id"))
+    f = Flow(spark, sf)
+    return P.coverage(f.known, f.ways)
 
 
 @query("area_set_ops", sql("""
 SELECT way_id, array_to_string(list_sort(list_distinct(list_concat(a, [0, 9]))), ',') AS either, array_to_string(list_sort(list_filter(a, lambda v: v NOT IN (0, 9))), ',') AS rest, len(a) = 1 AS single
 FROM (SELECT way_id, list(DISTINCT area_idx) AS a FROM way_pairs GROUP BY way_id)"""))
 def area_set_ops(spark, sf):
-    s, other = A.sets(_way_pairs(spark, sf), "way_id"), F.array(F.lit(0), F.lit(9))
+    f, other = Flow(spark, sf), F.array(F.lit(0), F.lit(9))
+    s = f.known.arrays(f.ways, "way_id")
     return s.select("way_id", F.array_join(U.area_set(F.array_union("areas", other)), ",").alias("either"), F.array_join(F.array_sort(F.array_except("areas", other)), ",").alias("rest"), (F.size("areas") == 1).alias("single"))
 
 
@@ -252,7 +316,7 @@ def distinct_to_real(spark, sf):
 
 @query("problem_ways", sql("SELECT 'way' AS kind, way_id AS id FROM problem_ways"))
 def problem_ways(spark, sf):
-    return P.problem_ways(A.sets(_way_pairs(spark, sf), "way_id"))
+    return Flow(spark, sf).problem_ways
 
 
 @query("relation_filter", sql("SELECT id FROM wanted"))
@@ -273,27 +337,24 @@ def display_names(spark, sf):
 
 @query("problem_relations", sql("SELECT 'rel' AS kind, rel_id AS id FROM problem_rels"))
 def problem_relations(spark, sf):
-    return P.problem_relations(L.relations(spark, sf), A.sets(_rel_pairs(spark, sf), "rel_id"))
+    return Flow(spark, sf).problem_rels
 
 
 @query("all_problems", sql("SELECT 'way' AS kind, way_id AS id FROM problem_ways UNION SELECT 'rel', rel_id FROM problem_rels"))
 def all_problems(spark, sf):
-    return P.all_problems(problem_ways(spark, sf), problem_relations(spark, sf))
+    f = Flow(spark, sf)
+    return P.all_problems(f.problem_ways, f.problem_rels)
 
 
 @query("one_tile_relations", sql("SELECT p.rel_id, CAST(any_value(area_idx) AS VARCHAR) AS areas FROM rel_pairs p JOIN wanted ON rel_id = id GROUP BY p.rel_id HAVING count(*) = 1"))
 def one_tile_relations(spark, sf):
-    a = L.areas(spark)
-    return _text(P.one_tile_relations(L.relations(spark, sf), A.sets(_rel_pairs(spark, sf), "rel_id"), a, a))
+    f = Flow(spark, sf)
+    return _text(P.one_tile_relations(f.known, L.relations(spark, sf), f.rels, f.areas, f.areas))
 
 
 # complete elements
 
 
-def _problem_rels(spark, sf):
-    return problem_relations(spark, sf).select(F.col("id").alias("rel_id"))
-
-
 @query("relation_closure", sql("SELECT rel_id, depth FROM (SELECT 3000000 AS rel_id, 0 AS depth UNION ALL SELECT ref, 1 FROM below WHERE rel_id = 3000000 UNION ALL SELECT b.ref, 2 FROM below a JOIN below b ON a.ref = b.rel_id WHERE a.rel_id = 3000000)"))
 def relation_closure(spark, sf):
     return C.closure(L.members(spark, sf), spark.range(1).select(F.lit(3_000_000).cast("long").alias("rel_id")))
@@ -304,32 +365,70 @@ def descendants(spark, sf):
     return C.descendants(L.members(spark, sf))
 
 
-@query("relation_loops", sql("SELECT rel_id, 'duplicate' AS problem FROM (SELECT rel_id FROM members WHERE type = 'relation' GROUP BY rel_id, ref HAVING count(*) > 1) GROUP BY rel_id UNION ALL SELECT 9000000 + k, 'loop' FROM range(2) t(k)"))
+# suppliers of a nation and of the same two hundred keys hold each other in a ring; customers hold the next one, up to 20 in
+# a chain, whose last holds a supplier's ring; every one has a node of its own
+RINGS = """
+ring AS (SELECT s_suppkey + 5000000 AS rel_id, coalesce(lead(s_suppkey) OVER w, min(s_suppkey) OVER (PARTITION BY s_nationkey, s_suppkey // 200)) + 5000000 AS ref FROM supplier WINDOW w AS (PARTITION BY s_nationkey, s_suppkey // 200 ORDER BY s_suppkey)),
+chain AS (
+  SELECT c_custkey + 6000000 AS rel_id, c_custkey + 6000001 AS ref FROM customer WHERE c_custkey % 20 <> 19 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT c_custkey + 6000000, s_suppkey + 5000000 FROM customer JOIN supplier ON s_suppkey = c_custkey // 20 WHERE c_custkey % 20 = 19),
+graph AS (SELECT * FROM ring UNION ALL SELECT * FROM chain)"""
+
+
+def _graph(spark, sf) -> DataFrame:
+    """rel_id, pos, type, ref, role: the rings and chains, and a node for each of their relations."""
+    s = L.read(spark, sf, "supplier", "s_suppkey", "s_nationkey").withColumn("part", F.floor(F.col("s_suppkey") / 200))
+    w = W.partitionBy("s_nationkey", "part")
+    ring = s.select((F.col("s_suppkey") + 5_000_000).alias("rel_id"), (F.coalesce(F.lead("s_suppkey").over(w.orderBy("s_suppkey")), F.min("s_suppkey").over(w)) + 5_000_000).alias("ref"))
+    c = L.read(spark, sf, "customer", "c_custkey")
+    nxt = c.where("c_custkey % 20 <> 19").join(c.select((F.col("c_custkey") - 1).alias("c_custkey")), "c_custkey", "left_semi").select((F.col("c_custkey") + 6_000_000).alias("rel_id"), (F.col("c_custkey") + 6_000_001).alias("ref"))
+    last = c.where("c_custkey % 20 = 19").join(s, F.floor(F.col("c_custkey") / 20) == F.col("s_suppkey")).select((F.col("c_custkey") + 6_000_000).alias("rel_id"), (F.col("s_suppkey") + 5_000_000).alias("ref"))
+    of = lambda df, kind: df.select("rel_id", F.lit(kind).alias("type"), "ref", F.lit("").alias("role"))
+    nodes = s.select((F.col("s_suppkey") + 5_000_000).alias("rel_id"), (F.col("s_suppkey") + 1).alias("ref")).union(c.select(F.col("c_custkey") + 6_000_000, F.col("c_custkey") + 1))
+    return of(ring.union(nxt).union(last), "relation").union(of(nodes, "node"))
+
+
+@query("relation_loops", _with(RINGS, "SELECT rel_id, 'duplicate' AS problem FROM (SELECT rel_id FROM members WHERE type = 'relation' GROUP BY rel_id, ref HAVING count(*) > 1) GROUP BY rel_id UNION ALL SELECT rel_id, 'loop' FROM ring"))
 def relation_loops(spark, sf):
-    ring = spark.range(2).select((F.col("id") + 9_000_000).alias("rel_id"), F.lit("relation").alias("type"), (9_000_001 - F.col("id")).alias("ref"), F.lit("").alias("role"))
-    return C.loops(L.members(spark, sf).unionByName(ring))
+    return C.loops(L.members(spark, sf).unionByName(_graph(spark, sf)))
 
 
-NEEDED = "need AS (SELECT way_id FROM problem_ways UNION SELECT ref FROM members JOIN problem_rels USING (rel_id) WHERE type = 'way')"
+@query("chain_depths", _with(RINGS, "SELECT rel_id, CAST(min(depth) AS INTEGER) AS depth FROM (WITH RECURSIVE down AS (SELECT c_custkey + 6000000 AS rel_id, 0 AS depth FROM customer WHERE c_custkey % 20 = 0 UNION SELECT ref, depth + 1 FROM down JOIN graph USING (rel_id) WHERE depth < 60) SELECT * FROM down) GROUP BY rel_id"))
+def chain_depths(spark, sf):
+    """Every relation below the first of a chain, however deep; those on rings are met once."""
+    start = L.read(spark, sf, "customer", "c_custkey").where("c_custkey % 20 = 0").select((F.col("c_custkey") + 6_000_000).alias("rel_id"))
+    return C.closure(_graph(spark, sf), start)
 
 
-def _needed(spark, sf):
-    return C.needed_ways(problem_ways(spark, sf).select(F.col("id").alias("way_id")), L.members(spark, sf), _problem_rels(spark, sf))
+@query("looped_rel_areas", _with(RINGS + """,
+own AS (SELECT s_suppkey + 5000000 AS rel_id, area_idx FROM supplier JOIN node_pairs ON node_id = s_suppkey + 1 UNION SELECT c_custkey + 6000000, area_idx FROM customer JOIN node_pairs ON node_id = c_custkey + 1),
+down AS (SELECT * FROM (WITH RECURSIVE r AS (SELECT rel_id AS top, rel_id FROM graph UNION SELECT top, ref FROM r JOIN graph USING (rel_id)) SELECT DISTINCT top, rel_id FROM r))""",
+    "SELECT top AS rel_id, array_to_string(list_sort(list(DISTINCT area_idx)), ',') AS areas FROM (SELECT top, area_idx FROM down JOIN own USING (rel_id) UNION SELECT rel_id, area_idx FROM own) GROUP BY top"))
+def looped_rel_areas(spark, sf):
+    """Sets go up chains of 20 relations; those on a ring share theirs."""
+    f, mem = Flow(spark, sf), cut(_graph(spark, sf))
+    own = A.relation_sets(f.known, mem, f.nodes, spark.createDataFrame([], "way_id long, set_no long"))
+    return _text(f.known.arrays(C.with_children(f.known, own, mem), "rel_id"))
+
+
+NEEDED = "need AS (SELECT way_id FROM problem_ways UNION SELECT ref FROM members JOIN problem_rels USING (rel_id) WHERE type = 'way')"
 
 
 @query("needed_ways", _with(NEEDED, "SELECT way_id FROM need"))
 def needed_ways(spark, sf):
-    return _needed(spark, sf)
+    return I.members(Flow(spark, sf).needed_ways, "way_id")
 
 
 @query("needed_nodes", _with(NEEDED, "SELECT node_id FROM refs JOIN need USING (way_id) UNION SELECT ref FROM members JOIN problem_rels USING (rel_id) WHERE type = 'node'"))
 def needed_nodes(spark, sf):
-    return C.needed_nodes(L.way_refs(spark, sf), _needed(spark, sf), L.members(spark, sf), _problem_rels(spark, sf))
+    f = Flow(spark, sf)
+    return I.members(C.needed_nodes(f.refs, f.needed_ways, f.mem, f.problem_rels.select(F.col("id").alias("rel_id"))), "node_id")
 
 
 @query("unneeded_relations", sql("SELECT DISTINCT rel_id FROM members WHERE rel_id NOT IN (SELECT rel_id FROM problem_rels)"))
 def unneeded_relations(spark, sf):
-    return L.members(spark, sf).select("rel_id").distinct().join(_problem_rels(spark, sf), "rel_id", "left_anti")
+    f = Flow(spark, sf)
+    return f.mem.select("rel_id").distinct().join(f.problem_rels.select(F.col("id").alias("rel_id")), "rel_id", "left_anti")
 
 
 def _points(spark, sf):
@@ -361,96 +460,60 @@ def segment_areas(spark, sf):
     return R.segments_near_rect(C.way_segments(_points(spark, sf)), L.areas(spark)).select("way_id", "area_idx").distinct()
 
 
-def _whole_ways(spark, sf):
-    return C.whole_way_areas(L.ways(spark, sf), _points(spark, sf), L.areas(spark))
-
-
-def _complete(spark, sf, upto: str) -> DataFrame:
-    """Sets after each step of keeping elements complete; what later steps read more than once is cut."""
-    mem, refs = cut(L.members(spark, sf)), L.way_refs(spark, sf)
-    nodes = cut(A.sets(_node_pairs(spark, sf), "node_id"))
-    ways = cut(_whole_ways(spark, sf))
-    rels = C.relation_sets(mem, nodes, ways)
-    if upto == "relations":
-        return rels
-    trees = C.with_children(cut(rels), mem)
-    if upto == "trees":
-        return trees
-    trees = cut(trees)
-    passed = C.passed_to_members(trees, mem, "way", ways, "way_id")
-    if upto == "ways":
-        return passed
-    return C.passed_to_nodes(passed, refs, C.passed_to_members(trees, mem, "node", nodes, "node_id"))
-
-
-def _trees(spark, sf):
-    return _complete(spark, sf, "trees")
-
-
-def _passed_ways(spark, sf):
-    return _complete(spark, sf, "ways")
-
-
-def _passed_nodes(spark, sf):
-    return _complete(spark, sf, "nodes")
-
-
 @query("multi_tile_ways", _sets("way_id", "whole_pairs"))
 def multi_tile_ways(spark, sf):
-    return _text(_whole_ways(spark, sf))
+    return Flow(spark, sf).text("whole_ways", "way_id")
 
 
 @query("rel_member_areas", _sets("rel_id", "whole_rel_pairs"))
 def rel_member_areas(spark, sf):
-    return _text(_complete(spark, sf, "relations"))
+    return Flow(spark, sf).text("whole_rels", "rel_id")
 
 
 @query("parent_rel_areas", _sets("rel_id", "tree_pairs"))
 def parent_rel_areas(spark, sf):
-    return _text(_trees(spark, sf))
+    return Flow(spark, sf).text("trees", "rel_id")
 
 
 @query("propagate_members", _sets("way_id", "passed_ways"))
 def propagate_members(spark, sf):
-    return _text(_passed_ways(spark, sf))
+    return Flow(spark, sf).text("passed_ways", "way_id")
 
 
 @query("propagate_nodes", _sets("node_id", "passed_nodes"))
 def propagate_nodes(spark, sf):
-    return _text(_passed_nodes(spark, sf))
+    return Flow(spark, sf).text("passed_nodes", "node_id")
 
 
 @query("final_node_tiles", _sets("node_id", "(SELECT node_id, area_idx FROM node_pairs UNION SELECT node_id, area_idx FROM passed_nodes)"))
 def final_node_tiles(spark, sf):
-    return _text(A.merged(A.sets(_node_pairs(spark, sf), "node_id"), _passed_nodes(spark, sf), "node_id"))
+    f = Flow(spark, sf)
+    return _text(f.known.arrays(A.merged(f.known, f.nodes, f.passed_nodes, "node_id"), "node_id"))
 
 
 FINAL_WAYS = "over AS (SELECT * FROM passed_ways WHERE way_id IN (SELECT way_id FROM problem_ways)), f AS (SELECT * FROM over UNION ALL SELECT * FROM way_pairs WHERE way_id NOT IN (SELECT way_id FROM over))"
 
 
-def _final_ways(spark, sf):
-    over = _passed_ways(spark, sf).join(problem_ways(spark, sf).select(F.col("id").alias("way_id")), "way_id", "left_semi")
-    return A.preferred(A.sets(_way_pairs(spark, sf), "way_id"), over, "way_id")
-
-
 @query("final_way_tiles", _with(FINAL_WAYS, "SELECT way_id, array_to_string(list_sort(list(DISTINCT area_idx)), ',') AS areas FROM f GROUP BY way_id"))
 def final_way_tiles(spark, sf):
-    return _text(_final_ways(spark, sf))
+    return Flow(spark, sf).text("final_ways", "way_id")
 
 
 @query("final_rel_tiles", _with("one AS (SELECT rel_id FROM rel_pairs JOIN wanted ON rel_id = id GROUP BY rel_id HAVING count(*) = 1), over AS (SELECT * FROM tree_pairs WHERE rel_id IN (SELECT rel_id FROM problem_rels)), f AS (SELECT * FROM rel_pairs WHERE rel_id IN (SELECT rel_id FROM one) UNION ALL SELECT * FROM over WHERE rel_id NOT IN (SELECT rel_id FROM one) UNION ALL SELECT * FROM rel_pairs WHERE rel_id NOT IN (SELECT rel_id FROM one) AND rel_id NOT IN (SELECT rel_id FROM over))", "SELECT rel_id, array_to_string(list_sort(list(DISTINCT area_idx)), ',') AS areas FROM f GROUP BY rel_id"))
 def final_rel_tiles(spark, sf):
-    a = L.areas(spark)
-    plain = A.sets(_rel_pairs(spark, sf), "rel_id")
-    one = P.one_tile_relations(L.relations(spark, sf), plain, a, a)
-    over = _trees(spark, sf).join(_problem_rels(spark, sf), "rel_id", "left_semi")
-    return _text(A.preferred(plain, over, "rel_id", one))
+    f = Flow(spark, sf)
+    one = P.one_tile_relations(f.known, L.relations(spark, sf), f.rels, f.areas, f.areas)
+    over = f.trees.join(f.problem_rels.select(F.col("id").alias("rel_id")), "rel_id", "left_semi")
+    return _text(f.known.arrays(A.preferred(f.rels, over, "rel_id", f.known.numbered(one, "rel_id")), "rel_id"))
 
 
 @query("tile_payload", _with(FINAL_WAYS, "SELECT area_idx, count(DISTINCT way_id) AS n_ways, CAST(sum(way_id) AS BIGINT) AS id_sum FROM (SELECT DISTINCT way_id, area_idx FROM f) GROUP BY area_idx"))
 def tile_payload(spark, sf):
-    """What is written to each tile."""
-    return _final_ways(spark, sf).select("way_id", F.explode("areas").alias("area_idx")).groupBy("area_idx").agg(F.count("*").alias("n_ways"), F.sum("way_id").alias("id_sum"))
+    """What is written to each tile; ways are counted by set before sets are taken apart."""
+    f = Flow(spark, sf)
+    by_set = f.final_ways.groupBy("set_no").agg(F.count("*").alias("n"), F.sum("way_id").alias("ids"))
+    sums = f.known.arrays(by_set.select("set_no", F.struct("n", "ids").alias("s")), "s").select("s.*", F.explode("areas").alias("area_idx"))
+    return sums.groupBy("area_idx").agg(F.sum("n").alias("n_ways"), F.sum("ids").alias("id_sum"))
 
 
 # names

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import units as U
-from tessella.operators import assign as A
 from tessella.operators import density as D
 from tessella.operators import problems as P
 from tessella.operators import rangejoin as R
@@ -130,6 +129,5 @@ def pseudo_one_tile_relations(spark, sf):
     """Relations within one distinct area, translated to the tiles that hold it; those in pseudo areas drop out."""
     tiles = spark.createDataFrame([(i, *r) for i, r in enumerate(WIDE)], "area_idx int, min_lat int, min_lon int, max_lat int, max_lon int")
     areas = with_pseudo(spark, tiles)
-    pairs = A.node_areas(L.nodes(spark, sf), areas)
-    sets = A.sets(A.relation_pairs(L.members(spark, sf), pairs, A.way_pairs(L.way_refs(spark, sf), pairs)), "rel_id")
-    return Q._text(P.one_tile_relations(L.relations(spark, sf), sets, areas.where("not is_pseudo"), tiles))
+    f = Q.Flow(spark, sf, areas)
+    return Q._text(P.one_tile_relations(f.known, L.relations(spark, sf), f.rels, areas.where("not is_pseudo"), tiles))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.tags import without_author
 from tessella.functions.units import rect, to_map_unit, verify
 from tessella.schema import ELEMENT
 
-__all__ = ["ELEMENT", "bounds", "counters", "nodes", "relations", "row", "ways"]
+__all__ = ["ELEMENT", "bounds", "counters", "nodes", "observed", "relations", "row", "told", "ways"]
 
 
 def row(kind: str, id_: int | None = None, version: int = 0, lat=None, lon=None, refs=None, members=None, tags=None, box=None) -> tuple:
@@ -34,6 +34,22 @@ def counters(elements: DataFrame) -> DataFrame:
     return elements.where("kind <> 'bounds'").groupBy("kind").agg(F.count("*").alias("n"), F.max("id").alias("last"))
 
 
+KINDS = ("node", "way", "relation")
+
+
+def observed(elements: DataFrame) -> tuple[DataFrame, Observation]:
+    """elements as they are, and counters that fill while another job reads them all; a job that is run twice counts once."""
+    seen = Observation()
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("id"))
+    return elements.observe(seen, *[f(of(k)).alias(f"{k}_{n}") for k in KINDS for n, f in (("n", F.count), ("last", F.max))]), seen
+
+
+def told(spark: SparkSession, seen: Observation) -> DataFrame:
+    """kind, n and last of an observation whose job has ended, as counters gives them."""
+    got = seen.get
+    return spark.createDataFrame([(k, got[f"{k}_n"], got[f"{k}_last"]) for k in KINDS if got[f"{k}_n"]], "kind string, n long, last long")
+
+
 def bounds(elements: DataFrame) -> DataFrame:
     """Edges of the bounds that files tell; raises at run time where edges are out of order or off the globe."""
     b = F.col("box")

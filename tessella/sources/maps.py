@@ -9,13 +9,11 @@ import zipfile
 from collections.abc import Iterator
 from itertools import chain
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.tags import element_version
 from tessella.sources import o5m, pbf, storage, xml
 from tessella.sources.element import ELEMENT
 
@@ -134,49 +132,6 @@ def _rows(batch: pa.RecordBatch) -> list[tuple]:
     return [(r["kind"], r["id"], r["version"], r["lat"], r["lon"], r["refs"], None if r["members"] is None else [(m["type"], m["ref"], m["role"]) for m in r["members"]], [(t["k"], t["v"]) for t in r["tags"] or ()], None) for r in told]
 
 
-def tile_files(elements: DataFrame, tiles: DataFrame, areas: DataFrame, form: str = "pbf", versions: str = "remove") -> DataFrame:
-    """map_id, file, data: the encoded file of every area.
-
-    elements: element rows; tiles: kind, id, areas (sets of area_idx); areas: area_idx, map_id and edges. One shuffle by
-    area, sorted by the engine; a task holds the encoded file of a tile, which the node limit bounds, and PIECE_ROWS rows.
-    """
-    if form not in EXTENSIONS or form == "simulate":
-        raise MapError(f"no files of form {form}")
-    own = elements.withColumn("version", element_version(F.col("version"), versions))
-    dealt = own.join(tiles.select("kind", "id", F.explode("areas").alias("area_idx")), ["kind", "id"])
-    whole = dealt.join(areas.select("area_idx", "map_id", "min_lat", "min_lon", "max_lat", "max_lon"), "area_idx")
-    edges = ["min_lat", "min_lon", "max_lat", "max_lon"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, held = None, [], []
-
-        def done() -> pa.RecordBatch:
-            data = b"".join([*parts, piece(form, held) if held else b"", closing(form)])
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([f"{now:08d}.{EXTENSIONS[form]}"]), pa.array([data], pa.binary())], names=["map_id", "file", "data"])
-
-        for batch in batches:
-            ids = batch.column("map_id").to_numpy()
-            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if i == j:
-                    continue
-                if ids[i] != now:
-                    if now is not None:
-                        yield done()
-                    now, held = int(ids[i]), []
-                    box = tuple(batch.column(k)[i].as_py() * 360 / (1 << 24) for k in edges)
-                    parts = [opening(form, box, versions != "remove")]
-                held += _rows(batch.slice(i, j - i))
-                if len(held) >= PIECE_ROWS:
-                    parts.append(piece(form, held))
-                    held = []
-        if now is not None:
-            yield done()
-
-    order = _in_order(whole).repartition("map_id").sortWithinPartitions("map_id", "nth", "id")
-    return order.select("map_id", *edges, *ELEMENT.names[:-1]).mapInArrow(run, "map_id int, file string, data binary")
-
-
 def whole_file(elements: DataFrame, path: str, form: str = "pbf") -> None:
     """All elements as one file: ranges of them are encoded side by side, and the driver strings the parts together."""
 
@@ -188,13 +143,3 @@ def whole_file(elements: DataFrame, path: str, form: str = "pbf") -> None:
     parts = _in_order(elements.where("kind <> 'bounds'").withColumn("version", F.lit(0))).orderBy("nth", "id")
     data = parts.select(*ELEMENT.names[:-1]).mapInArrow(run, "data binary")
     storage.save(path, chain([opening(form)], (bytes(r.data) for r in data.toLocalIterator()), [closing(form)]))
-
-
-def write_tiles(files: DataFrame, folder: str) -> None:
-    """Saves each file under its own name in a shared folder or store; a retried task replaces its files whole."""
-
-    def save(rows) -> None:
-        for r in rows:
-            storage.save(f"{folder}/{r.file}", [bytes(r.data)])
-
-    files.select("file", "data").foreachPartition(save)

@@ -45,3 +45,25 @@ def save(path: str, parts: Iterable[bytes]) -> None:
         with where.open_output_stream(name) as f:
             for x in parts:
                 f.write(x)
+
+
+BLOCK = 8 << 20
+
+
+def blocks(path: str) -> Iterable[bytes]:
+    """The bytes of a file, a block at a time."""
+    with open_input(path) as f:
+        while data := f.read(BLOCK):
+            yield data
+
+
+def lines(path: str) -> list[str]:
+    """The lines of a small text file that are not empty."""
+    return [x for x in b"".join(blocks(path)).decode().split("\n") if x]
+
+
+def remove(path: str) -> None:
+    """A folder with all that is in it, if it is there."""
+    where, name = _found(path)
+    if where.get_file_info(name).type == fs.FileType.Directory:
+        where.delete_dir(name)

@@ -111,7 +111,7 @@ def test_loops_end(spark):
     mem = spark.createDataFrame([(1, "relation", 2), (2, "relation", 3), (3, "relation", 1), *[(i, "relation", i + 1) for i in range(10, 40)]], "rel_id long, type string, ref long")
     start = spark.createDataFrame([(1,), (10,)], "rel_id long")
     got = {r.rel_id: r.depth for r in C.closure(mem, start).collect()}
-    assert got == {1: 0, 2: 1, 3: 2, **{10 + i: i for i in range(17)}}
+    assert got == {1: 0, 2: 1, 3: 2, **{10 + i: i for i in range(31)}}
     assert {r.rel_id for r in C.loops(mem).collect()} == {1, 2, 3}
 
 
