@@ -192,11 +192,6 @@ def plan_areas(spark: SparkSession, o: SplitOptions, elements: DataFrame, files:
         if o.precomp_sea:
             sea = R.sea_density(spark, o.precomp_sea, bounds, shift)
             found = D.merge_sea(found, sea) if sea is not None else found
-        if regions:
-            named = {name: own for name, _, own in regions}
-            parts = S.split_polygons(S.collected(found), bounds, shift, named, o.max_nodes, o.search_limit)
-            rects = [r for part in parts.values() for r in part]
-            return spark.createDataFrame([(i, o.mapid + i, None, *r, False, True) for i, r in enumerate(rects)], AREAS)
         cells = S.collected(found)
         x0, y0 = bounds[1] - w[1] >> shift, bounds[0] - w[0] >> shift
         if detail:
@@ -205,7 +200,12 @@ def plan_areas(spark: SparkSession, o: SplitOptions, elements: DataFrame, files:
         x0, y0 = bounds[1] - w[1] >> shift, bounds[0] - w[0] >> shift
         width, height = bounds[3] - bounds[1] >> shift, bounds[2] - bounds[0] >> shift
         cells = [(x - x0, y - y0, n) for x, y, n in cells if 0 <= x - x0 < width and 0 <= y - y0 < height]
-    if rings and not o.num_tiles:
+    if regions:
+        if o.num_tiles:
+            warnings.warn("num-tiles is not used with polygon-desc-file: every polygon is split by max-nodes", stacklevel=2)
+        parts = S.split_polygons(cells, bounds, shift, {name: own for name, _, own in regions}, o.max_nodes, o.search_limit, not o.no_trim)
+        rects = [r for part in parts.values() for r in part]
+    elif rings and not o.num_tiles:
         rects = S.split_parts(cells, bounds, shift, rings, o.max_nodes, o.search_limit, not o.no_trim)
     else:
         m = S.DensityMap(cells, bounds, shift, S.raster(rings, bounds, shift) if rings else None)
@@ -263,7 +263,7 @@ def run(spark: SparkSession, o: SplitOptions, files: list[str]) -> Result:
         own_ways = cut(A.way_sets(apart, refs, own))
         own_rels = cut(A.relation_sets(apart, mem, own, own_ways))
         found = P.problem_ways(apart, own_ways).union(P.problem_relations(apart, relations, own_rels, **wants)) if o.keep_complete else spark.createDataFrame([], "kind string, id long")
-        told = spark.createDataFrame(texts.read_problems(_text(spark, o.problem_file)) if o.problem_file else [], "kind string, id long")
+        told = texts.scan_problems(spark, o.problem_file) if o.problem_file else spark.createDataFrame([], "kind string, id long")
         result.problems = cut(P.all_problems(found, told))
         if o.problem_report:
             _save(o.output_dir, o.problem_report, (r.value + "\n" for r in texts.problem_lines(result.problems).toLocalIterator()))

@@ -496,7 +496,7 @@ def clipped(m: DensityMap, t: Tile) -> Tile:
     return inner if len(x) == inner.w * inner.h else t
 
 
-def split_polygons(cells, bounds: Rect, shift: int, polygons: dict[str, list], most: int, budget: int = 200_000) -> dict[frozenset[str], list[Rect]]:
+def split_polygons(cells, bounds: Rect, shift: int, polygons: dict[str, list], most: int, budget: int = 200_000, trim: bool = True) -> dict[frozenset[str], list[Rect]]:
     """Tiles for named polygons that may overlap: each part shared by the same polygons is split by itself.
 
     A part need not be a rectangle, so its tiles may reach into another part's; problem lists work on disjoint pieces.
@@ -507,7 +507,7 @@ def split_polygons(cells, bounds: Rect, shift: int, polygons: dict[str, list], m
     out = {}
     for c in sorted(set(np.unique(code).tolist()) - {0}, key=lambda v: (v.bit_count(), v)):
         m = DensityMap(cells, bounds, shift, code == c)
-        out[frozenset(n for i, n in enumerate(names) if c >> i & 1)] = [m.rect(t) for t in split(m, most, budget)]
+        out[frozenset(n for i, n in enumerate(names) if c >> i & 1)] = [m.rect(t) for t in split(m, most, budget, trim)]
     return out
 
 

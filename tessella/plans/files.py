@@ -12,6 +12,7 @@ from tessella.functions import units as U
 from tessella.operators import complete as C
 from tessella.operators import density as D
 from tessella.operators import solver as S
+from tessella.operators.bisect import bisect
 from tessella.operators.bounded import shared_folder
 from tessella.operators.rangejoin import point_in_rect
 from tessella.plans import lens as L
@@ -42,10 +43,35 @@ def solver_tiles(spark, sf):
     return _counted(spark, m, S.split(m, MOST, 5000))
 
 
-@query("bisect_tiles")
+_AT = "CASE WHEN {1} >= 4 THEN (least(greatest({0}, {1} // 5), {1} - {1} // 5) // 2) * 2 END"
+_SUMS = "SELECT *, sum(n) OVER t AS total, sum(n * (x - x0)) OVER t // sum(n) OVER t AS mx, sum(n * (y - y0)) OVER t // sum(n) OVER t AS my FROM {} WINDOW t AS (PARTITION BY x0, y0, w, h)"
+_CHOSEN = "SELECT *, CASE WHEN total <= {1} THEN NULL WHEN w <= h THEN coalesce(ay, ax) ELSE coalesce(ax, ay) END AS pos, CASE WHEN w <= h THEN ay IS NOT NULL ELSE ax IS NULL END AS by_y FROM (SELECT *, CASE WHEN ax > 0 AND ax < w THEN ax END AS ax, CASE WHEN ay > 0 AND ay < h THEN ay END AS ay FROM (SELECT * EXCLUDE (mx, my), {2} AS ax, {3} AS ay FROM ({0})))"
+
+
+def _chosen(table: str) -> str:
+    return _CHOSEN.format(_SUMS.format(table), MOST, _AT.format("mx", "w"), _AT.format("my", "h"))
+
+
+BISECTED = f"""
+b AS (SELECT min(map_lat) >> {SHIFT} << {SHIFT} AS a, min(map_lon) >> {SHIFT} << {SHIFT} AS b, (max(map_lat) + {(1 << SHIFT) - 1}) >> {SHIFT} << {SHIFT} AS c, (max(map_lon) + {(1 << SHIFT) - 1}) >> {SHIFT} << {SHIFT} AS d FROM clustered),
+cells0 AS (SELECT least((map_lon - b) >> {SHIFT}, ((d - b) >> {SHIFT}) - 1) AS x, least((map_lat - a) >> {SHIFT}, ((c - a) >> {SHIFT}) - 1) AS y, count(*) AS n FROM clustered, b GROUP BY ALL),
+levels AS (SELECT * FROM (WITH RECURSIVE r AS (
+  SELECT x, y, n, CAST(0 AS BIGINT) AS x0, CAST(0 AS BIGINT) AS y0, CAST((d - b) >> {SHIFT} AS BIGINT) AS w, CAST((c - a) >> {SHIFT} AS BIGINT) AS h FROM cells0, b
+  UNION ALL
+  SELECT x, y, n, CASE WHEN NOT by_y AND x - x0 >= pos THEN x0 + pos ELSE x0 END, CASE WHEN by_y AND y - y0 >= pos THEN y0 + pos ELSE y0 END,
+    CASE WHEN by_y THEN w WHEN x - x0 >= pos THEN w - pos ELSE pos END, CASE WHEN NOT by_y THEN h WHEN y - y0 >= pos THEN h - pos ELSE pos END
+  FROM ({_chosen("r")}) WHERE pos IS NOT NULL) SELECT * FROM r))"""
+
+
+@query("bisect_tiles", Q._with(BISECTED, f"SELECT CAST(a + (y0 << {SHIFT}) AS INTEGER) AS min_lat, CAST(b + (x0 << {SHIFT}) AS INTEGER) AS min_lon, CAST(a + ((y0 + h) << {SHIFT}) AS INTEGER) AS max_lat, CAST(b + ((x0 + w) << {SHIFT}) AS INTEGER) AS max_lon, CAST(sum(n) AS BIGINT) AS n FROM ({_chosen('levels')}), b WHERE pos IS NULL GROUP BY a, b, x0, y0, w, h"))
 def bisect_tiles(spark, sf):
-    m = _clustered(spark, sf)
-    return _counted(spark, m, S.bisect_tiles(m, MOST))
+    """Tiles of the clustered nodes, level by level."""
+    nodes = L.clustered_nodes(spark, sf)
+    a, b, c, d = D.bbox(nodes).first()
+    bounds = (U.down(a, SHIFT), U.down(b, SHIFT), U.up(c, SHIFT), U.up(d, SHIFT))
+    found = bisect(D.density(nodes, SHIFT, bounds), bounds[3] - bounds[1] >> SHIFT, bounds[2] - bounds[0] >> SHIFT, MOST)
+    at = lambda low, *v: (F.shiftleft(sum(map(F.col, v)), SHIFT) + low).cast("int")
+    return found.select(at(bounds[0], "y0").alias("min_lat"), at(bounds[1], "x0").alias("min_lon"), at(bounds[0], "y0", "h").alias("max_lat"), at(bounds[1], "x0", "w").alias("max_lon"), "n")
 
 
 @query("number_of_tiles")

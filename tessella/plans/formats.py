@@ -80,8 +80,7 @@ def problem_report(spark, sf):
     told = texts.problem_lines(Q.all_problems(spark, sf))
     folder = f"{shared_folder(spark)}/problems"
     told.write.text(folder)
-    back = spark.read.text(folder).select(texts.problem_parts(F.col("value")).alias("p")).select("p.kind", "p.id")
-    return back.selectExpr("row_number() OVER (ORDER BY kind DESC, id) AS line", "kind", "id").withColumn("line", F.col("line").cast("long"))
+    return texts.scan_problems(spark, folder).selectExpr("row_number() OVER (ORDER BY kind DESC, id) AS line", "kind", "id").withColumn("line", F.col("line").cast("long"))
 
 
 @query("density_file", Q._with("d AS (" + Q.DENSITY.format("clustered") + ")", "SELECT x, y, n FROM d"))

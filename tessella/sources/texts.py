@@ -231,12 +231,17 @@ def problem_lines(problems: DataFrame) -> DataFrame:
 
 def problem_parts(line: Column) -> Column:
     """kind and id of a line of a problem list; null where there is none but a comment, an error where it is broken."""
-    body = F.trim(F.regexp_replace(line, "#.*", ""))
+    body = F.regexp_replace(F.regexp_replace(line, "#.*", ""), r"^\s+|\s+$", "")
     kind, number = (F.regexp_extract(body, r"^(way|rel)\s*:\s*(-?\d+)$", i) for i in (1, 2))
     broken = F.raise_error(F.concat(F.lit("no problem element: "), line)).cast("struct<kind:string,id:bigint>")
     return F.when(body == "", F.lit(None)).when(kind == "", broken).otherwise(F.struct(kind.alias("kind"), number.cast("long").alias("id")))
 
 
+def scan_problems(spark: SparkSession, path: str) -> DataFrame:
+    """kind, id of a problem list of any length, line by line."""
+    return spark.read.text(path).select(problem_parts(F.col("value")).alias("p")).where("p is not null").select("p.kind", "p.id")
+
+
 def read_cities(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated gazetteer; lines with broken numbers are left out."""
     raw = spark.read.text(path).select(F.split("value", "\t").alias("f"))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from tessella.functions.tags import element_version
+from tessella.operators.bounded import cut
 from tessella.sources import maps, storage
 from tessella.sources.element import ELEMENT
 
@@ -104,7 +105,8 @@ def save_tiles(elements: DataFrame, tiles: DataFrame, areas: DataFrame, folder:
     dealt = own.join(tiles.select("kind", "id", F.explode("areas").alias("area_idx")), ["kind", "id"])
     whole = maps._in_order(dealt.join(areas.select("area_idx", "map_id"), "area_idx"))
     order = ["map_id", "nth", "id"]
-    rows = whole.repartitionByRange(*order).sortWithinPartitions(*order).select("map_id", *ELEMENT.names[:-1])
+    whole = cut(whole.select("map_id", "nth", *ELEMENT.names[:-1]))  # ranges are drawn from a sample, which would read all files once more
+    rows = whole.repartitionByRange(*order).sortWithinPartitions(*order).drop("nth")
     parts = f"{folder.rstrip('/')}/_parts-{uuid.uuid4().hex}"
     spark.dataSource.register(TileParts)
     rows.write.format("tile_parts").mode("append").option("path", parts).option("form", form).save()
