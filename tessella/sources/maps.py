@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.sources import o5m, pbf, storage, xml
 from tessella.sources.element import ELEMENT
+from tessella.sources.xmlsplit import XmlSource
 
 EXTENSIONS = {"pbf": "osm.pbf", "o5m": "o5m", "xml": "osm.gz", "simulate": None}
 
@@ -38,12 +39,15 @@ def unpack(name: str, data: bytes) -> bytes:
 
 
 def read_elements(spark: SparkSession, paths: list[str], kinds: tuple[str, ...] = ("node", "way", "relation", "bounds")) -> DataFrame:
-    """Element rows of all files: by suffix o5m, pbf, else XML (gz and bz2 by Spark's codecs, zip unpacked)."""
+    """Element rows of all files: by suffix o5m, pbf, else XML (plain, gz or bz2; zip unpacked)."""
     out = spark.createDataFrame([], ELEMENT)
     for path in paths:
         if path.endswith((".pbf", ".o5m", ".zip")):
             rows = _binary(spark, path)
-        else:
+        elif storage.files(path):
+            spark.dataSource.register(XmlSource)
+            rows = spark.read.format("map_xml").option("kinds", ",".join(kinds)).load(path)
+        else:  # what only Spark opens
             rows = xml.scan(spark, path, kinds)
         out = out.unionByName(rows.where(F.col("kind").isin(*kinds)))
     return out

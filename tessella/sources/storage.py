@@ -24,6 +24,21 @@ def known(path: str) -> bool:
         return False
 
 
+def files(path: str) -> list[tuple[str, int]]:
+    """Path and size of a file, or of the files of a folder whose names begin with neither . nor _; none where the path can't be opened here."""
+    try:
+        where, name = _found(path)
+        info = where.get_file_info(name)
+        if info.type == fs.FileType.File:
+            return [(path, info.size)]
+        if info.type != fs.FileType.Directory:
+            return []
+        own = where.get_file_info(fs.FileSelector(name))
+    except (OSError, ValueError):
+        return []
+    return sorted((f"{path.rstrip('/')}/{x.base_name}", x.size) for x in own if x.type == fs.FileType.File and x.base_name[0] not in "._")
+
+
 def open_input(path: str) -> NativeFile:
     """For reading, with seek."""
     where, name = _found(path)

@@ -1,4 +1,4 @@
-"""The XML map format, by Spark's own XML reader (one narrow scan for each element kind) and as tile text."""
+"""The XML map format as tile text, and by Spark's own XML reader (a scan for each element kind) for paths that only Spark opens."""
 
 from __future__ import annotations
 
