@@ -8,11 +8,14 @@ the end.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators.bounded import LIMIT, cut, small
 
+LOCAL = 10_000
 GENERATION = 54  # bits below the number of the step that entered a set
 
 
@@ -21,14 +24,25 @@ def _first(combo: Column) -> Column:
 
 
 class AreaSets:
-    """The dictionary: `known` (set_no, areas: canonical) has the sets of several areas; one area's number stands for itself."""
+    """The dictionary of the sets of several areas; one area's number stands for itself.
+
+    As long as it has at most LOCAL sets, and a step at most LOCAL combinations, the driver holds it, which saves a step its
+    jobs. Beyond that it becomes a table (set_no, areas: canonical) and stays one.
+    """
+
+    def __init__(self, spark: SparkSession, local: int = LOCAL) -> None:
+        self.spark, self.local = spark, local
+        self.held: dict[tuple[int, ...], int] | None = {}
+        self.table: DataFrame | None = None
+        self.generation, self.few = 1, True
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.known = spark.createDataFrame([], "set_no long, areas array<int>")
-        self.generation, self.few = 0, True
+    @property
+    def known(self) -> DataFrame:
+        """set_no, areas."""
+        return self.table if self.held is None else self.spark.createDataFrame([(no, list(s)) for s, no in self.held.items()], "set_no long, areas array<int>")
 
     def _book(self) -> DataFrame:
-        """The dictionary as a side of a join; its rows were counted when it grew."""
+        """The dictionary as a side of a join; the rows of a table were counted when it grew."""
         return F.broadcast(self.known) if self.few else self.known
 
     def united(self, pairs: DataFrame, key: str) -> DataFrame:
@@ -36,21 +50,44 @@ class AreaSets:
         number = F.col("set_no" if "set_no" in pairs.columns else "area_idx").cast("long")
         own = cut(pairs.groupBy(key).agg(F.array_sort(F.collect_set(number)).alias("combo")))
         combos = own.where(F.size("combo") > 1).select("combo").distinct()
-        part = combos.select("combo", F.explode("combo").alias("set_no")).join(self._book(), "set_no", "left")
-        area = part.select("combo", F.explode(F.coalesce("areas", F.array(F.col("set_no").cast("int")))).alias("area_idx"))
-        unions = cut(area.groupBy("combo").agg(F.array_sort(F.collect_set("area_idx")).alias("areas")))
-        n = unions.limit(LIMIT + 1).count()
+        if (told := self._taken(combos)) is not None:
+            sets = {no: s for s, no in self.held.items()}
+            rows = [(c, self._number(a for no in c for a in sets.get(no, (no,)))) for c in told]
+            of, n = self.spark.createDataFrame(rows, "combo array<long>, set_no long"), len(rows)
+        else:
+            part = combos.select("combo", F.explode("combo").alias("set_no")).join(self._book(), "set_no", "left")
+            area = part.select("combo", F.explode(F.coalesce("areas", F.array(F.col("set_no").cast("int")))).alias("area_idx"))
+            unions = cut(area.groupBy("combo").agg(F.array_sort(F.collect_set("area_idx")).alias("areas")))
+            self._enter(unions)
+            of, n = unions.join(self._book(), "areas").select("combo", "set_no"), unions.limit(LIMIT + 1).count()
         if not n:
             return own.select(key, _first(F.col("combo")).alias("set_no"))
-        self._enter(unions)
-        of = unions.join(self._book(), "areas").select("combo", "set_no")
         return own.join(F.broadcast(of) if n <= LIMIT else of, "combo", "left").select(key, F.coalesce("set_no", _first(F.col("combo"))).alias("set_no"))
 
     def numbered(self, sets: DataFrame, key: str) -> DataFrame:
         """key, set_no for key and areas (canonical arrays); empty sets drop out."""
-        told = cut(sets.where(F.size("areas") > 0).select(key, "areas"))
-        self._enter(told.where(F.size("areas") > 1))
-        return told.join(self._book(), "areas", "left").select(key, F.coalesce("set_no", _first(F.col("areas")).cast("long")).alias("set_no"))
+        own = cut(sets.where(F.size("areas") > 0).select(key, "areas"))
+        fresh = own.where(F.size("areas") > 1).select("areas").distinct()
+        if (told := self._taken(fresh)) is not None:
+            for areas in told:
+                self._number(areas)
+        else:
+            self._enter(fresh)
+        return own.join(self._book(), "areas", "left").select(key, F.coalesce("set_no", _first(F.col("areas")).cast("long")).alias("set_no"))
+
+    def _taken(self, arrays: DataFrame) -> list[list[int]] | None:
+        """The arrays of a table of one column, if they and the dictionary are few; else the dictionary becomes a table."""
+        if self.held is None:
+            return None
+        told = [r[0] for r in arrays.limit(self.local + 1).collect()]
+        if len(told) <= self.local and len(self.held) <= self.local:
+            return told
+        self.table, self.held = cut(self.known), None
+        return None
+
+    def _number(self, areas: Iterable[int]) -> int:
+        s = tuple(sorted(set(areas)))
+        return self.held.setdefault(s, (1 << GENERATION) + len(self.held))
 
     def _enter(self, sets: DataFrame) -> None:
         """Gives numbers to the sets that have none yet."""
@@ -59,8 +96,8 @@ class AreaSets:
             raise OverflowError("too many steps for one dictionary")
         fresh = sets.select("areas").distinct().join(self._book(), "areas", "left_anti")
         number = F.lit(self.generation << GENERATION) + F.monotonically_increasing_id()
-        self.known = cut(self.known.union(fresh.select(number.alias("set_no"), "areas")))
-        self.few = small(self.known)
+        self.table = cut(self.table.union(fresh.select(number.alias("set_no"), "areas")))
+        self.few = small(self.table)
 
     def arrays(self, numbered: DataFrame, key: str) -> DataFrame:
         """key, areas."""

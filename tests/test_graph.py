@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tessella.operators import complete as C
 from tessella.operators import graph as G
 from tessella.operators.areasets import AreaSets
@@ -52,9 +54,11 @@ def test_children(spark):
         assert got == {v: s for v, s in want.items() if s}
 
 
-def test_numbers(spark):
+@pytest.mark.parametrize("local", [10_000, 7, 0])
+def test_numbers(spark, local):
+    """Held by the driver, as a table from some step on, and as a table throughout."""
     r = random.Random(8)
-    known = AreaSets(spark)
+    known = AreaSets(spark, local)
     told = [(k, [r.randrange(5) for _ in range(r.randint(1, 4))]) for k in range(60)]
     first = known.united(spark.createDataFrame([(k, a) for k, s in told for a in s], "k long, area_idx int"), "k")
     assert {x.k: x.areas for x in known.arrays(first, "k").collect()} == {k: sorted(set(s)) for k, s in told}
