@@ -5,7 +5,7 @@ the loss mask. Turns after the last reply, or a conversation without one, give o
 turn is lost. Control strings inside roles and texts are escaped with a backslash, reversibly.
 
 Defined results: null role and null text are empty; turns go by turn (null first), then role, then text; repeated rows
-are kept; rows of a null conv_id form one conversation.
+are kept; rows of a null conv_id form one conversation. Texts of any length are formatted whole; examples are made one at a time.
 """
 
 from __future__ import annotations

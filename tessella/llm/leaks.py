@@ -9,7 +9,7 @@ the rarest term (proximity). Lists meet by row and position, so a frequent term
 
 Defined results: null and empty texts have no words; items without words match nothing; an item shorter than a window
 is one window; a null item_id reads as an empty string; repeated rows are judged apart; columns beyond those named are
-left alone.
+left alone; texts are taken whole however long they are, each in one row.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ where they are more than two shares. Texts travel once, for those rows alone tha
 
 Defined results: null and empty texts, and texts of white space alone, are alike; a text of fewer words than a shingle is
 one shingle; a null doc_id never names a component (one of null ids alone has a null name).
+Texts are taken whole however long they are; a task holds the shingles of one at a time.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ No document is taken more often than max_epochs, rounded up.
 
 Defined results: a null source is a source of its own; null and empty texts have size 0 and may be taken or not at no
 cost; rows that repeat an id and a text are taken or left together; sources of size 0 have target 0; empty in, empty
-out. Sources are one row each in a table of their own, which is broadcast only if it has at most `few` rows.
+out. Sources are one row each in a table of their own, which is broadcast only if it has at most `few` rows. A
+text counts whole however long it is; one longer than what a source's rest has room for is passed over for the next.
 """
 
 from __future__ import annotations

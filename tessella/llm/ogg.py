@@ -5,7 +5,8 @@ values and a CRC-32 (polynomial 0x04C11DB7, not reflected, zero start). A packet
 values up to one below 255, and may go on over pages. The granule position of a page is the stream time at the end of
 the last packet that ends on it, or -1.
 
-Defined results: a null text is empty; an empty text becomes one unit of padding; equal texts give equal bytes.
+Defined results: a null text is empty; an empty text becomes one unit of padding; equal texts give equal bytes. A
+long text is encoded whole, over as many pages as it takes.
 """
 
 from __future__ import annotations

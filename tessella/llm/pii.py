@@ -6,7 +6,8 @@ over the next even power of two permutes it, and the walk goes on until the numb
 again (cycle walking). So equal values get equal pseudonyms in all documents, however they are punctuated, different
 values different ones, and who has the key can go back.
 
-Defined results: null text stays null with no findings; an empty text stays empty; text outside findings is untouched.
+Defined results: null text stays null with no findings; an empty text stays empty; text outside findings is untouched;
+long texts are searched whole, line by line, in time in proportion to their length.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ home are dealt to several shares, and those sent go to each share.
 
 Defined results: null and empty texts, and texts of white space alone, have fingerprint 0 and link like any other; a
 text of fewer words than a shingle is one shingle; repeated rows share a component; a null doc_id never names one
-(a component of null ids alone has a null name).
+(a component of null ids alone has a null name). Texts are taken whole, one at a time, however long they are.
 """
 
 from __future__ import annotations

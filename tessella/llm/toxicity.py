@@ -12,7 +12,7 @@ into a probability.
 
 Defined results: null and empty texts have no tokens and score as the curve says for nothing found; without labels of
 both kinds the score is the share of toxic labels (0 without labels); repeated labels of a document count as its largest;
-null labels are ignored.
+null labels are ignored. Texts are scanned whole in linear time, however long they are.
 """
 
 from __future__ import annotations
