@@ -2,7 +2,8 @@
 
 Every stage takes and (but for the last) returns the columns of documents. Rows that repeat both doc_id and text are one
 document: they stay or go together, but for the near-duplicate stage, which keeps one row of each group of copies. Null
-texts stand for empty ones throughout; empty tables pass as they are; further columns are carried along.
+texts stand for empty ones throughout, and texts are treated whole, however long they are; empty tables pass as they are;
+further columns are carried along.
 """
 
 from __future__ import annotations
