@@ -1,113 +1,88 @@
-"""Sets of areas by number: a dictionary holds every distinct set once, elements carry a number in place of an array.
+"""Sets of areas by number: the bits of a number are areas.
 
-Most elements lie in one area, whose number is its set's number, too. Where an element gathers sets (a way its nodes', a
-relation its members'), the distinct numbers are aggregated, and the union is computed once for every distinct combination
-of numbers, of which there are few beside the elements. New unions are entered in the dictionary. Arrays are made once, at
-the end.
+A number holds what a set has of 36 areas whose area_idx follow each other: a bit for each in its lower part, and above them
+which 36 these are. A set is one row for each such group that it has areas of, at least one, and at most as many as it has
+areas, however large area_idx are. A union is the bitwise or by element and group, a partial aggregate of fixed width: no set
+is looked up anywhere, no dictionary grows with the number of different sets, and what an element gathers (a way its
+nodes' sets, a relation its members') is never held beyond its own areas. Arrays are made once, at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.bounded import LIMIT, cut, small
+BITS = 36  # with 26 bits above them for the group of the largest area_idx
 
-LOCAL = 10_000
-GENERATION = 54  # bits below the number of the step that entered a set
 
+def numbered_area(area: Column) -> Column:
+    """The number of the set of one area."""
+    group = F.floor(area / BITS).cast("long")
+    return F.shiftleft(group, BITS).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (area - group * BITS).cast("int")))
 
-def _first(combo: Column) -> Column:
-    return F.element_at(combo, 1)
 
+def _group(number: Column) -> Column:
+    return F.shiftright(number, BITS)
 
-class AreaSets:
-    """The dictionary of the sets of several areas; one area's number stands for itself.
 
-    As long as it has at most LOCAL sets, and a step at most LOCAL combinations, the driver holds it, which saves a step its
-    jobs. Beyond that it becomes a table (set_no, areas: canonical) and stays one.
-    """
+def _bits(number: Column) -> Column:
+    return number.bitwiseAND((1 << BITS) - 1)
+
+
+def areas_of(number: Column) -> Column:
+    """The area_idx of a number's bits, ascending."""
+    has = lambda i: F.call_function("shiftright", number, i).bitwiseAND(1) == 1
+    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), has), lambda i: (_group(number) * BITS + i).cast("int"))
+
+
+def _keys(numbered: DataFrame) -> list[str]:
+    return [c for c in numbered.columns if c != "set_no"]
+
 
-    def __init__(self, spark: SparkSession, local: int = LOCAL) -> None:
-        self.spark, self.local = spark, local
-        self.held: dict[tuple[int, ...], int] | None = {}
-        self.table: DataFrame | None = None
-        self.generation, self.few = 1, True
+class AreaSets:
+    """Makes sets and takes them apart; local is of no effect, as the driver holds none."""
+
+    def __init__(self, spark: SparkSession, local: int = 0) -> None:
+        self.spark, self.made = spark, []
 
     @property
     def known(self) -> DataFrame:
-        """set_no, areas."""
-        return self.table if self.held is None else self.spark.createDataFrame([(no, list(s)) for s, no in self.held.items()], "set_no long, areas array<int>")
-
-    def _book(self) -> DataFrame:
-        """The dictionary as a side of a join; the rows of a table were counted when it grew."""
-        return F.broadcast(self.known) if self.few else self.known
+        """set_no, areas: every number that a step has made."""
+        empty = self.spark.createDataFrame([], "set_no long")
+        return reduce(DataFrame.union, (m.select("set_no") for m in self.made), empty).distinct().select("set_no", areas_of(F.col("set_no")).alias("areas"))
 
     def united(self, pairs: DataFrame, key: str) -> DataFrame:
         """key, set_no: the union of the sets of each key; pairs: key and set_no, or area_idx."""
-        number = F.col("set_no" if "set_no" in pairs.columns else "area_idx").cast("long")
-        own = cut(pairs.groupBy(key).agg(F.array_sort(F.collect_set(number)).alias("combo")))
-        combos = own.where(F.size("combo") > 1).select("combo").distinct()
-        if (told := self._taken(combos)) is not None:
-            sets = {no: s for s, no in self.held.items()}
-            rows = [(c, self._number(a for no in c for a in sets.get(no, (no,)))) for c in told]
-            of, n = self.spark.createDataFrame(rows, "combo array<long>, set_no long"), len(rows)
-        else:
-            part = combos.select("combo", F.explode("combo").alias("set_no")).join(self._book(), "set_no", "left")
-            area = part.select("combo", F.explode(F.coalesce("areas", F.array(F.col("set_no").cast("int")))).alias("area_idx"))
-            unions = cut(area.groupBy("combo").agg(F.array_sort(F.collect_set("area_idx")).alias("areas")))
-            self._enter(unions)
-            of, n = unions.join(self._book(), "areas").select("combo", "set_no"), unions.limit(LIMIT + 1).count()
-        if not n:
-            return own.select(key, _first(F.col("combo")).alias("set_no"))
-        return own.join(F.broadcast(of) if n <= LIMIT else of, "combo", "left").select(key, F.coalesce("set_no", _first(F.col("combo"))).alias("set_no"))
+        self.made.append(out := union(pairs, key))
+        return out
 
     def numbered(self, sets: DataFrame, key: str) -> DataFrame:
-        """key, set_no for key and areas (canonical arrays); empty sets drop out."""
-        own = cut(sets.where(F.size("areas") > 0).select(key, "areas"))
-        fresh = own.where(F.size("areas") > 1).select("areas").distinct()
-        if (told := self._taken(fresh)) is not None:
-            for areas in told:
-                self._number(areas)
-        else:
-            self._enter(fresh)
-        return own.join(self._book(), "areas", "left").select(key, F.coalesce("set_no", _first(F.col("areas")).cast("long")).alias("set_no"))
-
-    def _taken(self, arrays: DataFrame) -> list[list[int]] | None:
-        """The arrays of a table of one column, if they and the dictionary are few; else the dictionary becomes a table."""
-        if self.held is None:
-            return None
-        told = [r[0] for r in arrays.limit(self.local + 1).collect()]
-        if len(told) <= self.local and len(self.held) <= self.local:
-            return told
-        self.table, self.held = cut(self.known), None
-        return None
-
-    def _number(self, areas: Iterable[int]) -> int:
-        s = tuple(sorted(set(areas)))
-        return self.held.setdefault(s, (1 << GENERATION) + len(self.held))
-
-    def _enter(self, sets: DataFrame) -> None:
-        """Gives numbers to the sets that have none yet."""
-        self.generation += 1
-        if self.generation >= 1 << 63 - GENERATION:
-            raise OverflowError("too many steps for one dictionary")
-        fresh = sets.select("areas").distinct().join(self._book(), "areas", "left_anti")
-        number = F.lit(self.generation << GENERATION) + F.monotonically_increasing_id()
-        self.table = cut(self.table.union(fresh.select(number.alias("set_no"), "areas")))
-        self.few = small(self.table)
+        """key, set_no for key and areas (arrays); empty sets drop out."""
+        return self.united(sets.select(key, F.explode("areas").alias("area_idx")), key)
 
     def arrays(self, numbered: DataFrame, key: str) -> DataFrame:
-        """key, areas."""
-        found = numbered.join(self._book(), "set_no", "left")
-        return found.select(key, F.coalesce("areas", F.array(F.col("set_no").cast("int"))).alias("areas"))
+        """key, areas (canonical)."""
+        groups = numbered.groupBy(key).agg(F.array_sort(F.collect_list("set_no")).alias("numbers"))
+        return groups.select(key, F.flatten(F.transform("numbers", areas_of)).alias("areas"))
 
     def several(self, numbered: DataFrame) -> DataFrame:
-        """Elements in more than one area: their numbers are those of the dictionary."""
-        return numbered.where(F.col("set_no") >= 1 << GENERATION)
+        """The elements in more than one area, a row each."""
+        return self._counted(numbered).where("n > 1").select(_keys(numbered))
 
     def single(self, numbered: DataFrame) -> DataFrame:
-        """Elements in one area: its number is the set's."""
-        return numbered.where(F.col("set_no") < 1 << GENERATION)
+        """The elements in one area, a row each, and its area_idx."""
+        place = F.bit_count(_bits(F.col("set_no")) - 1)
+        return self._counted(numbered).where("n = 1").select(*_keys(numbered), (_group(F.col("set_no")) * BITS + place).cast("int").alias("area_idx"))
+
+    def _counted(self, numbered: DataFrame) -> DataFrame:
+        """One of the numbers of each element, and n: how many areas all have."""
+        return numbered.groupBy(_keys(numbered)).agg(F.max("set_no").alias("set_no"), F.sum(F.bit_count(_bits(F.col("set_no")))).alias("n"))
+
+
+def union(pairs: DataFrame, key: str) -> DataFrame:
+    """As AreaSets.united."""
+    number = F.col("set_no") if "set_no" in pairs.columns else numbered_area(F.col("area_idx"))
+    own = pairs.select(key, number.alias("set_no"))
+    return own.groupBy(key, _group(F.col("set_no")).alias("_group")).agg(F.bit_or("set_no").alias("set_no")).select(key, "set_no")

@@ -35,7 +35,7 @@ def relation_sets(known: AreaSets, mem: DataFrame, node_sets: DataFrame, way_set
 
 
 def several(known: AreaSets, found: DataFrame) -> DataFrame:
-    """Elements that lie in more than one area."""
+    """The keys of elements that lie in more than one area."""
     return known.several(found)
 
 
@@ -46,9 +46,6 @@ def merged(known: AreaSets, geometric: DataFrame, override: DataFrame, key: str)
 
 def preferred(plain: DataFrame, override: DataFrame, key: str, first: DataFrame | None = None) -> DataFrame:
     """Ways and relations: `first` if there, else the override, else the plain set."""
-    out = plain.select(key, F.col("set_no").alias("plain")).join(override.select(key, F.col("set_no").alias("over")), key, "full")
-    chain = ["over", "plain"]
-    if first is not None:
-        out = out.join(first.select(key, F.col("set_no").alias("one")), key, "full")
-        chain = ["one", *chain]
-    return out.select(key, F.coalesce(*chain).alias("set_no"))
+    over = lambda low, high: low.join(high.select(key), key, "left_anti").select(key, "set_no").unionByName(high.select(key, "set_no"))
+    out = over(plain, override)
+    return out if first is None else over(out, first)

@@ -10,7 +10,7 @@ from tessella.functions import units as U
 from tessella.functions.tags import closed_way, get_tag
 from tessella.operators import graph as G
 from tessella.operators import idsets as I
-from tessella.operators.areasets import AreaSets
+from tessella.operators.areasets import AreaSets, union
 from tessella.operators.bounded import cut, hinted
 from tessella.operators.rangejoin import point_in_rect, rect_near_rect, segments_near_rect
 
@@ -176,8 +176,8 @@ def ring_sets(known: AreaSets, ring_boxes: DataFrame, areas: DataFrame) -> DataF
 def with_children(known: AreaSets, rel_sets: DataFrame, mem: DataFrame) -> DataFrame:
     """rel_id, set_no: each relation's own set with those of all relations below it, however deep.
 
-    Loops become one node each, as the relations on them share what they have. Numbers of sets then go up the graph level by
-    level: what is new to a relation is passed on to its holders. The union is made once, from the numbers that have met.
+    Loops become one node each, as the relations on them share what they have. Sets then go up the graph level by level, united
+    in each relation that they reach; a step has as many rows as relations and groups of areas, whatever was gathered below.
     """
     edges = cut(_below(mem).select(F.col("rel_id").alias("a"), F.col("below").alias("b")))
     if edges.isEmpty():
@@ -186,13 +186,12 @@ def with_children(known: AreaSets, rel_sets: DataFrame, mem: DataFrame) -> DataF
     graph = cut(G.condensed(edges, rings).select("a", F.col("b").alias("v")))
     all_ = rel_sets.select("rel_id").union(edges.select("a")).union(edges.select("b")).distinct()
     name = cut(all_.join(rings.withColumnRenamed("v", "rel_id"), "rel_id", "left").select("rel_id", F.coalesce("scc", "rel_id").alias("v")))
-    front = have = cut(rel_sets.join(name, "rel_id").select("v", "set_no").distinct())
+    front = have = cut(union(rel_sets.join(name, "rel_id"), "v"))
     steps = 0
     while not front.isEmpty():
-        told = front.join(graph, "v").select(F.col("a").alias("v"), "set_no").distinct()
-        front = cut(told.join(have, ["v", "set_no"], "left_anti"))
+        front = cut(union(front.join(graph, "v").select(F.col("a").alias("v"), "set_no"), "v"))
         steps += 1
-        have = have.union(front) if steps % 8 else cut(have.union(front))
+        have = have.union(front) if steps % 8 else cut(union(have.union(front), "v"))
     return name.join(known.united(have, "v"), "v").select("rel_id", "set_no")
 
 

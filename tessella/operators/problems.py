@@ -89,7 +89,7 @@ def problem_relations(known: AreaSets, relations: DataFrame, rel_sets: DataFrame
 def one_tile_relations(known: AreaSets, relations: DataFrame, rel_sets: DataFrame, distinct_areas: DataFrame, areas: DataFrame, **filters) -> DataFrame:
     """rel_id and areas: wanted relations within one distinct area, with the real areas that hold it; those in pseudo areas drop out."""
     wanted = relations.where(wanted_relation(F.col("tags"), **filters)).select(F.col("id").alias("rel_id"))
-    one = known.single(rel_sets).join(wanted, "rel_id", "left_semi").select("rel_id", F.col("set_no").cast("int").alias("area_idx"))
+    one = known.single(rel_sets).join(wanted, "rel_id", "left_semi")
     real = contained_in(distinct_areas, areas)
     return one.join(hinted(real), "area_idx").select("rel_id", "areas")
 
@@ -100,9 +100,9 @@ def all_problems(found: DataFrame, told: DataFrame) -> DataFrame:
 
 
 def coverage(known: AreaSets, numbered: DataFrame) -> DataFrame:
-    """How many elements lie in how many areas; counted by set before the dictionary says what a set holds."""
-    counts = numbered.groupBy("set_no").agg(F.count("*").alias("n"))
-    return known.arrays(counts, "n").groupBy(F.size("areas").alias("n_areas")).agg(F.sum("n").alias("n_elements"), F.count("*").alias("n_sets"))
+    """How many elements lie in how many areas; counted by set first. numbered: a key and set_no."""
+    counts = known.arrays(numbered, numbered.columns[0]).groupBy("areas").agg(F.count("*").alias("n"))
+    return counts.groupBy(F.size("areas").alias("n_areas")).agg(F.sum("n").alias("n_elements"), F.count("*").alias("n_sets"))
 
 
 __all__ = ["all_problems", "cover", "coverage", "disjoint", "extent", "one_tile_relations", "problem_relations", "problem_ways"]

@@ -16,7 +16,7 @@ from tessella.operators import density as D
 from tessella.operators import idsets as I
 from tessella.operators import problems as P
 from tessella.operators import rangejoin as R
-from tessella.operators.areasets import AreaSets
+from tessella.operators.areasets import AreaSets, areas_of
 from tessella.operators.bounded import cut
 from tessella.plans import lens as L
 from tessella.plans.lens import sql
@@ -509,11 +509,9 @@ def final_rel_tiles(spark, sf):
 
 @query("tile_payload", _with(FINAL_WAYS, "SELECT area_idx, count(DISTINCT way_id) AS n_ways, CAST(sum(way_id) AS BIGINT) AS id_sum FROM (SELECT DISTINCT way_id, area_idx FROM f) GROUP BY area_idx"))
 def tile_payload(spark, sf):
-    """What is written to each tile; ways are counted by set before sets are taken apart."""
-    f = Flow(spark, sf)
-    by_set = f.final_ways.groupBy("set_no").agg(F.count("*").alias("n"), F.sum("way_id").alias("ids"))
-    sums = f.known.arrays(by_set.select("set_no", F.struct("n", "ids").alias("s")), "s").select("s.*", F.explode("areas").alias("area_idx"))
-    return sums.groupBy("area_idx").agg(F.sum("n").alias("n_ways"), F.sum("ids").alias("id_sum"))
+    """What is written to each tile: sets are taken apart where they lie and counted by a partial aggregate."""
+    each = Flow(spark, sf).final_ways.select("way_id", F.explode(areas_of(F.col("set_no"))).alias("area_idx"))
+    return each.groupBy("area_idx").agg(F.count("*").alias("n_ways"), F.sum("way_id").alias("id_sum"))
 
 
 # names
