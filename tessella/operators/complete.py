@@ -113,22 +113,27 @@ def whole_way_sets(known: AreaSets, ways: DataFrame, points: DataFrame, areas: D
     sets) that make up a rectangle.
     """
     shut = ways.select(F.col("id").alias("way_id"), closed_way(F.col("refs")).alias("closed"))
-    boxes = way_boxes(points).join(shut, "way_id")
-    by_box = rect_near_rect(boxes.where("closed").drop("closed"), areas).select("way_id", "area_idx")
-    open_points = points.join(shut.where(~F.col("closed")), "way_id", "left_semi")
-    by_point = point_in_rect(open_points, areas).select("way_id", "pos", "area_idx")
-    total = open_points.groupBy("way_id").agg(F.count("*").alias("n"))
-    held = by_point.groupBy("way_id").agg(F.countDistinct("pos").alias("held"), F.array_sort(F.collect_set("area_idx")).alias("areas"))
-    both = total.join(held, "way_id", "left").withColumn("areas", F.coalesce("areas", F.array().cast("array<int>"))).withColumn("held", F.coalesce("held", F.lit(0)))
-    crossing = (F.col("held") < F.col("n")) | (F.size("areas") == 0)
+    at = cut(points.join(shut, "way_id").repartition("way_id"))  # what follows is by way
+    by_box = rect_near_rect(way_boxes(at.where("closed")), areas).select("way_id", "area_idx")
+    open_points = at.where("not closed").drop("closed")
+    places = open_points.select("node_id", "map_lat", "map_lon").distinct()  # a node lies where it lies for all of its ways
+    of_node = cut(union(point_in_rect(places, areas).select("node_id", "area_idx"), "node_id"))
+    by_point = open_points.select("way_id", "node_id").join(of_node, "node_id").select("way_id", "set_no")
+    bare = open_points.select("way_id", "node_id").join(of_node, "node_id", "left_anti").select("way_id")
+    own = cut(union(by_point, "way_id"))
     if simple is None:
-        crossing = crossing | (F.size("areas") > 1)
+        several = known.several(own)
     else:
-        both = both.join(hinted(simple.select("areas", F.lit(True).alias("is_simple"))), "areas", "left")
-        crossing = crossing | ((F.size("areas") > 1) & F.col("is_simple").isNull())
-    may = both.where(crossing).select("way_id")
-    by_segment = segments_near_rect(way_segments(open_points.join(may, "way_id", "left_semi")), areas).select("way_id", "area_idx")
-    return known.united(by_box.union(by_point.select("way_id", "area_idx")).union(by_segment), "way_id")
+        sets = known.arrays(own, "way_id").where(F.size("areas") > 1)
+        several = sets.join(hinted(simple.select("areas")), "areas", "left_anti").select("way_id")
+    may = bare.union(several).distinct()
+    by_segment = segment_sets(way_segments(open_points.join(may, "way_id", "left_semi")), areas)
+    return known.united(union(by_box, "way_id").union(own).union(by_segment), "way_id")
+
+
+def segment_sets(segments: DataFrame, areas: DataFrame) -> DataFrame:
+    """way_id, set_no: the areas that a way's segments hit; a task holds a number for each of its ways and not a row for each pair."""
+    return union(segments_near_rect(segments, areas).select("way_id", "area_idx"), "way_id")
 
 
 def _partners(ends: DataFrame) -> DataFrame:

@@ -241,7 +241,8 @@ class Flow:
 
     @cached_property
     def whole_ways(self) -> DataFrame:
-        ways = self.refs.groupBy(F.col("way_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("refs"))
+        ends = self.refs.groupBy(F.col("way_id").alias("id")).agg(F.min_by("node_id", "pos").alias("first"), F.max_by("node_id", "pos").alias("last"), F.count("*").alias("n"))
+        ways = ends.select("id", F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first")).alias("refs"))  # both ends tell whether a way is closed
         return cut(C.whole_way_sets(self.known, ways, cut(C.way_points(self.refs, L.nodes(self.spark, self.sf))), self.areas))
 
     @cached_property
@@ -457,7 +458,7 @@ def way_segments(spark, sf):
 
 @query("segment_areas", sql("SELECT way_id, area_idx FROM segment_pairs"))
 def segment_areas(spark, sf):
-    return R.segments_near_rect(C.way_segments(_points(spark, sf)), L.areas(spark)).select("way_id", "area_idx").distinct()
+    return C.segment_sets(C.way_segments(_points(spark, sf)), L.areas(spark)).select("way_id", F.explode(areas_of(F.col("set_no"))).alias("area_idx"))
 
 
 @query("multi_tile_ways", _sets("way_id", "whole_pairs"))

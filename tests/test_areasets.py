@@ -22,3 +22,13 @@ def test_large_numbers(spark):
     assert {r.k: r.areas for r in known.arrays(sets, "k").collect()} == told
     assert {r.k for r in known.several(sets).collect()} == {1, 4}
     assert {(r.k, r.area_idx) for r in known.single(sets).collect()} == {(2, 7), (3, 2**31 - 1)}
+
+
+def test_segments_by_way(spark):
+    """A long way over ten areas side by side: a row for the way and not one for each area, and the same areas as pairs."""
+    areas = spark.range(10).select(F.col("id").cast("int").alias("area_idx"), F.lit(0).alias("min_lat"), (F.col("id") * 1000).cast("int").alias("min_lon"), F.lit(1000).alias("max_lat"), (F.col("id") * 1000 + 1000).cast("int").alias("max_lon"))
+    segments = spark.range(50).select((F.col("id") % 2).alias("way_id"), F.col("id").cast("int").alias("pos"), F.lit(500).alias("lat1"), (F.col("id") * 200).cast("int").alias("lon1"), F.lit(510).alias("lat2"), (F.col("id") * 200 + 150).cast("int").alias("lon2"))
+    sets = C.segment_sets(segments, areas)
+    assert sets.count() == 2
+    pairs = {(r.way_id, r.area_idx) for r in C.segments_near_rect(segments, areas).collect()}
+    assert {(r.way_id, a) for r in AreaSets(spark).arrays(sets, "way_id").collect() for a in r.areas} == pairs
