@@ -8,6 +8,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 from itertools import chain
+from typing import IO
 
 import pandas as pd
 import pyarrow as pa
@@ -71,6 +72,22 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ELEMENT)
 
 
+def file_rows(path: str) -> Iterator[tuple]:
+    """Element rows of a tile file (pbf, o5m, or gzipped XML) that a task opens itself, one after another as the file is read.
+
+    A pbf file is held by blob, XML by element, of an o5m file the bytes, but never the rows.
+    """
+    if path.endswith(".pbf"):
+        reader = pbf.PbfSource({"path": path}).reader(ELEMENT)
+        for part in reader.partitions():
+            yield from reader.read(part)
+    elif path.endswith(".o5m"):
+        yield from o5m.decode(b"".join(storage.blocks(path)))
+    else:
+        with storage.open_input(path) as f, gzip.open(f) as text:
+            yield from _plain_xml(text)
+
+
 def zipped(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Element rows of the pbf files of those names in an archive; read where the archive's bytes are."""
     wanted = set(names)
@@ -86,13 +103,21 @@ def zipped(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ELEMENT)
 
 
-def _plain_xml(data: bytes) -> Iterator[tuple]:
+def _plain_xml(data: bytes | IO[bytes]) -> Iterator[tuple]:
+    """Rows of the elements of a text or an open file; what has been told is dropped from the tree."""
     import xml.etree.ElementTree as ET
 
     from tessella.sources.element import row
 
-    for _, e in ET.iterparse(io.BytesIO(data)):
-        if e.get("action") == "delete":
+    root, depth = None, 0
+    for event, e in ET.iterparse(io.BytesIO(data) if isinstance(data, bytes) else data, ("start", "end")):
+        if event == "start":
+            root, depth = e if root is None else root, depth + 1
+            continue
+        depth -= 1
+        if depth == 1:
+            root.clear()
+        if e.tag not in ("bounds", "node", "way", "relation") or e.get("action") == "delete":
             continue
         tags = [(t.get("k"), t.get("v", "")) for t in e.iter("tag")]
         if e.tag == "bounds":
@@ -104,6 +129,7 @@ def _plain_xml(data: bytes) -> Iterator[tuple]:
         elif e.tag == "relation":
             known = [(m.get("type"), int(m.get("ref")), m.get("role", "")) for m in e.iter("member") if m.get("type") in ("node", "way", "relation")]
             yield row("relation", int(e.get("id")), int(e.get("version", 0)), members=known, tags=tags)
+        e.clear()
 
 
 PIECE_ROWS = 50_000  # rows that are Python objects at a time

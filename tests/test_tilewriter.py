@@ -58,3 +58,23 @@ def test_lost_attempts_leave_nothing(spark, tmp_path, monkeypatch):
     writer.abort([done])
     assert not os.path.exists(tmp_path / "p")
     tilewriter.save_tiles(df.limit(0), tiles, areas, folder)
+
+
+@pytest.mark.parametrize("form", ["pbf", "xml"])
+def test_rows_come_while_a_file_is_read(tmp_path, monkeypatch, form):
+    """The first row is there before most of the file has been read; all rows come in the end."""
+    rows, path = [row("way", i, 0, refs=[i * 7919 % 10**9, i * 104729 % 10**9], tags=[("k", str(i))]) for i in range(1, 60_000)], f"{tmp_path}/0000000007.{maps.EXTENSIONS[form]}"
+    storage.save(path, [maps.opening(form), maps.piece(form, rows), maps.closing(form)])
+    opened, plain = [], storage.open_input
+    keep = lambda p: opened.append(plain(p)) or opened[-1]
+    monkeypatch.setattr(storage, "open_input", keep)
+    monkeypatch.setattr(maps.pbf, "open_input", keep)
+    got = maps.file_rows(path)
+    first = next(got)
+    assert first[1] == 1 and opened[-1].tell() < os.path.getsize(path) / 2
+    assert [r[1] for r in got] == list(range(2, 60_000))
+
+
+def test_elements_inside_others():
+    text = b"<osmChange><create><node id='1' lat='1' lon='2'><tag k='a' v='b'/></node></create><delete><way id='3' action='delete'/></delete><way id='2'><nd ref='1'/></way></osmChange>"
+    assert [(r[0], r[1], r[5], r[7]) for r in maps._plain_xml(text)] == [("node", 1, None, [("a", "b")]), ("way", 2, [1], [])]
