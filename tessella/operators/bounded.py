@@ -13,8 +13,11 @@ def small(df: DataFrame, limit: int = LIMIT) -> bool:
 
 
 def hinted(df: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Broadcast if it has at most limit rows; else the planner chooses, and adaptive execution splits skewed keys."""
-    return F.broadcast(df) if small(df, limit) else df
+    """Broadcast if it has at most limit rows; else merged, where adaptive execution splits skewed keys.
+
+    The planner has no say: it takes exploded rows for as few as there were before, and broadcasts what fits no driver.
+    """
+    return F.broadcast(df) if small(df, limit) else df.hint("merge")
 
 
 def _root(spark: SparkSession) -> str:

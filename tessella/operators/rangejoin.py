@@ -5,9 +5,9 @@ exact predicate behind it. A rectangle's cells are of its own size: the level of
 fits, for height and width apart, so that a strip around the globe meets cells that are as long and as flat. It then has
 four cells at most, and of disjoint rectangles a cell meets 16 at most. The pairs of levels that occur are counted first; a
 point looks up one cell for each of them. Where they are more than MOST, neighbouring levels become one (every second,
-third, ... level is used). A box meets the cells of the larger of its own level and the rectangle's, where both have four
-cells at most. The cell table is broadcast after a check of its size; beyond that the join shuffles by cell, where
-adaptive execution splits hot cells.
+third, ... level is used). A box meets the cells of the larger of its own levels and the rectangle's, for height and width
+apart, where both have four cells at most; rectangles stand on those levels only that occur among the boxes. The cell table is
+broadcast after a check of its size; beyond that the join shuffles by cell, where adaptive execution splits hot cells.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import units as U
-from tessella.operators.bounded import hinted
+from tessella.operators.bounded import LIMIT, hinted, small
 
 TOP = 25  # one cell of this level holds the globe
 MOST = 32  # pairs of levels that a point looks up
@@ -33,10 +33,8 @@ def _stepped(level: Column, step: int) -> Column:
     return F.least(F.lit(TOP), F.ceil(level / step).cast("int") * step)
 
 
-def size_levels(areas: DataFrame, grow: int = 0) -> tuple[list[tuple[int, int]], int]:
-    """The pairs of levels (height, width) that occur among the areas, and the step by which levels were joined; one aggregate."""
-    r = U.grown(U.rect(), grow)
-    found = {tuple(x) for x in areas.select(side_level(r["min_lat"], r["max_lat"]), side_level(r["min_lon"], r["max_lon"])).distinct().collect()}  # 26 * 26 at most
+def _joined(found: set[tuple[int, int]]) -> tuple[list[tuple[int, int]], int]:
+    """The pairs of levels, MOST at most, and the step by which neighbouring levels were joined."""
     for step in STEPS:
         pairs = {(min(TOP, -(-y // step) * step), min(TOP, -(-x // step) * step)) for y, x in found}
         if len(pairs) <= MOST:
@@ -44,6 +42,27 @@ def size_levels(areas: DataFrame, grow: int = 0) -> tuple[list[tuple[int, int]],
     return sorted(pairs), step
 
 
+def size_levels(areas: DataFrame, grow: int = 0) -> tuple[list[tuple[int, int]], int]:
+    """The pairs of levels (height, width) that occur among the areas, and the step by which levels were joined; one aggregate."""
+    r = U.grown(U.rect(), grow)
+    return _joined({tuple(x) for x in areas.select(side_level(r["min_lat"], r["max_lat"]), side_level(r["min_lon"], r["max_lon"])).distinct().collect()})  # 26 * 26 at most
+
+
+def box_levels(boxes: DataFrame, areas: DataFrame, pairs: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], Column, Column]:
+    """The pairs of levels that areas have to stand on for the boxes' sake, and a box's own levels, not below the least of the areas.
+
+    With few areas these are all pairs; with many the boxes are read once for those that occur.
+    """
+    box, low = U.rect("box_"), [min(p) for p in zip(*pairs)]
+    level = lambda k, axis: F.greatest(F.lit(low[k]), F.least(F.lit(TOP), side_level(box["min_" + axis], box["max_" + axis])))
+    own = [level(0, "lat"), level(1, "lon")]
+    every = [(y, x) for y in range(low[0], TOP + 1) for x in range(low[1], TOP + 1)]
+    if small(areas, LIMIT // 4 // len(every)):  # four cells at most for each pair
+        return every, *own
+    found, step = _joined({tuple(x) for x in boxes.select(*own).distinct().collect()})
+    return found, *[_stepped(v, step) for v in own]
+
+
 def _at(v: Column, level: Column) -> Column:
     """The cell of a coordinate; the level may differ from row to row."""
     return F.call_function("shiftright", v, level)
@@ -86,19 +105,23 @@ def point_in_rect(points: DataFrame, areas: DataFrame, grow: int = 0) -> DataFra
 def meeting(boxes: DataFrame, areas: DataFrame, grow: int = 0) -> DataFrame:
     """Every pair, once, of a box (box_ edges) and an area, grown by `grow`, that touch: the box's columns, area_idx and the edges grown.
 
-    A box has one level, that of its longer side. Areas stand on their own levels and, for larger boxes, on all above.
+    They meet on cells of the larger height and the larger width of both. An area stands on those cells for each pair of the boxes' levels;
+    a box looks up each pair of levels that its own make with those of the areas.
     """
     pairs, step = size_levels(areas, grow)
-    box, least = U.rect("box_"), F.least("size_y", "size_x")
-    level_y, level_x = F.greatest("box_level", "size_y"), F.greatest("box_level", "size_x")
-    own = F.greatest(side_level(box["min_lat"], box["max_lat"]), side_level(box["min_lon"], box["max_lon"]))
-    keyed = _looked_up(boxes.withColumn("box_own", F.least(F.lit(TOP), own)), pairs or [(0, 0)]).withColumn("box_level", F.greatest("box_own", least)).drop("box_own")
-    stand = _sized(areas, step, grow).withColumn("box_level", F.explode(F.sequence(least, F.lit(TOP))))
-    both = _cells(keyed, box, level_y, level_x).join(hinted(_cells(stand, U.rect(), level_y, level_x)), ["size_y", "size_x", "box_level", "cell_y", "cell_x"])
+    pairs, box = pairs or [(0, 0)], U.rect("box_")
+    theirs, own_y, own_x = box_levels(boxes, areas, pairs)
+    key = ["box_y", "box_x", "level_y", "level_x"]
+    larger = [F.struct(F.greatest("box_y", F.lit(y)).alias("level_y"), F.greatest("box_x", F.lit(x)).alias("level_x")) for y, x in pairs]
+    keyed = boxes.withColumns({"box_y": own_y, "box_x": own_x}).select("*", F.inline(F.array_distinct(F.array(*larger))))
+    stand = _sized(areas, step, grow).select("*", F.inline(F.array(*[F.struct(F.lit(y).alias("box_y"), F.lit(x).alias("box_x")) for y, x in theirs] or [F.struct(F.lit(0).alias("box_y"), F.lit(0).alias("box_x"))])))
+    stand = stand.withColumns({"level_y": F.greatest("box_y", "size_y"), "level_x": F.greatest("box_x", "size_x")}).drop("size_y", "size_x")
+    level_y, level_x = F.col("level_y"), F.col("level_x")
+    both = _cells(keyed, box, level_y, level_x).join(hinted(_cells(stand, U.rect(), level_y, level_x)), [*key, "cell_y", "cell_x"])
     # each pair is reported by the first cell that both cover, so nothing has to be made distinct
     first = lambda k, level: F.greatest(_at(F.col("box_min_" + k), level), _at(F.col("min_" + k), level))
     hit = both.where((F.col("cell_y") == first("lat", level_y)) & (F.col("cell_x") == first("lon", level_x)) & U.touches(U.rect(), box))
-    return hit.drop("size_y", "size_x", "box_level", "cell_y", "cell_x")
+    return hit.drop(*key, "cell_y", "cell_x")
 
 
 def rect_near_rect(boxes: DataFrame, areas: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import problems as P
 from tessella.operators import rangejoin as R
+from tessella.operators.bounded import hinted
 
 WORLD = (-(1 << 22), -(1 << 23), 1 << 22, 1 << 23)
 RECT = "area_idx int, min_lat int, min_lon int, max_lat int, max_lon int"
@@ -64,3 +65,18 @@ def test_cells_are_few_and_shared_by_few(spark, kind):
 def test_no_areas(spark):
     none = spark.createDataFrame([], RECT)
     assert R.point_in_rect(spark.createDataFrame([(1, 2)], "map_lat int, map_lon int"), none).count() == 0
+
+
+def test_areas_stand_on_levels_of_boxes_only(spark, monkeypatch):
+    monkeypatch.setattr(R, "LIMIT", 100)
+    areas = spark.createDataFrame([(i, *a) for i, a in enumerate(tiles("small"))], RECT)
+    boxes = spark.createDataFrame([(1, 5, 5, 6, 9000), (2, 3, 9, 9000, 12)], "way_id int, box_min_lat int, box_min_lon int, box_max_lat int, box_max_lon int")
+    low = min(y for y, _ in R.size_levels(areas)[0])
+    assert sorted(R.box_levels(boxes, areas, [(12, 12), (20, 22)])[0]) == [(12, 14), (14, 12)]
+    assert low == 12 and R.meeting(boxes, areas).where("way_id = 1").count() == 3  # columns 0, 1 and 2 of one row
+
+
+def test_exploded_rows_are_not_broadcast_beyond_the_limit(spark):
+    wide = spark.range(10).selectExpr("id", "explode(sequence(1, 100)) AS v")
+    joined = spark.range(1000).join(hinted(wide, 50), "id")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 1000
