@@ -41,8 +41,8 @@ _ODD = """
 @query("nodes_in_polygons", Q._with(EDGES, f"SELECT poly_id, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM ({_ODD.format('id', 'nodes', 'map_lat', 'map_lon')} UNION ALL {_ODD.format('id', 'clustered', 'map_lat', 'map_lon')}) GROUP BY poly_id"))
 def nodes_in_polygons(spark, sf):
     """How many nodes lie in each polygon, holes left out."""
-    all_ = L.nodes(spark, sf).select(F.lit(0).alias("kind"), "id", "map_lat", "map_lon").unionAll(L.clustered_nodes(spark, sf).select(F.lit(1), "id", "map_lat", "map_lon"))
-    return Y.inside(all_, cut(rings(spark, sf)), ["kind", "id"]).groupBy("poly_id").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
+    all_ = L.nodes(spark, sf).unionByName(L.clustered_nodes(spark, sf)).withColumnRenamed("id", "id_sum")
+    return Y.totals(all_, cut(rings(spark, sf)), ["id_sum"])
 
 
 SHIFT = 13
@@ -56,5 +56,5 @@ def cells_in_polygons(spark, sf):
     """Cells of the density map whose middle lies in a polygon, and their nodes."""
     w, half = D.world(SHIFT), 1 << SHIFT - 1
     mid = lambda c, low: (F.shiftleft(F.col(c), SHIFT) + (low + half)).cast("int")
-    cells = D.density(L.clustered_nodes(spark, sf), SHIFT).select("x", "y", "n", mid("y", w[0]).alias("map_lat"), mid("x", w[1]).alias("map_lon"))
-    return Y.inside(cells, cut(rings(spark, sf)), ["x", "y", "n"]).groupBy("poly_id").agg(F.count("*").alias("cells"), F.sum("n").alias("n"))
+    cells = D.density(L.clustered_nodes(spark, sf), SHIFT).select(F.col("n").alias("nodes"), mid("y", w[0]).alias("map_lat"), mid("x", w[1]).alias("map_lon"))
+    return Y.totals(cells, cut(rings(spark, sf)), ["nodes"]).select("poly_id", F.col("n").alias("cells"), F.col("nodes").alias("n"))
