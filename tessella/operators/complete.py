@@ -146,25 +146,66 @@ def _partners(ends: DataFrame) -> DataFrame:
     return ends.select("rel_id", "pos", "side", other("pos").alias("npos"), (1 - other("side")).alias("nside"))
 
 
+def _shortened(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Members (rel_id, pos, n0, s0, n1, s1) without about a third of them, and those taken out (rel_id, pos, up: the place of a neighbour that stays).
+
+    n0 and n1 follow by the ends 0 and 1; s0 and s1 are the ends by which these are left again. Out goes who has a smaller hash than
+    both neighbours, which are joined with each other; no two neighbours go in the same turn.
+    """
+    rank = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col("rel_id"), F.col(c)), F.col(c))
+    less = lambda c: F.col(c).isNull() | (rank("pos") < rank(c))
+    marked = live.withColumn("out", F.coalesce("n0", "n1").isNotNull() & less("n0") & less("n1"))
+    out, kind = marked.where("out"), dict(live.dtypes)
+    told = [out.where(f"n{k} is not null").select("rel_id", F.col(f"n{k}").alias("pos"), (1 - F.col(f"s{k}")).alias("side"), F.col(f"n{1 - k}").alias("n"), F.col(f"s{1 - k}").alias("s")) for k in (0, 1)]
+    news = told[0].unionByName(told[1]).select("rel_id", "pos", F.lit(False).alias("own"), *[v for k in (0, 1) for v in (F.lit(None).cast(kind["n0"]).alias(f"n{k}"), F.lit(None).cast(kind["s0"]).alias(f"s{k}"), F.when(F.col("side") == k, F.struct("n", "s")).alias(f"new{k}"))])
+    kept = marked.where("not out").select("rel_id", "pos", F.lit(True).alias("own"), *[v for k in (0, 1) for v in (F.col(f"n{k}"), F.col(f"s{k}"), F.lit(None).cast(f"struct<n:{kind['n0']},s:{kind['s0']}>").alias(f"new{k}"))])
+    both = kept.unionByName(news).groupBy("rel_id", "pos").agg(*[F.max(f"{c}{k}").alias(f"{c}{k}") for k in (0, 1) for c in ("n", "s", "new")])
+    at = lambda c, k: F.when(F.col(f"new{k}").isNotNull(), F.col(f"new{k}.{c}")).otherwise(F.col(f"{c}{k}")).alias(f"{c}{k}")
+    return both.select("rel_id", "pos", *[at(c, k) for k in (0, 1) for c in ("n", "s")]), out.select("rel_id", "pos", F.coalesce("n0", "n1").alias("up"))
+
+
+def _chains(partners: DataFrame, least: int = 1_000_000) -> DataFrame:
+    """rel_id, pos, ring (the last place of its chain or circle), open, of members whose ends are paired (see _partners).
+
+    While more than `least` members are left, a third of them goes in each turn, so that all turns together handle some three times the
+    members. Along the rest pointers are doubled until nothing changes. The others then follow the neighbours that they left to, last turn first.
+    """
+    of = lambda c, k: F.max(F.when(F.col("side") == k, F.col(c)))
+    whole = cut(partners.groupBy("rel_id", "pos").agg(*[of(c, k).alias(f"{a}{k}") for k in (0, 1) for c, a in (("npos", "n"), ("nside", "s"))], F.max(F.col("npos").isNull()).alias("open")))
+    live, gone, left = whole.drop("open"), [], whole.count()
+    while left > least:
+        live, out = map(cut, _shortened(live, len(gone)))
+        if (now := live.count()) == left:
+            break
+        gone, left = [*gone, out], now
+    steps = cut(live.select("rel_id", "pos", F.inline(F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"n{k}").alias("npos"), F.col(f"s{k}").alias("nside")) for k in (0, 1)])), F.col("pos").alias("top")))
+    changed = True
+    while changed:
+        a, b = steps.alias("a"), steps.alias("b")
+        on = (F.col("a.rel_id") == F.col("b.rel_id")) & (F.col("a.npos") == F.col("b.pos")) & (F.col("a.nside") == F.col("b.side"))
+        steps = cut(a.join(b, on, "left").select("a.rel_id", "a.pos", "a.side", F.col("b.npos").alias("npos"), F.col("b.nside").alias("nside"), F.greatest("a.top", "b.top").alias("top"), F.coalesce(F.col("b.top") > F.col("a.top"), F.lit(False)).alias("more")))
+        changed = not steps.where("more").isEmpty()  # no pointer brought anything, so none will: what lies beyond it is no more than what lies before
+        steps = steps.drop("more")
+    named = cut(steps.groupBy("rel_id", "pos").agg(F.max("top").alias("name")))
+    for out in reversed(gone):
+        named = cut(named.unionByName(out.join(named.withColumnRenamed("pos", "up"), ["rel_id", "up"]).select("rel_id", "pos", "name")))
+    all_ = whole.select("rel_id", "pos", "open").join(named, ["rel_id", "pos"])
+    rings = all_.groupBy("rel_id", "name").agg(F.max("pos").alias("ring"), F.max("open").alias("open"))
+    return all_.drop("open").join(rings, ["rel_id", "name"]).select("rel_id", "pos", "ring", "open")
+
+
 def rings(relations: DataFrame, mem: DataFrame, way_ends: DataFrame, boxes: DataFrame) -> DataFrame:
     """rel_id, ring (the place of its last member), box_ edges, complete: the rings of multipolygons, of the way members that are not inner ones.
 
-    Ends that meet are paired, so that members form chains and circles; along them, pointers are doubled: in each round a
-    member learns the last place that the members up to its pointer have, and its pointer's pointer becomes its own. After
-    log2 of the largest relation's members all is known; no task holds a relation. way_ends: way_id, first, last; ways that
-    are missing or have one node are left out, and the rings of their relation then count as incomplete, as open chains do.
+    Ends that meet are paired, so that members form chains and circles, which are then shortened (see _chains); no task holds a
+    relation. way_ends: way_id, first, last; ways that are missing or have one node are left out, and the rings of their relation
+    then count as incomplete, as open chains do.
     """
     area = relations.where(get_tag(F.col("tags"), "type").isin("multipolygon", "boundary")).select(F.col("id").alias("rel_id"))
     own = mem.where("type = 'way' and role <> 'inner'").join(area, "rel_id", "left_semi").select("rel_id", "pos", F.col("ref").alias("way_id"))
     rows = cut(own.join(way_ends, "way_id", "left").join(boxes, "way_id", "left").withColumn("usable", F.col("first").isNotNull() & F.col("box_min_lat").isNotNull()))
     ends = rows.where("usable and first <> last").select("rel_id", "pos", F.inline(F.array(*[F.struct(F.lit(k).alias("side"), F.col(c).alias("node")) for k, c in enumerate(("first", "last"))])))
-    steps = cut(_partners(ends).withColumn("top", F.col("pos")).withColumn("open", F.col("npos").isNull()))
-    most = rows.groupBy("rel_id").count().agg(F.max("count")).first()[0] or 0
-    for _ in range(max(0, most - 1).bit_length()):
-        a, b = steps.alias("a"), steps.alias("b")
-        on = (F.col("a.rel_id") == F.col("b.rel_id")) & (F.col("a.npos") == F.col("b.pos")) & (F.col("a.nside") == F.col("b.side"))
-        steps = cut(a.join(b, on, "left").select("a.rel_id", "a.pos", "a.side", F.col("b.npos").alias("npos"), F.col("b.nside").alias("nside"), F.greatest("a.top", "b.top").alias("top"), (F.col("a.open") | F.coalesce("b.open", F.lit(False))).alias("open")))
-    chains = steps.groupBy("rel_id", "pos").agg(F.max("top").alias("ring"), F.max("open").alias("open"))
+    chains = _chains(_partners(ends))
     known = rows.join(chains, ["rel_id", "pos"], "left").where("usable")
     edges = [F.min("box_min_lat").alias("box_min_lat"), F.min("box_min_lon").alias("box_min_lon"), F.max("box_max_lat").alias("box_max_lat"), F.max("box_max_lon").alias("box_max_lon")]
     found = known.groupBy("rel_id", F.coalesce("ring", "pos").alias("ring")).agg(*edges, F.max(F.coalesce("open", F.lit(False))).alias("open"))

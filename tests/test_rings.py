@@ -48,3 +48,18 @@ def test_rings(spark):
     circle = next(x for x in got if x.rel_id == 5 and x.complete)
     assert (circle.ring, circle.box_min_lat, circle.box_max_lat, circle.box_min_lon) == (699, 1000, 1700, -1699)
     assert not [x for x in got if x.rel_id == 9]
+
+
+def test_chains_are_shortened(spark):
+    """Chains, circles, pairs that meet at both ends and single members, with every turn taken and with none."""
+    r = random.Random(11)
+    ends = [(rel, p, side, node) for rel, nodes, n in ((1, 40, 300), (2, 2, 7), (3, 500, 500)) for p in range(n) for side, node in enumerate(r.sample(range(nodes), 2))]
+    ends += [(4, p, side, (p * 7 % 400 + side) % 400) for p in range(400) for side in (0, 1)]  # one circle, in no order
+    pairs = C._partners(spark.createDataFrame(ends, "rel_id long, pos int, side int, node long"))
+    told = [{tuple(x) for x in C._chains(pairs, least).collect()} for least in (0, 10_000)]
+    assert told[0] == told[1] and {(x[1], x[2:]) for x in told[0] if x[0] == 4} == {(p, (399, False)) for p in range(400)}
+    ways = {rel: {p: (a[3], b[3]) for a, b in zip(ends[::2], ends[1::2]) if a[0] == rel for p in [a[1]]} for rel in (1, 2, 3)}
+    for rel, own in ways.items():
+        assert {x[2]: not x[3] for x in told[0] if x[0] == rel} == walked([(p, p) for p in own], own)
+    live = C.cut(pairs.groupBy("rel_id", "pos").agg(*[C.F.max(C.F.when(C.F.col("side") == k, C.F.col(c))).alias(f"{a}{k}") for k in (0, 1) for c, a in (("npos", "n"), ("nside", "s"))]).where("rel_id = 4"))
+    assert C._shortened(live, 0)[0].count() < 300
