@@ -45,6 +45,11 @@ def way_refs(spark: SparkSession, sf: str) -> DataFrame:
     return own.unionByName(ends)
 
 
+def way_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """way_id, node_id, in no order: for what is united by way, where neither places nor the first node's return at the end of a closed way matter."""
+    return read(spark, sf, "lineitem", "l_orderkey", "l_partkey").select((F.col("l_orderkey") + 1).alias("way_id"), (F.col("l_partkey") + 1).alias("node_id"))
+
+
 def ways(spark: SparkSession, sf: str) -> DataFrame:
     """id and refs in order."""
     order = F.array_sort(F.collect_list(F.struct("pos", "node_id")))

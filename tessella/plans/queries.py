@@ -221,7 +221,7 @@ class Flow:
 
     @cached_property
     def ways(self) -> DataFrame:
-        return cut(A.way_sets(self.known, self.refs, self.nodes))
+        return cut(A.way_sets(self.known, L.way_nodes(self.spark, self.sf), self.nodes))  # places are not needed
 
     @cached_property
     def rels(self) -> DataFrame:
