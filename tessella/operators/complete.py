@@ -222,8 +222,9 @@ def ring_sets(known: AreaSets, ring_boxes: DataFrame, areas: DataFrame) -> DataF
 def with_children(known: AreaSets, rel_sets: DataFrame, mem: DataFrame) -> DataFrame:
     """rel_id, set_no: each relation's own set with those of all relations below it, however deep.
 
-    Loops become one node each, as the relations on them share what they have. Sets then go up the graph level by level, united
-    in each relation that they reach; a step has as many rows as relations and groups of areas, whatever was gathered below.
+    Loops become one node each, as the relations on them share what they have. Along ways that are single ones (see graph) sets
+    are taken from twice as far in each turn. What is left then goes up the graph level by level, united in each relation that it
+    reaches; a step has as many rows as relations and groups of areas, whatever was gathered below.
     """
     edges = cut(_below(mem).select(F.col("rel_id").alias("a"), F.col("below").alias("b")))
     if edges.isEmpty():
@@ -232,10 +233,15 @@ def with_children(known: AreaSets, rel_sets: DataFrame, mem: DataFrame) -> DataF
     graph = cut(G.condensed(edges, rings).select("a", F.col("b").alias("v")))
     all_ = rel_sets.select("rel_id").union(edges.select("a")).union(edges.select("b")).distinct()
     name = cut(all_.join(rings.withColumnRenamed("v", "rel_id"), "rel_id", "left").select("rel_id", F.coalesce("scc", "rel_id").alias("v")))
-    front = have = cut(union(rel_sets.join(name, "rel_id"), "v"))
-    steps = 0
+    have = cut(union(rel_sets.join(name, "rel_id"), "v"))
+    ways = cut(G.single_ways(graph.select("a", F.col("v").alias("b"))))
+    while not (live := ways.where("end is not null").select("v", "end")).isEmpty():
+        got = live.join(have.withColumnRenamed("v", "end"), "end").select("v", "set_no")
+        have, ways = cut(union(have.union(got), "v")), G.doubled(ways).drop("more")
+    rest = cut(graph.join(ways.where("bad").select(F.col("v").alias("a")), "a", "left_semi"))
+    front, steps = have if not rest.isEmpty() else have.limit(0), 0
     while not front.isEmpty():
-        front = cut(union(front.join(graph, "v").select(F.col("a").alias("v"), "set_no"), "v"))
+        front = cut(union(front.join(rest, "v").select(F.col("a").alias("v"), "set_no"), "v"))
         steps += 1
         have = have.union(front) if steps % 8 else cut(union(have.union(front), "v"))
     return name.join(known.united(have, "v"), "v").select("rel_id", "set_no")

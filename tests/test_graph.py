@@ -70,3 +70,21 @@ def test_numbers(spark, local):
     sets = {x.k: x.areas for x in known.arrays(both, "k").collect()}
     assert got == {j: sorted({a for k, s in sets.items() if k // 4 == j for a in s}) for j in {k // 4 for k in sets}}
     assert known.known.count() == known.known.select("areas").distinct().count() == known.known.select("set_no").distinct().count()
+
+
+def test_long_chain_into_loop(spark, monkeypatch):
+    """A chain of 60 relations ends in a loop of 5: the turns follow its logarithm, and so do the tables that are cut. A fork above it goes level by level."""
+    cuts = []
+    for module in (G, C):
+        monkeypatch.setattr(module, "cut", lambda df, real=module.cut: cuts.append(1) or real(df))
+    edges = [(i, i + 1) for i in range(60)] + [(60 + i, 60 + (i + 1) % 5) for i in range(5)] + [(200, 1), (200, 300), (300, 301), (302, 302), (302, 300)]
+    known = AreaSets(spark)
+    mem = spark.createDataFrame([(a, "relation", b) for a, b in edges], "rel_id long, type string, ref long")
+    sets = known.united(spark.createDataFrame([(v, v % 50) for v in {*range(0, 65, 7), 301}], "rel_id long, area_idx int"), "rel_id")
+    rings = G.strong_components(mem.selectExpr("rel_id AS a", "ref AS b"))
+    assert {tuple(x) for x in rings.collect()} == {(60 + i, 64) for i in range(5)} | {(302, 302)}
+    got = {x.rel_id: set(x.areas) for x in known.arrays(C.with_children(known, sets, mem), "rel_id").collect()}
+    own = {v: {v % 50} for v in {*range(0, 65, 7), 301}}
+    want = {v: set().union(*(own.get(w, set()) for w in {v, *reach(edges, v)})) for v in {v for e in edges for v in e}}
+    assert got == {v: s for v, s in want.items() if s}
+    assert len(cuts) < 60
