@@ -89,10 +89,12 @@ class DensityMap:
 
     def trimmed(self, t: Tile) -> Tile | None:
         """Without empty lines at the edges."""
-        cols, rows = np.diff(self.lines(t, 0), prepend=0).nonzero()[0], np.diff(self.lines(t, 1), prepend=0).nonzero()[0]
-        if not len(cols):
+        n = self.count(t)
+        if n == 0:
             return None
-        return Tile(t.x + int(cols[0]), t.y + int(rows[0]), int(cols[-1] - cols[0]) + 1, int(rows[-1] - rows[0]) + 1)
+        cols, rows = self.lines(t, 0), self.lines(t, 1)  # they rise from the first line with nodes to the last
+        x0, y0 = int(cols.searchsorted(1)), int(rows.searchsorted(1))
+        return Tile(t.x + x0, t.y + y0, int(cols.searchsorted(n)) - x0 + 1, int(rows.searchsorted(n)) - y0 + 1)
 
     def rect(self, t: Tile) -> Rect:
         a, b, s = self.bounds[0], self.bounds[1], self.shift
@@ -278,7 +280,7 @@ def split(m: DensityMap, most: int, budget: int = 200_000, trim: bool = True, by
 
 
 def split_parallel(spark: SparkSession, m: DensityMap, most: int, budget: int = 200_000, trim: bool = True) -> list[Tile]:
-    """The same with independent pieces solved on the executors; a piece carries its own cells."""
+    """The same tiles in the same order, with independent pieces solved on the executors; a piece carries its own cells."""
 
     def solve(parts: list[Tile]) -> list[Solution | None]:
         rows = []
@@ -293,12 +295,16 @@ def split_parallel(spark: SparkSession, m: DensityMap, most: int, budget: int =
                     own = (bounds[0] + (r.y << shift), bounds[1] + (r.x << shift), bounds[0] + (r.y + r.h << shift), bounds[1] + (r.x + r.w << shift))
                     part = DensityMap((r.xs, r.ys, r.ns), own, shift)
                     s = improve(part, part.whole, most, budget, trim)
-                    for t in s.tiles if s else bisect_tiles(part, most, part.whole):
-                        yield pd.DataFrame([(r.i, r.x + t.x, r.y + t.y, t.w, t.h)], columns=["i", "x", "y", "w", "h"])
+                    tiles = s.tiles if s else bisect_tiles(part, most, part.whole)
+                    yield pd.DataFrame([(r.i, nth, r.x + t.x, r.y + t.y, t.w, t.h) for nth, t in enumerate(tiles)], columns=["i", "nth", "x", "y", "w", "h"])
 
         kind = "i int, x int, y int, w int, h int, xs array<int>, ys array<int>, ns array<long>"
-        got = spark.createDataFrame(rows, kind).repartition(max(1, len(rows))).mapInPandas(run, "i int, x int, y int, w int, h int").collect()
-        return [describe(m, sorted(Tile(g.x, g.y, g.w, g.h) for g in got if g.i == i), most) for i in range(len(parts))]
+        tasks = min(len(rows), 8 * spark.sparkContext.defaultParallelism)  # several for each core, as pieces differ in what they take
+        got = spark.createDataFrame(rows, kind).repartition(max(1, tasks)).mapInPandas(run, "i int, nth int, x int, y int, w int, h int").collect()
+        own: list[list[Tile]] = [[] for _ in parts]
+        for g in sorted(got):
+            own[g.i].append(Tile(*g[2:]))
+        return [describe(m, tiles, most) for tiles in own]
 
     return split(m, most, budget, trim, solve=solve)
 

@@ -40,7 +40,7 @@ def _counted(spark, m, tiles):
 @query("solver_tiles")
 def solver_tiles(spark, sf):
     m = _clustered(spark, sf)
-    return _counted(spark, m, S.split(m, MOST, 5000))
+    return _counted(spark, m, S.split_parallel(spark, m, MOST, 5000))
 
 
 _AT = "CASE WHEN {1} >= 4 THEN (least(greatest({0}, {1} // 5), {1} - {1} // 5) // 2) * 2 END"
@@ -84,7 +84,7 @@ def number_of_tiles(spark, sf):
 def solved_total(spark, sf):
     """The nodes in all solved tiles are those of the map."""
     m = _clustered(spark, sf)
-    return _counted(spark, m, S.split(m, MOST, 5000)).agg(F.sum("n").alias("n"))
+    return _counted(spark, m, S.split_parallel(spark, m, MOST, 5000)).agg(F.sum("n").alias("n"))
 
 
 @query("solved_nodes", sql("SELECT count(*) AS n FROM clustered"))
@@ -92,7 +92,7 @@ def solved_nodes(spark, sf):
     """Every node lies in a solved tile, whose borders belong to both sides."""
     m = _clustered(spark, sf)
     nodes = L.clustered_nodes(spark, sf)
-    return point_in_rect(nodes, S.areas(spark, m, S.split(m, MOST, 5000))).select("id").distinct().agg(F.count("*").alias("n"))
+    return point_in_rect(nodes, S.areas(spark, m, S.split_parallel(spark, m, MOST, 5000))).select("id").distinct().agg(F.count("*").alias("n"))
 
 
 def _ring_sql(extra: str, own: str, ends: str) -> str:

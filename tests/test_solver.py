@@ -1,12 +1,15 @@
 """Properties that all tilings must have."""
 
 import itertools
+import os
 
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from tessella.operators import problems as P
 from tessella.operators import solver as S
+from tessella.plans import lens as L
 from tessella.sources import texts as X
 
 SHIFT = 11
@@ -51,6 +54,30 @@ def test_parallel_pieces(spark):
     assert apart(tiles) and sum(m.count(t) for t in tiles) == m.count(m.whole)
 
 
+def test_pieces_on_executors_only(spark, monkeypatch):
+    """Tiles and their order are those of the driver's solver, which is not asked for any piece."""
+    m = S.DensityMap(cells(2, 8000), BOUNDS, SHIFT)
+    want = S.split(m, 25, 1000)
+    parts = [p for t in S.without_gaps(m, m.trimmed(m.whole)) for p in S.pieces(m, t, 25)]
+    assert len(parts) > 4
+    monkeypatch.setattr(S, "improve", lambda *_, real=S.improve, here=os.getpid(): real(*_) if os.getpid() != here else pytest.fail("a piece on the driver"))
+    assert S.split_parallel(spark, m, 25, 1000) == want
+
+
+def test_solver_queries_ask_executors(spark, sf, monkeypatch):
+    monkeypatch.setattr(S, "split", lambda *a, real=S.split, **k: real(*a, **k) if k.get("solve") else pytest.fail("solved on the driver"))
+    total = L.clustered_nodes(spark, sf).count()
+    assert [entry.queries()[name](spark, sf).first().n for name in ("solved_total", "solved_nodes")] == [total, total]
+    assert sum(r.n for r in entry.queries()["solver_tiles"](spark, sf).collect()) == total
+
+
+def test_trimmed():
+    m = S.DensityMap([(3, 4, 2), (7, 9, 1), (0, 20, 5)], BOUNDS, SHIFT)
+    assert m.trimmed(m.whole) == (0, 4, 8, 17)
+    assert m.trimmed(S.Tile(1, 0, 60, 15)) == (3, 4, 5, 6)
+    assert m.trimmed(S.Tile(1, 0, 2, 30)) is None
+
+
 def test_polygons():
     deg = 360 / (1 << 24)
     box = lambda a, b, c, d: [(True, [(b * deg, a * deg), (d * deg, a * deg), (d * deg, c * deg), (b * deg, c * deg), (b * deg, a * deg)])]
