@@ -7,7 +7,7 @@ import gzip
 import io
 import zipfile
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 from typing import IO
 
 import pandas as pd
@@ -55,34 +55,44 @@ def read_elements(spark: SparkSession, paths: list[str], kinds: tuple[str, ...]
 
 
 def _binary(spark: SparkSession, path: str) -> DataFrame:
-    """Files that Spark opens as bytes; pbf files go by blobs where executors can open them themselves."""
+    """By blobs (pbf) or one after another (o5m) where executors can open the files themselves; else files that Spark opens as bytes.
+
+    Rows are made as they are asked for: a task holds 10,000 at a time, and of an o5m file that it opens a block.
+    """
     if path.endswith(".pbf") and storage.known(path):
         spark.dataSource.register(pbf.PbfSource)
         return spark.read.format("map_pbf").load(path)
+    opened = path.endswith(".o5m") and storage.known(path)
+
+    def of_bytes(name: str, data: bytes) -> Iterator[tuple]:
+        raw = unpack(name, bytes(data))
+        plain = name.removesuffix(".zip")
+        return pbf.decode(raw) if plain.endswith(".pbf") else o5m.decode(raw) if plain.endswith(".o5m") else _plain_xml(raw)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"], strict=True):
-                raw = unpack(name, bytes(data))
-                plain = name.removesuffix(".zip")
-                rows = list(pbf.decode(raw) if plain.endswith(".pbf") else o5m.decode(raw) if plain.endswith(".o5m") else _plain_xml(raw))
-                for i in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[i : i + 10_000], columns=ELEMENT.names)
+            for i, name in enumerate(pdf["path"]):
+                rows = iter(file_rows(name) if opened else of_bytes(name, pdf["content"][i]))
+                while some := list(islice(rows, 10_000)):
+                    yield pd.DataFrame(some, columns=ELEMENT.names)
 
+    if opened:
+        return spark.createDataFrame([(path,)], "path string").mapInPandas(run, ELEMENT)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ELEMENT)
 
 
 def file_rows(path: str) -> Iterator[tuple]:
     """Element rows of a tile file (pbf, o5m, or gzipped XML) that a task opens itself, one after another as the file is read.
 
-    A pbf file is held by blob, XML by element, of an o5m file the bytes, but never the rows.
+    A pbf file is held by blob, XML by element, an o5m file by blocks.
     """
     if path.endswith(".pbf"):
         reader = pbf.PbfSource({"path": path}).reader(ELEMENT)
         for part in reader.partitions():
             yield from reader.read(part)
     elif path.endswith(".o5m"):
-        yield from o5m.decode(b"".join(storage.blocks(path)))
+        with storage.open_input(path) as f:
+            yield from o5m.decode(f)
     else:
         with storage.open_input(path) as f, gzip.open(f) as text:
             yield from _plain_xml(text)

@@ -92,3 +92,37 @@ def test_texts(spark):
         texts.read_poly("p\n1\n 0 0\n 10 10\n 10 0\n 0 10\nEND\nEND\n")
     assert texts.read_sea_index("0_0;sea\n32768_0;land\n0_32768;x.osm.pbf\n99_99;sea\n", (0, 0, 40000, 40000)) == {"sea": ["0_0", "99_99"], "land": ["32768_0"], "files": ["x.osm.pbf"]}
     assert "description: X" in texts.write_template([(1, "X")]) and "mapname: 00000009" in texts.write_template([(1, None)], first_id=9)
+
+
+class Slow:
+    """A file that gives a few bytes at a time and counts what it gave."""
+
+    def __init__(self, data, most):
+        self.data, self.most, self.at = data, most, 0
+
+    def read(self, n):
+        out = self.data[self.at : self.at + min(n, self.most)]
+        self.at += len(out)
+        return out
+
+
+def test_o5m_by_blocks():
+    data = o5m.encode(elements(), BOX)
+    want = list(o5m.decode(data))
+    for most in (1, 7, 1000):
+        assert list(o5m.decode(Slow(data, most))) == want
+    slow = Slow(data, 64)
+    rows = o5m.decode(slow)
+    next(rows), next(rows)
+    assert slow.at < len(data) // 10
+    for broken in (data[:-200], data[:5]):
+        with pytest.raises((EOFError, ValueError)):
+            list(o5m.decode(Slow(broken, 50)))
+
+
+def test_o5m_rows_are_not_held(spark, tmp_path):
+    """Of a file that is cut off, first rows arrive before its end is looked at: no list of all is made."""
+    rows = [row("node", i, 0, 1.0, 2.0) for i in range(1, 100_000)]
+    data = o5m.encode(rows)
+    (tmp_path / "a.o5m").write_bytes(data[: len(data) // 2])
+    assert maps.read_elements(spark, [str(tmp_path / "a.o5m")]).limit(5).count() == 5
