@@ -55,3 +55,22 @@ def test_folders_and_kinds(spark, tmp_path):
     n = {r.kind: r["count"] for r in whole.groupBy("kind").count().collect()}
     assert n == {"node": 3 * 119, "way": 180, "relation": 120, "bounds": 3}
     assert maps.read_elements(spark, [str(tmp_path)], ("way",)).select("kind").distinct().collect()[0][0] == "way"
+
+
+def test_files_of_the_query_follow_the_tasks(spark, sf, monkeypatch):
+    """A compressed file is one task, so a fixed number of files would be the number of tasks at any size."""
+    from tessella.plans import formats
+    from tessella.sources import storage
+
+    found = []
+    monkeypatch.setattr(formats.maps, "read_elements", lambda s, paths, kinds, real=formats.maps.read_elements: found.append(len(storage.files(paths[0]))) or real(s, paths, kinds))
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "9"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.kind: r.n for r in formats.elements_xml(spark, sf).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found == [9] and got["node"] == formats.L.nodes(spark, sf).count()
