@@ -166,6 +166,12 @@ def told(path: str, rows) -> pd.DataFrame:
     return pd.DataFrame([(map_id, k, *s) for k, s in sums.items()], columns=["map_id", "kind", "n", "id_sum", "ref_sum", "n_tags"])
 
 
+def tile_names(spark, folder: str) -> DataFrame:
+    """path: the files of a folder, a task for each, which opens it itself and reads on as rows are counted; so small a table would become one task."""
+    names = spark.read.format("binaryFile").load(folder).select("path")
+    return names.repartitionByRange(max(names.count(), 1), "path")
+
+
 def _round_trip(form: str):
     def run(spark, sf):
         f, folder = Q.Flow(spark, sf), f"{shared_folder(spark)}/tiles"
@@ -179,8 +185,7 @@ def _round_trip(form: str):
                 for path in pdf["path"]:
                     yield told(path, maps.file_rows(path))
 
-        names = spark.read.format("binaryFile").load(folder).select("path")  # a task opens a file itself and reads on as rows are counted
-        return names.repartition("path").mapInPandas(back, "map_id int, kind string, n long, id_sum long, ref_sum long, n_tags long")
+        return tile_names(spark, folder).mapInPandas(back, "map_id int, kind string, n long, id_sum long, ref_sum long, n_tags long")
 
     return run
 

@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from tessella.functions.tags import element_version
-from tessella.operators.bounded import cut
-from tessella.sources import maps, storage
+from tessella.operators.bounded import cut, hinted
+from tessella.sources import columns, maps, storage
 from tessella.sources.element import ELEMENT
 
 LIST = "parts.json"
+PIECE_BYTES = 8 << 20  # of columns that are encoded at a time
 
 
 @dataclass
@@ -50,7 +51,7 @@ class PartWriter(DataSourceArrowWriter):
         self.folder, self.form = folder, form
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Parts:
-        """Rows (map_id and those of elements, by map_id) become parts; PIECE_ROWS rows are Python objects at a time."""
+        """Rows (map_id and those of elements, by map_id) become parts; PIECE_ROWS rows or PIECE_BYTES, whichever is less, are held at a time, and a batch."""
         task = TaskContext.get()
         partition, found = task.partitionId() if task else 0, []
         for map_id, pieces in _by_tile(_pieces(iterator, self.form)):
@@ -69,20 +70,24 @@ class PartWriter(DataSourceArrowWriter):
 
 def _pieces(batches: Iterator[pa.RecordBatch], form: str) -> Iterator[tuple[int, bytes]]:
     """(map_id, encoded piece), tile by tile."""
-    now, held = None, []
+    now, held, n, size = None, [], 0, 0
+
+    def told() -> tuple[int, bytes]:
+        return now, columns.piece(form, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
     for batch in batches:
-        ids = batch.column("map_id").to_numpy()
+        ids = batch.column(batch.schema.get_field_index("map_id")).to_numpy()
         ends = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
         for i, j in zip(ends, ends[1:], strict=False):
             if i == j:
                 continue
-            if held and (ids[i] != now or len(held) >= maps.PIECE_ROWS):
-                yield now, maps.piece(form, held)
-                held = []
-            now = int(ids[i])
-            held += maps._rows(batch.slice(i, j - i))
+            if held and (ids[i] != now or n >= maps.PIECE_ROWS or size >= PIECE_BYTES):
+                yield told()
+                held, n, size = [], 0, 0
+            held.append(batch.slice(i, j - i))
+            now, n, size = int(ids[i]), n + j - i, size + held[-1].nbytes
     if held:
-        yield now, maps.piece(form, held)
+        yield told()
 
 
 def _by_tile(pieces: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, Iterator[bytes]]]:
@@ -101,12 +106,13 @@ def save_tiles(elements: DataFrame, tiles: DataFrame, areas: DataFrame, folder:
     if form not in maps.EXTENSIONS or form == "simulate":
         raise maps.MapError(f"no files of form {form}")
     spark = elements.sparkSession
-    own = elements.withColumn("version", element_version(F.col("version"), versions))
-    dealt = own.join(tiles.select("kind", "id", F.explode("areas").alias("area_idx")), ["kind", "id"])
-    whole = maps._in_order(dealt.join(areas.select("area_idx", "map_id"), "area_idx"))
+    lists = {c: F.coalesce(c, F.array().cast(ELEMENT[c].dataType)) for c in ("refs", "members", "tags")}  # Spark goes through all nulls of a batch again for each row that it hands to Python
+    own = elements.withColumn("version", element_version(F.col("version"), versions)).withColumns(lists)
+    once = cut(maps._in_order(own.join(tiles.select("kind", "id", "areas"), ["kind", "id"])))  # ranges are drawn from a sample, which would read all files once more
+    dealt = once.withColumn("area_idx", F.explode("areas")).join(hinted(areas.select("area_idx", "map_id")), "area_idx")
     order = ["map_id", "nth", "id"]
-    whole = cut(whole.select("map_id", "nth", *ELEMENT.names[:-1]))  # ranges are drawn from a sample, which would read all files once more
-    rows = whole.repartitionByRange(*order).sortWithinPartitions(*order).drop("nth")
+    whole = dealt.select("map_id", "nth", *ELEMENT.names[:-1])
+    rows = whole.repartitionByRange(_tasks(spark), *order).sortWithinPartitions(*order).drop("nth")
     parts = f"{folder.rstrip('/')}/_parts-{uuid.uuid4().hex}"
     spark.dataSource.register(TileParts)
     rows.write.format("tile_parts").mode("append").option("path", parts).option("form", form).save()
@@ -114,6 +120,11 @@ def save_tiles(elements: DataFrame, tiles: DataFrame, areas: DataFrame, folder:
     storage.remove(parts)
 
 
+def _tasks(spark) -> int:
+    """How many ranges are written side by side: by bytes alone adaptive execution would leave a few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def _join(spark, parts: str, areas: DataFrame, folder: str, form: str, versions: bool) -> None:
     """One task a tile copies its parts behind each other in blocks."""
     told = [json.loads(x) for x in storage.lines(f"{parts}/{LIST}")]
@@ -129,7 +140,8 @@ def _join(spark, parts: str, areas: DataFrame, folder: str, form: str, versions:
             blocks = (b for name in r.names for b in storage.blocks(f"{parts}/{name}"))
             storage.save(f"{folder}/{r.map_id:08d}.{maps.EXTENSIONS[form]}", _framed(form, box, versions, blocks))
 
-    lists.join(areas.select("map_id", *edges), "map_id").foreachPartition(copy)
+    n = len({t["map_id"] for t in told})
+    lists.join(areas.select("map_id", *edges), "map_id").repartitionByRange(n, "map_id").foreachPartition(copy)  # few small rows, which would become one task
 
 
 def _framed(form: str, box: tuple, versions: bool, blocks: Iterator[bytes]) -> Iterator[bytes]:

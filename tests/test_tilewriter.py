@@ -78,3 +78,21 @@ def test_rows_come_while_a_file_is_read(tmp_path, monkeypatch, form):
 def test_elements_inside_others():
     text = b"<osmChange><create><node id='1' lat='1' lon='2'><tag k='a' v='b'/></node></create><delete><way id='3' action='delete'/></delete><way id='2'><nd ref='1'/></way></osmChange>"
     assert [(r[0], r[1], r[5], r[7]) for r in maps._plain_xml(text)] == [("node", 1, None, [("a", "b")]), ("way", 2, [1], [])]
+
+
+def test_files_are_shared_out(spark, tmp_path, monkeypatch):
+    """As many tasks write ranges and read files back as there is work for, however few bytes it takes."""
+    from tessella.plans.files import tile_names
+
+    rows, df, tiles, areas = made(spark)
+    folder, plain = str(tmp_path / "out"), tilewriter._join
+    told = []
+
+    def joined(spark, parts, *more):
+        told.extend(json.loads(x) for x in storage.lines(f"{parts}/{tilewriter.LIST}"))
+        return plain(spark, parts, *more)
+
+    monkeypatch.setattr(tilewriter, "_join", joined)
+    tilewriter.save_tiles(df, tiles, areas, folder)
+    assert len({t["nth"] for t in told}) > 8
+    assert tile_names(spark, folder).select(F.spark_partition_id().alias("task")).distinct().count() == len(os.listdir(folder)) == 2
